@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspan.llm import quality_llr, url_filter
+from inkspan.llm import embedding_dedup, minhash_dedup, quality_llr, url_filter
 from inkspan.llm.common import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -18,6 +26,6 @@ def op8_likelihood_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_redirect_equivalence, op8_likelihood_ratio_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op4_minhash_near_dedup, op5_redirect_equivalence, op8_likelihood_ratio_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
