@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkspan.llm import embedding_dedup, minhash_dedup, quality_llr, url_filter
+from inkspan.llm import embedding_dedup, html_density, minhash_dedup, packing, quality_llr, sentencepiece_fst, url_filter
 from inkspan.llm.common import table
 
 
@@ -22,10 +23,37 @@ def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text as a digest, and whether decoding them gives the text back (marks and spaces alike)."""
+    encoded = sentencepiece_fst.decode(sentencepiece_fst.encode(table(spark, sf_dir, "documents")))
+    same = F.col("decoded") == F.replace("text", F.lit(sentencepiece_fst.MARK), F.lit(" "))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), same.alias("round_trip"))
+
+
 def op8_likelihood_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op4_minhash_near_dedup, op5_redirect_equivalence, op8_likelihood_ratio_quality)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op4_minhash_near_dedup,
+        op5_redirect_equivalence,
+        op6_sentencepiece_transducer,
+        op8_likelihood_ratio_quality,
+        op9_best_fit_packing,
+        op10_text_density,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
