@@ -1,0 +1,115 @@
+"""Quote location: exact in the hint, fuzzy in the hint, exact in the text, fuzzy in the text."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from inkspan.functions.text import normalize_for_match, strip_quotes
+
+LEAST_QUOTE, LEAST_FUZZY, FUZZY_SCORE = 2, 6, 90.0
+SPAN = "struct<start: int, end: int, score: double, method: string>"
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bit-parallel columns over Python integers."""
+    masks: dict[int, int] = {}
+    for i, c in enumerate(a.tolist()):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b.tolist():
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def similar_part(quote: str, text: str) -> tuple[int, int, float] | None:
+    """The part of a text most like a quote: (start, end, similarity 0..100), the similarity being twice the common
+    subsequence over both lengths. Windows of the quote's length are tried where letter counts allow a result of
+    FUZZY_SCORE, then clipped windows at both ends."""
+    q, t = np.frombuffer(quote.encode("utf-32-le"), np.uint32), np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    m, n = len(q), len(t)
+    if not m or m > n:
+        return None
+    # an upper bound per window from the characters it shares with the quote
+    shared = np.zeros(n - m + 1, np.int64)
+    values, counts = np.unique(q, return_counts=True)
+    for v, k in zip(values, counts, strict=True):
+        run = np.concatenate([[0], np.cumsum(t == v)])
+        shared += np.minimum(run[m:] - run[: n - m + 1], k)
+    best: tuple[int, int, float] | None = None
+    for s in np.argsort(-shared, kind="stable"):
+        if shared[s] * 100 / m < max(FUZZY_SCORE, best[2] if best else 0):
+            break
+        score = 100.0 * _common(q, t[s : s + m]) / m
+        if best is None or score > best[2] or (score == best[2] and s < best[0]):
+            best = (int(s), int(s) + m, score)
+    for k in range(max(1, int(m * 0.8)), m):
+        for s, e in ((0, k), (n - k, n)):
+            score = 200.0 * _common(q, t[s:e]) / (m + k)
+            if best is None or score > best[2]:
+                best = (s, e, score)
+    return best if best and best[2] >= FUZZY_SCORE else None
+
+
+@F.pandas_udf(SPAN)
+def _fuzzy(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
+    rows = []
+    for q, t in zip(quote, text, strict=True):
+        found = similar_part(q, t) if q and t and LEAST_FUZZY <= len(q) <= len(t) else None
+        rows.append((None, None, None, None) if found is None else (found[0], found[1], round(found[2] / 100, 3), "fuzzy"))
+    return pd.DataFrame(rows, columns=["start", "end", "score", "method"]).astype({"start": "Int32", "end": "Int32"})
+
+
+def exact_span(needle: Column, haystack: Column, offset: Column) -> Column:
+    at = F.instr(haystack, needle) - 1
+    return F.when(at >= 0, F.struct((at + offset).cast("int").alias("start"), (at + offset + F.length(needle)).cast("int").alias("end"), F.lit(1.0).alias("score"), F.lit("exact").alias("method")))
+
+
+def locate(quotes: DataFrame, quote: str = "quote", text: str = "text", hint_start: str | None = None, hint_end: str | None = None) -> DataFrame:
+    """Add ``span`` (start, end, score, method; null where the quote is nowhere) to rows of quote and text.
+
+    Exact rows are settled by built-in search; only the others reach the Python function. Quotes of fewer than two
+    characters locate nothing; null quotes or texts neither.
+    """
+    n = F.length("_hay")
+    lo = F.greatest(F.lit(0), F.coalesce(F.col(hint_start), F.lit(0))) if hint_start else F.lit(0)
+    hi = F.least(n, F.coalesce(F.col(hint_end), n)) if hint_end else n
+    d = quotes.withColumn("_needle", normalize_for_match(strip_quotes(F.col(quote)))).withColumn("_hay", normalize_for_match(F.col(text)))
+    d = d.withColumn("_lo", lo).withColumn("_window", F.substring("_hay", lo + 1, F.greatest(hi - lo, F.lit(0))))
+    d = d.withColumn("span", F.when(F.length("_needle") >= LEAST_QUOTE, exact_span(F.col("_needle"), F.col("_window"), F.col("_lo"))))
+    open_ = F.col("span").isNull() & (F.length("_needle") >= LEAST_QUOTE)
+    done, rest = d.filter(~F.coalesce(open_, F.lit(False))), d.filter(open_)
+    if hint_start:
+        near = _fuzzy("_needle", "_window")
+        rest = rest.withColumn("_near", near).withColumn("span", F.when(F.col("_near.start").isNotNull(), F.struct((F.col("_near.start") + F.col("_lo")).cast("int").alias("start"), (F.col("_near.end") + F.col("_lo")).cast("int").alias("end"), F.col("_near.score").alias("score"), F.col("_near.method").alias("method")))).drop("_near")
+        rest = rest.withColumn("span", F.coalesce("span", exact_span(F.col("_needle"), F.col("_hay"), F.lit(0))))
+    rest = rest.withColumn("_far", F.when(F.col("span").isNull(), F.col("_hay"))).withColumn("_wide", _fuzzy("_needle", "_far"))
+    rest = rest.withColumn("span", F.coalesce("span", F.when(F.col("_wide.start").isNotNull(), F.col("_wide")))).drop("_far", "_wide")
+    return done.unionByName(rest).drop("_needle", "_hay", "_lo", "_window")
+
+
+def locate_in_corpus(quotes: DataFrame, docs: DataFrame, quote_id: str = "item_id", quote: str = "text", doc_id: str = "doc_id", text: str = "text", gram: int = 4) -> DataFrame:
+    """(quote id, doc id, char_start): exact occurrences of each quote in each text, first one each.
+
+    Candidates come from an equi-join on hashed word n-grams: one interior n-gram stands for the quote and all n-grams
+    of a text are looked up, so no pair without a shared n-gram is looked at. Quotes with fewer than ``gram`` + 2 words
+    are found by their own scan of the texts.
+    """
+    q = quotes.select(F.col(quote_id).alias("_qid"), normalize_for_match(strip_quotes(F.col(quote))).alias("_q"))
+    d = docs.select(F.col(doc_id).alias("_did"), normalize_for_match(F.col(text)).alias("_t"))
+    words = lambda c: F.split(c, " ", -1)
+    hashes = lambda w, first, n: F.transform(F.sequence(first, first + n - 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(gram))))
+    long = q.withColumn("_w", words(F.col("_q"))).filter(F.size("_w") >= gram + 2)
+    long = long.select("_qid", "_q", F.xxhash64(F.slice("_w", F.lit(2), F.lit(gram))).alias("_h"))
+    texts = d.withColumn("_w", words(F.col("_t"))).filter(F.size("_w") >= gram)
+    grams = texts.select("_did", F.explode(F.array_distinct(hashes(F.col("_w"), F.lit(1), F.size("_w") - gram + 1))).alias("_h"))
+    pairs = grams.join(long.select("_qid", "_h"), "_h").select("_did", "_qid").distinct()
+    found = pairs.join(q, "_qid").join(d, "_did").withColumn("_at", F.instr("_t", F.col("_q")) - 1).filter("_at >= 0")
+    short = q.filter(F.size(words(F.col("_q"))) < gram + 2)
+    scanned = d.join(short, F.col("_t").contains(F.col("_q")) & (F.length("_q") >= LEAST_QUOTE)).withColumn("_at", F.instr("_t", F.col("_q")) - 1)
+    cols = [F.col("_qid").alias(quote_id), F.col("_did").alias(doc_id), F.col("_at").cast("long").alias("char_start")]
+    return found.select(*cols).unionByName(scanned.select(*cols))
