@@ -1,8 +1,73 @@
-"""Corpus pipeline (part of the llm subpackage)."""
+"""Corpus pipeline over ``documents``, a part of the llm subpackage: each stage applies one of its operators.
 
+language ID (rejects go) -> MinHash near-dedup (one document of each group stays) -> substring dedup (repeated
+paragraphs go) -> PII (spans are masked) -> best-fit packing (pieces with their sequence and offset).
+
+Every stage but the last returns the columns of ``documents``; all work on everything their predecessor kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkspan.llm import language_id, minhash_dedup, packing, paragraph_dedup, pii
+from inkspan.llm.common import cut, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: a document goes if less than this share of its letters is in its language, or if it has no letter
+MIN_SHARE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, or without a main one, go; a null lang is filled with the prediction."""
+    found = language_id.identify(docs, language_id.fit(docs), carry=("text", "lang", "source", "n_chars"))
+    found = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SHARE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group stays, once where its row is repeated; rows with
+    a null id are in no group and stay."""
+    found = minhash_dedup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = cut(found, "kept")
+    named = docs.select(*COLUMNS).filter("doc_id is not null")
+    once = named.join(found.filter("n = 1"), "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in COLUMNS[1:]])
+    again = named.join(found.filter("n > 1"), "doc_id", "left_semi").withColumn("row", F.row_number().over(order)).filter("row = 1").drop("row")
+    return once.unionByName(again).unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+
+
+def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = paragraph_dedup.remove_repeats(docs, carry=("lang", "source"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.find_spans(docs, pii.fit(docs), mask=True, carry=("lang", "source"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_paragraphs),
+    ("pii", mask_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL cannot express the stages' methods; tests/llm holds them against brute force
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -108,6 +108,7 @@ def near_duplicates(
     percent: int = 80,
     miss: float = 1e-4,
     recall: float = 0.9995,
+    min_words: int = 1,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links) and kept.
 
@@ -119,7 +120,7 @@ def near_duplicates(
     bands, rows = tune_bands(percent / 100, recall)
     steps = least_matches(percent / 100, miss)
     texts = fields(items, vertex=id_col, text=text_col).select(F.col("vertex").cast("long").alias("vertex"), "text")
-    sketches = cut(texts.mapInArrow(sketcher(shingle, bands, rows), SKETCH_SCHEMA), "sketches")
+    sketches = cut(texts.mapInArrow(sketcher(shingle, bands, rows, min_words), SKETCH_SCHEMA), "sketches")
     worded = sketches.filter("n > 0 and vertex is not null")
     copies = worded.groupBy("d1", "d2").agg(F.min("vertex").alias("rep"))
     same_id = worded.select("vertex", "d1", "d2").join(copies, ["d1", "d2"]).groupBy("vertex").agg(F.min("rep").alias("dst"), F.max("rep").alias("src"))

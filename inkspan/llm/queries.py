@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import embedding_dedup, html_density, minhash_dedup, packing, quality_llr, sentencepiece_fst, url_filter
+from inkspan.llm import embedding_dedup, html_density, language_id, minhash_dedup, packing, paragraph_dedup, pii, quality_llr, sentencepiece_fst, url_filter
 from inkspan.llm.common import table
 
 
@@ -15,6 +15,15 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op2_viterbi_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.predict_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op3_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -30,6 +39,10 @@ def op6_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), same.alias("round_trip"))
 
 
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_likelihood_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,9 +60,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup,
+        op2_viterbi_language_spans,
+        op3_weak_supervision_pii,
         op4_minhash_near_dedup,
         op5_redirect_equivalence,
         op6_sentencepiece_transducer,
+        op7_paragraph_dedup,
         op8_likelihood_ratio_quality,
         op9_best_fit_packing,
         op10_text_density,

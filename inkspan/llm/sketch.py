@@ -84,7 +84,7 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def sketcher(k: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def sketcher(k: int, bands: int, rows: int, min_words: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function: (vertex, text) -> SKETCH_SCHEMA; digests and sketches are null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def sketcher(k: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch
             out: list[list] = [[], [], [], [], []]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = words_of(text)
-                if not words:
+                if len(words) < min_words or not words:
                     row = (None, None, 0, None, None)
                 else:
                     digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
