@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from inkspan.functions.text import normalize_for_match, strip_quotes
 
 LEAST_QUOTE, LEAST_FUZZY, FUZZY_SCORE = 2, 6, 90.0
-SPAN = "struct<start: int, end: int, score: double, method: string>"
+SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType()), StructField("method", StringType())])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:

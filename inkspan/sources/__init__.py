@@ -1,0 +1 @@
+"""Readers, sinks and table schemas."""

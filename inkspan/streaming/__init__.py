@@ -1,0 +1 @@
+"""Structured Streaming forms of progress, rate limits, sessions and one-time answers."""
