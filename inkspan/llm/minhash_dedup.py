@@ -1,12 +1,13 @@
 """MinHash near-dedup: banded candidates, sequential Bayesian pruning on further hashes, exact check of the survivors.
 
 1. Equal word sequences share a 128-bit digest; one representative each goes on, so copies cost one row.
-2. Every member of a band bucket is paired with the bucket's smallest member: as many pairs as rows.
-3. Buckets whose members then lie in different components are searched for every remaining pair of different
+2. Every document is paired with the smallest document of its buckets in the first bands: at most one pair a document.
+   In buckets that then hold different components, members are paired with the bucket's smallest document.
+3. Buckets whose members still lie in different components are searched for every remaining pair of different
    components, in blocks of bounded size; what does not belong to the bucket's main component is compared with all
    members, so a large group of near copies costs its size, not its square.
 4. Pairs are pruned after each batch of hashes by the posterior of their similarity; survivors are checked on the full
-   shingle sets of their whole texts.
+   shingle sets of their whole texts. A bitmap of fixed size keeps the texts of other documents out of that shuffle.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.common import cut, drop_cut, fields
 from inkspan.llm.components import connected_components
-from inkspan.llm.sketch import N_BAND, N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands, word_memo, words_of
+from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands, word_memo, words_of
 
-BLOCK = 1024
+BLOCK = 512
+KEY = ("pos", "h", "i", "j")
+BITMAP = 1 << 22
+FIRST_BANDS = 4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Verification hashes of a binary signature column, one row each."""
-    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint32)
-    return whole.reshape(-1, N_BAND + N_CHECK)[:, N_BAND:]
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, N_CHECK)
 
 
 def _prune_pairs(steps: list[tuple[int, int]]):  # noqa: ANN202
@@ -43,9 +46,10 @@ def _prune_pairs(steps: list[tuple[int, int]]):  # noqa: ANN202
 
 
 def _search_blocks(steps: list[tuple[int, int]]):  # noqa: ANN202
-    """Rows sorted by block -> surviving pairs of a left row with a right row of another component."""
+    """Rows sorted by block -> one row per block that has surviving pairs of a left row and a right row of another
+    component: the block's key and the pairs as two arrays."""
 
-    def pairs(block: pa.Table) -> pa.RecordBatch:
+    def pairs(block: pa.Table) -> list[pa.RecordBatch]:
         left = np.array(block["left"].to_pylist(), bool)
         vertex, comp = block["vertex"].to_numpy(), block["comp"].to_numpy()
         check, at = _matrix(block["sig"]), block["pos"][0].as_py()
@@ -58,19 +62,68 @@ def _search_blocks(steps: list[tuple[int, int]]):  # noqa: ANN202
             js = js[~(bands[js] == bands[i]).any(axis=1)]  # an earlier band has the pair
             out_a += [max(vertex[i], v) for v in vertex[js]]
             out_b += [min(vertex[i], v) for v in vertex[js]]
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        if not out_a:
+            return []
+        longs = pa.list_(pa.int64())
+        return [pa.RecordBatch.from_arrays([*[pa.array([block[c][0].as_py()], block[c].type) for c in KEY], pa.array([out_a], longs), pa.array([out_b], longs)], [*KEY, "a", "b"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key = np.stack([t[c].to_numpy() for c in ("pos", "h", "i", "j")], axis=1)
+            key = np.stack([t[c].to_numpy() for c in KEY], axis=1)
             ends = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()] if len(key) else [0]
             for x, y in zip(ends, ends[1:], strict=False):
-                yield pairs(t.slice(x, y - x))
+                yield from pairs(t.slice(x, y - x))
             rest = t.slice(ends[-1])
         if rest is not None and rest.num_rows:
-            yield pairs(rest)
+            yield from pairs(rest)
+
+    return run
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, both not empty."""
+    if not len(p) or not len(q) or 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _verify_blocks(k: int, percent: int):  # noqa: ANN202
+    """Per block, its row of pairs and then one row per document in them, sorted so -> links that span what the full
+    sets connect; a pair that other links of the block already connect is not compared."""
+
+    def links(pairs: tuple[list[int], list[int]], sets: dict[int, list[np.ndarray]]) -> Iterator[tuple[int, int]]:
+        root = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for a, b in zip(*pairs, strict=True):
+            x, y = find(a), find(b)
+            if x != y and any(_similar(p, q, percent) for p in sets.get(a, ()) for q in sets.get(b, ())):
+                root[max(x, y)] = min(x, y)
+                yield a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, key, pairs, sets = word_memo(), None, ([], []), {}
+        for batch in batches:
+            out = []
+            for *at, a, b, vertex, text in zip(*[batch.column(n).to_pylist() for n in (*KEY, "a", "b", "vertex")], batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if at != key:
+                    out += links(pairs, sets)
+                    key, pairs, sets = at, ([], []), {}
+                if a is not None:
+                    pairs = (a, b)
+                else:
+                    sets.setdefault(vertex, []).append(shingle_set(words_of(text), k, memo))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["src", "dst"])
+        out = list(links(pairs, sets))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["src", "dst"])
 
     return run
 
@@ -92,9 +145,7 @@ def _verify(k: int, percent: int):  # noqa: ANN202
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                p, q = shingles(x), shingles(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+                ok.append(_similar(shingles(x), shingles(y), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return run
@@ -114,7 +165,7 @@ def near_duplicates(
 
     Two texts are linked where 100 * intersection >= percent * union of their word-shingle sets. Bands are tuned to
     ``recall`` at the threshold; a pair at the threshold is pruned with probability about ``miss``. Null, empty and
-    blank texts have no shingle and link with nothing. Rows that share an id are one document. A null id belongs to no
+    blank texts, and those under ``min_words`` words, have no shingle and link with nothing. Rows that share an id are one document. A null id belongs to no
     group: component_id null, kept true. An empty table gives an empty result.
     """
     bands, rows = tune_bands(percent / 100, recall)
@@ -122,25 +173,36 @@ def near_duplicates(
     texts = fields(items, vertex=id_col, text=text_col).select(F.col("vertex").cast("long").alias("vertex"), "text")
     sketches = cut(texts.mapInArrow(sketcher(shingle, bands, rows, min_words), SKETCH_SCHEMA), "sketches")
     worded = sketches.filter("n > 0 and vertex is not null")
-    copies = worded.groupBy("d1", "d2").agg(F.min("vertex").alias("rep"))
-    same_id = worded.select("vertex", "d1", "d2").join(copies, ["d1", "d2"]).groupBy("vertex").agg(F.min("rep").alias("dst"), F.max("rep").alias("src"))
-    same_id = same_id.filter("src != dst").select("src", "dst")
+    copies = cut(worded.groupBy("d1", "d2").agg(F.min("vertex").alias("rep")), "copies")
     reps = worded.join(copies, ["d1", "d2"]).filter("vertex = rep").dropDuplicates(["d1", "d2"]).select("vertex", "sig", "bands")
-    reps = cut(reps, "representatives")
+    whole, reps = sketches, cut(reps, "representatives")
+    sketches = cut(sketches.select("vertex", "d1", "d2", "n"), "digests")
+    drop_cut(whole)
+    named = sketches.filter("n > 0 and vertex is not null").join(copies, ["d1", "d2"])
+    same_id = named.groupBy("vertex").agg(F.min("rep").alias("dst"), F.max("rep").alias("src")).filter("src != dst").select("src", "dst")
     keys = reps.select("vertex", F.posexplode("bands").alias("pos", "h"))
-
-    hubs = keys.groupBy("pos", "h").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("top")).filter("hub != top").drop("top")
-    first = cut(keys.join(hubs, ["pos", "h"]).filter("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     sig = reps.select("vertex", "sig")
-    joined = first.join(sig.select(F.col("vertex").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("vertex").alias("b"), F.col("sig").alias("sb")), "b")
-    likely = joined.select("a", "b", "sa", "sb").mapInArrow(_prune_pairs(steps), "a long, b long")
-    links = cut(_exact(likely, texts, shingle, percent), "links")
-    groups = cut(connected_components(links.union(same_id)), "groups")
-
-    placed = keys.join(groups.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("comp", F.coalesce("component", "vertex")).drop("component")
-    mixed = placed.groupBy("pos", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("vertex", "comp"))["comp"].alias("main"), F.count("*").alias("n"))
-    mixed = mixed.filter("lo != hi").select("pos", "h", "main", "n")
-    rest = placed.join(mixed, ["pos", "h"])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sig.select(F.col("vertex").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("vertex").alias("b"), F.col("sig").alias("sb")), "b")
+        return cut(_exact(both.select("a", "b", "sa", "sb").mapInArrow(_prune_pairs(steps), "a long, b long"), texts, shingle, percent), "links")
+
+    def mixed_buckets(groups: DataFrame) -> DataFrame:
+        """Members of the buckets that hold different components: pos, h, vertex, comp, hub, main (the hub's component), n."""
+        placed = keys.join(groups.withColumnRenamed("id", "vertex"), "vertex", "left").select("pos", "h", "vertex", F.coalesce("component", "vertex").alias("comp"))
+        hub = F.min(F.struct("vertex", "comp"))
+        mixed = placed.groupBy("pos", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub["vertex"].alias("hub"), hub["comp"].alias("main"), F.count("*").alias("n"))
+        return cut(placed.join(mixed.filter("lo != hi").drop("lo", "hi"), ["pos", "h"]), "mixed")
+
+    few = keys.filter(F.col("pos") < FIRST_BANDS)
+    hubs = few.groupBy("pos", "h").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("top")).filter("hub != top").drop("top")
+    first = few.join(hubs, ["pos", "h"]).groupBy(F.col("vertex").alias("a")).agg(F.min("hub").alias("b")).filter("a != b")
+    links = linked(first).union(same_id)
+    groups = cut(connected_components(links), "groups")
+    rest = mixed_buckets(groups)
+    links = links.union(linked(rest.filter("comp != main").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct()))
+    groups = cut(connected_components(links), "groups")
+    rest = mixed_buckets(groups)
     aside = rest.groupBy("pos", "h").agg(F.count_if(F.col("comp") != F.col("main")).alias("m"))
     n_left, n_right = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK)
     rest = rest.join(aside, ["pos", "h"]).select("pos", "h", "vertex", "comp", (F.col("comp") != F.col("main")).alias("aside"), n_left.alias("nl"), n_right.alias("nr"))
@@ -149,8 +211,15 @@ def near_duplicates(
     as_right = rest.select("pos", "h", "vertex", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("i"), own(F.col("nr")).alias("j"))
     blocks = as_left.unionByName(as_right).join(reps, "vertex").select("pos", "h", "i", "j", "left", "vertex", "comp", "sig", "bands")
     blocks = blocks.repartition("pos", "h", "i", "j").sortWithinPartitions("pos", "h", "i", "j")
-    more = blocks.mapInArrow(_search_blocks(steps), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    second = cut(_exact(more, texts, shingle, percent), "links")
+    more = cut(blocks.mapInArrow(_search_blocks(steps), "pos int, h long, i long, j long, a array<long>, b array<long>"), "blocks")
+    inside = more.select(*KEY, F.explode(F.array_distinct(F.concat("a", "b"))).alias("vertex"))
+    theirs = inside.join(_texts_of(texts, inside.select("vertex").distinct()), "vertex")
+    none = F.lit(None)
+    rows = more.select(*KEY, "a", "b", none.cast("long").alias("vertex"), none.cast("string").alias("text")).unionByName(
+        theirs.select(*KEY, none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b"), "vertex", "text")
+    )
+    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, F.col("a").isNull())
+    second = cut(rows.mapInArrow(_verify_blocks(shingle, percent), "src long, dst long").distinct(), "links")
     renamed = second.join(groups.select(F.col("id").alias("src"), F.col("component").alias("x")), "src", "left").join(groups.select(F.col("id").alias("dst"), F.col("component").alias("y")), "dst", "left")
     renamed = renamed.select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst"))
     merged = connected_components(renamed)
@@ -159,7 +228,6 @@ def near_duplicates(
     # a merged component may be named by an id that is no vertex of the first round, or by one that is
     final = final.groupBy("rep").agg(F.min("to").alias("component"))
     named = copies.join(final, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    drop_cut(first)
     out = sketches.select("vertex", "d1", "d2", "n").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("vertex").isNotNull(), F.coalesce("component", "vertex"))
     return out.select(F.col("vertex").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("vertex") == component, F.lit(True)).alias("kept"))
@@ -168,8 +236,17 @@ def near_duplicates(
 def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(src, dst) of the pairs whose full sets are similar enough; moves the texts of candidate documents only."""
     pairs = cut(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    some = texts.filter("vertex is not null and text is not null").join(wanted, "vertex", "left_semi")
+    some = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct())
     both = pairs.join(some.select(F.col("vertex").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("vertex").alias("b"), F.col("text").alias("tb")), "b")
     checked = both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a long, b long, ok boolean")
     return checked.filter("ok").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(vertex, text) of the wanted vertices. A bitmap of fixed size (BITMAP / 64 rows at most, whatever is wanted) drops
+    most other rows before they are shuffled."""
+    bit = F.pmod(F.xxhash64("vertex"), F.lit(BITMAP))
+    bitmap = wanted.withColumn("bit", bit).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+    some = texts.filter("vertex is not null and text is not null").withColumn("bit", bit).withColumn("word", F.floor(F.col("bit") / 64))
+    some = some.join(F.broadcast(bitmap), "word").filter(F.getbit("bits", F.pmod("bit", F.lit(64)).cast("int")) == 1).select("vertex", "text")
+    return some.join(wanted, "vertex", "left_semi")

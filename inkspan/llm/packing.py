@@ -9,6 +9,7 @@ by salted windows, so a length that a third of all pieces share is still split o
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +38,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, words_kept: int = 200_000) -> DataFrame:
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """A word and the punctuation at its end, where an ASCII letter or digit stands before that: the border is one
+    that the tokenizer makes too."""
+    base = word.rstrip(b".,;:!?%$#*&|")
+    return (base, word[len(base) :]) if base != word and base[-1:].isalnum() else (word,)
+
+
+def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, words_kept: int = 400_000) -> DataFrame:
     """(id, piece, start, length, ids): each text's token ids and then ``end_id``, cut into pieces of at most ``capacity``.
 
     ids holds little-endian unsigned 32-bit ids. Null and empty texts give one piece with end_id only. The tokenizer
@@ -55,12 +63,16 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [x.split() if x else [] for x in part.column(1).cast(pa.binary()).to_pylist()]
+                texts = [x.lower().split() if x else [] for x in part.column(1).cast(pa.binary()).to_pylist()]
                 if len(known) > words_kept:
                     known.clear()
-                new = list(set().union(*texts).difference(known))
-                for word, got in zip(new, encode([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[word] = np.array(got.ids, "<u4").tobytes()
+                new = {w: _parts(w) for w in set().union(*texts).difference(known)}
+                parts = list({p for both in new.values() for p in both}.difference(known))
+                for p, got in zip(parts, encode([p.decode() for p in parts], add_special_tokens=False), strict=True):
+                    known[p] = array("I", got.ids).tobytes()
+                for word, both in new.items():
+                    if len(both) == 2:
+                        known[word] = known[both[0]] + known[both[1]]
                 rows, pieces, starts, lengths, ids = [], [], [], [], []
                 for i, words in enumerate(texts):
                     whole = b"".join([known[w] for w in words]) + tail

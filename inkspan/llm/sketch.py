@@ -85,7 +85,8 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def sketcher(k: int, bands: int, rows: int, min_words: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow function: (vertex, text) -> SKETCH_SCHEMA; digests and sketches are null for texts without words."""
+    """mapInArrow function: (vertex, text) -> SKETCH_SCHEMA; digests and sketches are null for texts without words or with
+    fewer than ``min_words``. sig holds the low 16 bits of the verification hashes, bands the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
@@ -100,7 +101,7 @@ def sketcher(k: int, bands: int, rows: int, min_words: int = 1) -> Callable[[Ite
                     found = shingle_set(words, k, memo)
                     signature = minhash(found)
                     keys = band_keys(signature, bands, rows)
-                    row = (int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), len(found), signature.tobytes(), keys)
+                    row = (int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), len(found), signature[N_BAND:].astype(np.uint16).tobytes(), keys)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
