@@ -40,16 +40,16 @@ SEVERITY = "CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END"
 # usage analytics
 
 
-@query(f"WITH {CALLS} SELECT CAST(created_at AS DATE) AS day, scene, ref_type, ref_id, {SUMS} FROM calls WHERE {USER} GROUP BY ALL")
+@query(f"WITH {CALLS} SELECT strftime(created_at, '%Y-%m-%d') AS day, scene, ref_type, ref_id, {SUMS} FROM calls WHERE {USER} GROUP BY ALL")
 def agg_usage_base(spark: SparkSession, d: str) -> DataFrame:
-    return usage.grouped(calls(spark, d))
+    return usage.grouped(calls(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"""WITH {CALLS}, days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2023-12-28', TIMESTAMP '2024-02-02', INTERVAL 1 DAY)) AS DATE) AS day),
  got AS (SELECT CAST(created_at AS DATE) AS day, {SUMS} FROM calls WHERE {USER} AND created_at >= TIMESTAMP '2023-12-28' AND created_at < TIMESTAMP '2024-02-03' GROUP BY 1)
- SELECT day, coalesce(calls,0) AS calls, coalesce(cached,0) AS cached, coalesce(failed,0) AS failed, coalesce(token_input,0) AS token_input, coalesce(token_output,0) AS token_output, coalesce(cost,0) AS cost FROM days LEFT JOIN got USING (day)""")
+ SELECT CAST(day AS VARCHAR) AS day, coalesce(calls,0) AS calls, coalesce(cached,0) AS cached, coalesce(failed,0) AS failed, coalesce(token_input,0) AS token_input, coalesce(token_output,0) AS token_output, coalesce(cost,0) AS cost FROM days LEFT JOIN got USING (day)""")
 def agg_usage_day(spark: SparkSession, d: str) -> DataFrame:
-    return usage.by_day(usage.grouped(usage.in_days(calls(spark, d), "2023-12-28", "2024-02-02")), "2023-12-28", "2024-02-02")
+    return usage.by_day(usage.grouped(usage.in_days(calls(spark, d), "2023-12-28", "2024-02-02")), "2023-12-28", "2024-02-02").withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"""WITH {CALLS}, dim(ordinal, feature) AS (VALUES (0,'parse'),(1,'jd'),(2,'diagnose'),(3,'match'),(4,'advice'),(5,'interview'),(6,'other')), got AS (SELECT {FEATURE} AS feature, {SUMS} FROM calls WHERE {USER} GROUP BY 1)
@@ -68,14 +68,15 @@ def _owners(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CALLS}, {OWNERS}, got AS (SELECT user_id, {SUMS}, max(CAST(created_at AS DATE)) AS last_used FROM calls LEFT JOIN owners USING (ref_type, ref_id) WHERE {USER} GROUP BY 1)
- SELECT *, CAST(row_number() OVER (ORDER BY user_id IS NULL, cost DESC, user_id) AS INTEGER) AS rank FROM got""")
+ SELECT * REPLACE (coalesce(user_id, -1) AS user_id, CAST(last_used AS VARCHAR) AS last_used), CAST(row_number() OVER (ORDER BY user_id IS NULL, cost DESC, user_id) AS INTEGER) AS rank FROM got""")
 def agg_usage_user(spark: SparkSession, d: str) -> DataFrame:
-    return usage.by_user(usage.grouped(calls(spark, d)), _owners(spark, d))
+    got = usage.by_user(usage.grouped(calls(spark, d)), _owners(spark, d))
+    return got.withColumns({"user_id": F.coalesce("user_id", F.lit(-1).cast("long")), "last_used": F.col("last_used").cast("string")})
 
 
-@query(f"WITH {CALLS}, {OWNERS} SELECT id, user_id FROM calls LEFT JOIN owners USING (ref_type, ref_id)")
+@query(f"WITH {CALLS}, {OWNERS} SELECT id, coalesce(user_id, -1) AS user_id FROM calls LEFT JOIN owners USING (ref_type, ref_id)")
 def join_owner(spark: SparkSession, d: str) -> DataFrame:
-    return calls(spark, d).join(_owners(spark, d), ["ref_type", "ref_id"], "left").select("id", "user_id")
+    return calls(spark, d).join(_owners(spark, d), ["ref_type", "ref_id"], "left").select("id", F.coalesce("user_id", F.lit(-1).cast("long")).alias("user_id"))
 
 
 @query(f"""WITH {CALLS} SELECT * FROM (SELECT {SUMS} FROM calls WHERE {USER} AND CAST(created_at AS DATE) = DATE '2024-01-05'), (SELECT CAST(sum(cost) AS DECIMAL(20,6)) AS window_cost FROM calls WHERE {USER}),
@@ -85,9 +86,9 @@ def agg_usage_day_filter(spark: SparkSession, d: str) -> DataFrame:
     return usage.usage_report(calls(spark, d), users, "2024-01-01", "2024-01-31", "2024-01-05")
 
 
-@query("SELECT least(coalesce(CAST(min(ts) AS DATE), DATE '2024-06-01'), DATE '2024-06-01') AS first_day FROM events")
+@query("SELECT CAST(least(coalesce(CAST(min(ts) AS DATE), DATE '2024-06-01'), DATE '2024-06-01') AS VARCHAR) AS first_day FROM events")
 def agg_first_day(spark: SparkSession, d: str) -> DataFrame:
-    return usage.first_day(calls(spark, d), F.lit("2024-06-01").cast("date"))
+    return usage.first_day(calls(spark, d), F.lit("2024-06-01").cast("date")).select(F.col("first_day").cast("string").alias("first_day"))
 
 
 @query(f"WITH {CALLS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(cost) AS DECIMAL(20,6)) AS cost FROM calls WHERE run_id IS NOT NULL OR ref_id IS NULL")
