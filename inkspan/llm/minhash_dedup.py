@@ -243,10 +243,11 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vertex, text) of the wanted vertices. A bitmap of fixed size (BITMAP / 64 rows at most, whatever is wanted) drops
-    most other rows before they are shuffled."""
+    """(vertex, text) of the wanted vertices, each listed once. A bitmap of fixed size (BITMAP / 64 rows at most, whatever
+    is wanted) drops most other rows before they are shuffled."""
     bit = F.pmod(F.xxhash64("vertex"), F.lit(BITMAP))
     bitmap = wanted.withColumn("bit", bit).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
     some = texts.filter("vertex is not null and text is not null").withColumn("bit", bit).withColumn("word", F.floor(F.col("bit") / 64))
     some = some.join(F.broadcast(bitmap), "word").filter(F.getbit("bits", F.pmod("bit", F.lit(64)).cast("int")) == 1).select("vertex", "text")
-    return some.join(wanted, "vertex", "left_semi")
+    # not a semi-join: the optimizer would push that below the bitmap, and every text would be shuffled
+    return some.join(wanted, "vertex")
