@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BITMAP = 1 << 22  # bits
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -64,6 +66,19 @@ def fields(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def marked(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with ``marked``: true for every row whose whole-number id is in ``wanted`` (same column name), and for few others.
+
+    The test is a bitmap over the ids' hashes. It has at most BITMAP / 64 rows whatever is wanted, so it is broadcast;
+    where it fills up, more rows are marked, never fewer. A null id is not marked.
+    """
+    bit = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BITMAP))
+    words = wanted.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 AS int)))").alias("_bits"))
+    found = df.withColumn("_bit", bit).withColumn("_word", F.floor(F.col("_bit") / 64)).join(F.broadcast(words), "_word", "left")
+    hit = F.getbit("_bits", F.pmod("_bit", F.lit(64)).cast("int")) == 1
+    return found.withColumn("marked", F.coalesce(hit, F.lit(False))).drop("_bit", "_word", "_bits")
+
+
 class Memo(dict):
     """word -> value, computed once per Python worker; emptied when it reaches ``limit`` entries."""
 

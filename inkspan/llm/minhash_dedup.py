@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, drop_cut, fields
+from inkspan.llm.common import cut, drop_cut, fields, marked
 from inkspan.llm.components import connected_components
 from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands, word_memo, words_of
 
 BLOCK = 512
 KEY = ("pos", "h", "i", "j")
-BITMAP = 1 << 22
 FIRST_BANDS = 4
 
 
@@ -174,13 +173,16 @@ def near_duplicates(
     sketches = cut(texts.mapInArrow(sketcher(shingle, bands, rows, min_words), SKETCH_SCHEMA), "sketches")
     worded = sketches.filter("n > 0 and vertex is not null")
     copies = cut(worded.groupBy("d1", "d2").agg(F.min("vertex").alias("rep")), "copies")
-    reps = worded.join(copies, ["d1", "d2"]).filter("vertex = rep").dropDuplicates(["d1", "d2"]).select("vertex", "sig", "bands")
+    reps = worded.join(copies, ["d1", "d2"]).filter("vertex = rep").dropDuplicates(["vertex", "d1", "d2"]).select("vertex", "sig", "bands")
     whole, reps = sketches, cut(reps, "representatives")
     sketches = cut(sketches.select("vertex", "d1", "d2", "n"), "digests")
     drop_cut(whole)
     named = sketches.filter("n > 0 and vertex is not null").join(copies, ["d1", "d2"])
     same_id = named.groupBy("vertex").agg(F.min("rep").alias("dst"), F.max("rep").alias("src")).filter("src != dst").select("src", "dst")
     keys = reps.select("vertex", F.posexplode("bands").alias("pos", "h"))
+    # most buckets hold one document: only the others go on
+    met = keys.groupBy("pos", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    keys = cut(keys.join(met, ["pos", "h"]), "buckets")
     sig = reps.select("vertex", "sig")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -243,11 +245,7 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vertex, text) of the wanted vertices, each listed once. A bitmap of fixed size (BITMAP / 64 rows at most, whatever
-    is wanted) drops most other rows before they are shuffled."""
-    bit = F.pmod(F.xxhash64("vertex"), F.lit(BITMAP))
-    bitmap = wanted.withColumn("bit", bit).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
-    some = texts.filter("vertex is not null and text is not null").withColumn("bit", bit).withColumn("word", F.floor(F.col("bit") / 64))
-    some = some.join(F.broadcast(bitmap), "word").filter(F.getbit("bits", F.pmod("bit", F.lit(64)).cast("int")) == 1).select("vertex", "text")
+    """(vertex, text) of the wanted vertices, each listed once; the bitmap keeps most other texts out of the shuffle."""
+    some = marked(texts.filter("vertex is not null and text is not null"), "vertex", wanted).filter("marked").select("vertex", "text")
     # not a semi-join: the optimizer would push that below the bitmap, and every text would be shuffled
     return some.join(wanted, "vertex")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, fields
+from inkspan.llm.common import cut, fields, marked
 from inkspan.llm.minhash_dedup import near_duplicates
 
 PLACES = 20  # bits for a paragraph's place
@@ -47,7 +47,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = cut(duplicate_paragraphs(docs, id_col, text_col, min_words, shingle, percent), "repeats")
     gone = gone.groupBy("id").agg(F.collect_set("place").alias("places"))  # at most the lines of one document
     d = fields(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
-    d = d.join(gone, "id", "left").withColumn("lines", F.split("text", "\n", -1))
+    # texts that lose nothing are not shuffled
+    d = marked(d, "id", gone)
+    hit = d.filter("marked").join(gone, "id", "left")
+    rest = d.filter("not marked").withColumn("places", F.lit(None).cast("array<int>"))
+    d = hit.unionByName(rest).withColumn("lines", F.split("text", "\n", -1))
     stay = F.filter("lines", lambda _, i: ~F.array_contains("places", i))
     out = d.withColumn("kept_lines", F.when(F.col("places").isNull(), F.col("lines")).otherwise(stay))
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join("kept_lines", "\n"))
