@@ -54,7 +54,7 @@ def find_date_range(text: Column) -> Column:
     good = F.get(F.filter(singles, lambda s: ~F.trim(s).rlike(f"^{_YEAR}$") | (F.trim(s) == F.trim(text))), F.lit(0))
     y, m = _date(good, SINGLE, 1)
     # the first place where the match stands free of digits
-    lone = F.length(F.regexp_extract(text, F.concat(F.lit("(?s)^(.*?)(?<!\\d)\\Q"), good, F.lit("\\E(?!\\d)")), F.lit(1)))
+    lone = F.regexp_instr(text, F.concat(F.lit("(?<!\\d)\\Q"), good, F.lit("\\E(?!\\d)"))) - 1
     single = F.struct(_text(y, m, F.lit(True)).alias("start"), F.lit(None).cast("string").alias("end"), F.lit(False).alias("is_present"), lone.alias("span_start"), (lone + F.length(good)).alias("span_end"))
     return F.when(whole != "", span).when(good.isNotNull(), single)
 
