@@ -27,6 +27,7 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCKS - frozenset("td th tr tbody thead tfoot caption html body".split())
+P_BORDERS = frozenset("td th table button object".split())
 #: what a start tag ends when it is open, up to the given border
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -48,10 +49,12 @@ KEPT_ANYWAY = frozenset("article main body html".split())
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "paragraph")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False) -> None:
         self.tag, self.parts, self.parent, self.drop = tag, [], parent, drop
+        #: the open p that a block inside would end
+        self.paragraph = self if tag == "p" else None if parent is None or tag in P_BORDERS else parent.paragraph
 
 
 def parse(page: str) -> Node:
@@ -92,11 +95,8 @@ def parse(page: str) -> Node:
                 here = node
             continue
         if tag in CLOSES_P:
-            up = here
-            while up is not None and up.tag not in ("p", "td", "th", "table", "button", "object"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                here = up.parent
+            if here.paragraph is not None:
+                here = here.paragraph.parent
         if tag in ENDS:
             ended, border = ENDS[tag]
             up, found = here, None

@@ -237,6 +237,10 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def told(spans: Column) -> Column:
     """kind:start:end, by kind as listed and then start, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -246,5 +250,5 @@ def told(spans: Column) -> Column:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every document; counts are of base spans."""
     found = find_spans(docs, fit(docs, text_col), id_col, text_col)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(id_col, *counts, F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import fields
+from inkspan.llm.common import cut, fields
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 BUCKETS = 16_384
@@ -40,7 +40,7 @@ def count_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null text counts as empty (no word, base_failed). Repeated rows are counted one by one.
     """
     d = fields(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
-    return _counted(d).drop("words", "hashes", "pairs").withColumnRenamed("id", id_col)
+    return cut(_counted(d).drop("words", "hashes", "pairs").withColumnRenamed("id", id_col), "counts")
 
 
 def _counted(d: DataFrame) -> DataFrame:
@@ -143,4 +143,5 @@ def quality_filter(
     total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(ratio, b))
     d = d.withColumn("llr", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0)))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_ratio))
-    return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    d = d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    return cut(d, "quality")  # a caller's filter pushed below would evaluate the nested arrays again and again

@@ -1,0 +1,275 @@
+"""The training-data operators against brute force over the whole small tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from inkspan.llm import components, html_density, language_id, packing, paragraph_dedup, pii, quality_llr, queries, sentencepiece_fst, url_filter
+from inkspan.llm.common import table
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def shingles(words, k):
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
+
+
+def groups(ids, links):
+    low = {i: i for i in ids}
+
+    def find(x):
+        while low[x] != x:
+            low[x] = low[low[x]]
+            x = low[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        low[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def similar(sets, percent):
+    """All pairs with this Jaccard similarity, by an inverted index."""
+    at = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            at[x].append(i)
+    common = Counter((a, b) for held in at.values() for n, a in enumerate(held) for b in held[n + 1 :])
+    return [(a, b) for (a, b), n in common.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+
+
+def test_op1_components_and_links(spark, sf):
+    rows = table(spark, sf, "embeddings").collect()
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows if r["label"] is not None and r["embedding"] is not None}
+    label = {r["vec_id"]: r["label"] for r in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in x.items() if np.isfinite(v).all() and v.any()}
+    ids = sorted(unit)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if label[a] == label[b] and unit[a] @ unit[b] >= 0.98]
+    degree = Counter(i for pair in links for i in pair)
+    comp = groups([r["vec_id"] for r in rows], links)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in queries.op1_embedding_near_dedup(spark, sf).collect()}
+    assert got == {i: (degree[i], c, i == c) for i, c in comp.items()}
+
+
+def test_op2_held_out_accuracy(spark, sf):
+    truth = {r["doc_id"]: (r["lang"], r["text"]) for r in table(spark, sf, "documents").collect()}
+    got = queries.op2_viterbi_language_spans(spark, sf).collect()
+    assert len(got) == len(truth) and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    judged = [r for r in got if r["held_out"] and truth[r["doc_id"]][0] is not None and len(words_of(truth[r["doc_id"]][1])) >= 5]
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]][0] for r in judged]) >= 0.95
+
+
+def test_op2_labels_spans_of_mixed_text(spark):
+    english = "the quick brown fox jumps over the lazy dog while the children play in the garden near the old house"
+    german = "der schnelle braune fuchs springt ueber den faulen hund waehrend die kinder im garten neben dem alten haus spielen"
+    learned = spark.createDataFrame([(i, t, x) for i in range(8) for t, x in ((english, "en"), (german, "de"))], "doc_id long, text string, lang string")
+    got = language_id.identify(spark.createDataFrame([(1, f"{english} {german}"), (2, "12 !"), (3, None)], "doc_id long, text string"), language_id.fit(learned)).orderBy("doc_id").collect()
+    assert [s["lang"] for s in got[0]["spans"]] == ["en", "de"] and got[0]["spans"][0]["end"] == len(english.split())
+    assert [(r["lang_pred"], r["score"]) for r in got[1:]] == [("und", 0.0)] * 2
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * 2, 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def base(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_op3_base_spans(spark, sf, docs):
+    for r in queries.op3_weak_supervision_pii(spark, sf).collect():
+        found = base(docs[r["doc_id"]] or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in found) for k in pii.KINDS]
+        assert {x for x in told.split(",") if x} <= set(r["spans"].split(","))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a.@-+% 0123456789()é😀", max_size=60))
+def test_op3_base_spans_of_any_text(text):
+    assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(text)] == base(text)
+
+
+def test_op3_masks(spark):
+    assert pii.masked("x a@b.cc y", [(pii.EMAIL, 2, 8)]) == "x [EMAIL] y"
+    post, _ = pii.estimate({pii.code_of(0, (1, 1, 1, 0, 1, 1)): 90, pii.code_of(0, (0, 0, 0, -1, -1, -1)): 90})
+    assert sorted(p > 0.5 for p in post.values()) == [False, True]
+
+
+def test_op4_groups(spark, sf, docs):
+    sets = {i: shingles(words_of(t), 3) for i, t in docs.items()}
+    comp = groups(sets, similar(sets, 85))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in queries.op4_minhash_near_dedup(spark, sf).collect()}
+    assert got == {i: (len(sets[i]), c, i == c) for i, c in comp.items()}
+
+
+def test_op5_rules_and_aliases(spark):
+    rows = [
+        (1, "http://Example.COM/en/7/x", None, "example.com/en/7", "allow"),
+        (2, "https://a.com/en/1", "", "com/en/", "block"),
+        (3, "https://free.info/a", "<link rel=canonical href='https://a.com/en/1'>", None, "block"),
+        (4, "https://other.info/b", '<meta property="og:url" content="https://free.info/a">', None, "block"),
+        (5, "https://plain.info/", "<p>x", None, "allow"),
+        (6, "https://example.net/de/8?q", None, "example.net/de/8", "block"),
+        (7, None, "<p>", None, "allow"),
+        (8, "no scheme", "<link rel=canonical href='/x'>", None, "allow"),
+        (9, "https://notexample.com/fr", "<meta http-equiv=refresh content=\"0; url='/moved'\">", None, "allow"),
+    ]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = url_filter.filter_urls(pages)
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect()} == {r[0]: r[3:] for r in rows}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    more = url_filter.filter_urls(pages, redirects=spark.createDataFrame([("https://plain.info/", "https://other.info/b")], "src string, dst string"))
+    assert {r["page_id"]: r["verdict"] for r in more.collect()}[5] == "block"
+
+
+def test_op6_same_as_the_library(spark, sf, docs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_model())
+    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in sentencepiece_fst.decode(sentencepiece_fst.encode(table(spark, sf, "documents"))).collect()}
+    for i, text in docs.items():
+        ids = None if text is None else library.encode(text)
+        assert got[i] == (ids, None if ids is None else library.decode(ids))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_op6_any_text(text):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_model())
+    machine = sentencepiece_fst.transducer(sentencepiece_fst.default_model())
+    assert np.frombuffer(machine.encode(text), "<i4").tolist() == library.encode(text)
+
+
+def test_op7_removes_repeated_paragraphs(spark, sf, docs):
+    lines = {i: (t or "").split("\n") for i, t in docs.items()}
+    sets = {(i, n): shingles(w, 5) for i, ls in lines.items() for n, line in enumerate(ls) if len(w := words_of(line)) >= 50}
+    comp = groups(sets, similar(sets, 80))
+    gone = {k for k, c in comp.items() if k != c}
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in queries.op7_paragraph_dedup(spark, sf).collect()}
+    assert gone
+    for i, t in docs.items():
+        left = [line for n, line in enumerate(lines[i]) if (i, n) not in gone]
+        assert got[i] == (len(lines[i]) - len(left) if t is not None else 0, None if t is None else "\n".join(left)), i
+
+
+def test_op8_counts(spark, sf, docs):
+    found = queries.op8_likelihood_ratio_quality(spark, sf)
+    for r in found.collect():
+        text = docs[r["doc_id"]] or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        at = defaultdict(list)
+        for i in range(len(w) - 7):
+            at[tuple(w[i : i + 8])].append(i)
+        covered = {j for held in at.values() if len(held) > 1 for i in held for j in range(i, i + 8)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed)
+        assert not (failed and r["kept"])
+    d = quality_llr._counted(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_op8_keeps_trusted_text(spark, sf):
+    found = queries.op8_likelihood_ratio_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("not base_failed and quality = 1")
+    assert found.agg(F.avg(F.col("kept").cast("double"))).first()[0] >= 0.95
+
+
+def test_op9_pieces_and_places(spark, sf, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    rows = queries.op9_best_fit_packing(spark, sf).collect()
+    by = defaultdict(dict)
+    for r in rows:
+        by[r["doc_id"]][r["piece"]] = r
+    assert set(by) == set(docs)
+    for i, text in docs.items():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert sorted(by[i]) == list(range(-(-len(ids) // 2048)))
+        for k, r in by[i].items():
+            part = np.array(ids[2048 * k : 2048 * (k + 1)], "<u4")
+            assert (r["start"], r["length"], r["ids_crc32"]) == (2048 * k, len(part), zlib.crc32(part.tobytes()))
+    held = defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in held.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r["length"] for r in rows)
+    assert len(held) <= -(-total // 2048) * 1.02 + 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
+def test_op9_plan_places_every_piece(histogram):
+    plan = packing.plan_sequences(histogram, 40)
+    placed = Counter()
+    for lengths, n in plan:
+        assert sum(lengths) <= 40 and n > 0
+        placed.update({x: n * k for x, k in Counter(lengths).items()})
+    assert placed == Counter(histogram)
+
+
+PAGE = """<html><head><title>T</title><script>var a = '<p>no</p>';</script></head><body><nav><a href=/>Home</a> <a href=/b>B</a></nav>
+<div class="cookie-notice">We use cookies on this page to make it work, please accept them all now.</div>
+<article><h1>Heading here</h1><p>First &amp; long   paragraph with many words that
+tell a story, and some more of them to be dense enough.</p><p>Second paragraph, <b>also</b> with plenty of text, &lt;tags&gt; and an end.</p></article>
+<div class="comments"><p>A reader says something long enough to look like an article of its own, again and again.</p></div><footer>Copyright</footer></body></html>"""
+
+
+def test_op10_article_only():
+    got = html_density.main_text(PAGE)
+    assert got == "Heading here\nFirst & long paragraph with many words that tell a story, and some more of them to be dense enough.\nSecond paragraph, also with plenty of text, <tags> and an end."
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div", ">", "<li>", "</div>", "<!--", "-->", "text ", "&amp;", "<script>", "</script>", "<td>", "'", '"', "<br/>"]), max_size=40))
+def test_op10_never_fails(parts):
+    assert isinstance(html_density.main_text("".join(parts)), str)
+
+
+def test_op10_deep_page_and_all_pages(spark, sf):
+    assert "word" in html_density.main_text("<div>" * 20000 + "word")
+    rows = queries.op10_text_density(spark, sf).collect()
+    assert len(rows) == table(spark, sf, "pages").count() and all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
+def test_components(spark, edges):
+    got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == groups({i for e in edges for i in e}, edges)
+
+
+def test_paragraph_keys_keep_order(spark):
+    d = spark.createDataFrame([(1, 2), (1, 3), (2, 0)], "d long, p long")
+    keys = [r[0] for r in d.select(paragraph_dedup.paragraph_key(F.col("d"), F.col("p"))).collect()]
+    assert keys == sorted(keys) and len(set(keys)) == 3
