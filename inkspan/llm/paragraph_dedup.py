@@ -1,7 +1,9 @@
-"""Substring dedup by paragraphs: MinHash bands tuned for high recall, exact Jaccard of what collides, one survivor per component.
+"""Substring dedup: by paragraphs (MinHash bands tuned for high recall, exact Jaccard of what collides, one survivor per
+component), then by passages of equal words in what is left.
 
 A paragraph is a line of at least ``min_words`` words. Of each component of similar paragraphs, over all documents and
-within one, the first by document id and place stays; the others are cut out of their documents.
+within one, the first by document id and place stays; the others are cut out of their documents. Runs of at least
+``min_words`` equal words that then still repeat, inside longer lines or over short ones, are cut by ``passages``.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.common import cut, fields, marked
 from inkspan.llm.minhash_dedup import near_duplicates
+from inkspan.llm.passages import remove_passages
 
 PLACES = 20  # bits for a paragraph's place
 
@@ -39,7 +42,7 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, shingle: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row: id, n_paragraphs (lines), n_removed, the text without its repeated paragraphs, and ``carry``.
+    """One row per row: id, n_paragraphs (lines), n_removed (repeated lines and passages), the text without them, and ``carry``.
 
     Null texts stay null with no paragraph; rows with a null id lose nothing; rows that share an id are one document and
     lose the same places. A removed line goes with its line break; the other lines stay as they are, in order.
@@ -49,18 +52,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = fields(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
     # texts that lose nothing are not shuffled
     d = marked(d, "id", gone)
-    hit = d.filter("marked").join(gone, "id", "left")
-    rest = d.filter("not marked").withColumn("places", F.lit(None).cast("array<int>"))
-    d = hit.unionByName(rest).withColumn("lines", F.split("text", "\n", -1))
+    hit = d.filter("marked").join(gone, "id", "left").withColumn("lines", F.split("text", "\n", -1))
     stay = F.filter("lines", lambda _, i: ~F.array_contains("places", i))
-    out = d.withColumn("kept_lines", F.when(F.col("places").isNull(), F.col("lines")).otherwise(stay))
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join("kept_lines", "\n"))
-    n = F.coalesce(F.size("lines"), F.lit(0))
-    lost = F.coalesce(F.size("lines") - F.size("kept_lines"), F.lit(0))
+    hit = hit.withColumn("kept_lines", F.when(F.col("places").isNull(), F.col("lines")).otherwise(stay))
+    shaped = lambda x, text, n, lost: x.select(
+        "id",
+        text.alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_paragraphs"),
+        F.when(F.col("text").isNull(), 0).otherwise(lost).cast("long").alias("n_lines"),
+        *[F.col(f"c{i}") for i in range(len(carry))],
+    )
+    hit = cut(shaped(hit, F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join("kept_lines", "\n")), F.size("lines"), F.size("lines") - F.size("kept_lines")), "shortened")
+    rest = shaped(d.filter("not marked"), F.col("text"), F.size(F.split("text", "\n", -1)), F.lit(0))
+    out = remove_passages(hit.unionByName(rest), min_words)
     return out.select(
         F.col("id").alias(id_col),
-        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_paragraphs"),
-        F.when(F.col("text").isNull(), 0).otherwise(lost).cast("long").alias("n_removed"),
-        text.alias(text_col),
+        "n_paragraphs",
+        (F.col("n_lines") + F.col("n_cut")).alias("n_removed"),
+        F.col("text").alias(text_col),
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)],
     )

@@ -176,6 +176,40 @@ def test_op7_removes_repeated_paragraphs(spark, sf, docs):
         assert got[i] == (len(lines[i]) - len(left) if t is not None else 0, None if t is None else "\n".join(left)), i
 
 
+def test_op7_cuts_passages_inside_long_lines_and_over_short_ones(spark):
+    word = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    p, q = word("p", 60), word("q", 55)
+    short = "\n".join(" ".join(q[i : i + 11]) for i in range(0, 55, 11))
+    texts = {
+        1: " ".join(word("a", 200) + p + word("b", 200)),
+        2: " ".join(word("c", 150) + p + word("d", 250)) + "\nlast line",
+        3: "title three\n" + short + "\nend three",
+        4: "title four\n" + short + "\nclosing four",
+        5: " ".join(word("e", 80) + p[:49] + word("f", 80)),
+        6: " ".join(word("g", 70) + word("h", 50) + word("i", 70) + word("h", 50) + word("j", 9)),
+    }
+    docs = spark.createDataFrame([*texts.items(), (None, texts[2]), (7, None), (8, texts[5][::-1]), (8, texts[5][::-1])], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in paragraph_dedup.remove_repeats(docs).collect():
+        got[r["doc_id"]].append((r["n_removed"], r["text"]))
+    assert got[1] == [(0, texts[1])] and got[3] == [(0, texts[3])] and got[5] == [(0, texts[5])]  # 49 words are too few
+    assert got[2] == [(1, " ".join(word("c", 150) + word("d", 250)) + "\nlast line")]
+    assert got[4] == [(1, "title four\nclosing four")]
+    assert got[6] == [(1, " ".join(word("g", 70) + word("h", 50) + word("i", 70) + word("j", 9)))]
+    assert got[None] == [(0, texts[2])] and got[7] == [(0, None)] and got[8] == [(0, texts[5][::-1])] * 2
+
+
+def test_op7_leaves_no_repeated_run_of_50_words(spark, sf):
+    first, again = {}, []
+    for r in queries.op7_paragraph_dedup(spark, sf).orderBy("doc_id").collect():
+        w = words_of(r["text"])
+        for at in range(len(w) - 49):
+            i, p = first.setdefault(tuple(w[at : at + 50]), (r["doc_id"], at))
+            if i != r["doc_id"] or at - p >= 50:
+                again.append((r["doc_id"], at))
+    assert not again
+
+
 def test_op8_counts(spark, sf, docs):
     found = queries.op8_likelihood_ratio_quality(spark, sf)
     for r in found.collect():
