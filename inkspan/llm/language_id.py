@@ -7,6 +7,7 @@ texts in one aggregation; prediction is one map step.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -99,11 +100,15 @@ class Model:
             #: languages that write at least a hundredth of their letters in the script
             self.writes = {s: n >= np.maximum(total * 0.01, 1) for s, n in scripts.items()}
 
-    def score_words(self, words: list[str], known: Memo) -> tuple[np.ndarray, np.ndarray]:
-        """Per word: log score of each language, 0 for the best and -MOST at least; letters. All 0 without a letter of a
-        script that some language writes."""
+    def score_words(self, words: list[str], known: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word: log score of each language, 0 for the best and -MOST at least; letters; letters that fit a language.
+
+        Scores are 0 without a letter of a script that some language writes. A word fits where its trigrams are likelier
+        in its best language than if all buckets were alike.
+        """
         n = len(self.languages)
         scores, counts = np.zeros((len(words), n), np.float32), np.zeros(len(words), np.float32)
+        fitting = np.zeros(len(words), np.float32)
         flat, starts, at, narrowed = [], [], [], {}
         for k, word in enumerate(words):
             letters = letters_of(word)
@@ -122,19 +127,22 @@ class Model:
             for scripts, some in narrowed.items():
                 if some.any() and not some.all():
                     sums[np.ix_([i for i, (_, s) in enumerate(at) if s == scripts], ~some)] = -np.inf
-            scores[[k for k, _ in at]] = np.maximum(sums - sums.max(axis=1, keepdims=True), -MOST)
-        return scores, counts
+            rows, best = [k for k, _ in at], sums.max(axis=1, keepdims=True)
+            scores[rows] = np.maximum(sums - best, -MOST)
+            sizes = np.diff([*starts, len(flat)])
+            fitting[rows] = np.where(best[:, 0] > -sizes * math.log(BUCKETS), counts[rows], 0)
+        return scores, counts, fitting
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_documents: int = 5_000) -> Model:
-    """Model of the non-null languages of at most ``max_documents`` labelled texts (those first by hash of their id).
+    """Model of the non-null languages, of each from about ``max_documents`` labelled texts at most (by hash of their id).
 
     Rows with null id, text or language teach nothing. Counts are aggregated per language and bucket, so what reaches
     the driver has a fixed size per language.
     """
     d = fields(docs, id=id_col, text=text_col, lang=lang_col).filter("id is not null and text is not null and lang is not null")
-    sample = d.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_documents)
-    d = d.join(F.broadcast(sample), "id", "left_semi").select("lang", "text")
+    sizes = d.groupBy("lang").agg(F.count("*").alias("n_lang"))
+    d = d.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n_lang") < F.lit(max_documents << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -196,14 +204,15 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, int
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words_kept: int = 250_000) -> DataFrame:
     """One row per row: id, lang_pred, score, spans (language and words of each), and the ``carry`` columns.
 
-    lang_pred is the language with the most letters in the labelled spans, score its share of all letters. Null texts,
-    texts without a letter and models without a language give 'und', 0.0 and no spans. Rows are predicted one by one,
+    lang_pred is the language with the most letters in the labelled spans, score its share of all letters, where only
+    words that fit a language count for it. Null texts, texts without a letter, texts of which no word fits (scripts that
+    were not learned, junk) and models without a language give 'und', 0.0 and no spans. Rows are predicted one by one,
     so repeated rows get equal results; only the text is looked at.
     """
     n = len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, grams = np.zeros((words_kept, n + 1), np.float32), {}, trigram_memo()
+        table, known, grams = np.zeros((words_kept, n + 2), np.float32), {}, trigram_memo()
         for batch in batches:
             langs, sure, spans = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
@@ -213,14 +222,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     known.clear()
                     new = list(set(words))
                     if len(new) > len(table):
-                        table = np.zeros((len(new), n + 1), np.float32)
+                        table = np.zeros((len(new), n + 2), np.float32)
                 if new:
                     first = len(known)
                     known.update(zip(new, range(first, first + len(new)), strict=True))
-                    table[first : first + len(new), :n], table[first : first + len(new), n] = model.score_words([w.decode() for w in new], grams)
+                    some = slice(first, first + len(new))
+                    table[some, :n], table[some, n], table[some, n + 1] = model.score_words([w.decode() for w in new], grams)
                 at = np.array([known[w] for w in words], np.int64)
                 rows = table[at]
-                if not len(rows) or not rows[:, n].any():
+                if not len(rows) or not rows[:, n + 1].any():
                     langs.append(UNDETERMINED)
                     sure.append(0.0)
                     spans.append([])
@@ -228,10 +238,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 path = viterbi(rows[:, :n].astype(np.float64))
                 share = np.zeros(n)
                 for a, b, lang in path:
-                    share[lang] += rows[a:b, n].sum(dtype=np.float64)
+                    share[lang] += rows[a:b, n + 1].sum(dtype=np.float64)
                 top = int(share.argmax())
                 langs.append(model.languages[top])
-                sure.append(float(share[top] / share.sum()))
+                sure.append(float(share[top] / rows[:, n].sum(dtype=np.float64)))
                 spans.append([{"first": a, "end": b, "lang": model.languages[x]} for a, b, x in path])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
             rest = [batch.column(i) for i in range(2, batch.num_columns)]

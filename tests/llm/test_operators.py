@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from inkspan.llm import components, html_density, language_id, packing, paragraph_dedup, pii, quality_llr, queries, sentencepiece_fst, url_filter
 from inkspan.llm.common import table
 
@@ -84,6 +85,24 @@ def test_op2_labels_spans_of_mixed_text(spark):
     assert [(r["lang_pred"], r["score"]) for r in got[1:]] == [("und", 0.0)] * 2
 
 
+def test_op2_and_pipeline_reject_unlearned_scripts_and_junk(spark, sf):
+    docs = table(spark, sf, "documents")
+    junk = " ".join(hashlib.sha256(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "qxzjkvwpyb"))[:9] for i in range(60))
+    odd = {-1: "это обычный русский текст о погоде и о людях в большом городе " * 3, -2: "今天天气很好我们一起去公园散步 " * 5, -3: junk}
+    rows = spark.createDataFrame(list(odd.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(rows, language_id.fit(docs)).collect()}
+    assert all((got[i]["lang_pred"], got[i]["score"], got[i]["spans"]) == ("und", 0.0, []) for i in (-1, -2))
+    assert got[-3]["score"] < corpus_pipeline.MIN_SHARE
+    both = docs.unionByName(rows, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, both, sf).select("doc_id").collect()}
+    assert not kept & set(odd) and len(kept) > 0.9 * docs.count()
+
+
+def test_op2_learns_rare_languages(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(400)] + [(1000 + i, "der hund und die katze", "de") for i in range(2)]
+    assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_documents=10).languages == ["de", "en"]
+
+
 def luhn(digits):
     return sum(sum(divmod(int(d) * 2, 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
 
