@@ -40,19 +40,24 @@ ENDS = {
 }
 DROPPED = frozenset("script style noscript template head title nav footer header aside form button select option textarea input iframe svg canvas object embed audio video menu dialog".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|comments?|comment-\w+|replies|respond|"
-    r"disqus|cookies?|consent|notice|gdpr|newsletter|subscribe|subscription|popup|modal|overlay|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|login|signup|search|skip|copyright|disclaimer)(?=$|[\s_-])",
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|comments?|comment-\w+|replies|respond|"
+    r"disqus|cookies?|consent|notice|gdpr|newsletter|subscribe|subscription|popup|modal|overlay|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|login|signup|search|skip|copyright|disclaimer)",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 KEPT_ANYWAY = frozenset("article main body html".split())
 
 
+def hinted(value: str) -> bool:
+    """Whether a whole class token, or each part of a hyphenated one, names something beside the main text."""
+    return any(HINT.fullmatch(x) or all(HINT.fullmatch(y) for y in re.split("[_-]+", x)) for x in value.split())
+
+
 class Node:
-    __slots__ = ("tag", "parts", "parent", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "paragraph")
+    __slots__ = ("tag", "parts", "parent", "drop", "hint", "chars", "tags", "link_chars", "link_tags", "density", "total", "paragraph")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False) -> None:
-        self.tag, self.parts, self.parent, self.drop = tag, [], parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, hint: bool = False) -> None:
+        self.tag, self.parts, self.parent, self.drop, self.hint = tag, [], parent, drop or (hint and tag not in KEPT_ANYWAY), hint
         #: the open p that a block inside would end
         self.paragraph = self if tag == "p" else None if parent is None or tag in P_BORDERS else parent.paragraph
 
@@ -60,7 +65,7 @@ class Node:
 def parse(page: str) -> Node:
     """Tree of a page; every unclosed or misnested tag is closed where HTML would imply it."""
     root = Node("html", None)
-    at, here = 0, root
+    at, here, some_hint = 0, root, False
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -107,7 +112,9 @@ def parse(page: str) -> Node:
                 here = found.parent
         if here.tag == "head" and tag not in ("title", "base", "link", "meta", "style", "script", "noscript", "template"):
             here = here.parent
-        node = Node(tag, here, tag in DROPPED or (tag not in KEPT_ANYWAY and _unwanted(m[3])))
+        node = Node(tag, here, *((True,) if tag in DROPPED else _unwanted(m[3])))
+        node.drop = node.drop and (tag in DROPPED or tag not in KEPT_ANYWAY)
+        some_hint = some_hint or node.hint
         here.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -115,19 +122,43 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
             here = node
+    if some_hint:
+        _restore(root)
     return root
 
 
-def _unwanted(attributes: str) -> bool:
+def _restore(root: Node) -> None:
+    """A class or id drops no element that holds an article or main element or most of the page's unlinked text."""
+    nodes = [root]
+    for n in nodes:
+        if n.hint or not n.drop:
+            nodes.extend(c for c in n.parts if isinstance(c, Node))
+    plain, article = {}, {}
+    for n in reversed(nodes):
+        inner = [c for c in n.parts if isinstance(c, Node) and c in plain]
+        text = sum(len(x.strip()) for x in n.parts if isinstance(x, str)) + sum(plain[c] for c in inner)
+        stays = n.hint or not n.drop
+        plain[n] = text if stays and n.tag != "a" else 0
+        article[n] = stays and (any(article[c] for c in inner) or (n.tag in ("article", "main") and not n.hint))
+    for n in nodes:
+        if n.hint and (article[n] or 2 * plain[n] > plain[root]):
+            n.drop = False
+
+
+def _unwanted(attributes: str) -> tuple[bool, bool]:
+    """Whether to drop an element for its role or as hidden, and whether its class or id hints so."""
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False
+    hint = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if (name in ("class", "id") and HINT.search(value)) or (name == "role" and value.lower() in ROLES):
-            return True
+        hint = hint or (name in ("class", "id") and hinted(value))
+        if name == "role" and value.lower() in ROLES:
+            return True, False
         if (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)) or (name == "aria-hidden" and value == "true"):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes, re.I))
+            return True, False
+    hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes, re.I))
+    return hidden, hint and not hidden
 
 
 def _walk(root: Node) -> list[Node]:

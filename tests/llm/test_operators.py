@@ -303,6 +303,14 @@ def test_op10_article_only():
     assert got == "Heading here\nFirst & long paragraph with many words that tell a story, and some more of them to be dense enough.\nSecond paragraph, also with plenty of text, <tags> and an end."
 
 
+@pytest.mark.parametrize("wrapper", ["content-area has-sidebar", "layout-no-sidebar", "single-post comments-open", "site header-fixed", "widget", "search"])
+def test_op10_keeps_articles_in_hinted_wrappers(wrapper):
+    text = "A long paragraph of the article, with many words that tell a story and some more of them to be dense enough."
+    beside = '<div class="cookie-notice">We use cookies.</div><div class="sidebar"><p>Beside it.</p></div>'
+    for tag in ("article", "div"):
+        assert html_density.main_text(f'<body>{beside}<div class="{wrapper}"><{tag}><p>{text}</p><p>{text}</p></{tag}></div></body>') == f"{text}\n{text}", tag
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div", ">", "<li>", "</div>", "<!--", "-->", "text ", "&amp;", "<script>", "</script>", "<td>", "'", '"', "<br/>"]), max_size=40))
 def test_op10_never_fails(parts):
