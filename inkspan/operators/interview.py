@@ -50,6 +50,20 @@ def verdict(mode: Column, overall: Column, threshold: Column, complete: Column)
     return F.when(mode == "practice", "practice").when(~complete, "incomplete").when(overall >= threshold, "pass").otherwise("fail")
 
 
+def ask_history(turns: DataFrame, asked: DataFrame) -> DataFrame:
+    """History of the topic that is asked: each question and answer of the same topic in full, in order of turn_no, then
+    what the last evaluation finds wanting.
+
+    turns: session_id, turn_no, topic_idx, question, answer, bad; asked: session_id, topic_idx, one row for each wanted history. null where nothing was asked.
+    """
+    answer = F.when(F.coalesce("answer", F.lit("")) == "", "（没有回答）").otherwise(F.col("answer"))
+    said = F.concat(F.lit("面试官："), F.coalesce("question", F.lit("")), F.lit("\n候选人："), answer)
+    per = turns.groupBy("session_id", "topic_idx").agg(F.sort_array(F.collect_list(F.struct("turn_no", said.alias("said"), "bad"))).alias("_t"))
+    bad = F.element_at("_t", -1)["bad"]
+    weak = F.when(F.coalesce(bad, F.lit("")) != "", F.concat(F.lit("\n（评分员认为上一答的不足："), bad, F.lit("）"))).otherwise("")
+    return asked.join(per.select("session_id", "topic_idx", F.concat(F.array_join("_t.said", "\n"), weak).alias("history")), ["session_id", "topic_idx"], "left")
+
+
 def last_turns(turns: DataFrame, key: str = "session_id", order: str = "turn_no") -> DataFrame:
     rest = [c for c in turns.columns if c not in (key, order)]
     best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_r") if rest else F.lit(1).alias("_r")

@@ -159,3 +159,12 @@ def test_state_machine_ignores_replays(spark, tmp_path):
     q = streaming.interview_machine(stream).writeStream.format("memory").queryName("machine").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert [r["action"] for r in spark.table("machine").orderBy("turn_no").collect()] == ["followup", "next", "finish"]
+
+
+def test_ask_history_holds_whole_turns_of_the_topic(spark):
+    long = "why " * 40
+    turns = [(1, 2, 0, long, "", "too short"), (1, 1, 0, "first", long, "vague"), (1, 3, 1, "other topic", "yes", None)]
+    got = interview.ask_history(spark.createDataFrame(turns, "session_id int, turn_no int, topic_idx int, question string, answer string, bad string"), spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "session_id int, topic_idx int"))
+    found = {r["topic_idx"]: r["history"] for r in got.collect()}
+    assert found[0] == f"面试官：first\n候选人：{long}\n面试官：{long}\n候选人：（没有回答）\n（评分员认为上一答的不足：too short）"
+    assert found[1] == "面试官：other topic\n候选人：yes" and found[2] is None
