@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,20 @@ from pyspark.sql import functions as F
 BITMAP = 1 << 22  # bits
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset, a master of one machine (local[...]) gets a folder of its own; on a cluster this is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="inkspan-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
+        path = _own.setdefault(id(spark), "file://" + tempfile.mkdtemp(prefix="inkspan-"))
     return path.rstrip("/")
 
 
@@ -34,12 +41,32 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`cut` once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/inkspan-" in path:
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by :func:`cut` once nothing reads them any more."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/inkspan-" in path:
+                _remove(df.sparkSession, path)
+
+
+def settled(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written, and with all that it wrote on the way deleted."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:  # noqa: ANN002, ANN003
+        first = len(_written)
+        out = cut(operator(*args, **kwargs), operator.__name__)
+        for spark, path in _written[first:-1]:
             _remove(spark, path)
+        del _written[first:-1]
+        return out
+
+    return run
+
+
+def numbered(df: DataFrame, label: str, name: str = "uid") -> DataFrame:
+    """``df``, written, with a number of its own for every row: unlike a hash, never shared by two rows."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -67,12 +94,13 @@ def fields(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def marked(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
-    """``df`` with ``marked``: true for every row whose whole-number id is in ``wanted`` (same column name), and for few others.
+    """``df`` with ``marked``: true for every row whose id is in ``wanted`` (same column name), and for few others.
 
     The test is a bitmap over the ids' hashes. It has at most BITMAP / 64 rows whatever is wanted, so it is broadcast;
     where it fills up, more rows are marked, never fewer. A null id is not marked.
     """
-    bit = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BITMAP))
+    bit = F.pmod(F.xxhash64(F.col(id_col).cast(wanted.schema[id_col].dataType)), F.lit(BITMAP))
+    bit = F.when(F.col(id_col).isNotNull(), bit)
     words = wanted.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 AS int)))").alias("_bits"))
     found = df.withColumn("_bit", bit).withColumn("_word", F.floor(F.col("_bit") / 64)).join(F.broadcast(words), "_word", "left")
     hit = F.getbit("_bits", F.pmod("_bit", F.lit(64)).cast("int")) == 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, fields
+from inkspan.llm.common import cut, fields, numbered, settled
 from inkspan.llm.components import connected_components
 
 TABLES, BITS = 20, 16  # a pair at cosine 0.98 shares some bucket with probability above 0.9997
@@ -97,6 +97,7 @@ def _compare(cosine: float):  # noqa: ANN202
     return run
 
 
+@settled
 def embedding_components(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -118,7 +119,7 @@ def embedding_components(
     usable &= F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) <= 1.7976931348623157e308)) & F.exists("vector", lambda x: x != 0)
     good = v.filter(usable)
     reps = good.groupBy("label", "vector").agg(F.min("vertex").alias("rep"), F.count("*").alias("copies"))
-    reps = cut(reps.select(F.xxhash64("label", "vector").alias("uid"), "label", "vector", "rep", "copies"), "vectors")
+    reps = numbered(reps, "vectors")
     hashed = reps.select("uid", "vector").mapInArrow(_hash_signs(seed), "vertex long, keys array<int>")
     hashed = cut(hashed.join(reps.select(F.col("uid").alias("vertex"), "label", F.size("vector").alias("dim")), "vertex"), "signs")
     keys = hashed.select("vertex", "label", "dim", F.posexplode("keys").alias("pos", "h"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, drop_cut, fields, marked
+from inkspan.llm.common import cut, drop_cut, fields, marked, numbered, settled
 from inkspan.llm.components import connected_components
 from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands, word_memo, words_of
 
@@ -38,8 +38,8 @@ def _prune_pairs(steps: list[tuple[int, int]]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows = survivors(_matrix(batch.column(2)), _matrix(batch.column(3)), steps)
-                yield batch.select(["a", "b"]).take(pa.array(rows))
+                rows = survivors(_matrix(batch.column("sa")), _matrix(batch.column("sb")), steps)
+                yield batch.select(["a", "b", "ra", "rb"]).take(pa.array(rows))
 
     return run
 
@@ -150,6 +150,7 @@ def _verify(k: int, percent: int):  # noqa: ANN202
     return run
 
 
+@settled
 def near_duplicates(
     items: DataFrame,
     id_col: str = "doc_id",
@@ -163,83 +164,101 @@ def near_duplicates(
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links) and kept.
 
     Two texts are linked where 100 * intersection >= percent * union of their word-shingle sets. Bands are tuned to
-    ``recall`` at the threshold; a pair at the threshold is pruned with probability about ``miss``. Null, empty and
-    blank texts, and those under ``min_words`` words, have no shingle and link with nothing. Rows that share an id are one document. A null id belongs to no
-    group: component_id null, kept true. An empty table gives an empty result.
+    ``recall`` at the threshold; a pair at the threshold is pruned with probability about ``miss``. Ids may be of any
+    type that can be ordered, structs included. Null, empty and blank texts, and those under ``min_words`` words, have
+    no shingle and link with nothing. Rows that share an id are one document. A null id belongs to no group:
+    component_id null, kept true. An empty table gives an empty result.
     """
     bands, rows = tune_bands(percent / 100, recall)
     steps = least_matches(percent / 100, miss)
-    texts = fields(items, vertex=id_col, text=text_col).select(F.col("vertex").cast("long").alias("vertex"), "text")
-    sketches = cut(texts.mapInArrow(sketcher(shingle, bands, rows, min_words), SKETCH_SCHEMA), "sketches")
-    worded = sketches.filter("n > 0 and vertex is not null")
-    copies = cut(worded.groupBy("d1", "d2").agg(F.min("vertex").alias("rep")), "copies")
-    reps = worded.join(copies, ["d1", "d2"]).filter("vertex = rep").dropDuplicates(["vertex", "d1", "d2"]).select("vertex", "sig", "bands")
-    whole, reps = sketches, cut(reps, "representatives")
-    sketches = cut(sketches.select("vertex", "d1", "d2", "n"), "digests")
+    texts = fields(items, vertex=id_col, text=text_col)
+    kind = texts.schema["vertex"].dataType.simpleString()
+    whole = cut(texts.mapInArrow(sketcher(shingle, bands, rows, min_words), SKETCH_SCHEMA.format(kind=kind)), "sketches")
+    worded = whole.filter("n > 0 and vertex is not null")
+    # one row per word sequence: copies are collapsed by partial aggregation, before any shuffle
+    once = worded.groupBy("d1", "d2").agg(F.min("vertex").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = numbered(once, "representatives")
+    copies = reps.select("d1", "d2", "uid", "rep")
+    sketches = cut(whole.select("vertex", "d1", "d2", "n"), "digests")
     drop_cut(whole)
-    named = sketches.filter("n > 0 and vertex is not null").join(copies, ["d1", "d2"])
-    same_id = named.groupBy("vertex").agg(F.min("rep").alias("dst"), F.max("rep").alias("src")).filter("src != dst").select("src", "dst")
-    keys = reps.select("vertex", F.posexplode("bands").alias("pos", "h"))
+    same_id = _rows_of_one_id(sketches.filter("n > 0 and vertex is not null"), copies)
+    keys = reps.select("uid", F.posexplode("bands").alias("pos", "h"))
     # most buckets hold one document: only the others go on
     met = keys.groupBy("pos", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     keys = cut(keys.join(met, ["pos", "h"]), "buckets")
-    sig = reps.select("vertex", "sig")
+    sig = reps.select("uid", "rep", "sig")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sig.select(F.col("vertex").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("vertex").alias("b"), F.col("sig").alias("sb")), "b")
-        return cut(_exact(both.select("a", "b", "sa", "sb").mapInArrow(_prune_pairs(steps), "a long, b long"), texts, shingle, percent), "links")
+        both = pairs.join(sig.select(F.col("uid").alias("a"), F.col("rep").alias("ra"), F.col("sig").alias("sa")), "a")
+        both = both.join(sig.select(F.col("uid").alias("b"), F.col("rep").alias("rb"), F.col("sig").alias("sb")), "b")
+        left = both.select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(_prune_pairs(steps), f"a long, b long, ra {kind}, rb {kind}")
+        return cut(_exact(left, texts, shingle, percent), "links")
 
     def mixed_buckets(groups: DataFrame) -> DataFrame:
-        """Members of the buckets that hold different components: pos, h, vertex, comp, hub, main (the hub's component), n."""
-        placed = keys.join(groups.withColumnRenamed("id", "vertex"), "vertex", "left").select("pos", "h", "vertex", F.coalesce("component", "vertex").alias("comp"))
-        hub = F.min(F.struct("vertex", "comp"))
-        mixed = placed.groupBy("pos", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub["vertex"].alias("hub"), hub["comp"].alias("main"), F.count("*").alias("n"))
+        """Members of the buckets that hold different components: pos, h, uid, comp, hub, main (the hub's component), n."""
+        placed = keys.join(groups.withColumnRenamed("id", "uid"), "uid", "left").select("pos", "h", "uid", F.coalesce("component", "uid").alias("comp"))
+        hub = F.min(F.struct("uid", "comp"))
+        mixed = placed.groupBy("pos", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub["uid"].alias("hub"), hub["comp"].alias("main"), F.count("*").alias("n"))
         return cut(placed.join(mixed.filter("lo != hi").drop("lo", "hi"), ["pos", "h"]), "mixed")
 
     few = keys.filter(F.col("pos") < FIRST_BANDS)
-    hubs = few.groupBy("pos", "h").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("top")).filter("hub != top").drop("top")
-    first = few.join(hubs, ["pos", "h"]).groupBy(F.col("vertex").alias("a")).agg(F.min("hub").alias("b")).filter("a != b")
+    hubs = few.groupBy("pos", "h").agg(F.min("uid").alias("hub"), F.max("uid").alias("top")).filter("hub != top").drop("top")
+    first = few.join(hubs, ["pos", "h"]).groupBy(F.col("uid").alias("a")).agg(F.min("hub").alias("b")).filter("a != b")
     links = linked(first).union(same_id)
     groups = cut(connected_components(links), "groups")
     rest = mixed_buckets(groups)
-    links = links.union(linked(rest.filter("comp != main").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct()))
+    links = links.union(linked(rest.filter("comp != main").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()))
+    drop_cut(rest)
     groups = cut(connected_components(links), "groups")
     rest = mixed_buckets(groups)
+    drop_cut(keys)
     aside = rest.groupBy("pos", "h").agg(F.count_if(F.col("comp") != F.col("main")).alias("m"))
     n_left, n_right = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK)
-    rest = rest.join(aside, ["pos", "h"]).select("pos", "h", "vertex", "comp", (F.col("comp") != F.col("main")).alias("aside"), n_left.alias("nl"), n_right.alias("nr"))
-    own = lambda n: F.pmod(F.xxhash64("vertex"), n)
-    as_left = rest.filter("aside").select("pos", "h", "vertex", "comp", F.lit(True).alias("left"), own(F.col("nl")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("j"))
-    as_right = rest.select("pos", "h", "vertex", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("i"), own(F.col("nr")).alias("j"))
-    blocks = as_left.unionByName(as_right).join(reps, "vertex").select("pos", "h", "i", "j", "left", "vertex", "comp", "sig", "bands")
+    rest = rest.join(aside, ["pos", "h"]).select("pos", "h", "uid", "comp", (F.col("comp") != F.col("main")).alias("aside"), n_left.alias("nl"), n_right.alias("nr"))
+    own = lambda n: F.pmod(F.xxhash64("uid"), n)
+    as_left = rest.filter("aside").select("pos", "h", "uid", "comp", F.lit(True).alias("left"), own(F.col("nl")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("j"))
+    as_right = rest.select("pos", "h", "uid", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("i"), own(F.col("nr")).alias("j"))
+    blocks = as_left.unionByName(as_right).join(reps.select("uid", "sig", "bands"), "uid").select("pos", "h", "i", "j", "left", F.col("uid").alias("vertex"), "comp", "sig", "bands")
     blocks = blocks.repartition("pos", "h", "i", "j").sortWithinPartitions("pos", "h", "i", "j")
     more = cut(blocks.mapInArrow(_search_blocks(steps), "pos int, h long, i long, j long, a array<long>, b array<long>"), "blocks")
-    inside = more.select(*KEY, F.explode(F.array_distinct(F.concat("a", "b"))).alias("vertex"))
+    inside = more.select(*KEY, F.explode(F.array_distinct(F.concat("a", "b"))).alias("uid")).join(copies.select("uid", F.col("rep").alias("vertex")), "uid")
     theirs = inside.join(_texts_of(texts, inside.select("vertex").distinct()), "vertex")
     none = F.lit(None)
     rows = more.select(*KEY, "a", "b", none.cast("long").alias("vertex"), none.cast("string").alias("text")).unionByName(
-        theirs.select(*KEY, none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b"), "vertex", "text")
+        theirs.select(*KEY, none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b"), F.col("uid").alias("vertex"), "text")
     )
     rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, F.col("a").isNull())
     second = cut(rows.mapInArrow(_verify_blocks(shingle, percent), "src long, dst long").distinct(), "links")
     renamed = second.join(groups.select(F.col("id").alias("src"), F.col("component").alias("x")), "src", "left").join(groups.select(F.col("id").alias("dst"), F.col("component").alias("y")), "dst", "left")
     renamed = renamed.select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst"))
     merged = connected_components(renamed)
-    final = groups.withColumnRenamed("id", "rep").join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "full_outer")
-    final = final.select(F.coalesce("rep", "component").alias("rep"), F.coalesce("to", "component").alias("to"))
+    final = groups.withColumnRenamed("id", "uid").join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "full_outer")
+    final = final.select(F.coalesce("uid", "component").alias("uid"), F.coalesce("to", "component").alias("to"))
     # a merged component may be named by an id that is no vertex of the first round, or by one that is
-    final = final.groupBy("rep").agg(F.min("to").alias("component"))
-    named = copies.join(final, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("vertex", "d1", "d2", "n").join(named, ["d1", "d2"], "left")
+    final = final.groupBy("uid").agg(F.min("to").alias("group"))
+    # a group is named by the smallest id in it; documents that link with nothing never meet the groups
+    members = cut(copies.select("uid", "rep").join(final, "uid"), "members")
+    names = members.join(members.groupBy("group").agg(F.min("rep").alias("name")), "group").select("uid", "name")
+    named = copies.join(names, "uid", "left").select("d1", "d2", F.coalesce("name", "rep").alias("component"))
+    out = sketches.join(named, ["d1", "d2"], "left")
     component = F.when(F.col("vertex").isNotNull(), F.coalesce("component", "vertex"))
     return out.select(F.col("vertex").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("vertex") == component, F.lit(True)).alias("kept"))
 
 
+def _rows_of_one_id(worded: DataFrame, copies: DataFrame) -> DataFrame:
+    """(src, dst) links between the word sequences of rows that share an id."""
+    seen = worded.groupBy("vertex").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("d1", "d2") for f in (F.min, F.max)])
+    seen = seen.filter("d1_min != d1_max or d2_min != d2_max").select("vertex")
+    several = worded.join(seen, "vertex").join(copies, ["d1", "d2"]).select("vertex", "uid").distinct()
+    least = several.groupBy("vertex").agg(F.min("uid").alias("dst"))
+    return several.join(least, "vertex").filter("uid != dst").select(F.col("uid").alias("src"), "dst")
+
+
 def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(src, dst) of the pairs whose full sets are similar enough; moves the texts of candidate documents only."""
     pairs = cut(pairs, "candidates")
-    some = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct())
-    both = pairs.join(some.select(F.col("vertex").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("vertex").alias("b"), F.col("text").alias("tb")), "b")
+    some = _texts_of(texts, pairs.select(F.explode(F.array("ra", "rb")).alias("vertex")).distinct())
+    both = pairs.join(some.select(F.col("vertex").alias("ra"), F.col("text").alias("ta")), "ra").join(some.select(F.col("vertex").alias("rb"), F.col("text").alias("tb")), "rb")
     checked = both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a long, b long, ok boolean")
     return checked.filter("ok").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 

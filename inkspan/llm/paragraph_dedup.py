@@ -8,58 +8,46 @@ within one, the first by document id and place stays; the others are cut out of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import cut, fields, marked
 from inkspan.llm.minhash_dedup import near_duplicates
 from inkspan.llm.passages import remove_passages
 
-PLACES = 20  # bits for a paragraph's place
-
-
-def paragraph_key(doc_id: Column, place: Column) -> Column:
-    """One long per paragraph, ordered by document and place; ids or places out of range are hashed instead, below all others."""
-    fits = (doc_id >= 0) & (doc_id < 1 << (62 - PLACES)) & (place < 1 << PLACES)
-    hashed = -F.abs(F.shiftrightunsigned(F.xxhash64(doc_id, place), 1)) - 1
-    return F.when(fits, F.shiftleft(doc_id, PLACES) + place).otherwise(hashed)
-
 
 def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(id, place, component): the paragraphs to remove, place counted from 0 over all lines of the document."""
+    """(id, place): the paragraphs to remove, place counted from 0 over all lines of the document.
+
+    Rows with a null id or text have none; of equal paragraphs the one with the smallest (id, place) stays.
+    """
     d = fields(docs, id=id_col, text=text_col).filter("id is not null and text is not null")
-    lines = d.select(F.col("id").cast("long").alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    lines = d.select("id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     lines = lines.filter(F.length("line") >= 2 * min_words - 1)  # shorter lines cannot hold so many words
-    lines = lines.select(paragraph_key(F.col("id"), F.col("place").cast("long")).alias("key"), "line")
-    found = near_duplicates(lines, "key", "line", shingle, percent, min_words=min_words, miss=1e-6)
-    gone = found.filter("not kept").select("key", "component_id").distinct()
-    # keys in range carry their paragraph; the few hashed ones are looked up
-    plain = gone.filter("key >= 0").select(F.shiftright("key", PLACES).alias("id"), F.col("key").bitwiseAND((1 << PLACES) - 1).cast("int").alias("place"), F.col("component_id").alias("component"))
-    odd = d.filter((F.col("id") < 0) | (F.col("id") >= 1 << (62 - PLACES)) | (F.length("text") >= 1 << PLACES)).select(F.col("id").cast("long").alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    odd = odd.select("id", "place", paragraph_key(F.col("id"), F.col("place").cast("long")).alias("key")).filter("key < 0").distinct()
-    looked = odd.join(gone.filter("key < 0"), "key").select("id", "place", F.col("component_id").alias("component"))
-    return plain.unionByName(looked)
+    found = near_duplicates(lines.select(F.struct("id", "place").alias("at"), "line"), "at", "line", shingle, percent, min_words=min_words, miss=1e-6)
+    return found.filter("not kept").select("at.id", "at.place").distinct()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, shingle: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row: id, n_paragraphs (lines), n_removed (repeated lines and passages), the text without them, and ``carry``.
+    """One row per row: id, n_lines, n_removed (repeated lines and passages), the text without them, and ``carry``.
 
-    Null texts stay null with no paragraph; rows with a null id lose nothing; rows that share an id are one document and
+    Null texts stay null with no line; rows with a null id lose nothing; rows that share an id are one document and
     lose the same places. A removed line goes with its line break; the other lines stay as they are, in order.
     """
-    gone = cut(duplicate_paragraphs(docs, id_col, text_col, min_words, shingle, percent), "repeats")
-    gone = gone.groupBy("id").agg(F.collect_set("place").alias("places"))  # at most the lines of one document
+    gone = duplicate_paragraphs(docs, id_col, text_col, min_words, shingle, percent)
+    gone = cut(gone.groupBy("id").agg(F.collect_set("place").alias("places")), "repeats")  # at most the lines of one document
     d = fields(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
     # texts that lose nothing are not shuffled
     d = marked(d, "id", gone)
     hit = d.filter("marked").join(gone, "id", "left").withColumn("lines", F.split("text", "\n", -1))
-    stay = F.filter("lines", lambda _, i: ~F.array_contains("places", i))
+    # array_except would drop equal lines: the places that stay are taken instead
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places"), lambda i: F.get("lines", i))
     hit = hit.withColumn("kept_lines", F.when(F.col("places").isNull(), F.col("lines")).otherwise(stay))
     shaped = lambda x, text, n, lost: x.select(
         "id",
         text.alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_paragraphs"),
-        F.when(F.col("text").isNull(), 0).otherwise(lost).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(lost).cast("long").alias("n_gone"),
         *[F.col(f"c{i}") for i in range(len(carry))],
     )
     hit = cut(shaped(hit, F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join("kept_lines", "\n")), F.size("lines"), F.size("lines") - F.size("kept_lines")), "shortened")
@@ -67,8 +55,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = remove_passages(hit.unionByName(rest), min_words)
     return out.select(
         F.col("id").alias(id_col),
-        "n_paragraphs",
-        (F.col("n_lines") + F.col("n_cut")).alias("n_removed"),
+        "n_lines",
+        (F.col("n_gone") + F.col("n_cut")).alias("n_removed"),
         F.col("text").alias(text_col),
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)],
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Memo, cut, marked
+from inkspan.llm.common import Memo, cut, drop_cut, marked
 from inkspan.llm.sketch import word_memo, words_of
 
 _BASE = 0x9E3779B97F4A7C15
@@ -137,17 +137,22 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(id, places, hs): per document the windows of ``min_words`` words that repeat an earlier one; docs: id, text."""
     gram = max(1, min_words // 2)
     named = docs.filter("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
-    spots = _rows(cut(named.mapInArrow(_spots(gram, min_words - gram + 1), "id long, places array<int>, hs array<long>"), "spots"))
+    held = cut(named.mapInArrow(_spots(gram, min_words - gram + 1), "id long, places array<int>, hs array<long>"), "spots")
     # the counts are cut, so that a join with a hot key can be dealt over more tasks
-    twice = cut(spots.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
-    spots = cut(spots.join(twice, "h").groupBy("id").agg(F.collect_set("place").alias("spots")), "candidates")
+    twice = cut(_rows(held).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
+    spots = cut(_rows(held).join(twice, "h").groupBy("id").agg(F.collect_set("place").alias("spots")), "candidates")
+    drop_cut(held, twice)
     some = marked(named, "id", spots).filter("marked").select("id", "text").join(spots, "id").select("id", "text", "spots")
-    windows = _rows(cut(some.mapInArrow(_windows(gram, min_words), "id long, places array<int>, hs array<long>"), "windows"))
+    around = cut(some.mapInArrow(_windows(gram, min_words), "id long, places array<int>, hs array<long>"), "windows")
+    drop_cut(spots)
+    windows = _rows(around)
     firsts = windows.groupBy("h").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     firsts = cut(firsts.select("h", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place")), "firsts")
     again = windows.join(firsts, "h").filter((F.col("first_id") < F.col("id")) | ((F.col("first_id") == F.col("id")) & (F.col("place") - F.col("first_place") >= min_words)))
     again = again.groupBy("id").agg(F.collect_set(F.struct("place", "h")).alias("again"))
-    return cut(again.select("id", F.col("again.place").alias("places"), F.col("again.h").alias("hs")), "passages")
+    out = cut(again.select("id", F.col("again.place").alias("places"), F.col("again.h").alias("hs")), "passages")
+    drop_cut(around, firsts)
+    return out
 
 
 def remove_passages(docs: DataFrame, min_words: int) -> DataFrame:

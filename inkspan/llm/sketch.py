@@ -110,7 +110,7 @@ def sketcher(k: int, bands: int, rows: int, min_words: int = 1) -> Callable[[Ite
     return run
 
 
-SKETCH_SCHEMA = "vertex long, d1 long, d2 long, n long, sig binary, bands array<long>"
+SKETCH_SCHEMA = "vertex {kind}, d1 long, d2 long, n long, sig binary, bands array<long>"
 
 
 def least_matches(threshold: float, miss: float, batch: int = 16, total: int = N_CHECK) -> list[tuple[int, int]]:

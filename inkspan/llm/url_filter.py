@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, fields
+from inkspan.llm.common import cut, fields, numbered
 from inkspan.llm.components import connected_components
 
 #: (action, host, path prefix)
@@ -101,7 +101,7 @@ def filter_urls(
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, alias_group (number of its alias group; null if alone).
+    """One row per page: id, host, path, rule, verdict, alias_group (smallest url of its alias group; null if alone).
 
     A page with a rule takes the rule's action: an explicit allow is never overruled by aliases. A page without one
     is blocked if any alias, page or link target, falls under a block rule; else allowed. ``redirects`` may add
@@ -116,13 +116,13 @@ def filter_urls(
         r = fields(redirects, s="src", d="dst").filter(_has_scheme(F.col("s")) & _has_scheme(F.col("d")))
         edges = edges.unionByName(r.select(alias_key(F.col("s")).alias("a"), alias_key(F.col("d")).alias("b")))
     edges = cut(edges.filter("a is not null and b is not null and a != b").distinct(), "aliases")
-    urls = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    numbered = edges.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))
-    groups = connected_components(numbered).withColumnRenamed("component", "alias_group")
+    urls = numbered(edges.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "urls")
+    ends = edges.join(urls.select(F.col("key").alias("a"), F.col("uid").alias("src")), "a").join(urls.select(F.col("key").alias("b"), F.col("uid").alias("dst")), "b")
+    groups = connected_components(ends.select("src", "dst")).withColumnRenamed("component", "group")
     rule, action = match_rule(host_of(F.col("key")), path_of(F.col("key")), rules)
-    members = urls.select("key", F.xxhash64("key").alias("id"), action.alias("action")).join(groups, "id")
-    blocked = members.groupBy("alias_group").agg(F.max((F.col("action") == "block").cast("int")).alias("blocked"))
-    spread = members.select("key", "alias_group").join(blocked, "alias_group")
+    members = urls.select("key", F.col("uid").alias("id"), action.alias("action")).join(groups, "id")
+    blocked = members.groupBy("group").agg(F.max((F.col("action") == "block").cast("int")).alias("blocked"), F.min("key").alias("alias_group"))
+    spread = members.select("key", "group").join(blocked, "group").drop("group")
     rule, action = match_rule(F.col("host"), F.col("path"), rules)
     out = p.drop("html").select("id", "host", "path", "key", rule.alias("rule"), action.alias("action"))
     out = out.join(spread, "key", "left")

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkspan.llm import components, html_density, language_id, packing, paragraph_dedup, pii, quality_llr, queries, sentencepiece_fst, url_filter
+from inkspan.llm import common, components, html_density, language_id, packing, paragraph_dedup, pii, quality_llr, queries, sentencepiece_fst, url_filter
 from inkspan.llm.common import table
 
 
@@ -183,16 +183,41 @@ def test_op6_any_text(text):
     assert np.frombuffer(machine.encode(text), "<i4").tolist() == library.encode(text)
 
 
-def test_op7_removes_repeated_paragraphs(spark, sf, docs):
-    lines = {i: (t or "").split("\n") for i, t in docs.items()}
+def without_repeats(texts):
+    """Brute force over non-null texts by id: (words left, whether a line, whether a passage went) of each."""
+    lines = {i: t.split("\n") for i, t in texts.items()}
     sets = {(i, n): shingles(w, 5) for i, ls in lines.items() for n, line in enumerate(ls) if len(w := words_of(line)) >= 50}
-    comp = groups(sets, similar(sets, 80))
-    gone = {k for k, c in comp.items() if k != c}
-    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in queries.op7_paragraph_dedup(spark, sf).collect()}
-    assert gone
-    for i, t in docs.items():
-        left = [line for n, line in enumerate(lines[i]) if (i, n) not in gone]
-        assert got[i] == (len(lines[i]) - len(left) if t is not None else 0, None if t is None else "\n".join(left)), i
+    gone = {k for k, c in groups(sets, similar(sets, 80)).items() if k != c}
+    left = {i: "\n".join(line for n, line in enumerate(ls) if (i, n) not in gone) for i, ls in lines.items()}
+    first, out = {}, {}
+    for i in sorted(left):
+        w, cut = words_of(left[i]), set()
+        for at in range(len(w) - 49):
+            j, p = first.setdefault(tuple(w[at : at + 50]), (i, at))
+            if j != i or at - p >= 50:
+                cut |= set(range(at, at + 50))
+        out[i] = [x for n, x in enumerate(w) if n not in cut], {n for j, n in gone if j == i}, bool(cut), left[i]
+    return out
+
+
+def test_op7_removes_repeated_paragraphs_and_passages(spark, sf, docs):
+    wanted = without_repeats({i: t for i, t in docs.items() if t is not None})
+    got = {r["doc_id"]: r for r in queries.op7_paragraph_dedup(spark, sf).collect()}
+    assert set(got) == set(docs) and any(x[1] for x in wanted.values()) and any(x[2] for x in wanted.values())
+    for i, (words, lines, cut, left) in wanted.items():
+        assert words_of(got[i]["text"]) == words, i
+        if not cut:
+            assert (got[i]["n_removed"], got[i]["text"]) == (len(lines), left), i
+        assert got[i]["n_lines"] == docs[i].count("\n") + 1
+        assert (got[i]["text"] == docs[i]) == (not lines and not cut)
+
+
+def test_op7_keeps_the_first_whatever_the_ids(spark):
+    para = " ".join(f"w{i}" for i in range(60))
+    ids = [-5, 1 << 43, (1 << 62) + 1, 7]
+    docs = spark.createDataFrame([(i, f"head {i}\n{para}\ntail {i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in paragraph_dedup.remove_repeats(docs).collect()}
+    assert got == {i: f"head {i}\n{para}\ntail {i}" if i == -5 else f"head {i}\ntail {i}" for i in ids}
 
 
 def test_op7_cuts_passages_inside_long_lines_and_over_short_ones(spark):
@@ -330,7 +355,17 @@ def test_components(spark, edges):
     assert got == groups({i for e in edges for i in e}, edges)
 
 
-def test_paragraph_keys_keep_order(spark):
-    d = spark.createDataFrame([(1, 2), (1, 3), (2, 0)], "d long, p long")
-    keys = [r[0] for r in d.select(paragraph_dedup.paragraph_key(F.col("d"), F.col("p"))).collect()]
-    assert keys == sorted(keys) and len(set(keys)) == 3
+def test_shared_folder(spark, tmp_path):
+    class Conf(dict):
+        sparkContext = None
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    Session.conf = Conf({"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs://x/y/"})
+    assert common.shared_dir(Session) == "hdfs://x/y"
+    first = len(common._written)
+    kept = common.settled(lambda: common.cut(spark.range(3), "inner"))()
+    assert kept.count() == 3 and len(common._written) == first + 1
