@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkspan.llm import language_id, minhash_dedup, packing, paragraph_dedup, pii
-from inkspan.llm.common import cut, table
+from inkspan.llm.common import cut, marked, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: a document goes if less than this share of its letters is in its language, or if it has no letter
@@ -31,13 +31,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays, once where its row is repeated; rows with
     a null id are in no group and stay."""
-    found = minhash_dedup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    found = cut(found, "kept")
-    named = docs.select(*COLUMNS).filter("doc_id is not null")
-    once = named.join(found.filter("n = 1"), "doc_id", "left_semi")
+    found = minhash_dedup.near_duplicates(docs).filter("doc_id is not null")
+    odd = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1")
+    odd = cut(odd, "duplicates")
+    # only what the bitmap of duplicates marks is shuffled; the other texts stay where they are
+    d = marked(docs.select(*COLUMNS), "doc_id", odd)
+    seen = d.filter("marked").drop("marked").join(odd, "doc_id", "left").filter("n is null or kept")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in COLUMNS[1:]])
-    again = named.join(found.filter("n > 1"), "doc_id", "left_semi").withColumn("row", F.row_number().over(order)).filter("row = 1").drop("row")
-    return once.unionByName(again).unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    again = seen.filter("n > 1").withColumn("row", F.row_number().over(order)).filter("row = 1")
+    return d.filter("not marked").select(*COLUMNS).unionByName(seen.filter("n is null").select(*COLUMNS)).unionByName(again.select(*COLUMNS))
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
