@@ -23,7 +23,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a.isNotNull() & b.isNotNull()).alias("ok"))
     start = cut(start.filter("ok").select("u", "v").distinct(), "edges")
     vertices = start.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    links, mark = start.filter("u != v"), None
+    links = start.filter("u != v")
+    told = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    mark, made = told(links), False
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,10 +33,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(small.union(floor.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        got = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if links is not start and mark is not None:
+        got = told(new)
+        if made:
             drop_cut(links)
-        links = new
+        links, made = new, True
         if got == mark:
             break
         mark = got

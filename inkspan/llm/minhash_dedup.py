@@ -1,8 +1,7 @@
 """MinHash near-dedup: banded candidates, sequential Bayesian pruning on further hashes, exact check of the survivors.
 
 1. Equal word sequences share a 128-bit digest; one representative each goes on, so copies cost one row.
-2. Every document is paired with the smallest document of its buckets in the first bands: at most one pair a document.
-   In buckets that then hold different components, members are paired with the bucket's smallest document.
+2. Every document is paired with the first document of each of its buckets, one pair where they are the same.
 3. Buckets whose members still lie in different components are searched for every remaining pair of different
    components, in blocks of bounded size; what does not belong to the bucket's main component is compared with all
    members, so a large group of near copies costs its size, not its square.
@@ -26,7 +25,6 @@ from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_se
 
 BLOCK = 512
 KEY = ("pos", "h", "i", "j")
-FIRST_BANDS = 4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -159,15 +157,16 @@ def near_duplicates(
     percent: int = 80,
     miss: float = 1e-4,
     recall: float = 0.9995,
-    min_words: int = 1,
+    min_words: int = 0,
+    join_same_id: bool = True,
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links) and kept.
+    """One row per input row of ``min_words`` words or more: id, n_shingles, component_id (smallest id reachable by links) and kept.
 
     Two texts are linked where 100 * intersection >= percent * union of their word-shingle sets. Bands are tuned to
     ``recall`` at the threshold; a pair at the threshold is pruned with probability about ``miss``. Ids may be of any
-    type that can be ordered, structs included. Null, empty and blank texts, and those under ``min_words`` words, have
-    no shingle and link with nothing. Rows that share an id are one document. A null id belongs to no group:
-    component_id null, kept true. An empty table gives an empty result.
+    type that can be ordered, structs included. Null, empty and blank texts have no shingle and link with nothing. Rows
+    that share an id are one document; without ``join_same_id`` each of their different texts is one, under that id. A
+    null id belongs to no group: component_id null, kept true. An empty table gives an empty result.
     """
     bands, rows = tune_bands(percent / 100, recall)
     steps = least_matches(percent / 100, miss)
@@ -181,11 +180,10 @@ def near_duplicates(
     copies = reps.select("d1", "d2", "uid", "rep")
     sketches = cut(whole.select("vertex", "d1", "d2", "n"), "digests")
     drop_cut(whole)
-    same_id = _rows_of_one_id(sketches.filter("n > 0 and vertex is not null"), copies)
     keys = reps.select("uid", F.posexplode("bands").alias("pos", "h"))
-    # most buckets hold one document: only the others go on
-    met = keys.groupBy("pos", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    keys = cut(keys.join(met, ["pos", "h"]), "buckets")
+    # most buckets hold one document: only the others go on, with their first one
+    hubs = keys.groupBy("pos", "h").agg(F.min("uid").alias("hub"), F.max("uid").alias("top")).filter("hub != top").drop("top")
+    keys = cut(keys.join(hubs, ["pos", "h"]), "buckets")
     sig = reps.select("uid", "rep", "sig")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -195,20 +193,15 @@ def near_duplicates(
         return cut(_exact(left, texts, shingle, percent), "links")
 
     def mixed_buckets(groups: DataFrame) -> DataFrame:
-        """Members of the buckets that hold different components: pos, h, uid, comp, hub, main (the hub's component), n."""
+        """Members of the buckets that hold different components: pos, h, uid, comp, main (the component of the first), n."""
         placed = keys.join(groups.withColumnRenamed("id", "uid"), "uid", "left").select("pos", "h", "uid", F.coalesce("component", "uid").alias("comp"))
         hub = F.min(F.struct("uid", "comp"))
-        mixed = placed.groupBy("pos", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub["uid"].alias("hub"), hub["comp"].alias("main"), F.count("*").alias("n"))
+        mixed = placed.groupBy("pos", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub["comp"].alias("main"), F.count("*").alias("n"))
         return cut(placed.join(mixed.filter("lo != hi").drop("lo", "hi"), ["pos", "h"]), "mixed")
 
-    few = keys.filter(F.col("pos") < FIRST_BANDS)
-    hubs = few.groupBy("pos", "h").agg(F.min("uid").alias("hub"), F.max("uid").alias("top")).filter("hub != top").drop("top")
-    first = few.join(hubs, ["pos", "h"]).groupBy(F.col("uid").alias("a")).agg(F.min("hub").alias("b")).filter("a != b")
-    links = linked(first).union(same_id)
-    groups = cut(connected_components(links), "groups")
-    rest = mixed_buckets(groups)
-    links = links.union(linked(rest.filter("comp != main").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct()))
-    drop_cut(rest)
+    links = linked(keys.filter("uid != hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
+    if join_same_id:
+        links = links.union(_rows_of_one_id(sketches.filter("n > 0 and vertex is not null"), copies))
     groups = cut(connected_components(links), "groups")
     rest = mixed_buckets(groups)
     drop_cut(keys)

@@ -24,7 +24,7 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d = fields(docs, id=id_col, text=text_col).filter("id is not null and text is not null")
     lines = d.select("id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     lines = lines.filter(F.length("line") >= 2 * min_words - 1)  # shorter lines cannot hold so many words
-    found = near_duplicates(lines.select(F.struct("id", "place").alias("at"), "line"), "at", "line", shingle, percent, min_words=min_words, miss=1e-6)
+    found = near_duplicates(lines.select(F.struct("id", "place").alias("at"), "line"), "at", "line", shingle, percent, min_words=min_words, miss=1e-6, join_same_id=False)
     return found.filter("not kept").select("at.id", "at.place").distinct()
 
 

@@ -84,17 +84,21 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def sketcher(k: int, bands: int, rows: int, min_words: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow function: (vertex, text) -> SKETCH_SCHEMA; digests and sketches are null for texts without words or with
-    fewer than ``min_words``. sig holds the low 16 bits of the verification hashes, bands the band keys."""
+def sketcher(k: int, bands: int, rows: int, min_words: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function: (vertex, text) -> SKETCH_SCHEMA; digests and sketches are null for texts without words; texts
+    of fewer than ``min_words`` words give no row. sig holds the low 16 bits of the verification hashes, bands the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            at = []
+            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 words = words_of(text)
-                if len(words) < min_words or not words:
+                if len(words) < min_words:
+                    continue
+                at.append(i)
+                if not words:
                     row = (None, None, 0, None, None)
                 else:
                     digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
@@ -105,7 +109,8 @@ def sketcher(k: int, bands: int, rows: int, min_words: int = 1) -> Callable[[Ite
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["vertex", "d1", "d2", "n", "sig", "bands"])
+            ids = batch.column(0) if len(at) == batch.num_rows else batch.column(0).take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["vertex", "d1", "d2", "n", "sig", "bands"])
 
     return run
 
