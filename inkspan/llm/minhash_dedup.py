@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.common import cut, drop_cut, fields, marked, numbered, settled
 from inkspan.llm.components import connected_components
-from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands, word_memo, words_of
+from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands
 
 BLOCK = 512
 KEY = ("pos", "h", "i", "j")
@@ -107,7 +107,7 @@ def _verify_blocks(k: int, percent: int):  # noqa: ANN202
                 yield a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, key, pairs, sets = word_memo(), None, ([], []), {}
+        key, pairs, sets = None, ([], []), {}
         for batch in batches:
             out = []
             for *at, a, b, vertex, text in zip(*[batch.column(n).to_pylist() for n in (*KEY, "a", "b", "vertex")], batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -117,7 +117,7 @@ def _verify_blocks(k: int, percent: int):  # noqa: ANN202
                 if a is not None:
                     pairs = (a, b)
                 else:
-                    sets.setdefault(vertex, []).append(shingle_set(words_of(text), k, memo))
+                    sets.setdefault(vertex, []).append(shingle_set(text, k))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["src", "dst"])
         out = list(links(pairs, sets))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["src", "dst"])
@@ -129,12 +129,12 @@ def _verify(k: int, percent: int):  # noqa: ANN202
     """(a, b, text_a, text_b) -> (a, b, ok): 100 * intersection >= percent * union of the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, recent = word_memo(), OrderedDict()
+        recent = OrderedDict()
 
         def shingles(text: bytes) -> np.ndarray:
             found = recent.get(text)
             if found is None:
-                found = recent[text] = shingle_set(words_of(text), k, memo)
+                found = recent[text] = shingle_set(text, k)
                 if len(recent) > 64:
                     recent.popitem(last=False)
             return found

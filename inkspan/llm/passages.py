@@ -16,35 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Memo, cut, drop_cut, marked
-from inkspan.llm.sketch import word_memo, words_of
+from inkspan.llm.common import cut, drop_cut, marked
+from inkspan.llm.sketch import chunks, mix, powers, word_hashes
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+STEP = 0xD1342543DE82EF95  # odd, and not the base of the words' own hashes
+INVERSE = pow(STEP, -1, 1 << 64)
 _WORD = re.compile(rb"\S+")
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    found = _powers.get(base)
-    if found is None or len(found) < n:
-        found = np.full(max(n, 4096), base, np.uint64)
-        found[0] = 1
-        found = _powers[base] = np.cumprod(found)
-    return found[:n]
-
-
-def window_hashes(words: list[bytes], k: int, memo: Memo) -> np.ndarray:
-    """64-bit hash of every run of k words."""
-    if len(words) < k:
+def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of every run of k words, from the words' hashes."""
+    if len(h) < k:
         return np.empty(0, np.int64)
-    h = np.frombuffer(b"".join([memo[w] for w in words]), dtype="<u8")
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _power(_BASE, len(h)))])
-    s = (run[k:] - run[:-k]) * _power(_INVERSE, len(h) - k + 1)
-    s ^= s >> np.uint64(32)
-    s *= np.uint64(0xBF58476D1CE4E5B9)
-    s ^= s >> np.uint64(29)
-    return s.view(np.int64)
+    run = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(STEP, len(h)), out=run[1:])
+    return mix((run[k:] - run[:-k]) * powers(INVERSE, len(h) - k + 1)).view(np.int64)
 
 
 def picked(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -78,50 +64,57 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return text
 
 
+LISTS = pa.list_(pa.int32()), pa.list_(pa.int64())
+
+
+def _hashed(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, words, hashes of its runs of k words) of every row of ``batch``; the text is its second column."""
+    texts = batch.column(1).cast(pa.binary()).to_pylist()
+    for some in chunks(texts):
+        h, begin = word_hashes(texts[some])
+        for i, (a, b) in enumerate(zip(begin.tolist(), begin[1:].tolist(), strict=False)):
+            yield some.start + i, b - a, window_hashes(h[a:b], k)
+
+
 def _spots(gram: int, window: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in batches:
             places, found = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                h = window_hashes(words_of(text), gram, memo)
+            for _, _, h in _hashed(batch, gram):
                 p = picked(h, window)
                 places.append(p)
                 found.append(h[p])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["id", "places", "hs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, LISTS[0]), pa.array(found, LISTS[1])], ["id", "places", "hs"])
 
     return run
 
 
 def _windows(gram: int, min_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, before = word_memo(), np.arange(min_words - gram + 1)
+        before = np.arange(min_words - gram + 1)
         for batch in batches:
-            places, found = [], []
-            for text, spots in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h = window_hashes(words_of(text), min_words, memo)
-                p = np.unique(np.array(spots, np.int64)[:, None] - before)
+            places, found, spots = [], [], batch.column(2).to_pylist()
+            for i, _, h in _hashed(batch, min_words):
+                p = np.unique(np.array(spots[i], np.int64)[:, None] - before)
                 p = p[(p >= 0) & (p < len(h))]
                 places.append(p)
                 found.append(h[p])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["id", "places", "hs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, LISTS[0]), pa.array(found, LISTS[1])], ["id", "places", "hs"])
 
     return run
 
 
 def _cutter(min_words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in batches:
+            raw, all_places, all_hs = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             texts, counts = [], []
-            for text, places, hs in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = words_of(text)
-                h = window_hashes(words, min_words, memo)
-                p, wanted = np.array(places, np.int64), np.array(hs, np.int64)
+            for i, n, h in _hashed(batch, min_words):
+                p, wanted = np.array(all_places[i], np.int64), np.array(all_hs[i], np.int64)
                 inside = p < len(h)  # rows that share an id can have other words there
                 p, wanted = p[inside], wanted[inside]
-                runs = covered(p[h[p] == wanted], len(words), min_words)
-                texts.append(without(text, runs).decode() if text is not None else None)
+                runs = covered(p[h[p] == wanted], n, min_words)
+                texts.append(without(raw[i], runs).decode() if raw[i] is not None else None)
                 counts.append(len(runs))
             rest = [batch.column(i) for i in range(4, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), *rest], ["id", "text", "n_cut", *batch.schema.names[4:]])

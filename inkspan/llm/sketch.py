@@ -8,9 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-
-from inkspan.llm.common import Memo
 
 MASK = (1 << 64) - 1
 N_BAND = 64  # hashes for banding
@@ -37,44 +34,98 @@ def tune_bands(threshold: float, recall: float = 0.9995, hashes: int = N_BAND) -
     return best
 
 
-def word_memo() -> Memo:
-    return Memo(lambda w: xxhash.xxh3_64_digest(w))
-
-
-def shingle_set(words: list[bytes], k: int, memo: Memo) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; the whole sequence as one where there are fewer words."""
-    n = len(words)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = _constants(256, 14, 64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_known_powers: dict[int, np.ndarray] = {}
+CHUNK = 1 << 20  # bytes of text hashed at once; a longer text is one chunk
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2 ** 64."""
+    found = _known_powers.get(base)
+    if found is None or len(found) < n:
+        found = np.full(max(n, CHUNK), base, np.uint64)
+        found[0] = 1
+        found = _known_powers[base] = np.cumprod(found)
+    return found[:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit numbers, in place."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after the other, and the place where each text's words begin.
+
+    Words are A-Z lower-cased runs outside space and U+0009..U+000D. A word's hash is its polynomial over the bytes,
+    taken as a difference of prefix sums, so a whole chunk of texts is hashed in a few array steps.
+    """
+    raw = np.frombuffer(b" ".join([b"", *[t or b"" for t in texts], b""]), np.uint8)
+    blank = _SPACE[raw]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=sums[1:])
+    h = mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(raw))[starts])
+    begin = np.cumsum([1, *[len(t or b"") + 1 for t in texts]])
+    return h, np.searchsorted(starts, begin)
+
+
+def chunks(texts: list[bytes | None]) -> Iterator[slice]:
+    """Slices of about CHUNK bytes."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= CHUNK:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of k words; of fewer words, the whole sequence as one."""
+    n = len(h)
     if not n:
-        return np.empty(0, np.uint64)
-    h = np.frombuffer(b"".join([memo[w] for w in words]), dtype="<u8")
+        return h
     if n < k:
         s = (h * _PLACE[:n]).sum(keepdims=True) + np.uint64(n)
     else:
         s = h[: n - k + 1] * _PLACE[0]
         for i in range(1, k):
             s += h[i : n - k + 1 + i] * _PLACE[i]
-    s ^= s >> np.uint64(32)
-    s *= np.uint64(0x9E3779B97F4A7C15)
-    s ^= s >> np.uint64(29)
-    return np.unique(s)
+    return mix(s)
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """N_BAND + N_CHECK minima of 32-bit hash functions over the shingles."""
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles of one text."""
+    return np.unique(_shingles(word_hashes([text])[0], k))
+
+
+def minhash(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """N_BAND + N_CHECK minima of 32-bit hash functions over each set; the sets follow each other and begin at ``starts``."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(N_BAND + N_CHECK, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        part = _MULTIPLY * x[at : at + 2048]
-        part += _ADD
-        part ^= part >> np.uint32(15)
-        part *= np.uint32(0x85EBCA6B)
-        np.minimum(low, part.min(axis=1), out=low)
+    low = np.empty((len(starts), N_BAND + N_CHECK), np.uint32)
+    for j in range(N_BAND + N_CHECK):
+        v = x * _MULTIPLY[j]
+        v += _ADD[j]
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0x85EBCA6B)
+        low[:, j] = np.minimum.reduceat(v, starts)
     return low
 
 
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    v = signature[: bands * rows].astype(np.uint64).reshape(bands, rows)
-    key = (v * _PLACE[8 : 8 + rows]).sum(axis=1)
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key per signature (row) and band."""
+    v = signatures[:, : bands * rows].astype(np.uint64).reshape(-1, bands, rows)
+    key = (v * _PLACE[8 : 8 + rows]).sum(axis=2)
     key ^= key >> np.uint64(31)
     return (key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
@@ -88,29 +139,33 @@ def sketcher(k: int, bands: int, rows: int, min_words: int = 0) -> Callable[[Ite
     """mapInArrow function: (vertex, text) -> SKETCH_SCHEMA; digests and sketches are null for texts without words; texts
     of fewer than ``min_words`` words give no row. sig holds the low 16 bits of the verification hashes, bands the band keys."""
 
+    def part(ids: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
+        h, begin = word_hashes(texts)
+        n_words = np.diff(begin)
+        at = np.flatnonzero(n_words >= min_words)
+        digests = np.zeros((len(at), 2), np.int64)
+        sizes, sets, worded = np.zeros(len(at), np.int64), [], np.flatnonzero(n_words[at] > 0)
+        for row in worded.tolist():
+            i = at[row]
+            digests[row] = np.frombuffer(hashlib.blake2b(b" ".join(words_of(texts[i])), digest_size=16).digest(), ">i8")
+            sets.append(np.unique(_shingles(h[begin[i] : begin[i + 1]], k)))
+            sizes[row] = len(sets[-1])
+        none = np.ones(len(at), bool)
+        none[worded] = False
+        sig: list = [None] * len(at)
+        keys: list = [None] * len(at)
+        if sets:
+            found = minhash(np.concatenate(sets), np.cumsum([0, *[len(x) for x in sets[:-1]]]))
+            for row, check, bk in zip(worded.tolist(), found[:, N_BAND:].astype(np.uint16), band_keys(found, bands, rows), strict=True):
+                sig[row], keys[row] = check.tobytes(), bk
+        columns = [pa.array(digests[:, 0], mask=none), pa.array(digests[:, 1], mask=none), pa.array(sizes), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *columns], ["vertex", "d1", "d2", "n", "sig", "bands"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            at = []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                words = words_of(text)
-                if len(words) < min_words:
-                    continue
-                at.append(i)
-                if not words:
-                    row = (None, None, 0, None, None)
-                else:
-                    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                    found = shingle_set(words, k, memo)
-                    signature = minhash(found)
-                    keys = band_keys(signature, bands, rows)
-                    row = (int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), len(found), signature[N_BAND:].astype(np.uint16).tobytes(), keys)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            ids = batch.column(0) if len(at) == batch.num_rows else batch.column(0).take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["vertex", "d1", "d2", "n", "sig", "bands"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for some in chunks(texts):
+                yield part(batch.column(0).slice(some.start, some.stop - some.start), texts[some])
 
     return run
 
