@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The machine composes three parts: the normaliser (white space becomes the mark U+2581, one mark in front), the pieces,
-and the byte fallback. A state is the last piece written. An arc writes the next piece at weight 1; it exists only where
-merging the two pieces' characters by score would leave exactly these two pieces, else its weight is infinite. A
-character without a piece has an arc that writes its UTF-8 bytes. A sequence of pieces is the encoding of a text just if
-every adjacent pair is, so the tropical shortest path through the composition with an input is the encoding, and at each
-position one state at most has finite weight.
+Three machines are compiled. The normaliser rewrites white space to the mark U+2581 and writes one mark in front. The
+piece machine is a trie of arcs, character by character; where a piece ends, an arc writes it and leads to the state of
+that piece. From state to state this arc weighs 1 where merging the two pieces' characters by score leaves just these
+two pieces, else it is infinite. The fallback machine writes a character without a piece as its UTF-8 bytes, at weight 1
+each. The composition with an input has states (position, last piece), opened as they are reached, and its shortest path
+in the tropical semiring (min, +) is the encoding: a sequence of pieces is one just if every adjacent pair of it is.
+
+What a worker remembers is bounded: about 120 MB for words, pairs of pieces and the compiled machines.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 INFINITE = float("inf")
 SHIFT = 1 << 32
+SLICE = 1 << 20  # bytes of text encoded at once
+START = -1  # the state after nothing and after bytes
+NONE = (INFINITE, 0, START)
 
 
 def default_model() -> str:
@@ -54,14 +59,22 @@ class Transducer:
         self.out = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type in (UNKNOWN, CONTROL) else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece goes on after white space")
-        #: ends of pieces: what is none of them cannot grow to the left into a piece
-        self.ends = {p[i:] for p in self.score for i in range(len(p))}
+        self.root = self._trie()
         #: pairs of characters that stand together in some piece
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.history = Memo(self._history)
-        self.joint = Memo(self._joint, 1_000_000)
-        self.unit = Memo(self._path, 600_000)
-        self.starts: dict[str, tuple[int, int]] = {}
+        self.history = Memo(self._history, 20_000)
+        self.weight = Memo(self._weight, 300_000)
+        self.unit = Memo(self._path, 250_000)
+
+    def _trie(self) -> dict:
+        """States as tables of arcs: a character leads to the next state, "" to the piece that the state completes."""
+        root: dict = {}
+        for piece, i in self.id.items():
+            state = root
+            for c in piece:
+                state = state.setdefault(c, {})
+            state[""] = i
+        return root
 
     def _history(self, piece: str) -> tuple[str, str, list[tuple[float, str, str]], str]:
         """First and last character, then per merge of the piece's own characters: score, new first and last symbol; what is left."""
@@ -78,9 +91,15 @@ class Transducer:
             steps.append((best, symbols[0], symbols[-1]))
         return piece[0], piece[-1], steps, symbols[0]
 
-    def _joint(self, pair: int) -> bool:
+    def _weight(self, arc: int) -> float:
+        """Of the arc from a state (last piece, or START after nothing or bytes) to the state of the next piece."""
+        state, piece = arc // SHIFT - 1, arc % SHIFT
+        fits = self._joint(state, piece) if state >= 0 else self.history[self.pieces[piece]][3] == self.pieces[piece]
+        return 1.0 if fits else INFINITE
+
+    def _joint(self, one: int, two: int) -> bool:
         """Whether merging both pieces' characters side by side never merges across the border."""
-        one, two = self.pieces[pair // SHIFT], self.pieces[pair % SHIFT]
+        one, two = self.pieces[one], self.pieces[two]
         (_, last, left, whole_left), (first, _, right, whole_right) = self.history[one], self.history[two]
         if whole_left != one or whole_right != two:
             return False
@@ -107,39 +126,40 @@ class Transducer:
         cuts = [i for i in range(1, n) if unit[i - 1 : i + 1] not in inside]
         if cuts:  # no piece spans these borders: one path after the other
             return b"".join([self.unit[unit[i:j]] for i, j in zip([0, *cuts], [*cuts, n], strict=True)])
-        ends, joint, id_of, starts = self.ends, self.joint, self.id, self.starts
-        last, back = [-1] * (n + 1), [0] * (n + 1)  # the one state of finite weight at each position, and where its piece begins
-        for end in range(1, n + 1):
-            prefix = unit[:end]
-            if end <= 8 and (known := starts.get(prefix)) is not None:
-                last[end], back[end] = known
+        root, weight = self.root, self.weight
+        #: per position, each reached state with (weight of the best path to it, where its last arc begins, the state there)
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+        best[0][START] = (0.0, 0, START)
+        for start in range(n):
+            arc = root.get(unit[start])
+            here = [(before, cost, (before + 1) * SHIFT) for before, (cost, _, _) in best[start].items()]
+            if arc is None or "" not in arc:
+                before, cost, _ = min(here, key=lambda x: x[1])
+                best[start + 1][START] = (cost + len(unit[start].encode("utf-8", "replace")), start, before)
                 continue
-            for start in range(end - 1, -1, -1):
-                piece = unit[start:end]
-                if piece not in ends:
+            end = start + 1
+            while True:
+                piece = arc.get("")
+                if piece is not None:
+                    reached = best[end]
+                    for before, cost, state in here:
+                        total = cost + weight[state + piece]
+                        if total < INFINITE and total < reached.get(piece, NONE)[0]:
+                            reached[piece] = (total, start, before)
+                if end == n or (arc := arc.get(unit[end])) is None:
                     break
-                here = id_of.get(piece)
-                if here is not None and (self._alone(piece) if last[start] < 0 else joint[last[start] * SHIFT + here]):
-                    last[end], back[end] = here, start
-                    break  # no other piece ends here at finite weight
-            if last[end] < 0:  # the character has no piece: byte fallback
-                back[end] = end - 1
-            if end <= 8:
-                if len(starts) > 300_000:
-                    starts.clear()
-                starts[prefix] = last[end], back[end]
+                end += 1
+        state = min(best[n], key=lambda s: best[n][s][0])
         ids: list[int] = []
         while n:
-            if last[n] >= 0:
-                ids.append(last[n])
+            _, start, before = best[n][state]
+            if state >= 0:
+                ids.append(state)
             else:
-                ids.extend(self.byte[x] for x in reversed(unit[back[n] : n].encode("utf-8", "replace")))
-            n = back[n]
+                ids.extend(self.byte[x] for x in reversed(unit[start:n].encode("utf-8", "replace")))
+            n, state = start, before
         return array("i", ids[::-1]).tobytes()
 
-    def _alone(self, piece: str) -> bool:
-        return self.history[piece][3] == piece
-
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if not text:
@@ -165,25 +185,34 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """(id, ids array<int>, text): pieces of every whole text. Null text: null ids; empty text: no ids. Repeated rows are
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, round_trip: bool = False) -> DataFrame:
+    """(id, ids array<int>): pieces of every whole text; with ``round_trip`` also a column of that name: whether decoding
+    gives the text back, with marks as spaces. Null text: null ids and null; empty text: no ids. Repeated rows are
     encoded alike; ids of rows pass through, nulls included; an empty table gives an empty result."""
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [None if x is None else machine.encode(x) for x in part.column(1).to_pylist()]
+            at = 0
+            while at < batch.num_rows:
+                # slices of bounded size, so that long texts do not meet in memory
+                size, end = 0, at
+                while end < batch.num_rows and (end == at or size < SLICE):
+                    size += len(batch.column(1)[end].as_buffer()) if batch.column(1)[end].is_valid else 0
+                    end += 1
+                part = batch.slice(at, end - at)
+                texts = part.column(1).to_pylist()
+                found = [None if x is None else machine.encode(x) for x in texts]
                 offsets = np.cumsum([0, *[len(x) // 4 if x else 0 for x in found]]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(x for x in found if x), "<i4"))
-                mask = pa.array([x is None for x in found])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=mask)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(1)], ["id", "ids", "text"])
+                flat = pa.array(np.frombuffer(b"".join([x for x in found if x]), "<i4"))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([x is None for x in found]))
+                same = [None if x is None else machine.decode(np.frombuffer(ids, "<i4").tolist()) == x.replace(MARK, " ") for x, ids in zip(texts, found, strict=True)] if round_trip else []
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *([pa.array(same, pa.bool_())] if round_trip else [])], ["id", "ids", *(["round_trip"] if round_trip else [])])
+                at = end
 
     d = fields(docs, id=id_col, text=text_col)
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids array<int>, text string").withColumnRenamed("id", id_col)
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids array<int>" + ", round_trip boolean" * round_trip).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:
@@ -196,5 +225,3 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", m
         return pd.Series([None if x is None else machine.decode(x.tolist()) for x in ids], dtype=object)
 
     return encoded.withColumn(out_col, text_of(F.col(ids_col)))
-
-
