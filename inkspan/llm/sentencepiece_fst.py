@@ -6,6 +6,7 @@ that piece. From state to state this arc weighs 1 where merging the two pieces'
 two pieces, else it is infinite. The fallback machine writes a character without a piece as its UTF-8 bytes, at weight 1
 each. The composition with an input has states (position, last piece), opened as they are reached, and its shortest path
 in the tropical semiring (min, +) is the encoding: a sequence of pieces is one just if every adjacent pair of it is.
+Every prefix has one encoding, so of all arcs into a position one has finite weight: relaxation there ends with it.
 
 What a worker remembers is bounded: about 120 MB for words, pairs of pieces and the compiled machines.
 """
@@ -30,7 +31,7 @@ INFINITE = float("inf")
 SHIFT = 1 << 32
 SLICE = 1 << 20  # bytes of text encoded at once
 START = -1  # the state after nothing and after bytes
-NONE = (INFINITE, 0, START)
+PREFIX, PREFIXES = 8, 200_000  # longest prefix whose states are remembered, and how many of them
 
 
 def default_model() -> str:
@@ -59,22 +60,23 @@ class Transducer:
         self.out = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type in (UNKNOWN, CONTROL) else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece goes on after white space")
-        self.root = self._trie()
+        self.last = self._arcs()
+        self.reached: dict[str, tuple] = {}
         #: pairs of characters that stand together in some piece
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.history = Memo(self._history, 20_000)
         self.weight = Memo(self._weight, 300_000)
         self.unit = Memo(self._path, 250_000)
 
-    def _trie(self) -> dict:
-        """States as tables of arcs: a character leads to the next state, "" to the piece that the state completes."""
-        root: dict = {}
+    def _arcs(self) -> dict:
+        """The piece machine by the last character: arcs lead back character by character, "" to the piece they write."""
+        last: dict = {}
         for piece, i in self.id.items():
-            state = root
-            for c in piece:
+            state = last
+            for c in reversed(piece):
                 state = state.setdefault(c, {})
             state[""] = i
-        return root
+        return last
 
     def _history(self, piece: str) -> tuple[str, str, list[tuple[float, str, str]], str]:
         """First and last character, then per merge of the piece's own characters: score, new first and last symbol; what is left."""
@@ -126,38 +128,38 @@ class Transducer:
         cuts = [i for i in range(1, n) if unit[i - 1 : i + 1] not in inside]
         if cuts:  # no piece spans these borders: one path after the other
             return b"".join([self.unit[unit[i:j]] for i, j in zip([0, *cuts], [*cuts, n], strict=True)])
-        root, weight = self.root, self.weight
-        #: per position, each reached state with (weight of the best path to it, where its last arc begins, the state there)
-        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        best[0][START] = (0.0, 0, START)
-        for start in range(n):
-            arc = root.get(unit[start])
-            here = [(before, cost, (before + 1) * SHIFT) for before, (cost, _, _) in best[start].items()]
-            if arc is None or "" not in arc:
-                before, cost, _ = min(here, key=lambda x: x[1])
-                best[start + 1][START] = (cost + len(unit[start].encode("utf-8", "replace")), start, before)
+        last, weight, known = self.last, self.weight, self.reached
+        # the state of finite weight at each position (a piece, or START after bytes) and where its last arc begins; those
+        # after a short prefix are remembered, since they depend on nothing else
+        state, begin = [START] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            prefix = unit[:end] if end <= PREFIX else ""
+            if prefix and (now := known.get(prefix)) is not None:
+                state[end], begin[end] = now
                 continue
-            end = start + 1
-            while True:
-                piece = arc.get("")
-                if piece is not None:
-                    reached = best[end]
-                    for before, cost, state in here:
-                        total = cost + weight[state + piece]
-                        if total < INFINITE and total < reached.get(piece, NONE)[0]:
-                            reached[piece] = (total, start, before)
-                if end == n or (arc := arc.get(unit[end])) is None:
-                    break
-                end += 1
-        state = min(best[n], key=lambda s: best[n][s][0])
+            start = end - 1
+            arc = last.get(unit[start])
+            if arc is None or "" not in arc:
+                begin[end] = start  # byte fallback
+            else:
+                while arc is not None:
+                    piece = arc.get("")
+                    if piece is not None and weight[(state[start] + 1) * SHIFT + piece] < INFINITE:
+                        state[end], begin[end] = piece, start
+                        break
+                    start -= 1
+                    arc = arc.get(unit[start]) if start >= 0 else None
+            if prefix:
+                if len(known) >= PREFIXES:
+                    known.clear()
+                known[prefix] = state[end], begin[end]
         ids: list[int] = []
         while n:
-            _, start, before = best[n][state]
-            if state >= 0:
-                ids.append(state)
+            if state[n] >= 0:
+                ids.append(state[n])
             else:
-                ids.extend(self.byte[x] for x in reversed(unit[start:n].encode("utf-8", "replace")))
-            n, state = start, before
+                ids.extend(self.byte[x] for x in reversed(unit[begin[n] : n].encode("utf-8", "replace")))
+            n = begin[n]
         return array("i", ids[::-1]).tobytes()
 
     def encode(self, text: str) -> bytes:
