@@ -128,7 +128,8 @@ def parse(page: str) -> Node:
 
 
 def _restore(root: Node) -> None:
-    """A class or id drops no element that holds an article or main element or most of the page's unlinked text."""
+    """A class or id drops no element that holds an article or main element, or most of the unlinked text of the article
+    around it (of the page, where there is none)."""
     nodes = [root]
     for n in nodes:
         if n.hint or not n.drop:
@@ -140,8 +141,11 @@ def _restore(root: Node) -> None:
         stays = n.hint or not n.drop
         plain[n] = text if stays and n.tag != "a" else 0
         article[n] = stays and (any(article[c] for c in inner) or (n.tag in ("article", "main") and not n.hint))
+    around = {root: root}
     for n in nodes:
-        if n.hint and (article[n] or 2 * plain[n] > plain[root]):
+        if n is not root:
+            around[n] = n.parent if n.parent.tag in ("article", "main") else around[n.parent]
+        if n.hint and (article[n] or 2 * plain[n] > plain[around[n]]):
             n.drop = False
 
 

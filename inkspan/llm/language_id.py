@@ -68,12 +68,14 @@ def script_of(char: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(char)) - 1][1]
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDLIKE = re.compile(r"[^\W\d_]+")
 
 
 def letters_of(word: str) -> str:
-    """Lower-cased runs of letters, one space between them."""
-    return " ".join(_LETTERS.findall(word.lower()))
+    """Lower-cased runs of letters (Unicode category L), one space between them."""
+    runs = " ".join(_WORDLIKE.findall(word.lower()))
+    # the pattern also takes fractions, superscripts and the like
+    return runs if runs.replace(" ", "").isalpha() else " ".join("".join([c if c.isalpha() else " " for c in runs]).split())
 
 
 def trigrams(letters: str, known: Memo) -> list[int]:

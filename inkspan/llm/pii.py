@@ -32,7 +32,14 @@ _DIGIT = re.compile(r"[0-9]")
 
 # looser forms, candidates only
 _LOOSE = (
-    (EMAIL, re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\])\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]{1,63}){1,8}", re.I), re.compile(r"[(\[]at[)\]]", re.I)),
+    (
+        EMAIL,
+        re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:\(at\)|\[at\])\s?[A-Za-z0-9-]++(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]++)+", re.I),
+        re.compile(r"[(\[]at[)\]]", re.I),
+    ),
+    # look-alikes that fail the exact rule: what the votes must tell from personal data
+    (CARD, re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9A-Za-z-])"), re.compile(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]")),
+    (IP, re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){3}(?![0-9A-Za-z]|\.[0-9])"), re.compile(r"[0-9]\.[0-9]")),
     (IP, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), re.compile(r":[0-9A-Fa-f]{1,4}:")),
     (PHONE, re.compile(r"(?<![0-9A-Za-z+.-])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\)[ ]?|[0-9]{3,4}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"), re.compile(r"[0-9]{3}[ .-][0-9]{4}")),
 )
@@ -43,7 +50,7 @@ _CUES = (
     re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|karte|kreditkarte|tarjeta|carte|payment)\b", re.I),
     re.compile(r"\b(?:phone|tel|telephone|call|fax|mobile|cell|whatsapp|telefon|handy|tel[eé]fono|t[eé]l[eé]phone|m[oó]vil|appel\w*)\b", re.I),
 )
-_AGAINST = re.compile(r"(?:\b(?:version|build|isbn|issn|order|invoice|serial|sku|part|page|id|no|nr|chapter|section|token|hash|key)\b|[#$€£%=v])[\s:.\"']*$", re.I)
+_AGAINST = re.compile(r"(?:\b(?:version|build|isbn|issn|order|invoice|serial|sku|part|page|id|no|nr|chapter|section|token|hash|key)\b(?:\s+(?:number|no|nr|nummer|n[uú]mero|num[eé]ro|id)\b)?|[#$€£%=v])[\s:.\"']*$", re.I)
 _DOMAINS = frozenset("com org net edu gov io info de fr es it uk eu us ca au ch at nl be".split())
 _ISSUERS = re.compile(r"3[47]|4|5[1-5]|2[2-7]|6(?:011|5|4[4-9])|35")
 
@@ -96,13 +103,14 @@ def votes(text: str, kind: int, start: int, end: int, exact: bool) -> tuple[int,
         named = -1 if span.startswith(("0.", "127.", "255.")) else 0
         shape = 1 if 7 <= len(span) <= 39 else -1
     elif kind == CARD:
-        named = 1 if _ISSUERS.match(digits) else -1
-        shape = 1 if len(digits) in (13, 14, 15, 16, 19) and len(set(digits)) > 3 else -1
+        named = 1 if exact and _ISSUERS.match(digits) else -1
+        shape = 1 if exact and len(digits) in (13, 14, 15, 16, 19) and len(set(digits)) > 3 else -1
     else:
         named = 1 if digits[-7:-4] == "555" or span.startswith(("+", "00")) else 0
         shape = 1 if 10 <= len(digits) <= 13 and len(set(digits)) > 2 else -1
     glued = (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-    return (1 if exact else 0, named, 1 if _CUES[kind].search(before) else 0, -1 if _AGAINST.search(before) else 0, -1 if glued else 1, shape)
+    fails = not exact and (kind == CARD or (kind == IP and ":" not in span))
+    return (1 if exact else -1 if fails else 0, named, 1 if _CUES[kind].search(before) else 0, -1 if _AGAINST.search(before) else 0, -1 if glued else 1, shape)
 
 
 def features(kind: int, vote: tuple[int, ...]) -> list[float]:

@@ -98,6 +98,38 @@ def test_op2_and_pipeline_reject_unlearned_scripts_and_junk(spark, sf):
     assert not kept & set(odd) and len(kept) > 0.9 * docs.count()
 
 
+def test_op2_fractions_and_circled_numbers_are_no_letters(spark, sf):
+    model = language_id.fit(table(spark, sf, "documents"))
+    rows = spark.createDataFrame([(1, "½ ② ¾ x²"[:5]), (2, "² ³"), (3, "the²house and² ½the garden of the house")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(rows, model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en"
+    assert language_id.letters_of("A½b²") == "a b"
+
+
+def plain_viterbi(scores, penalty):
+    """Best labels by trying every switch at every word."""
+    n = len(scores[0])
+    value, back = list(scores[0]), []
+    for row in scores[1:]:
+        from_ = [max(range(n), key=lambda j: value[j] - penalty * (j != i)) for i in range(n)]
+        value = [value[from_[i]] - penalty * (from_[i] != i) + row[i] for i in range(n)]
+        back.append(from_)
+    at = max(range(n), key=value.__getitem__)
+    best, labels = value[at], [at]
+    for from_ in reversed(back):
+        labels.append(at := from_[at])
+    return best, labels[::-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(*[st.sampled_from([0.0, -0.5, -1.0, -3.0])] * 3), min_size=1, max_size=30), st.sampled_from([1.0, 2.5, 18.0]))
+def test_op2_viterbi_is_optimal(scores, penalty):
+    spans = language_id.viterbi(np.array(scores), penalty)
+    assert [a for a, _, _ in spans] == [0, *[b for _, b, _ in spans[:-1]]] and spans[-1][1] == len(scores)
+    got = sum(scores[k][x] for a, b, x in spans for k in range(a, b)) - penalty * (len(spans) - 1)
+    assert abs(got - plain_viterbi(scores, penalty)[0]) < 1e-9
+
+
 def test_op2_learns_rare_languages(spark):
     rows = [(i, "the cat and the dog", "en") for i in range(400)] + [(1000 + i, "der hund und die katze", "de") for i in range(2)]
     assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_documents=10).languages == ["de", "en"]
@@ -135,6 +167,20 @@ def test_op3_masks(spark):
     assert sorted(p > 0.5 for p in post.values()) == [False, True]
 
 
+def test_op3_added_spans(spark):
+    """Obfuscated mail and local phone numbers are added; order numbers and versions that only look alike are not."""
+    true, false = [], []
+    for i in range(120):
+        true += [f"please write an email to joe{i}.smith (at) example (dot) com soon", f"call phone (212) 555-{1000 + i} today", f"mail me at ann{i}@example.org now", f"phone +1 212 555 {1000 + i}"]
+        false += [f"order number 4111 1111 1111 {1112 + 9 * i:04d} was sent", f"invoice version {300 + i}.1.2.3 is out", f"the build id 9{i:03d}-1234-5678-9012-3 failed"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(true + false)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    loose = [got[i] for i, t in enumerate(true) if "(at)" in t or "(212)" in t]
+    assert np.mean([r["n_added"] > 0 for r in loose]) >= 0.9
+    luhn_fails = [got[len(true) + i] for i, t in enumerate(false) if not base(t)]
+    assert len(luhn_fails) > 200 and np.mean([r["n_added"] == 0 for r in luhn_fails]) >= 0.9
+
+
 def test_op4_groups(spark, sf, docs):
     sets = {i: shingles(words_of(t), 3) for i, t in docs.items()}
     comp = groups(sets, similar(sets, 85))
@@ -305,6 +351,15 @@ def test_op9_pieces_and_places(spark, sf, docs):
     assert len(held) <= -(-total // 2048) * 1.02 + 1
 
 
+def test_op9_same_ids_as_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["<|ENDOFTEXT|> a", "A <|EndOfText|>b", "<|endoftext|> x <|startoftext|>.", "Don't STOP, İstanbul ẞ ǅ 3.14!! a|b *x*", "Å e\u0301 Ω"]
+    got = packing.tokenize_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 def test_op9_plan_places_every_piece(histogram):
@@ -336,6 +391,43 @@ def test_op10_keeps_articles_in_hinted_wrappers(wrapper):
         assert html_density.main_text(f'<body>{beside}<div class="{wrapper}"><{tag}><p>{text}</p><p>{text}</p></{tag}></div></body>') == f"{text}\n{text}", tag
 
 
+def test_op10_hints_drop_no_larger_part_of_an_article():
+    five = " ".join(f"Sentence number {i} of the story goes on for a while." for i in range(5))
+    assert html_density.main_text(f'<article><div class="social"><p>{five}</p></div><p>end of it</p></article>') == f"{five}\nend of it"
+    assert html_density.main_text(f'<article><p>{five}</p><div class="social">Share this</div><p>end of it</p></article>') == f"{five}\nend of it"
+    assert html_density.main_text(f'<div id="search"><p>{five}</p><p>{five}</p></div><div class="ad">Buy</div>') == f"{five}\n{five}"
+
+
+def union_find_verdicts(pages, redirects):
+    """Brute force: a page without a rule is blocked if any url of its alias group falls under a block rule."""
+    ends = sorted({u for e in redirects for u in e} | {u for _, u in pages})
+    low = groups(range(len(ends)), [(ends.index(a), ends.index(b)) for a, b in redirects])
+    part = {u: low[i] for i, u in enumerate(ends)}
+
+    def action(url):
+        host, path = re.match(r"[^:]*://([^/]*)(.*)", url).groups()
+        fits = [(len(h), len(p), a) for a, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[2] if fits else None
+
+    bad = {part[u] for u in ends if action(u) == "block"}
+    return {i: action(u) or ("block" if part[u] in bad else "allow") for i, u in pages}
+
+
+def test_op5_planted_redirects(spark):
+    """Chains, a hub with most of the edges, a cycle, and an explicit allow inside a blocked group."""
+    url = lambda n: f"https://h{n}.info/p{n}"
+    chain = [(url(i), url(i + 1)) for i in range(40)] + [(url(40), "https://x.com/en/1")]
+    hub = [(url(100 + i), url(99)) for i in range(300)]
+    bad_hub = [(url(1000 + i), "https://y.net/de/3") for i in range(50)]
+    cycle = [(url(500), url(501)), (url(501), url(502)), (url(502), url(500))]
+    allowed = [("https://example.com/en/7", url(1)), ("https://www.example.com/en/7a", url(1001))]
+    edges = chain + hub + bad_hub + cycle + allowed
+    pages = list(enumerate(sorted({u for e in edges for u in e} | {url(9999)})))
+    got = url_filter.filter_urls(spark.createDataFrame([(i, u, None) for i, u in pages], "page_id long, url string, html string"), redirects=spark.createDataFrame(edges, "src string, dst string"))
+    verdicts = {r["page_id"]: r["verdict"] for r in got.collect()}
+    assert verdicts == union_find_verdicts(pages, edges) and set(verdicts.values()) == {"allow", "block"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div", ">", "<li>", "</div>", "<!--", "-->", "text ", "&amp;", "<script>", "</script>", "<td>", "'", '"', "<br/>"]), max_size=40))
 def test_op10_never_fails(parts):
