@@ -84,7 +84,7 @@ def trigrams(letters: str, known: Memo) -> list[int]:
 
 
 def trigram_memo() -> Memo:
-    return Memo(lambda g: xxhash.xxh32_intdigest(g) % BUCKETS)
+    return Memo(lambda g: xxhash.xxh32_intdigest(g) % BUCKETS, 100_000)
 
 
 def held_out(id_: Column) -> Column:
@@ -203,7 +203,7 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, int
     return spans[::-1]
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words_kept: int = 250_000) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), words_kept: int = 100_000) -> DataFrame:
     """One row per row: id, lang_pred, score, spans (language and words of each), and the ``carry`` columns.
 
     lang_pred is the language with the most letters in the labelled spans, score its share of all letters, where only
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, grams = np.zeros((words_kept, n + 2), np.float32), {}, trigram_memo()
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             langs, sure, spans = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = text.split() if text and n else []

@@ -40,7 +40,7 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BYTE = _constants(256, 14, 64)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _known_powers: dict[int, np.ndarray] = {}
-CHUNK = 1 << 20  # bytes of text hashed at once; a longer text is one chunk
+CHUNK = 1 << 18  # bytes of text hashed at once; a longer text is one chunk
 
 
 def powers(base: int, n: int) -> np.ndarray:
