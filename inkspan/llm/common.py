@@ -107,6 +107,29 @@ def marked(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     return found.withColumn("marked", F.coalesce(hit, F.lit(False))).drop("_bit", "_word", "_bits")
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that, when its task ends, gives the memory it freed back to the machine: Python workers
+    outlive their tasks and stages, and what they keep counts against the executor."""
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 class Memo(dict):
     """word -> value, computed once per Python worker; emptied when it reaches ``limit`` entries."""
 

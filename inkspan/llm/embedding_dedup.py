@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, fields, numbered, settled
+from inkspan.llm.common import cut, fields, numbered, settled, tidy
 from inkspan.llm.components import connected_components
 
 TABLES, BITS = 20, 16  # a pair at cosine 0.98 shares some bucket with probability above 0.9997
@@ -120,7 +120,7 @@ def embedding_components(
     good = v.filter(usable)
     reps = good.groupBy("label", "vector").agg(F.min("vertex").alias("rep"), F.count("*").alias("copies"))
     reps = numbered(reps, "vectors")
-    hashed = reps.select("uid", "vector").mapInArrow(_hash_signs(seed), "vertex long, keys array<int>")
+    hashed = reps.select("uid", "vector").mapInArrow(tidy(_hash_signs(seed)), "vertex long, keys array<int>")
     hashed = cut(hashed.join(reps.select(F.col("uid").alias("vertex"), "label", F.size("vector").alias("dim")), "vertex"), "signs")
     keys = hashed.select("vertex", "label", "dim", F.posexplode("keys").alias("pos", "h"))
     bucket = ["pos", "h", "label", "dim"]
@@ -130,7 +130,7 @@ def embedding_components(
     rows = rows.select(*bucket, "vertex", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = rows.join(hashed.select("vertex", "keys"), "vertex").join(reps.select(F.col("uid").alias("vertex"), "vector", "copies"), "vertex")
     rows = rows.select(*bucket, "i", "j", "block", "vertex", "copies", "keys", "vector").repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j")
-    found = cut(rows.mapInArrow(_compare(cosine), "vertex long, links long, low long").groupBy("vertex", "low").agg(F.sum("links").alias("links")), "links")
+    found = cut(rows.mapInArrow(tidy(_compare(cosine)), "vertex long, links long, low long").groupBy("vertex", "low").agg(F.sum("links").alias("links")), "links")
     counts = found.groupBy("vertex").agg(F.sum("links").alias("links"))
     ids = reps.select("uid", "rep")
     named = found.filter("vertex != low").select("vertex", "low").distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import fields
+from inkspan.llm.common import fields, tidy
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -263,5 +263,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     as they are, nulls included; repeated rows are extracted alike; an empty table gives an empty result."""
     p = fields(pages, id=id_col, url=url_col, html=html_col)
     kind = p.schema["id"].dataType.simpleString()
-    out = p.mapInArrow(_extract, f"id {kind}, url string, text string")
+    out = p.mapInArrow(tidy(_extract), f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

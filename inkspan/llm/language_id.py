@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Memo, fields
+from inkspan.llm.common import Memo, fields, tidy
 
 BUCKETS = 1 << 15
 PENALTY = 18.0  # nats a switch costs
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             s = scripts[lang]
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(s), "bucket": pa.array([-1] * len(s), pa.int32()), "script": pa.array(list(s), pa.string()), "n": pa.array(list(s.values()), pa.int64())})
 
-    rows = d.mapInArrow(count, "lang string, bucket int, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).collect()
+    rows = d.mapInArrow(tidy(count), "lang string, bucket int, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in rows})
     place = {x: i for i, x in enumerate(languages)}
     counts, scripts = np.zeros((len(languages), BUCKETS)), {}
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     d = fields(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
     kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
     schema = f"id {kinds['id']}, lang_pred string, score double, spans array<struct<first: int, end: int, lang: string>>" + "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(carry)))
-    out = d.mapInArrow(run, schema)
+    out = d.mapInArrow(tidy(run), schema)
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "spans", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 

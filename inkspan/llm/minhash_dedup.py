@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, drop_cut, fields, marked, numbered, settled
+from inkspan.llm.common import cut, drop_cut, fields, marked, numbered, settled, tidy
 from inkspan.llm.components import connected_components
 from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands
 
@@ -172,7 +172,7 @@ def near_duplicates(
     steps = least_matches(percent / 100, miss)
     texts = fields(items, vertex=id_col, text=text_col)
     kind = texts.schema["vertex"].dataType.simpleString()
-    whole = cut(texts.mapInArrow(sketcher(shingle, bands, rows, min_words), SKETCH_SCHEMA.format(kind=kind)), "sketches")
+    whole = cut(texts.mapInArrow(tidy(sketcher(shingle, bands, rows, min_words)), SKETCH_SCHEMA.format(kind=kind)), "sketches")
     worded = whole.filter("n > 0 and vertex is not null")
     # one row per word sequence: copies are collapsed by partial aggregation, before any shuffle
     once = worded.groupBy("d1", "d2").agg(F.min("vertex").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -189,7 +189,7 @@ def near_duplicates(
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sig.select(F.col("uid").alias("a"), F.col("rep").alias("ra"), F.col("sig").alias("sa")), "a")
         both = both.join(sig.select(F.col("uid").alias("b"), F.col("rep").alias("rb"), F.col("sig").alias("sb")), "b")
-        left = both.select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(_prune_pairs(steps), f"a long, b long, ra {kind}, rb {kind}")
+        left = both.select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(tidy(_prune_pairs(steps)), f"a long, b long, ra {kind}, rb {kind}")
         return cut(_exact(left, texts, shingle, percent), "links")
 
     def mixed_buckets(groups: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def near_duplicates(
     as_right = rest.select("pos", "h", "uid", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("i"), own(F.col("nr")).alias("j"))
     blocks = as_left.unionByName(as_right).join(reps.select("uid", "sig", "bands"), "uid").select("pos", "h", "i", "j", "left", F.col("uid").alias("vertex"), "comp", "sig", "bands")
     blocks = blocks.repartition("pos", "h", "i", "j").sortWithinPartitions("pos", "h", "i", "j")
-    more = cut(blocks.mapInArrow(_search_blocks(steps), "pos int, h long, i long, j long, a array<long>, b array<long>"), "blocks")
+    more = cut(blocks.mapInArrow(tidy(_search_blocks(steps)), "pos int, h long, i long, j long, a array<long>, b array<long>"), "blocks")
     inside = more.select(*KEY, F.explode(F.array_distinct(F.concat("a", "b"))).alias("uid")).join(copies.select("uid", F.col("rep").alias("vertex")), "uid")
     theirs = inside.join(_texts_of(texts, inside.select("vertex").distinct()), "vertex")
     none = F.lit(None)
@@ -221,7 +221,7 @@ def near_duplicates(
         theirs.select(*KEY, none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b"), F.col("uid").alias("vertex"), "text")
     )
     rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, F.col("a").isNull())
-    second = cut(rows.mapInArrow(_verify_blocks(shingle, percent), "src long, dst long").distinct(), "links")
+    second = cut(rows.mapInArrow(tidy(_verify_blocks(shingle, percent)), "src long, dst long").distinct(), "links")
     renamed = second.join(groups.select(F.col("id").alias("src"), F.col("component").alias("x")), "src", "left").join(groups.select(F.col("id").alias("dst"), F.col("component").alias("y")), "dst", "left")
     renamed = renamed.select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst"))
     merged = connected_components(renamed)
@@ -252,7 +252,7 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     pairs = cut(pairs, "candidates")
     some = _texts_of(texts, pairs.select(F.explode(F.array("ra", "rb")).alias("vertex")).distinct())
     both = pairs.join(some.select(F.col("vertex").alias("ra"), F.col("text").alias("ta")), "ra").join(some.select(F.col("vertex").alias("rb"), F.col("text").alias("tb")), "rb")
-    checked = both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a long, b long, ok boolean")
+    checked = both.select("a", "b", "ta", "tb").mapInArrow(tidy(_verify(shingle, percent)), "a long, b long, ok boolean")
     return checked.filter("ok").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 

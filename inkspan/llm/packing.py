@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, fields
+from inkspan.llm.common import cut, fields, tidy
 
 PIECES = "id {kind}, piece int, start long, length long, ids binary"
 
@@ -89,7 +89,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 )
 
     d = fields(docs, id=id_col, text=text_col)
-    return d.mapInArrow(run, PIECES.format(kind=d.schema["id"].dataType.simpleString()))
+    return d.mapInArrow(tidy(run), PIECES.format(kind=d.schema["id"].dataType.simpleString()))
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut, drop_cut, marked
+from inkspan.llm.common import cut, drop_cut, marked, tidy
 from inkspan.llm.sketch import chunks, mix, powers, word_hashes
 
 STEP = 0xD1342543DE82EF95  # odd, and not the base of the words' own hashes
@@ -35,9 +35,11 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def picked(hashes: np.ndarray, window: int) -> np.ndarray:
     """Places of the smallest hash of every ``window`` neighbours."""
-    if len(hashes) < window:
-        return np.empty(0, np.int64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1) + np.arange(len(hashes) - window + 1))
+    n, found = len(hashes) - window + 1, []
+    for at in range(0, n, BLOCK):  # argmin copies the windows it looks at
+        some = np.lib.stride_tricks.sliding_window_view(hashes[at : at + BLOCK + window - 1], window)
+        found.append(np.unique(some.argmin(axis=1) + np.arange(at, at + len(some))))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
 def covered(places: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
@@ -64,6 +66,7 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return text
 
 
+BLOCK = 8192
 LISTS = pa.list_(pa.int32()), pa.list_(pa.int64())
 
 
@@ -130,13 +133,13 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(id, places, hs): per document the windows of ``min_words`` words that repeat an earlier one; docs: id, text."""
     gram = max(1, min_words // 2)
     named = docs.filter("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
-    held = cut(named.mapInArrow(_spots(gram, min_words - gram + 1), "id long, places array<int>, hs array<long>"), "spots")
+    held = cut(named.mapInArrow(tidy(_spots(gram, min_words - gram + 1)), "id long, places array<int>, hs array<long>"), "spots")
     # the counts are cut, so that a join with a hot key can be dealt over more tasks
     twice = cut(_rows(held).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
     spots = cut(_rows(held).join(twice, "h").groupBy("id").agg(F.collect_set("place").alias("spots")), "candidates")
     drop_cut(held, twice)
     some = marked(named, "id", spots).filter("marked").select("id", "text").join(spots, "id").select("id", "text", "spots")
-    around = cut(some.mapInArrow(_windows(gram, min_words), "id long, places array<int>, hs array<long>"), "windows")
+    around = cut(some.mapInArrow(tidy(_windows(gram, min_words)), "id long, places array<int>, hs array<long>"), "windows")
     drop_cut(spots)
     windows = _rows(around)
     firsts = windows.groupBy("h").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -157,5 +160,5 @@ def remove_passages(docs: DataFrame, min_words: int) -> DataFrame:
     hit = d.filter("marked").drop("marked").withColumn("_key", F.col("id").cast("long")).join(found.withColumnRenamed("id", "_key"), "_key", "left")
     none = F.array().cast("array<int>"), F.array().cast("array<long>")
     hit = hit.select("id", "text", F.coalesce("places", none[0]).alias("places"), F.coalesce("hs", none[1]).alias("hs"), *rest)
-    hit = hit.mapInArrow(_cutter(min_words), f"id {kinds['id']}, text string, n_cut long" + "".join(f", {c} {kinds[c]}" for c in rest))
+    hit = hit.mapInArrow(tidy(_cutter(min_words)), f"id {kinds['id']}, text string, n_cut long" + "".join(f", {c} {kinds[c]}" for c in rest))
     return hit.unionByName(d.filter("not marked").drop("marked").withColumn("n_cut", F.lit(0).cast("long")))

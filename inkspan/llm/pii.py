@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import fields
+from inkspan.llm.common import fields, tidy
 
 ACCEPT = 0.9  # least probability of an added span
 KINDS = ("email", "ip", "card", "phone")
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> frozenset[int]:
         yield pa.RecordBatch.from_pydict({"code": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
     texts = fields(docs, text=text_col).filter("text is not null")
-    rows = texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 4 * 3**6 rows
+    rows = texts.mapInArrow(tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 4 * 3**6 rows
     return train({r["code"]: r["n"] for r in rows})
 
 
@@ -231,7 +231,7 @@ def find_spans(docs: DataFrame, accepted: frozenset[int], id_col: str = "doc_id"
 
     d = fields(docs, id=id_col, text=text_col, **{f"c{i}": c for i, c in enumerate(carry)})
     kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    out = d.mapInArrow(run, f"id {kinds['id']}, base {SPAN}, added {SPAN}, text string" + "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(carry))))
+    out = d.mapInArrow(tidy(run), f"id {kinds['id']}, base {SPAN}, added {SPAN}, text string" + "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(carry))))
     return out.select(F.col("id").alias(id_col), "base", "added", F.col("text").alias(text_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 

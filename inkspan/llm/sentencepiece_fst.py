@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Memo, fields
+from inkspan.llm.common import Memo, fields, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 at = end
 
     d = fields(docs, id=id_col, text=text_col)
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids array<int>" + ", round_trip boolean" * round_trip).withColumnRenamed("id", id_col)
+    return d.mapInArrow(tidy(run), f"id {d.schema['id'].dataType.simpleString()}, ids array<int>" + ", round_trip boolean" * round_trip).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:

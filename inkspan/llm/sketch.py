@@ -40,7 +40,7 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BYTE = _constants(256, 14, 64)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _known_powers: dict[int, np.ndarray] = {}
-CHUNK = 1 << 18  # bytes of text hashed at once; a longer text is one chunk
+CHUNK = 1 << 18  # bytes of text hashed at once
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -49,7 +49,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if found is None or len(found) < n:
         found = np.full(max(n, CHUNK), base, np.uint64)
         found[0] = 1
-        found = _known_powers[base] = np.cumprod(found)
+        found = np.cumprod(found)
+        if n <= CHUNK:
+            _known_powers[base] = found
     return found[:n]
 
 
@@ -71,9 +73,16 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     blank = _SPACE[raw]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(raw))[starts])
+    h, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # words of CHUNK bytes at a time, so a long text needs no more memory than its words
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
+        n = int(ends[j - 1] - lo)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[raw[lo : lo + n]] * powers(_BASE, n), out=sums[1:])
+        h[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * powers(_INVERSE, n)[starts[i:j] - lo]
+        i = j
+    mix(h)
     begin = np.cumsum([1, *[len(t or b"") + 1 for t in texts]])
     return h, np.searchsorted(starts, begin)
 
