@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITMAP = 1 << 22  # bits
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _written: list[tuple[SparkSession, str]] = []
 _own: dict[int, str] = {}
@@ -35,8 +36,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs one stage only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkspan-{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    schema, before = df.schema, spark.conf.get(ARROW_ROWS)
+    try:  # whole texts travel in these batches: fewer rows each keep both sides of the pipe small
+        spark.conf.set(ARROW_ROWS, min(int(before), 2000) if int(before) > 0 else 2000)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
