@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.dates import covered_months, month_number
+from inkspan.functions.numeric import round_exact
 from inkspan.functions.text import degree_level, is_plain_skill, required_degree, required_years
 from inkspan.operators.evidence import locate
 from inkspan.operators.spans import overlaps
@@ -43,7 +44,7 @@ def experience_years(work: DataFrame, today: str, key: str = "report_id") -> Dat
     """Length of the union of work spans in years; campus entries and incomplete spans do not count."""
     end = F.when(F.col("is_present"), F.lit(today[:7])).otherwise(F.col("end"))
     d = work.filter("kind != 'campus'").withColumn("_s", F.struct(month_number(F.col("start")).alias("start"), month_number(end).alias("end"))).filter("_s.start IS NOT NULL AND _s.end IS NOT NULL")
-    return d.groupBy(key).agg(F.round(covered_months(F.collect_list("_s")) / 12, 1).alias("years"))
+    return d.groupBy(key).agg(round_exact(covered_months(F.collect_list("_s")) / 12).alias("years"))
 
 
 def match_years(requirements: DataFrame, years: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def score_matches(requirements: DataFrame, items: DataFrame) -> DataFrame:
     """Per report: overall score and one per category, 0..100, null where nothing is asked; requirements without item are misses."""
     d = requirements.select("report_id", "requirement_id", "category", "weight").join(items.select("report_id", "requirement_id", "status"), ["report_id", "requirement_id"], "left")
     d = d.withColumn("_v", F.col("weight") * status_value(F.coalesce("status", F.lit("miss"))))
-    ratio = lambda c: F.round(100 * F.sum(F.when(c, F.col("_v"))) / F.nullif(F.sum(F.when(c, F.col("weight"))), F.lit(0)), 1)
+    ratio = lambda c: round_exact(100 * F.sum(F.when(c, F.col("_v"))) / F.nullif(F.sum(F.when(c, F.col("weight"))), F.lit(0)))
     return d.groupBy("report_id").agg(ratio(F.lit(True)).alias("overall"), *[ratio(F.col("category") == c).alias(c) for c in CATEGORIES])
 
 

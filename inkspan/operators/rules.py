@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.dates import month_number
+from inkspan.functions.numeric import round_exact
 from inkspan.functions.text import LINE_PREFIX, clause_around, first_sentence, has_number
 
 # Words and limits that the rules are defined by.
@@ -143,10 +144,10 @@ def score_findings(findings: DataFrame, units: DataFrame, mode: str = "hybrid")
     d = units.select("resume_id", "unit_count").join(got, "resume_id", "left")
     scale = F.lit(REFERENCE_UNITS) / F.greatest(F.col("unit_count"), F.lit(REFERENCE_UNITS))
     active = ACTIVE[mode]
-    scores = {c: F.round(F.greatest(F.lit(0.0), 100 - F.coalesce(c, F.lit(0)) * scale), 1) if c in active else F.lit(None).cast("double") for c in CATEGORIES}
+    scores = {c: round_exact(F.greatest(F.lit(0.0), 100 - F.coalesce(c, F.lit(0)) * scale)) if c in active else F.lit(None).cast("double") for c in CATEGORIES}
     d = d.select("resume_id", "unit_count", *[v.alias(c) for c, v in scores.items()])
     overall = sum((F.col(c) * WEIGHTS[c] for c in active), F.lit(0.0)) / sum(WEIGHTS[c] for c in active)
-    return d.withColumn("overall", F.round(overall, 1))
+    return d.withColumn("overall", round_exact(overall))
 
 
 def diagnosis_counters(findings: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -163,8 +164,8 @@ def diagnosis_counters(findings: DataFrame, skipped: DataFrame) -> DataFrame:
 
 
 def affordable_units(units: DataFrame, budget: float = 0.05, unit_cost: float = 0.002, reserve: float = 1.5) -> DataFrame:
-    """The units that the budget pays for, in order, and whether any was skipped."""
+    """The units that the budget pays for, in the order of the document, and how many were skipped."""
     n = int(budget / (unit_cost * reserve))
     w = Window.partitionBy("resume_id")
-    ranked = units.withColumn("_n", F.row_number().over(w.orderBy("unit_id"))).withColumn("skipped", F.greatest(F.count("*").over(w) - n, F.lit(0)))
+    ranked = units.withColumn("_n", F.row_number().over(w.orderBy("char_start", "unit_id"))).withColumn("skipped", F.greatest(F.count("*").over(w) - n, F.lit(0)))
     return ranked.filter(F.col("_n") <= n).drop("_n")

@@ -25,7 +25,9 @@ def feature_of(scene: Column, mapping: dict[str, str] = SCENE_FEATURE) -> Column
 
 def failure_reason(message: Column) -> Column:
     """What an administrator reads of a failed call; the first rule that fits decides, null is "other"."""
-    code = F.coalesce(*[F.when(F.regexp_extract(message, p, 1) != "", F.regexp_extract(message, p, 1).cast("int")) for p in ("Error code: (\\d{3})", "'(\\d{3}) [A-Z]")])
+    # the leftmost of both forms decides
+    both = "Error code: (\\d{3})|'(\\d{3}) [A-Z]"
+    code = F.nullif(F.concat(F.regexp_extract(message, both, 1), F.regexp_extract(message, both, 2)), F.lit("")).cast("int")
     numbered = lambda text: F.concat(F.lit(f"{text}（"), code.cast("string"), F.lit("）"))
     return (
         F.when(message.contains("提前结束了流式读取"), "页面中途关了或刷新了，没生成完")

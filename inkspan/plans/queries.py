@@ -247,7 +247,7 @@ def _requirements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return r, i
 
 
-_SCORE = "CAST(round(100 * sum(w * v) FILTER ({c}) / nullif(sum(w) FILTER ({c}), 0), 1) AS DECIMAL(6,1))"
+_SCORE = "CAST(format('{{:.1f}}', 100 * sum(w * v) FILTER ({c}) / nullif(sum(w) FILTER ({c}), 0)) AS DECIMAL(6,1))"
 _LINES = f"(SELECT l_orderkey AS report_id, l_partkey, l_suppkey, l_linenumber, {_CATEGORY} AS category, CASE l_linestatus WHEN 'F' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w, CAST({_VALUE} AS DOUBLE) AS v FROM (SELECT DISTINCT ON (l_orderkey, l_partkey, l_suppkey, l_linenumber) * FROM lineitem))"
 
 
@@ -279,11 +279,14 @@ def win_turn_no(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("turn_no"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 30), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY 1")
+@query("""SELECT conv_id, turn // 4 AS topic, string_agg('面试官：' || role || chr(10) || '候选人：' || CASE WHEN coalesce(text, '') = '' THEN '（没有回答）' ELSE text END, chr(10) ORDER BY turn)
+ || CASE WHEN max(turn) % 2 = 0 THEN chr(10) || '（评分员认为上一答的不足：' || 'short' || CAST(max(turn) AS VARCHAR) || '）' ELSE '' END AS history FROM conversations GROUP BY 1, 2""")
 def ctx_ask_history(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    row = F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.left(F.col("text"), F.lit(30))).alias("said"))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["said"]), "\n").alias("history"))
+    bad = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("short"), F.col("turn").cast("string")))
+    turns = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_no"), F.floor(F.col("turn") / 4).alias("topic_idx"), F.col("role").alias("question"), F.col("text").alias("answer"), bad.alias("bad"))
+    got = interview.ask_history(turns, turns.select("session_id", "topic_idx").distinct())
+    return got.select(F.col("session_id").alias("conv_id"), F.col("topic_idx").alias("topic"), "history")
 
 
 # texts: lines, offsets, tests on lines
@@ -342,15 +345,19 @@ def rule_WEAK_VERB(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     units = _units(spark, d)
-    found = rules.length_anomaly(units).unionByName(rules.no_quantification(units, RESULTS))
+    found = rules.length_anomaly(units).unionByName(rules.no_quantification(units, RESULTS)).unionByName(rules.star_incomplete(units, RESULTS)).unionByName(rules.weak_verb(units, WEAK))
     n = units.groupBy("resume_id").agg(F.count("*").alias("unit_count"))
     return rules.score_findings(found, n, "rule_only")
 
 
-@query(f"""WITH {LINES}, n AS (SELECT doc_id, count(*) AS units, sum(CASE WHEN length(line) > 120 OR length(line) < 8 THEN 5 ELSE 0 END) AS e,
- sum(CASE WHEN regexp_matches(line, '{RESULTS}') AND NOT regexp_matches(regexp_replace(line, '^(?:[*•-]|[0-9]{{1,2}}[.)])', ' '), '{NUMBER_SQL}') THEN 25 ELSE 0 END) AS q FROM ls GROUP BY 1),
- s AS (SELECT doc_id, units, round(greatest(0.0::DOUBLE, 100 - e * (4.0::DOUBLE / greatest(units, 4))), 1) AS expression, round(greatest(0.0::DOUBLE, 100 - q * (4.0::DOUBLE / greatest(units, 4))), 1) AS quantification FROM n)
- SELECT doc_id, CAST(expression AS DECIMAL(5,1)) AS expression, CAST(quantification AS DECIMAL(5,1)) AS quantification FROM s""")
+_NO_NUMBER = f"NOT regexp_matches(regexp_replace(line, '^(?:[*•-]|[0-9]{{1,2}}[.)])', ' '), '{NUMBER_SQL}')"
+_PENALTIES = f"""{LINES}, n AS (SELECT doc_id, count(*) AS unit_count,
+ sum(CASE WHEN length(line) > 120 OR length(line) < 8 THEN 5 ELSE 0 END + CASE WHEN regexp_matches(line, '^[*•-]?\\s*(?:{WEAK})') THEN 5 ELSE 0 END) AS e,
+ sum(CASE WHEN regexp_matches(line, '{RESULTS}') AND {_NO_NUMBER} THEN 25 ELSE 0 END) AS q, sum(CASE WHEN NOT regexp_matches(line, '{RESULTS}') AND {_NO_NUMBER} THEN 12 ELSE 0 END) AS c FROM ls GROUP BY 1),
+ s AS (SELECT doc_id, unit_count, {", ".join(f"CAST(format('{{:.1f}}', greatest(0.0::DOUBLE, 100 - {x} * (4.0::DOUBLE / greatest(unit_count, 4)))) AS DOUBLE) AS {name}" for x, name in (("c", "completeness"), ("q", "quantification"), ("e", "expression")))} FROM n)"""
+
+
+@query(f"WITH {_PENALTIES} SELECT doc_id, CAST(expression AS DECIMAL(5,1)) AS expression, CAST(quantification AS DECIMAL(5,1)) AS quantification FROM s")
 def agg_diag_score(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select(F.col("resume_id").alias("doc_id"), F.col("expression").cast("decimal(5,1)").alias("expression"), F.col("quantification").cast("decimal(5,1)").alias("quantification"))
 
@@ -452,10 +459,15 @@ def st_idle_close(spark: SparkSession, d: str) -> DataFrame:
     return got.select("user_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), F.col("last_active_at").cast("timestamp_ntz").alias("last_active_at"), "n")
 
 
-@query()
+_ALL = sum(rules.WEIGHTS.values())
+_OVERALL = f"((((0.0::DOUBLE + completeness * 0.25::DOUBLE) + quantification * 0.25::DOUBLE) + expression * 0.2::DOUBLE) + 100.0::DOUBLE * 0.2::DOUBLE + 100.0::DOUBLE * 0.1::DOUBLE) / {_ALL!r}::DOUBLE"
+
+
+@query(f"""WITH {_PENALTIES} SELECT doc_id AS resume_id, unit_count, {", ".join(f"CAST({x} AS DECIMAL(5,1)) AS {x}" for x in ("completeness", "quantification", "expression"))}, CAST(100 AS DECIMAL(5,1)) AS consistency, CAST(100 AS DECIMAL(5,1)) AS ats,
+ CAST(format('{{:.1f}}', {_OVERALL}) AS DECIMAL(5,1)) AS overall FROM s""")
 def flagship_diagnosis(spark: SparkSession, d: str) -> DataFrame:
     """documents -> lines with offsets -> rule findings with evidence -> score per document."""
-    return _scored(spark, d)
+    return _scored(spark, d).select("resume_id", "unit_count", *[F.col(c).cast("decimal(5,1)").alias(c) for c in (*rules.CATEGORIES, "overall")])
 
 
 @query()
