@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows an Arrow batch for what is run inside: whole texts travel in them, and both ends of the pipe hold them."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, min(int(before), 2000) if int(before) > 0 else 2000)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs one stage only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkspan-{label}-{uuid.uuid4().hex}"
-    schema, before = df.schema, spark.conf.get(ARROW_ROWS)
-    try:  # whole texts travel in these batches: fewer rows each keep both sides of the pipe small
-        spark.conf.set(ARROW_ROWS, min(int(before), 2000) if int(before) > 0 else 2000)
+    schema = df.schema
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
     _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 

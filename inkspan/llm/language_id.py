@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import Memo, fields, tidy
+from inkspan.llm.common import Memo, fields, small_batches, tidy
 
 BUCKETS = 1 << 15
 PENALTY = 18.0  # nats a switch costs
@@ -166,7 +166,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             s = scripts[lang]
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(s), "bucket": pa.array([-1] * len(s), pa.int32()), "script": pa.array(list(s), pa.string()), "n": pa.array(list(s.values()), pa.int64())})
 
-    rows = d.mapInArrow(tidy(count), "lang string, bucket int, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).collect()
+    counts = d.mapInArrow(tidy(count), "lang string, bucket int, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n"))
+    with small_batches(docs.sparkSession):
+        rows = counts.collect()
     languages = sorted({r["lang"] for r in rows})
     place = {x: i for i, x in enumerate(languages)}
     counts, scripts = np.zeros((len(languages), BUCKETS)), {}

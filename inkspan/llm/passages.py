@@ -161,4 +161,4 @@ def remove_passages(docs: DataFrame, min_words: int) -> DataFrame:
     none = F.array().cast("array<int>"), F.array().cast("array<long>")
     hit = hit.select("id", "text", F.coalesce("places", none[0]).alias("places"), F.coalesce("hs", none[1]).alias("hs"), *rest)
     hit = hit.mapInArrow(tidy(_cutter(min_words)), f"id {kinds['id']}, text string, n_cut long" + "".join(f", {c} {kinds[c]}" for c in rest))
-    return hit.unionByName(d.filter("not marked").drop("marked").withColumn("n_cut", F.lit(0).cast("long")))
+    return cut(hit, "without").unionByName(d.filter("not marked").drop("marked").withColumn("n_cut", F.lit(0).cast("long")))

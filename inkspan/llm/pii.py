@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import fields, tidy
+from inkspan.llm.common import fields, small_batches, tidy
 
 ACCEPT = 0.9  # least probability of an added span
 KINDS = ("email", "ip", "card", "phone")
@@ -199,7 +199,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> frozenset[int]:
         yield pa.RecordBatch.from_pydict({"code": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
     texts = fields(docs, text=text_col).filter("text is not null")
-    rows = texts.mapInArrow(tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 4 * 3**6 rows
+    counts = texts.mapInArrow(tidy(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    with small_batches(docs.sparkSession):
+        rows = counts.collect()  # at most 4 * 3**6 rows
     return train({r["code"]: r["n"] for r in rows})
 
 
