@@ -25,7 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a language, or without a main one, go; a null lang is filled with the prediction."""
     found = language_id.identify(docs, language_id.fit(docs), carry=("text", "lang", "source", "n_chars"))
     found = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SHARE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    # written here, in small batches: the memory of an executor is what binds this pipeline
+    return cut(found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS), "languages")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pii.find_spans(docs, pii.fit(docs), mask=True, carry=("lang", "source"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return cut(out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS), "masked")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
