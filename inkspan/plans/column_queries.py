@@ -433,11 +433,11 @@ def flt_hide_eval(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", interview.shown_evaluation(status, mode, F.col("role")).alias("evaluation"))
 
 
-@query("SELECT user_id FROM (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) WHERE user_id % 3 <> 0 AND t < TIMESTAMP '2024-01-20'")
+@query("SELECT user_id FROM (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) WHERE user_id % 3 <> 0 AND t < TIMESTAMP '2024-01-30 12:00:00'")
 def flt_idle(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_active_at"), F.min("ts").alias("created_at"))
     s = s.withColumn("status", F.when(F.col("user_id") % 3 == 0, "finished").when(F.col("user_id") % 3 == 1, "created").otherwise("in_progress"))
-    return interview.idle_sessions(s, "2024-01-21").select("user_id")
+    return interview.idle_sessions(s, "2024-01-31 12:00:00").select("user_id")
 
 
 @query("SELECT conv_id AS session_id, turn AS topic_idx FROM conversations WHERE turn % 2 = 0 AND (conv_id * 7 + turn * 13) % 100 < 60")
