@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.common import cut, fields
 
-SPACE = "[\\x20\\x09-\\x0D]+"
 BUCKETS = 16_384
 WINDOW = 8
 
@@ -50,7 +49,7 @@ def _counted(d: DataFrame) -> DataFrame:
         "id",
         "words",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
@@ -59,7 +58,8 @@ def _counted(d: DataFrame) -> DataFrame:
     d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     d = d.withColumn("pairs", _joined(F.col("hashes"), 1))
     d = d.withColumn("fours", _joined(F.col("pairs"), 2))
-    d = d.withColumn("windows", _joined(F.col("fours"), 4)).drop("fours")
+    # eight words that occur twice begin with four that do: other texts need no windows
+    d = d.withColumn("windows", F.when(F.size(F.array_distinct("fours")) < F.size("fours"), _joined(F.col("fours"), 4))).drop("fours")
     w = F.col("windows")
     # only texts in which some window occurs twice pay for the sort that finds where
     ranked = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -86,15 +86,25 @@ def _counted(d: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", failed)
 
 
-def grams_of(words: Column, hashes: Column, pairs: Column) -> Column:
-    """Buckets of a text's n-grams: each word, each pair of words, and each word's last three characters."""
-    third = BUCKETS // 4
-    bucket = lambda h, n, at: (F.pmod(h, F.lit(n)) + at).cast("int")
-    return F.concat(
-        F.transform(hashes, lambda h: bucket(h, third, 0)),
-        F.transform(pairs, lambda h: bucket(h, third, third)),
-        F.transform(words, lambda w: bucket(F.xxhash64(F.substring(w, -3, 3)), 2 * third, 2 * third)),
-    )
+THIRD = BUCKETS // 4
+
+
+def _bucket(h: Column, n: int, at: int) -> Column:
+    return (F.pmod(h, F.lit(n)) + at).cast("int")
+
+
+def buckets_at(word: Column, following: Column) -> list[Column]:
+    """Buckets of the n-grams that begin at a word: itself, it with the word that follows (null: none), its last three characters."""
+    h = F.xxhash64(word)
+    pair = F.when(following.isNotNull(), _bucket(F.xxhash64(h, F.xxhash64(following)), THIRD, THIRD))
+    return [_bucket(h, THIRD, 0), pair, _bucket(F.xxhash64(F.substring(word, -3, 3)), 2 * THIRD, 2 * THIRD)]
+
+
+def log_ratio(ratio: Column, words: Column, hashes: Column, pairs: Column) -> Column:
+    """Sum of the log ratios of a text's n-grams, in the buckets of :func:`buckets_at`."""
+    total = F.aggregate(hashes, F.lit(0.0), lambda acc, h: acc + F.get(ratio, _bucket(h, THIRD, 0)))
+    total = F.aggregate(pairs, total, lambda acc, h: acc + F.get(ratio, _bucket(h, THIRD, THIRD)))
+    return F.aggregate(words, total, lambda acc, w: acc + F.get(ratio, _bucket(F.xxhash64(F.substring(w, -3, 3)), 2 * THIRD, 2 * THIRD)))
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", max_trusted: int = 20_000) -> list[float]:
@@ -108,9 +118,11 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     good = good.orderBy(F.xxhash64("id"), "id").limit(max_trusted).select(F.col("id"), F.lit(1).alias("trusted"))
     d = fields(docs, id=id_col, text=text_col).filter("text is not null")
     d = d.join(F.broadcast(good), "id", "left").select("trusted", words_of(F.col("text")).alias("words"))
-    d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("pairs", _joined(F.col("hashes"), 1))
+    # a row per word instead of functions over arrays: everything from here to the partial counts is generated code.
     # explode_outer: the filter that explode() infers would be pushed down and evaluate the arrays twice
-    d = d.select("trusted", F.explode_outer(grams_of(F.col("words"), F.col("hashes"), F.col("pairs"))).alias("bucket"))
+    following = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
+    d = d.select("trusted", F.explode_outer(F.arrays_zip("words", following.alias("next"))).alias("at")).filter("at.words IS NOT NULL")
+    d = d.select("trusted", F.explode_outer(F.array(*buckets_at(F.col("at.words"), F.col("at.next")))).alias("bucket"))
     rows = d.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()  # at most BUCKETS + 1 rows
     rows = [r for r in rows if r["bucket"] is not None]
     raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
@@ -139,9 +151,10 @@ def quality_filter(
     """
     ratio = F.from_json(F.lit(json.dumps(fit_ratio(docs, labels, id_col, text_col, good_col, max_trusted))), "array<double>")
     d = fields(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
-    d = _counted(d).withColumn("grams", grams_of(F.col("words"), F.col("hashes"), F.col("pairs")))
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(ratio, b))
-    d = d.withColumn("llr", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0)))
+    d = _counted(d)
+    n = F.size("hashes") + F.size("pairs") + F.size("words")
+    total = log_ratio(ratio, F.col("words"), F.col("hashes"), F.col("pairs"))
+    d = d.withColumn("llr", F.when(n > 0, total / n).otherwise(F.lit(0.0)))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= min_ratio))
     d = d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     return cut(d, "quality")  # a caller's filter pushed below would evaluate the nested arrays again and again
