@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import dates, masking, replies, text
-from inkspan.operators import evidence, interview, listing, matching, retrieval, skills, spans, usage
+from inkspan.operators import evidence, interview, layout, listing, matching, retrieval, sections, skills, spans, usage
 from inkspan.streaming import operators as streaming
 
 
@@ -38,14 +38,54 @@ def test_months_between(spark):
 
 
 @pytest.mark.parametrize("line", ["电话 13800138000 谢谢", "邮箱 someone@example.com", "138 0013 8000", "身份证 11010519491231002X"])
-def test_mask_hides_and_keeps_length(line):
-    got = masking.hide(line)
+def test_mask_hides_and_keeps_length(spark, line):
+    got = one(spark, masking.mask_personal(F.col("t")), t=line)
     assert got != line and len(got) == len(line)
 
 
 @pytest.mark.parametrize("line", ["版本 1.2.3.4 发布", "项目 https://example.com/a/b", ""])
-def test_mask_leaves_other_text(line):
-    assert masking.hide(line) == line
+def test_mask_leaves_other_text(spark, line):
+    assert one(spark, masking.mask_personal(F.col("t")), t=line) == line
+
+
+def test_mask_order_and_names(spark):
+    got = one(spark, masking.mask_personal(F.col("t"), F.lit(" 王小明 ")), t="王小明 现居：北京市 | a.b@c.com 13812345678")
+    assert got == "某某某 现居：某某某 | *.*@*.*** XXXXXXXXXXX"
+    assert one(spark, masking.mask_personal(F.col("t"), F.lit("王")), t="王 a") == "王 a"
+    assert one(spark, masking.mask_personal(F.col("t")), t=None) is None
+
+
+def test_new_numbers_become_placeholders(spark):
+    got = one(spark, masking.mask_new_numbers(F.col("t"), F.lit("3 个")), t="提升30%，3 个，【12】，C++11 v2.5")
+    assert (got.text, got.replaced) == ("提升【数值】%，3 个，【12】，C++11 v2.5", 1)
+    got = one(spark, masking.mask_new_numbers(F.col("t"), F.lit(None).cast("string"), F.lit(True)), t="5 与 50")
+    assert (got.text, got.replaced) == ("5 与 【数值】", 1)
+    got = one(spark, masking.fix_numbers(F.col("t"), F.lit("改成"), F.lit("7")), t="9【改成】7 到 8【问题】8")
+    assert (got.text, got.replaced) == ("9【改成】7 到 【数值】【问题】8", 1)
+    assert tuple(one(spark, masking.mask_new_numbers(F.col("t"), F.lit("")), t=None)) == (None, 0)
+
+
+def test_heading_lookup(spark):
+    known = {"教育背景": "education", "二、工作经历": "work", "项目经历 Project Experience": "projects", "技能与证书": "skills", "竞赛经历": "awards", "个人概况": "basics", "Java 项目": None, "": None, "负责项目的整体设计": None, "过往": None}
+    d = spark.createDataFrame([(t,) for t in known], "title string")
+    assert {r.title: r.section_type for r in sections.lookup(d).collect()} == known
+    own = spark.createDataFrame([("过往", "work"), ("教育背景", "other")], "alias string, section_type string")
+    assert {r.title: r.section_type for r in sections.lookup(d, headings=own).collect()} == known | {"过往": "work", "教育背景": "other"}
+
+
+def _line(page, x0, y0, text, width=200, size=10.0):
+    return (1, page, float(x0), float(y0), float(x0 + width), float(y0 + size), text, size, False)
+
+
+def test_reading_order_of_two_columns_and_of_a_timeline(spark):
+    schema = "resume_id long, page_no int, x0 double, y0 double, x1 double, y1 double, text string, font_size double, is_bold boolean"
+    pages = spark.createDataFrame([(1, 1, 600.0, 800.0)], "resume_id long, page_no int, width double, height double")
+    columns = [_line(1, x, 100 + 12 * k, f"{side}{k} text of a column") for k in range(5) for x, side in ((40, "l"), (340, "r"))]
+    got = layout.analyze(spark.createDataFrame(columns, schema), pages).orderBy("block_index").collect()
+    assert [c for b in got for c in ("l", "r") if c + "0" in b.text] == ["l", "r"] and {b.layout_type for b in got} == {"double"}
+    dated = [_line(1, 40, 100 + 12 * k, f"20{10 + k}.01", 60) for k in range(5)] + [_line(1, 340, 100 + 12 * k, f"task {k}", 60) for k in range(5)]
+    got = layout.analyze(spark.createDataFrame(dated, schema), pages).orderBy("block_index").collect()
+    assert [b.text for b in got] == [f"20{10 + k}.01 task {k}" for k in range(5)] and {b.layout_type for b in got} == {"single"}
 
 
 def test_normal_form_keeps_length(spark):
