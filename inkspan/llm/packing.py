@@ -45,12 +45,55 @@ def _parts(word: bytes) -> tuple[bytes, ...]:
     return (base, word[len(base) :]) if base != word and base[-1:].isalnum() else (word,)
 
 
-def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, words_kept: int = 200_000) -> DataFrame:
+class _Words:
+    """Token ids of single words, as bytes.
+
+    Words of letters only are encoded 20 at a time, with a space between: each gives one token that ends a word, its
+    last one, so the borders can be read from the ids. Where the count of such tokens differs (a letter whose lower case
+    is no letter), and for all other words, each word is encoded alone. ASCII capitals of such words are folded first
+    where the tokenizer folds them itself.
+    """
+
+    def __init__(self, path: str) -> None:
+        tokenizer = _tokenizer(path)
+        self.encode = tokenizer.encode_batch_fast
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.joins = bool(suffix)
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if suffix else ():
+            self.ends[i] = token.endswith(suffix)
+        plain = not any(t.content.isalpha() for t in tokenizer.get_added_tokens_decoder().values())
+        self.folds = plain and tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+
+    def folded(self, word: bytes) -> bytes:
+        return word.lower() if self.folds and word.isalpha() else word
+
+    def ids(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        letters, alone = [], []
+        for w in words:
+            text = w.decode()
+            (letters if self.joins and text.isalpha() else alone).append((w, text))
+        blocks = [letters[i : i + 20] for i in range(0, len(letters), 20)]
+        for block, got in zip(blocks, self.encode([" ".join(t for _, t in b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(block) or ends[-1] != 4 * len(ids):
+                alone += block
+                continue
+            whole, at = ids.tobytes(), 0
+            for (w, _), end in zip(block, ends.tolist(), strict=True):
+                yield w, whole[at:end]
+                at = end
+        for (w, _), got in zip(alone, self.encode([t for _, t in alone], add_special_tokens=False), strict=True):
+            yield w, array("I", got.ids).tobytes()
+
+
+def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, words_kept: int = 400_000) -> DataFrame:
     """(id, piece, start, length, ids): each text's token ids and then ``end_id``, cut into pieces of at most ``capacity``.
 
     ids holds little-endian unsigned 32-bit ids. Null and empty texts give one piece with end_id only. The tokenizer
-    must drop white space, so that runs between ASCII white space can be tokenized one by one and remembered (up to
-    ``words_kept`` of them per worker).
+    must drop white space, so that runs between ASCII white space can be tokenized one by one and remembered (about
+    ``words_kept`` of them per worker; the half that was longer without use goes first).
     """
     path = tokenizer or default_tokenizer()
     tail = np.array([end_id], "<u4").tobytes()
@@ -59,20 +102,21 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, known = _tokenizer(path).encode_batch_fast, {}
+        encoder, known, before = _Words(path), {}, {}
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 texts = [x.split() if x else [] for x in part.column(1).cast(pa.binary()).to_pylist()]
-                if len(known) > words_kept:
-                    known.clear()
-                new = {w: _parts(w) for w in set().union(*texts).difference(known)}
-                parts = list({p for both in new.values() for p in both}.difference(known))
-                for p, got in zip(parts, encode([p.decode() for p in parts], add_special_tokens=False), strict=True):
-                    known[p] = array("I", got.ids).tobytes()
+                if len(known) > words_kept // 2:
+                    known, before = {}, known
+                words = set().union(*texts).difference(known)
+                known |= {w: before[w] for w in words & before.keys()}
+                new = {w: tuple(map(encoder.folded, _parts(w))) for w in words.difference(known)}
+                needed = {p for both in new.values() for p in both}.difference(known)
+                known |= {p: before[p] for p in needed & before.keys()}
+                known.update(encoder.ids(list(needed.difference(known))))
                 for word, both in new.items():
-                    if len(both) == 2:
-                        known[word] = known[both[0]] + known[both[1]]
+                    known[word] = known[both[0]] if len(both) == 1 else known[both[0]] + known[both[1]]
                 rows, pieces, starts, lengths, ids = [], [], [], [], []
                 for i, words in enumerate(texts):
                     whole = b"".join([known[w] for w in words]) + tail
