@@ -114,3 +114,38 @@ def locate_in_corpus(quotes: DataFrame, docs: DataFrame, quote_id: str = "item_i
     scanned = d.join(short, F.col("_t").contains(F.col("_q")) & (F.length("_q") >= LEAST_QUOTE)).withColumn("_at", F.instr("_t", F.col("_q")) - 1)
     cols = [F.col("_qid").alias(quote_id), F.col("_did").alias(doc_id), F.col("_at").cast("long").alias("char_start")]
     return found.select(*cols).unionByName(scanned.select(*cols))
+
+
+def judge_in_unit(located: DataFrame, start: str = "unit_start", end: str = "unit_end") -> DataFrame:
+    """Located quotes with verify_result and match_score: a span outside its unit proves nothing about it and fails, with
+    the score it had; no span fails with score 0. char_start and char_end are null for failed ones."""
+    inside = F.coalesce((F.col("span.start") >= F.col(start)) & (F.col("span.end") <= F.col(end)), F.lit(False))
+    return located.withColumns({
+        "verify_result": F.when(inside, F.col("span.method")).otherwise("failed"), "match_score": F.coalesce("span.score", F.lit(0.0)),
+        "char_start": F.when(inside, F.col("span.start")), "char_end": F.when(inside, F.col("span.end")),
+    })
+
+
+def keep_first_reports(findings: DataFrame, *keys: str) -> DataFrame:
+    """Verified findings without those that report again, in the same or a later round, a problem already kept: same
+    risk_type and an overlapping span. A unit has a few rounds of a few findings, so its rows are folded in one array.
+
+    findings: the keys, attempt_no, item_no, risk_type, char_start, char_end, verify_result; failed ones are no verified ones.
+    """
+    fields = ["attempt_no", "item_no", "risk_type", "char_start", "char_end", "verify_result"]
+    good = findings.filter("coalesce(verify_result, 'failed') != 'failed'")
+    rows = good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_all"))
+    same = lambda a, b: (a["risk_type"] == b["risk_type"]) & (a["char_start"] < b["char_end"]) & (b["char_start"] < a["char_end"])
+    fold = F.aggregate("_all", F.slice("_all", 1, 0), lambda kept, f: F.when(F.exists(kept, lambda k: F.coalesce(same(k, f), F.lit(False))), kept).otherwise(F.concat(kept, F.array(f))))
+    return rows.select(*keys, F.explode(fold).alias("_f")).select(*keys, "_f.*")
+
+
+def merge_findings(rules: DataFrame, model: DataFrame, key: str) -> DataFrame:
+    """Rule findings and those model findings that no rule finding covers, with ``position`` per key: by severity, then place."""
+    from pyspark.sql import Window
+
+    from inkspan.operators.listing import severity_order
+    from inkspan.operators.spans import drop_duplicates_of
+
+    both = rules.unionByName(drop_duplicates_of(model, rules, key))
+    return both.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*severity_order(), F.col("finding_id"))))
