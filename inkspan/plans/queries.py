@@ -470,6 +470,14 @@ def flagship_diagnosis(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("resume_id", "unit_count", *[F.col(c).cast("decimal(5,1)").alias(c) for c in (*rules.CATEGORIES, "overall")])
 
 
-@query()
+_FULL = "acc.buf <> '' AND length(acc.buf) + length(p.buf) + 1 > 500"
+_BUF = f"CASE WHEN acc.buf = '' OR {_FULL} THEN p.buf ELSE acc.buf || chr(10) || p.buf END"
+_EXTRA = f"CAST(greatest(0, ceil((length({_BUF}) - 500) / 420)) AS INTEGER)"
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\n(\\s*(?:[0-9]+[.、)]|[-*•]|【|#))', chr(1) || '\\1', 'g'), '\\n\\s*\\n|\\x01'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+ r AS (SELECT doc_id, list_reduce(list_transform(ps, lambda x: {{'done': []::VARCHAR[], 'buf': x}}), lambda acc, p: {{'done': list_concat(CASE WHEN {_FULL} THEN list_append(acc.done, acc.buf) ELSE acc.done END, list_transform(range(0, {_EXTRA}), lambda k: substr({_BUF}, k * 420 + 1, 500))), 'buf': substr({_BUF}, {_EXTRA} * 420 + 1)}}, {{'done': []::VARCHAR[], 'buf': ''}}) AS r FROM p),
+ c AS (SELECT doc_id, CASE WHEN r.buf <> '' THEN list_append(r.done, r.buf) ELSE r.done END AS cs FROM r)
+ SELECT doc_id, CAST(unnest(range(0, len(cs))) AS INTEGER) AS idx, unnest(cs) AS chunk FROM c""")
 def str_chunk(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(retrieval.chunk(F.col("text"))).alias("idx", "chunk"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.operators import context, evidence, pages, structure, upkeep
+from inkspan.functions import masking, replies
+from inkspan.operators import context, evidence, interview, listing, matching, pages, sections, structure, upkeep
 from inkspan.plans.bindings import calls, lines, table
 from inkspan.plans.column_queries import _md5, _pick, _picked
 from inkspan.plans.queries import CALLS, OFFSETS, query
@@ -56,10 +57,10 @@ def arr_dates_in_blocks(spark: SparkSession, d: str) -> DataFrame:
 def struct_extract(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("resume_id"), F.col("text").alias("full_text"))
     blocks = lines(spark, d).select(F.col("doc_id").alias("resume_id"), F.col("line_no").cast("int").alias("block_index"), F.col("line").alias("text"), F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"))
-    sections = docs.select("resume_id", F.lit(0).alias("section_id"), F.lit("work").alias("type"), F.lit("dict").alias("matched_by"), F.lit(0).alias("block_start"), (F.size(F.split("full_text", "\n", -1)) - 1).alias("block_end"))
+    parts = docs.select("resume_id", F.lit(0).alias("section_id"), F.lit("work").alias("type"), F.lit("dict").alias("matched_by"), F.lit(0).alias("block_start"), (F.size(F.split("full_text", "\n", -1)) - 1).alias("block_end"))
     said = F.format_string('```json\n{"entries": [{"name": "a", "role": "b", "block_ids": [%d, 2, 99], "tech_stack": [" x ", ""], "highlights": [{"block_ids": [2]}, {"block_ids": [99]}]}, {"name": "c", "block_ids": [3, 0], "highlights": [{"block_ids": [2]}]}]}\n```', F.col("resume_id") % 4)
-    replies = docs.select("resume_id", F.lit(0).alias("section_id"), said.alias("reply"))
-    got = structure.extract_entries(replies, structure.section_blocks(sections, blocks), docs)
+    answered = docs.select("resume_id", F.lit(0).alias("section_id"), said.alias("reply"))
+    got = structure.extract_entries(answered, structure.section_blocks(parts, blocks), docs)
     return got.select(F.col("resume_id").alias("doc_id"), "entry_no", F.array_min("block_ids").alias("lo"), F.array_max("block_ids").alias("hi"), "char_start", "char_end", F.coalesce(_md5(F.get("highlights", F.lit(0))["text"]), F.lit("")).alias("highlight"))
 
 
@@ -351,3 +352,114 @@ def snk_match(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 5).alias("requirement_id"), F.col("o_orderpriority").alias("content"), F.lit("hard").alias("req_type"), F.lit("skill").alias("category"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("skill"))
     got = upkeep.report_items(items, asked)
     return got.select("report_id", F.array_join(F.transform("items", lambda x: F.concat_ws("/", x["requirement_id"].cast("string"), x["l_partkey"].cast("string"), F.coalesce(x["content"], F.lit("gone")))), ",").alias("items"))
+
+
+# masks, replies and model answers
+
+CONTACTS = ("电话 13812345678 ok", "write to a.b@xy.org now", "order 123456789", "")
+HIDDEN = ("电话 XXXXXXXXXXX ok", "write to *.*@**.*** now", "order 123456789", "")
+
+
+@query(f"SELECT p_partkey, {_picked('p_partkey', HIDDEN)} || ' / ' || repeat('某', length(p_name)) AS masked FROM part")
+def str_mask_pii(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(_pick(F.col("p_partkey"), *CONTACTS), F.lit(" / "), "p_name")
+    return table(spark, d, "part").select("p_partkey", masking.mask_personal(said, F.col("p_name")).alias("masked"))
+
+
+@query("SELECT p_partkey, 'sold ' || CASE WHEN p_size = p_partkey THEN CAST(p_size AS VARCHAR) ELSE '【数值】' END || ' of ' || p_partkey || ' 【7】' AS text, CASE WHEN p_size = p_partkey THEN 0 ELSE 1 END AS replaced FROM part")
+def str_mask_new_numbers(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("sold "), _text("p_size"), F.lit(" of "), _text("p_partkey"), F.lit(" 【7】"))
+    return table(spark, d, "part").withColumn("m", masking.mask_new_numbers(said, _text("p_partkey"))).select("p_partkey", "m.text", "m.replaced")
+
+
+@query("SELECT p_partkey, p_size || ' 【问题】' || p_size || ' x【改成】' || CASE WHEN p_size = p_partkey THEN CAST(p_size AS VARCHAR) ELSE '【数值】' END || ' y' AS text, CASE WHEN p_size = p_partkey THEN 0 ELSE 1 END AS replaced FROM part")
+def str_fix_numbers(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(_text("p_size"), F.lit(" 【问题】"), _text("p_size"), F.lit(" x【改成】"), _text("p_size"), F.lit(" y"))
+    return table(spark, d, "part").withColumn("m", masking.fix_numbers(said, F.lit("改成"), _text("p_partkey"))).select("p_partkey", "m.text", "m.replaced")
+
+
+REPLIES = ('{"items": [{"id": 1, "type": "work"}]}', '```json\n{"items": [{"id": 2, "type": "none"}]}\n```', "sorry, no", "", '{"other": 1}')
+REPLY_ERRORS = ("1work", "2none", "not JSON", "empty reply", "schema mismatch")
+
+
+@query(f"SELECT p_partkey, {_picked('p_partkey', REPLY_ERRORS)} AS said FROM part")
+def json_parse_validate(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").withColumn("r", replies.parse_reply(_pick(F.col("p_partkey"), *REPLIES), replies.SECTIONS))
+    first = F.get("r.value.items", F.lit(0))
+    return p.select("p_partkey", F.coalesce("r.error", F.concat(first["id"].cast("string"), first["type"])).alias("said"))
+
+
+@query(f"SELECT {ITEM}, l_returnflag = 'R' OR l_returnflag = 'A' AS status_ok, l_linenumber <= 5 AND l_partkey % 7 <= 5 AND l_suppkey % 7 <= 5 AS scores_ok FROM lineitem")
+def json_enum_checks(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("l_returnflag") == "R", "hit").when(F.col("l_returnflag") == "A", "miss").when(F.col("l_linestatus") == "F", "maybe")
+    scores = F.struct(F.col("l_linenumber").alias("correctness"), (F.col("l_partkey") % 7).alias("depth"), (F.col("l_suppkey") % 7).alias("clarity"))
+    return _items(spark, d).select(*KEY, replies.valid_status(status).alias("status_ok"), replies.valid_scores(scores).alias("scores_ok"))
+
+
+@query("SELECT event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
+def json_event_fmt(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", replies.event_frame(F.col("event_type"), F.col("props")).alias("frame"))
+
+
+@query(f"""SELECT {ITEM}, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber % 2 = 0 AND NOT (l_quantity < 30 AND l_quantity + 5 > 10) THEN 'partial' WHEN l_returnflag = 'R' THEN 'hit' ELSE 'miss' END AS status FROM lineitem""")
+def match_recheck(spark: SparkSession, d: str) -> DataFrame:
+    rid = F.concat_ws("/", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    at = F.col("l_quantity").cast("int")
+    li = _items(spark, d).select(*KEY, F.col("l_orderkey").alias("report_id"), rid.alias("requirement_id"), F.when(F.col("l_returnflag") == "R", "hit").otherwise("miss").alias("status"), F.when(F.col("l_linestatus") == "F", "llm").otherwise("dict").alias("matched_by"), at.alias("char_start"), (at + 5).alias("char_end"))
+    listed = li.filter("l_linenumber % 2 = 0").select("report_id", "requirement_id", F.lit("partial").alias("status")).distinct()
+    entries = li.select("report_id", F.lit(10).alias("char_start"), F.lit(30).alias("char_end")).distinct()
+    return matching.recheck_listed_only(li, listed, entries).select(*KEY, "status")
+
+
+@query("""WITH q AS (SELECT conv_id AS session_id, turn AS turn_no, turn % 6 AS a, conv_id % 6 AS b, 3 AS c, turn % 7 = 6 AS skipped, coalesce(length(text), 0) >= 12 AND turn % 3 <> 2 AS found FROM conversations)
+ SELECT session_id, turn_no, NOT found AND NOT skipped AS low_evidence, CAST(CASE WHEN skipped THEN 0 WHEN NOT found THEN 60 ELSE round_even((a + b + c) / 3 * 20, 0) END AS INTEGER) AS score FROM q""")
+def iv_evidence(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("turn")
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), n.alias("turn_no"), F.col("text").alias("answer"), (n % 6).alias("correctness"), (F.col("conv_id") % 6).alias("depth"), F.lit(3).alias("clarity"), (n % 7 == 6).alias("skipped"))
+    said = F.when(F.col("turn_no") % 3 == 2, "q#9").otherwise(F.when(F.length("answer") >= 12, F.substring("answer", 1, 12)))
+    quotes = c.select("session_id", "turn_no", F.lit(0).alias("ordinal"), said.alias("quote")).filter("quote IS NOT NULL")
+    return interview.score_turns(c, quotes).select("session_id", "turn_no", "low_evidence", "score")
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS session_id, 'requirement' AS source, 'R' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS code, 'c' || l_partkey AS text FROM lineitem WHERE l_returnflag <> 'N' AND l_linestatus = 'F'),
+ f AS (SELECT l_orderkey AS session_id, 'finding' AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity * 100000 + l_partkey) AS n, 't' || l_partkey AS text FROM lineitem WHERE l_linestatus = 'O')
+ SELECT * FROM r UNION ALL SELECT session_id, source, 'F' || n, text FROM f WHERE n <= 6 UNION ALL SELECT o_orderkey, 'experience', 'P1', o_orderpriority FROM orders""")
+def iv_materials(spark: SparkSession, d: str) -> DataFrame:
+    li = _items(spark, d).withColumnRenamed("l_orderkey", "session_id")
+    asked = li.filter("l_linestatus = 'F'").select("session_id", F.struct("l_linenumber", "l_partkey").alias("requirement_id"), F.when(F.col("l_returnflag") == "N", "education").otherwise("skill").alias("category"), F.lit("hard").alias("req_type"), F.concat(F.lit("c"), _text("l_partkey")).alias("content"))
+    entries = table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("name"), F.lit(0).alias("char_start"))
+    found = li.select("session_id", F.concat(F.lit("t"), _text("l_partkey")).alias("title"), F.col("l_linenumber").alias("severity_rank"), (F.col("l_quantity") * 100000 + F.col("l_partkey")).alias("char_start"), F.when(F.col("l_linestatus") == "O", "exact").otherwise("failed").alias("verify_result"))
+    return interview.materials(asked, entries, found)
+
+
+@query("""WITH t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 40)
+ SELECT doc_id AS job_id, 1 AS requirement_id, 'c0' AS content, 0 AS char_start FROM t UNION ALL SELECT doc_id, 2, 'c3', 0 FROM t""")
+def jd_verify(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "documents").filter("length(text) >= 40").select(F.col("doc_id").alias("job_id"), F.col("text").alias("raw_text"))
+    asks = [(0, "c0", None), (1, "c1", "no such skill"), (2, "C0", None), (3, "c3", None), (4, "c4", None)]
+    rows = F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(c).alias("content"), F.lit(s).cast("string").alias("skill"), F.lit(n == 4).alias("made_up")) for n, c, s in asks])
+    found = jobs.select("job_id", "raw_text", F.explode(rows).alias("a")).select("job_id", "a.ordinal", F.lit("hard").alias("req_type"), F.lit("skill").alias("category"), "a.content", "a.skill", F.when(F.col("a.made_up"), "q#9~").otherwise(F.substring("raw_text", 1, 30)).alias("quote"))
+    return matching.verify_requirements(found, jobs).select("job_id", "requirement_id", "content", "char_start")
+
+
+@query(f"SELECT {ITEM}, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_quantity AS INTEGER) END NULLS LAST, l_partkey, l_suppkey, l_linenumber) AS INTEGER) AS position FROM lineitem")
+def srt_severity(spark: SparkSession, d: str) -> DataFrame:
+    f = _items(spark, d).select(*KEY, F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "medium").otherwise("low").alias("severity"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("int")).alias("char_start"))
+    return pages.numbered(f, "l_orderkey", *listing.severity_order(), "l_partkey", "l_suppkey", "l_linenumber", name="position").select(*KEY, "position")
+
+
+@query(f"SELECT {ITEM}, CASE WHEN l_linenumber % 2 = 0 THEN 'a=' || CAST(l_partkey AS VARCHAR) || ',' ELSE '' END || 'b=' || CAST(l_linenumber AS VARCHAR) AS shown FROM lineitem")
+def dim_scores_nonnull(spark: SparkSession, d: str) -> DataFrame:
+    scores = F.create_map(F.lit("a"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey") + 0.3), F.lit("b"), F.col("l_linenumber") + 0.2)
+    shown = F.transform(F.map_entries(listing.nonnull_scores(scores)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("long").cast("string")))
+    return _items(spark, d).select(*KEY, F.array_join(shown, ",").alias("shown"))
+
+
+TITLES = ("工作经历", "教育背景", "专业技能", "no heading at all", "项目经历")
+TITLE_TYPES = ("work", "education", "skills", "none", "projects")
+
+
+@query(f"SELECT p_partkey, {_picked('p_partkey', TITLE_TYPES)} AS section FROM part")
+def str_heading_lookup(spark: SparkSession, d: str) -> DataFrame:
+    got = sections.lookup(table(spark, d, "part").select("p_partkey", _pick(F.col("p_partkey"), *TITLES).alias("title")), "title")
+    return got.select("p_partkey", F.coalesce("section_type", F.lit("none")).alias("section"))
