@@ -461,3 +461,14 @@ def test_shared_folder(spark, tmp_path):
     first = len(common._written)
     kept = common.settled(lambda: common.cut(spark.range(3), "inner"))()
     assert kept.count() == 3 and len(common._written) == first + 1
+
+
+def test_op9_odd_letters_have_the_ids_of_the_tokenizer(spark):
+    texts = ["İstanbul İİ ok", "ΑΣ ΣΑΣ ß ẞ", "éA É ﬁne Ⅳ ǅ", "can't CAN'T it's", "日本語 テスト ab日本", "ªº aª ŉ Ŋ", "<|ENDOFTEXT|> A <|EndOfText|>b", " ".join(f"wort{'x' * (i % 9)}" for i in range(90)), "Same same SAME, same. SAME"]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    for kept in (4, 400_000):  # with room for four words, words are forgotten and encoded again
+        got = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.tokenize_pieces(docs, words_kept=kept).collect()}
+        assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts * 3)}
