@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import embedding_dedup, html_density, language_id, minhash_dedup, packing, paragraph_dedup, pii, quality_llr, sentencepiece_fst, url_filter
-from inkspan.llm.common import table
+from inkspan.llm import embedding_dedup, fill_middle, html_density, language_id, minhash_dedup, packing, paragraph_dedup, pii, quality_llr, sentencepiece_fst, url_filter
+from inkspan.llm.common import cut, table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_rope_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every output and of the text rebuilt from it; only these narrow rows are written."""
+    filled = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    filled = filled.withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256))
+    back = fill_middle.restore(filled).withColumn("restored_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    return cut(back.drop("text"), "filled")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_likelihood_ratio_quality,
         op9_best_fit_packing,
         op10_text_density,
+        op11_rope_fill_in_middle,
     )
 }
 
