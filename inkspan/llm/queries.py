@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import embedding_dedup, fill_middle, html_density, language_id, minhash_dedup, packing, paragraph_dedup, pii, quality_llr, sentencepiece_fst, url_filter
+from inkspan.llm import conversation_repair, embedding_dedup, fill_middle, html_density, language_id, minhash_dedup, packing, paragraph_dedup, pii, quality_llr, sentencepiece_fst, url_filter
 from inkspan.llm.common import cut, table
 
 
@@ -63,6 +63,11 @@ def op11_rope_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(back.drop("text"), "filled")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_conversations(damaged, times_col="times")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_best_fit_packing,
         op10_text_density,
         op11_rope_fill_in_middle,
+        op12_conversation_repair,
     )
 }
 
