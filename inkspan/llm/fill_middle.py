@@ -192,6 +192,6 @@ def restore(filled: DataFrame, output_col: str = "output", form_col: str = "form
             texts = [None if o is None or f is None else restored(o, f) for o, f in zip(outputs, forms, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.binary())], [*batch.schema.names[:-2], "_text"])
 
-    schema = d.drop("_output", "_form").withColumn("_text", F.lit(b"")).schema
+    schema = d.drop("_form").withColumnRenamed("_output", "_text").schema
     out = d.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"`{c}`") for c in kept], F.col("_text").cast("string").alias(text_col))
