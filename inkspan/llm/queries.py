@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import conversation_repair, embedding_dedup, fill_middle, html_density, language_id, minhash_dedup, packing, paragraph_dedup, pii, quality_llr, sentencepiece_fst, url_filter
+from inkspan.llm import conversation_repair, embedding_dedup, fill_middle, html_density, language_id, minhash_dedup, packing, paragraph_dedup, pii, quality_llr, scaled_sketch, sentencepiece_fst, url_filter
 from inkspan.llm.common import cut, table
 
 
@@ -68,6 +68,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(damaged, times_col="times")
 
 
+def op13_threshold_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_text_density,
         op11_rope_fill_in_middle,
         op12_conversation_repair,
+        op13_threshold_scaled_sketch,
     )
 }
 
