@@ -1,4 +1,4 @@
-"""Streams: tumbling rate limits, idle sessions, one answer per question, progress, a per-session state machine.
+"""Streams: tumbling rate limits, sliding counts, idle sessions. Keyed state machines are in ``sessions``.
 
 Every function takes a streaming (or batch) frame and returns one; sources, sinks and triggers are the caller's.
 Late rows beyond the watermark are dropped by Spark and counted in the query's progress.
@@ -6,12 +6,8 @@ Late rows beyond the watermark are dropped by Spark and counted in the query's p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def rate_windows(calls: DataFrame, key: str = "provider", limit: int = 300, late: str = "2 minutes") -> DataFrame:
@@ -29,48 +25,3 @@ def idle_sessions(events: DataFrame, key: str = "session_id", gap: str = "24 hou
     """Sessions that end by inactivity: key, first and last activity, rows."""
     w = F.session_window("ts", gap)
     return events.withWatermark("ts", late).groupBy(w, key).agg(F.count("*").alias("n"), F.max("ts").alias("last_active_at")).select(key, F.col("session_window.start").alias("started_at"), "last_active_at", "n")
-
-
-def once(answers: DataFrame, *keys: str, late: str = "1 hour") -> DataFrame:
-    """The first answer to each question."""
-    return answers.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys)) if answers.isStreaming else answers.dropDuplicates(list(keys))
-
-
-def progress(events: DataFrame, status: DataFrame) -> DataFrame:
-    """Progress events with the task's stored state: done and error come from the state, so late readers end too."""
-    d = events.join(F.broadcast(status) if not status.isStreaming and status.isLocal() else status, "task_id", "left")
-    final = F.when(F.col("status") == "done", "done").when(F.col("status") == "failed", "error")
-    return d.select("task_id", "ts", F.coalesce(final, F.col("event")).alias("event"), "data")
-
-
-INTERVIEW_OUT = "session_id long, turn_no int, topic_idx int, depth int, action string, cost double"
-INTERVIEW_STATE = "topic_idx int, depth int, turn_no int, cost double, finished boolean, last_event long"
-
-
-def interview_machine(events: DataFrame, topics: int = 5, max_followup: int = 1, cost_limit: float = 0.3, mode: str = "append") -> DataFrame:
-    """Next action per answered turn: followup, next, finish. Events that were seen before (event_id not above the last
-    one) change nothing, so a replay stores no turn twice.
-
-    events: session_id, event_id, skipped, decision, cost, in order of event_id per session.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        topic, depth, turn, cost, finished, last = state.get if state.exists else (0, 0, 0, 0.0, False, -1)
-        rows = []
-        for e in pd.concat(list(frames)).sort_values("event_id").itertuples():
-            if finished or e.event_id <= last:
-                continue
-            last, turn, cost = int(e.event_id), turn + 1, cost + float(e.cost)
-            if cost >= cost_limit:
-                action, finished = "finish", True
-            elif not e.skipped and e.decision == "followup" and depth < max_followup:
-                action = "followup"
-            else:
-                action = "next" if topic + 1 < topics else "finish"
-                finished = action == "finish"
-            rows.append((key[0], turn, topic, depth, action, round(cost, 6)))
-            topic, depth = (topic, depth + 1) if action == "followup" else (topic + (action == "next"), 0)
-        state.update((topic, depth, turn, cost, finished, last))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in INTERVIEW_OUT.split(", ")])
-
-    return events.groupBy("session_id").applyInPandasWithState(step, INTERVIEW_OUT, INTERVIEW_STATE, mode, GroupStateTimeout.NoTimeout)

@@ -191,16 +191,6 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     assert {key(x): x["limited"] for x in spark.table("rates").collect()}[("2024-01-01 00:00:00", "a")] is True
 
 
-def test_state_machine_ignores_replays(spark, tmp_path):
-    rows = [(1, 1, False, "followup", 0.01), (1, 2, False, "next", 0.01), (1, 2, False, "next", 0.01), (1, 3, True, "followup", 0.5)]
-    batch = spark.createDataFrame(rows, "session_id long, event_id long, skipped boolean, decision string, cost double")
-    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-    q = streaming.interview_machine(stream).writeStream.format("memory").queryName("machine").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(90)
-    assert [r["action"] for r in spark.table("machine").orderBy("turn_no").collect()] == ["followup", "next", "finish"]
-
-
 def test_ask_history_holds_whole_turns_of_the_topic(spark):
     long = "why " * 40
     turns = [(1, 2, 0, long, "", "too short"), (1, 1, 0, "first", long, "vague"), (1, 3, 1, "other topic", "yes", None)]
