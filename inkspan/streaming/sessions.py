@@ -270,7 +270,7 @@ def reader_ends(readers: DataFrame, states: DataFrame, longest: int = 600, kept:
     """
     r = readers.withWatermark("opened_at", late)
     s = states.select(F.col("task_id").alias("_task"), "ended_at", "status").withWatermark("ended_at", late)
-    limit = F.col("opened_at") + F.make_dt_interval(secs=F.lit(longest))
+    limit = F.col("opened_at") + F.expr(f"INTERVAL {longest} SECONDS")
     near = (F.col("ended_at") >= F.col("opened_at") - F.expr(f"INTERVAL {kept}")) & (F.col("ended_at") < limit)
     d = r.join(s, (F.col("task_id") == F.col("_task")) & near, "left_outer")
     event = F.when(F.col("status").isNull() | (F.col("status") == "failed"), "error").otherwise("done")
@@ -293,5 +293,5 @@ def seen(readers: DataFrame, events: DataFrame, longest: int = 600, late: str =
     """Progress events while a reader may listen: an inner join of streams or tables by task and time."""
     r = readers.withWatermark("opened_at", late)
     e = events.filter("event = 'progress'").select(F.col("task_id").alias("_task"), F.col("ts").alias("at"), "event", "data").withWatermark("at", late)
-    within = (F.col("at") >= F.col("opened_at")) & (F.col("at") < F.col("opened_at") + F.make_dt_interval(secs=F.lit(longest)))
+    within = (F.col("at") >= F.col("opened_at")) & (F.col("at") < F.col("opened_at") + F.expr(f"INTERVAL {longest} SECONDS"))
     return r.join(e, (F.col("task_id") == F.col("_task")) & within).select("reader_id", "task_id", "at", "event", "data")
