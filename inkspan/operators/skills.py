@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from inkspan.operators.spans import section_at
 
 SHORT = 2  # ASCII words up to this length count only in their exact case
+SPELLINGS = 200_000  # of one automaton
 
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -43,56 +43,127 @@ def lookup(names: DataFrame, dictionary: DataFrame, name: str = "name") -> DataF
     w = words(dictionary)
     exact = w.filter("exact").select(F.col("word").alias("_e"), F.col("id").alias("_eid"))
     folded = w.filter("NOT exact").select(F.col("word").alias("_f"), F.col("id").alias("_fid"))
-    d = names.join(F.broadcast(exact), F.trim(name) == F.col("_e"), "left").join(F.broadcast(folded), F.lower(F.trim(name)) == F.col("_f"), "left")
+    # no hint: each join is broadcast only where the session's size limit allows it
+    d = names.join(exact, F.trim(name) == F.col("_e"), "left").join(folded, F.lower(F.trim(name)) == F.col("_f"), "left")
     return d.withColumn("skill_id", F.coalesce("_eid", "_fid")).drop("_e", "_eid", "_f", "_fid")
 
 
-@lru_cache(maxsize=8)
-def _scanner(entries: tuple[tuple[str, bool, int], ...]):  # noqa: ANN202
-    def pattern(found: list[str], flags: int) -> re.Pattern | None:
-        def bounded(w: str) -> str:
-            edge = lambda c, look: look if c.isascii() and c.isalnum() else ""
-            return edge(w[0], "(?<![A-Za-z0-9])") + re.escape(w) + edge(w[-1], "(?![A-Za-z0-9])")
+Entry = tuple[str, bool, int]  # word, exact, skill
+Hit = tuple[int, int, int, bool]  # start, end, skill, exact
 
-        return re.compile("|".join(bounded(w) for w in sorted(found, key=lambda w: (-len(w), w))), flags) if found else None
 
-    owner = {(w, e): i for w, e, i in entries}
-    return pattern([w for w, e, _ in entries if not e], re.I), pattern([w for w, e, _ in entries if e], 0), owner
+def _alnum(c: str) -> bool:
+    return c.isascii() and c.isalnum()
 
 
-def find(text: str, entries: tuple[tuple[str, bool, int], ...]) -> list[tuple[int, int, int]]:
-    """(skill_id, start, end), leftmost first, longer spellings first, no overlaps."""
-    folded, exact, owner = _scanner(entries)
-    hits = [(m.start(), -len(m[0]), owner[m[0].lower(), False]) for m in folded.finditer(text)] if folded else []
-    hits += [(m.start(), -len(m[0]), owner[m[0], True]) for m in exact.finditer(text)] if exact else []
-    out, free = [], 0
-    for start, minus, skill in sorted(hits):
-        if start >= free:
-            out.append((skill, start, start - minus))
-            free = start - minus
-    return out
+def folded(text: str) -> str:
+    """Lower case, character by character, so that offsets stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_col: str = "full_text") -> DataFrame:
-    """(id, skill_id, surface, char_start, char_end) of every mention. The dictionary is a reference table of fixed,
-    small size, so its spellings travel with the function."""
-    entries = tuple((r["word"], r["exact"], r["id"]) for r in words(dictionary).orderBy("word", "exact").collect())
+@lru_cache(maxsize=4)
+def _automata(entries: tuple[Entry, ...]):  # noqa: ANN202
+    import ahocorasick
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    made = []
+    for exact in (False, True):
+        a = ahocorasick.Automaton()
+        for word, e, skill in entries:
+            if e == exact and word:
+                a.add_word(word, (len(word), skill, _alnum(word[0]), _alnum(word[-1])))
+        if len(a):
+            a.make_automaton()
+            made.append((exact, a))
+    return made
+
+
+def hits(text: str, entries: tuple[Entry, ...]) -> list[Hit]:
+    """Every occurrence of every spelling; ASCII letters and digits at its edges must not touch others."""
+    found, n = [], len(text)
+    for exact, automaton in _automata(entries):
+        for last, (size, skill, opens, closes) in automaton.iter(text if exact else folded(text)):
+            start, end = last + 1 - size, last + 1
+            if (opens and start and _alnum(text[start - 1])) or (closes and end < n and _alnum(text[end])):
+                continue
+            found.append((start, end, skill, exact))
+    return found
+
+
+def longest_first(found: list[Hit]) -> list[tuple[int, int, int]]:
+    """(skill, start, end): leftmost first, longer ones first, no overlaps; first among the case-folded and among the
+    exact spellings each for themselves, then among what both leave."""
+
+    def free(some: list[Hit]) -> list[Hit]:
+        kept, end = [], 0
+        for h in sorted(some, key=lambda h: (h[0], -h[1])):
+            if h[0] >= end:
+                kept.append(h)
+                end = h[1]
+        return kept
+
+    return [(skill, s, e) for s, e, skill, _ in free(free([h for h in found if not h[3]]) + free([h for h in found if h[3]]))]
+
+
+def find(text: str, entries: tuple[Entry, ...]) -> list[tuple[int, int, int]]:
+    """(skill_id, start, end) of every mention, in order."""
+    return longest_first(hits(text, entries))
 
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            rows, found = [], []
-            for i, text in enumerate(texts):
-                for skill, s, e in find(text or "", entries):
-                    rows.append(i)
-                    found.append((skill, text[s:e], s, e))
-            cols = list(zip(*found, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)]], ["id", "skill_id", "surface", "char_start", "char_end"])
 
+def _batch(ids, rows: list[int], found: list[tuple], last):  # noqa: ANN001, ANN202
+    import pyarrow as pa
+
+    cols = list(zip(*found, strict=True)) or [(), (), (), ()]
+    types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int32())), *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], *last], ["id", "skill_id", "surface", "char_start", "char_end", "exact"][: 5 + len(last)])
+
+
+def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_col: str = "full_text", spellings: int = SPELLINGS) -> DataFrame:
+    """(id, skill_id, surface, char_start, char_end) of every mention; ids must be unique. Null text has none.
+
+    Texts stay where they are: an Aho-Corasick automaton over the spellings travels to them. At most ``spellings`` of
+    them, of at most that many times 64 characters, make one automaton; a larger dictionary is dealt into several, each
+    runs over the texts, and the hits of a document meet once more to decide which of them overlap.
+    """
+    w = words(dictionary)
+    size = w.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("chars")).first()
+    shards = max(1, -(-size["n"] // spellings), -(-size["chars"] // (64 * spellings)))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, skill_id long, surface string, char_start int, char_end int").withColumnRenamed("id", id_col)
+    schema = f"id {d.schema['id'].dataType.simpleString()}, skill_id long, surface string, char_start int, char_end int"
+
+    def scan(entries: tuple[Entry, ...], whole: bool):  # noqa: ANN202
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                rows, found, exact = [], [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    if text and whole:
+                        got = [(skill, text[s:e], s, e) for skill, s, e in find(text, entries)]
+                    else:
+                        some = hits(text, entries) if text else []
+                        got = [(skill, text[s:e], s, e) for s, e, skill, _ in some]
+                        exact += [h[3] for h in some]
+                    rows += [i] * len(got)
+                    found += got
+                yield _batch(batch.column(0), rows, found, [] if whole else [pa.array(exact, pa.bool_())])
+
+        return run
+
+    def resolved(table):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        c = {n: table.column(n).to_pylist() for n in ("skill_id", "surface", "char_start", "char_end", "exact")}
+        surface = dict(zip(zip(c["char_start"], c["char_end"], strict=True), c["surface"], strict=True))
+        kept = longest_first(list(zip(c["char_start"], c["char_end"], c["skill_id"], c["exact"], strict=True)))
+        return pa.Table.from_batches([_batch(table.column("id").combine_chunks(), [0] * len(kept), [(k, surface[s, e], s, e) for k, s, e in kept], [])])
+
+    passes = []
+    for shard in range(shards):
+        rows = w.filter(F.pmod(F.xxhash64("word"), F.lit(shards)) == shard).orderBy("word", "exact").collect()
+        passes.append(d.mapInArrow(scan(tuple((r["word"], r["exact"], r["id"]) for r in rows), shards == 1), schema + ("" if shards == 1 else ", exact boolean")))
+    out = passes[0] if shards == 1 else reduce(DataFrame.unionByName, passes).groupBy("id").applyInArrow(resolved, schema)
+    return out.withColumnRenamed("id", id_col)
 
 
 def annotate(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_col: str = "full_text", sections_col: str = "sections") -> DataFrame:
