@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,27 +96,116 @@ def locate(quotes: DataFrame, quote: str = "quote", text: str = "text", hint_sta
     return done.unionByName(rest).drop("_needle", "_hay", "_lo", "_window")
 
 
-def locate_in_corpus(quotes: DataFrame, docs: DataFrame, quote_id: str = "item_id", quote: str = "text", doc_id: str = "doc_id", text: str = "text", gram: int = 4) -> DataFrame:
-    """(quote id, doc id, char_start): exact occurrences of each quote in each text, first one each.
-
-    Candidates come from an equi-join on hashed word n-grams: one interior n-gram stands for the quote and all n-grams
-    of a text are looked up, so no pair without a shared n-gram is looked at. Quotes with fewer than ``gram`` + 2 words
-    are found by their own scan of the texts.
+GRAM = 3
+
+
+class _Quotes:
+    """Normalised quotes of one pass: an automaton for exact places, an index of their 3-grams for similar ones."""
+
+    def __init__(self, quotes: tuple[str, ...]) -> None:
+        import ahocorasick
+
+        self.quotes = quotes
+        self.exact = ahocorasick.Automaton()
+        same: dict[str, list[int]] = {}
+        for i, q in enumerate(quotes):
+            if len(q) >= LEAST_QUOTE:
+                same.setdefault(q, []).append(i)
+        for q, owners in same.items():
+            self.exact.add_word(q, owners)
+        if same:
+            self.exact.make_automaton()
+        at = [(g, i, k) for i, q in enumerate(quotes) if len(q) >= LEAST_FUZZY for k, g in enumerate(_grams(q).tolist())]
+        table = np.array(sorted(at), np.int64).reshape(-1, 3)
+        self.grams, first = np.unique(table[:, 0], return_index=True)
+        self.owner, self.place = table[:, 1], table[:, 2]
+        self.first = np.append(first, len(table))
+        sizes = np.array([len(q) for q in quotes], np.int64)
+        # a similarity of 0.9 over two lengths of at most m leaves at most 0.2 m insertions and deletions
+        self.edits = np.floor((1 - FUZZY_SCORE / 100) * 2 * sizes + 1e-9).astype(np.int64)
+        self.least = sizes - GRAM + 1 - GRAM * self.edits
+        self.long = sizes >= LEAST_FUZZY
+
+    def exact_places(self, text: str) -> dict[int, int]:
+        """First place of each quote that stands in the text."""
+        found: dict[int, int] = {}
+        if len(self.exact):
+            for end, owners in self.exact.iter(text):
+                for i in owners:
+                    found.setdefault(i, end + 1 - len(self.quotes[i]))
+        return found
+
+    def candidates(self, text: str) -> list[int]:
+        """Quotes that may be similar to a part of the text; none is left out that is. An edit breaks at most three
+        3-grams, so enough of a similar quote's grams stand in the text, on diagonals that differ by its edits at most."""
+        g = _grams(text)
+        if not len(g) or not len(self.grams):
+            return []
+        at = np.searchsorted(self.grams, g)
+        hit = np.flatnonzero(self.grams[np.minimum(at, len(self.grams) - 1)] == g)
+        lo, n = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
+        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        owner = self.owner[rows]
+        band = (np.repeat(hit, n) - self.place[rows]) // (2 * self.edits[owner] + 1)
+        key, counts = np.unique(np.stack([owner, band]), axis=1, return_counts=True)
+        beside = np.zeros_like(counts)
+        if len(counts) > 1:
+            joined = (key[0, 1:] == key[0, :-1]) & (key[1, 1:] == key[1, :-1] + 1)
+            beside[:-1] = np.where(joined, counts[1:], 0)
+        return np.unique(key[0, counts + beside >= self.least[key[0]]]).tolist()
+
+
+def _grams(text: str) -> np.ndarray:
+    """A number for every three characters in a row; different ones never share a number."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) >= GRAM else np.zeros(0, np.int64)
+
+
+def locate_in_corpus(
+    quotes: DataFrame, docs: DataFrame, quote_id: str = "item_id", quote: str = "text", doc_id: str = "doc_id", text: str = "text", similar: bool = False, chars: int = 4_000_000
+) -> DataFrame:
+    """(quote id, doc id, char_start, char_end, score, method): where each quote stands in each text, its first exact place;
+    with ``similar``, else the part most like it (FUZZY_SCORE or more, quotes of LEAST_FUZZY characters or more).
+
+    Texts are neither exploded nor shuffled: quotes of at most ``chars`` characters together travel to them, more quotes
+    in several passes. Exact places come from one automaton; similar ones from a count of shared 3-grams on neighbouring
+    diagonals, below which no similarity of FUZZY_SCORE is possible, and only what passes is aligned. Null quotes or texts,
+    and quotes under LEAST_QUOTE characters, are nowhere.
     """
-    q = quotes.select(F.col(quote_id).alias("_qid"), normalize_for_match(strip_quotes(F.col(quote))).alias("_q"))
+    q = quotes.select(F.col(quote_id).alias("_qid"), normalize_for_match(strip_quotes(F.col(quote))).alias("_q")).filter(F.length("_q") >= LEAST_QUOTE)
     d = docs.select(F.col(doc_id).alias("_did"), normalize_for_match(F.col(text)).alias("_t"))
-    words = lambda c: F.split(c, " ", -1)
-    hashes = lambda w, first, n: F.transform(F.sequence(first, first + n - 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(gram))))
-    long = q.withColumn("_w", words(F.col("_q"))).filter(F.size("_w") >= gram + 2)
-    long = long.select("_qid", "_q", F.xxhash64(F.slice("_w", F.lit(2), F.lit(gram))).alias("_h"))
-    texts = d.withColumn("_w", words(F.col("_t"))).filter(F.size("_w") >= gram)
-    grams = texts.select("_did", F.explode(F.array_distinct(hashes(F.col("_w"), F.lit(1), F.size("_w") - gram + 1))).alias("_h"))
-    pairs = grams.join(long.select("_qid", "_h"), "_h").select("_did", "_qid").distinct()
-    found = pairs.join(q, "_qid").join(d, "_did").withColumn("_at", F.instr("_t", F.col("_q")) - 1).filter("_at >= 0")
-    short = q.filter(F.size(words(F.col("_q"))) < gram + 2)
-    scanned = d.join(short, F.col("_t").contains(F.col("_q")) & (F.length("_q") >= LEAST_QUOTE)).withColumn("_at", F.instr("_t", F.col("_q")) - 1)
-    cols = [F.col("_qid").alias(quote_id), F.col("_did").alias(doc_id), F.col("_at").cast("long").alias("char_start")]
-    return found.select(*cols).unionByName(scanned.select(*cols))
+    kinds = [x.simpleString() for x in (q.schema["_qid"].dataType, d.schema["_did"].dataType)]
+    schema = f"_qid {kinds[0]}, _did {kinds[1]}, char_start long, char_end long, score double, method string"
+    passes = max(1, -(-(q.agg(F.sum(F.length("_q"))).first()[0] or 0) // chars))
+
+    def scan(some: DataFrame):  # noqa: ANN202
+        held = some.toArrow()
+        ids, needles = held.column("_qid").combine_chunks(), tuple(held.column("_q").to_pylist())
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            index = _Quotes(needles)
+            for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+                rows, found = [], []
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    places = index.exact_places(t) if t else {}
+                    got = [(k, at, at + len(needles[k]), 1.0, "exact") for k, at in places.items()]
+                    for k in index.candidates(t) if t and similar else ():
+                        part = similar_part(needles[k], t) if k not in places else None
+                        if part:
+                            got.append((k, part[0], part[1], round(part[2] / 100, 3), "fuzzy"))
+                    rows += [i] * len(got)
+                    found += got
+                k, *cols = list(zip(*found, strict=True)) or [()] * 5
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.string())
+                made = [pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(list(k), pa.int64())), batch.column(0).take(pa.array(rows, pa.int64())), *made], ["_qid", "_did", "char_start", "char_end", "score", "method"])
+
+        return run
+
+    found = [d.mapInArrow(scan(q.filter(F.pmod(F.xxhash64("_q"), F.lit(passes)) == k)), schema) for k in range(passes)]
+    return reduce(DataFrame.unionByName, found).withColumnsRenamed({"_qid": quote_id, "_did": doc_id})
 
 
 def judge_in_unit(located: DataFrame, start: str = "unit_start", end: str = "unit_end") -> DataFrame:

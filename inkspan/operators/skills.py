@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +51,8 @@ def lookup(names: DataFrame, dictionary: DataFrame, name: str = "name") -> DataF
 
 
 Entry = tuple[str, bool, int]  # word, exact, skill
-Hit = tuple[int, int, int, bool]  # start, end, skill, exact
-
-
-def _alnum(c: str) -> bool:
-    return c.isascii() and c.isalnum()
+_RUN = re.compile("[A-Za-z0-9]+")
+ROWS, HITS = 200, 100_000  # texts scanned and mentions written at once
 
 
 def folded(text: str) -> str:
@@ -62,60 +61,77 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+def _bordered(text: str) -> str:
+    """The text with U+0000 on both sides of every run of ASCII letters and digits, so that a spelling that begins or ends
+    with one cannot be found inside a longer run."""
+    return _RUN.sub("\0\\g<0>\0", text.replace("\0", " "))
+
+
 @lru_cache(maxsize=4)
 def _automata(entries: tuple[Entry, ...]):  # noqa: ANN202
+    """(exact, automaton, lengths and skills of its words), for the case-folded and for the exact spellings."""
     import ahocorasick
 
     made = []
     for exact in (False, True):
+        some = [(_bordered(word), skill) for word, e, skill in entries if e == exact and word]
         a = ahocorasick.Automaton()
-        for word, e, skill in entries:
-            if e == exact and word:
-                a.add_word(word, (len(word), skill, _alnum(word[0]), _alnum(word[-1])))
-        if len(a):
+        for k, (word, _) in enumerate(some):
+            a.add_word(word, k)
+        if some:
             a.make_automaton()
-            made.append((exact, a))
+            made.append((exact, a, np.array([len(w) for w, _ in some]), np.array([skill for _, skill in some])))
     return made
 
 
-def hits(text: str, entries: tuple[Entry, ...]) -> list[Hit]:
-    """Every occurrence of every spelling; ASCII letters and digits at its edges must not touch others."""
-    found, n = [], len(text)
-    for exact, automaton in _automata(entries):
-        for last, (size, skill, opens, closes) in automaton.iter(text if exact else folded(text)):
-            start, end = last + 1 - size, last + 1
-            if (opens and start and _alnum(text[start - 1])) or (closes and end < n and _alnum(text[end])):
-                continue
-            found.append((start, end, skill, exact))
-    return found
-
-
-def longest_first(found: list[Hit]) -> list[tuple[int, int, int]]:
-    """(skill, start, end): leftmost first, longer ones first, no overlaps; first among the case-folded and among the
-    exact spellings each for themselves, then among what both leave."""
-
-    def free(some: list[Hit]) -> list[Hit]:
-        kept, end = [], 0
-        for h in sorted(some, key=lambda h: (h[0], -h[1])):
-            if h[0] >= end:
-                kept.append(h)
-                end = h[1]
-        return kept
-
-    return [(skill, s, e) for s, e, skill, _ in free(free([h for h in found if not h[3]]) + free([h for h in found if h[3]]))]
+def hits(text: str, entries: tuple[Entry, ...]) -> np.ndarray:
+    """Rows of start, end, skill, exact: every occurrence of every spelling."""
+    bordered = _bordered(text)
+    before = None
+    found = [np.zeros((0, 4), np.int64)]
+    for exact, automaton, sizes, skills in _automata(entries):
+        got = list(automaton.iter(bordered if exact else folded(bordered)))
+        if got:
+            if before is None:  # characters of the text before each place
+                codes = np.frombuffer(bordered.encode("utf-32-le", "surrogatepass"), np.uint32)
+                before = np.concatenate([[0], np.cumsum(codes != 0)])
+            last, k = np.array(got, np.int64).T
+            found.append(np.stack([before[last + 1 - sizes[k]], before[last + 1], skills[k], np.full(len(k), exact)], axis=1))
+    return np.concatenate(found)
+
+
+def _free(found: np.ndarray) -> np.ndarray:
+    """Leftmost first, longer ones first, no overlaps."""
+    found = found[np.lexsort((-found[:, 1], found[:, 0]))]
+    kept, end = [], 0
+    for i, (s, e) in enumerate(zip(found[:, 0].tolist(), found[:, 1].tolist(), strict=True)):
+        if s >= end:
+            kept.append(i)
+            end = e
+    return found[kept]
+
+
+def longest_first(found: np.ndarray) -> np.ndarray:
+    """The hits that count: first among the case-folded and among the exact spellings each for themselves, then among
+    what both leave."""
+    exact = found[:, 3] == 1
+    return _free(np.concatenate([_free(found[~exact]), _free(found[exact])]))
 
 
 def find(text: str, entries: tuple[Entry, ...]) -> list[tuple[int, int, int]]:
     """(skill_id, start, end) of every mention, in order."""
-    return longest_first(hits(text, entries))
+    return [(skill, s, e) for s, e, skill, _ in longest_first(hits(text, entries)).tolist()]
 
 
-def _batch(ids, rows: list[int], found: list[tuple], last):  # noqa: ANN001, ANN202
+def _batch(ids, texts: list[str | None], found: list[np.ndarray], whole: bool):  # noqa: ANN001, ANN202
     import pyarrow as pa
 
-    cols = list(zip(*found, strict=True)) or [(), (), (), ()]
-    types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int32())), *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], *last], ["id", "skill_id", "surface", "char_start", "char_end", "exact"][: 5 + len(last)])
+    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    h = np.concatenate([*found, np.zeros((0, 4), np.int64)])
+    surface = [texts[i][s:e] for i, s, e in zip(rows.tolist(), h[:, 0].tolist(), h[:, 1].tolist(), strict=True)]
+    made = [ids.take(pa.array(rows)), pa.array(h[:, 2]), pa.array(surface, pa.string()), pa.array(h[:, 0].astype(np.int32)), pa.array(h[:, 1].astype(np.int32))]
+    names = ["id", "skill_id", "surface", "char_start", "char_end"]
+    return pa.RecordBatch.from_arrays(made if whole else [*made, pa.array(h[:, 3] == 1)], names if whole else [*names, "exact"])
 
 
 def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_col: str = "full_text", spellings: int = SPELLINGS) -> DataFrame:
@@ -133,30 +149,30 @@ def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_
 
     def scan(entries: tuple[Entry, ...], whole: bool):  # noqa: ANN202
         def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
             for batch in batches:
-                rows, found, exact = [], [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    if text and whole:
-                        got = [(skill, text[s:e], s, e) for skill, s, e in find(text, entries)]
-                    else:
-                        some = hits(text, entries) if text else []
-                        got = [(skill, text[s:e], s, e) for s, e, skill, _ in some]
-                        exact += [h[3] for h in some]
-                    rows += [i] * len(got)
-                    found += got
-                yield _batch(batch.column(0), rows, found, [] if whole else [pa.array(exact, pa.bool_())])
+                for at in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(at, ROWS)
+                    texts, found, first, n = some.column(1).to_pylist(), [], 0, 0
+                    for i, text in enumerate(texts):
+                        h = hits(text or "", entries)
+                        found.append(longest_first(h) if whole else h)
+                        n += len(found[-1])
+                        if n >= HITS or i == len(texts) - 1:
+                            yield _batch(some.column(0).slice(first, len(found)), texts[first : i + 1], found, whole)
+                            found, first, n = [], i + 1, 0
 
         return run
 
     def resolved(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        c = {n: table.column(n).to_pylist() for n in ("skill_id", "surface", "char_start", "char_end", "exact")}
-        surface = dict(zip(zip(c["char_start"], c["char_end"], strict=True), c["surface"], strict=True))
-        kept = longest_first(list(zip(c["char_start"], c["char_end"], c["skill_id"], c["exact"], strict=True)))
-        return pa.Table.from_batches([_batch(table.column("id").combine_chunks(), [0] * len(kept), [(k, surface[s, e], s, e) for k, s, e in kept], [])])
+        c = [table.column(n).to_numpy() for n in ("char_start", "char_end", "skill_id", "exact")]
+        surface = dict(zip(zip(c[0].tolist(), c[1].tolist(), strict=True), table.column("surface").to_pylist(), strict=True))
+        kept = longest_first(np.stack(c, axis=1).astype(np.int64))
+        spans = list(zip(kept[:, 0].tolist(), kept[:, 1].tolist(), strict=True))
+        ids = table.column("id").combine_chunks().take(pa.array(np.zeros(len(kept), np.int64)))
+        columns = [ids, pa.array(kept[:, 2]), pa.array([surface[x] for x in spans], pa.string()), pa.array(kept[:, 0].astype(np.int32)), pa.array(kept[:, 1].astype(np.int32))]
+        return pa.Table.from_arrays(columns, ["id", "skill_id", "surface", "char_start", "char_end"])
 
     passes = []
     for shard in range(shards):

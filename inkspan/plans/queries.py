@@ -386,7 +386,7 @@ def src_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id, CAST(strpos(d, q) - 1 AS BIGINT) AS char_start FROM (SELECT item_id, translate(text, chr(10) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ' abcdefghijklmnopqrstuvwxyz') AS q0, rtrim(ltrim(q0, ' .'), ' .') AS q FROM benchmark), (SELECT doc_id, translate(text, chr(10) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ' abcdefghijklmnopqrstuvwxyz') AS d FROM documents) WHERE contains(d, q)")
 def ev_locate(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.locate_in_corpus(table(spark, d, "benchmark"), table(spark, d, "documents"))
+    return evidence.locate_in_corpus(table(spark, d, "benchmark"), table(spark, d, "documents")).select("item_id", "doc_id", "char_start")
 
 
 # intervals, vectors, evaluation

@@ -120,7 +120,7 @@ def test_similar_part_finds_small_edits():
 def test_locate_in_corpus_reports_every_place(spark):
     quotes = spark.createDataFrame([(1, "One two three four five."), (2, "absent words in any text at all")], "item_id long, text string")
     docs = spark.createDataFrame([(10, "x one two three four five y"), (11, None), (12, "")], "doc_id long, text string")
-    assert [tuple(r) for r in evidence.locate_in_corpus(quotes, docs).collect()] == [(1, 10, 2)]
+    assert [tuple(r) for r in evidence.locate_in_corpus(quotes, docs).collect()] == [(1, 10, 2, 25, 1.0, "exact")]
 
 
 def test_overlaps(spark):
