@@ -35,6 +35,21 @@ def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(F.broadcast(total))  # total is one row
 
 
+WIDEST = 10_000
+
+
+def deferred(df: DataFrame, key: str, n: int, order: list[Column], narrow: list[str], wide: list[str]) -> DataFrame:
+    """The first ``n`` rows in ``order`` with their wide columns, which are read for these rows alone.
+
+    The order is decided on key and ``narrow``; the at most WIDEST keys that win are sent to the scan of the wide
+    columns, so no wide value is sorted or shuffled. Keys are unique and not null.
+    """
+    if not 1 <= n <= WIDEST:
+        raise ValueError(f"1 to {WIDEST} rows")
+    first = df.select(key, *[c for c in narrow if c != key]).orderBy(*order).limit(n)
+    return F.broadcast(first).join(df.select(key, *wide), key).select(key, *[c for c in narrow if c != key], *wide)
+
+
 def attach_children(parents: DataFrame, children: DataFrame, key: str, order: str, name: str, fields: list[str]) -> DataFrame:
     """Each parent with an array of its children, newest first; empty where it has none."""
     got = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order])), asc=False).alias(name))

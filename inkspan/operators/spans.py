@@ -17,13 +17,34 @@ def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.when(shorter > 0, shared / shorter).otherwise(F.lit(0.0))
 
 
+STRIDE = 256
+
+
+def running_starts(sizes: Column) -> Column:
+    """Sum of all earlier elements, for each element of an array of longs.
+
+    Folds run over stretches of STRIDE elements and then over the stretches' totals, so that a long array is not copied
+    once for each of its elements.
+    """
+    grown = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / STRIDE).cast("int")), lambda k: grown(F.slice(sizes, k * STRIDE + 1, F.lit(STRIDE))))
+
+    def placed(parts: Column) -> Column:
+        base = grown(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.transform(parts, lambda p, k: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x: x + F.get(base, k))))
+
+    return F.when(F.size(sizes) == 0, F.array().cast("array<bigint>")).otherwise(once(stretches, placed))
+
+
 def lines_with_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, line, char_start, char_end): text[char_start:char_end] == line. Offsets come from a scan inside the
     row, so no line is shuffled."""
     d = docs.select(F.col(id_col).alias(id_col), F.split(F.col(text_col), "\n", -1).alias("lines"))
-    starts = F.aggregate("lines", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    out = d.withColumn("starts", starts).select(id_col, F.posexplode(F.arrays_zip("lines", F.slice("starts", F.lit(1), F.size("lines")).alias("starts"))).alias("line_no", "z"))
-    return out.select(id_col, "line_no", F.col("z.lines").alias("line"), F.col("z.starts").alias("char_start"), (F.col("z.starts") + F.length("z.lines")).alias("char_end"))
+    starts = running_starts(F.transform("lines", lambda x: (F.length(x) + 1).cast("long")))
+    out = d.withColumn("starts", starts).select(id_col, F.posexplode(F.arrays_zip("lines", "starts")).alias("line_no", "z"))
+    start = F.col("z.starts").cast("int")
+    return out.select(id_col, "line_no", F.col("z.lines").alias("line"), start.alias("char_start"), (start + F.length("z.lines")).alias("char_end"))
 
 
 def offsets_by_window(blocks: DataFrame, key: str, order: str, text_col: str) -> DataFrame:
@@ -79,17 +100,46 @@ def runs(df: DataFrame, key: str, order: str, flag: str) -> DataFrame:
     return df.withColumn("_c", change).withColumn("run", F.sum("_c").over(w)).groupBy(key, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), F.first(flag).alias(flag))
 
 
-def segments_under_marks(blocks: DataFrame, marks: DataFrame, key: str) -> DataFrame:
-    """Blocks cut at every mark border, each piece with the mark of highest priority over it, or null.
+def segments_under_marks(blocks: DataFrame, marks: DataFrame, key: str, chunk: int = 4096) -> DataFrame:
+    """Blocks cut at every mark border: key, start, end, mark (the one of highest priority over the piece, on ties the first
+    by ordinal; null if none) and marks (all over it, by ordinal).
 
-    blocks: key, char_start, char_end; marks: key, mark_start, mark_end, priority, mark.
+    A sweep over the sorted borders of each stretch of ``chunk`` characters, with the marks that are open; stretches of one
+    key are swept apart, so a key with many marks is split, and cuts that only a stretch's border made are closed again.
+    blocks: key, char_start, char_end, not overlapping; marks: key, ordinal (unique in a key), mark_start, mark_end, priority, mark. An
+    empty mark cuts, but covers nothing; marks outside of blocks and empty blocks leave nothing.
     """
-    hits = marks.join(blocks, key).filter(overlaps(F.col("char_start"), F.col("char_end"), F.col("mark_start"), F.col("mark_end")))
-    cuts = blocks.select(key, "char_start", "char_end", F.explode(F.array("char_start", "char_end")).alias("at"))
-    inner = hits.select(key, "char_start", "char_end", F.explode(F.array(F.greatest("mark_start", "char_start"), F.least("mark_end", "char_end"))).alias("at"))
-    borders = cuts.union(inner).distinct()
-    w = Window.partitionBy(key, "char_start", "char_end").orderBy("at")
-    pieces = borders.withColumn("to", F.lead("at").over(w)).filter("to IS NOT NULL AND to > at")
-    over = pieces.join(hits.select(key, "char_start", "char_end", "mark_start", "mark_end", "priority", "mark"), [key, "char_start", "char_end"], "left")
-    best = F.max_by("mark", F.when(overlaps(F.col("at"), F.col("to"), F.col("mark_start"), F.col("mark_end")), F.struct("priority", "mark_start")))
-    return over.groupBy(key, F.col("at").alias("start"), F.col("to").alias("end")).agg(best.alias("mark"))
+    mark = F.struct("ordinal", "priority", "mark")
+    none = F.lit(None).cast(marks.select(mark.alias("m")).schema["m"].dataType)
+
+    def events(df: DataFrame, lo: str, hi: str, opens: int, value: Column, whole: Column) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / chunk)
+        d = df.withColumn("_c", F.explode(F.sequence(at(lo), F.greatest(at(hi), at(lo)))))
+        start, end = F.greatest(F.col(lo), F.col("_c") * chunk), F.least(F.col(hi), (F.col("_c") + 1) * chunk)
+        # what is empty here only cuts: kind 4
+        event = lambda pos, kind, real: F.struct(pos.cast("long").alias("at"), F.when(end > start, kind).otherwise(4).alias("kind"), real.alias("real"), whole.cast("long").alias("block"), value.alias("mark"))
+        return d.select(key, "_c", F.explode(F.array(event(start, opens, start == F.col(lo)), event(end, opens - 2, end == F.col(hi)))).alias("e"))
+
+    both = events(blocks.filter("char_end > char_start"), "char_start", "char_end", 2, none, F.col("char_start"))
+    both = both.unionByName(events(marks, "mark_start", "mark_end", 3, mark, F.lit(None)))
+    swept = both.groupBy(key, "_c").agg(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["at"] != b["at"], F.signum(a["at"] - b["at"]).cast("int")).otherwise(F.signum(a["kind"] - b["kind"]).cast("int"))).alias("_e"))
+    m = marks.select(mark.alias("m")).schema["m"].dataType.simpleString()
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("real"), F.lit(None).cast("long").alias("block"), F.array().cast(f"array<{m}>").alias("open"), F.array().cast(f"array<struct<start:bigint,end:bigint,real:boolean,block:bigint,open:array<{m}>>>").alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        on = e["at"] > s["at"]
+        piece = F.struct(s["at"].alias("start"), e["at"].alias("end"), s["real"].alias("real"), s["block"].alias("block"), s["open"].alias("open"))
+        return F.struct(
+            e["at"].alias("at"),
+            (e["real"] | (~on & s["real"])).alias("real"),
+            F.when(e["kind"] == 2, e["block"]).when(e["kind"] == 0, F.lit(None)).otherwise(s["block"]).alias("block"),
+            F.when(e["kind"] == 3, F.concat(s["open"], F.array(e["mark"]))).when(e["kind"] == 1, F.filter(s["open"], lambda x: x["ordinal"] != e["mark"]["ordinal"])).otherwise(s["open"]).alias("open"),
+            F.when(on & s["block"].isNotNull(), F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"),
+        )
+
+    pieces = swept.select(key, F.explode(F.aggregate("_e", zero, step, lambda s: s["out"])).alias("p")).select(key, "p.*")
+    w = Window.partitionBy(key, "block").orderBy("start")
+    pieces = pieces.withColumn("_n", F.sum(F.col("real").cast("int")).over(w))
+    got = pieces.groupBy(key, "block", "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("open", "start").alias("open"))
+    best = F.array_sort(F.transform("open", lambda x: F.struct((-x["priority"]).alias("p"), x["ordinal"].alias("o"), x["mark"].alias("mark"))))
+    return got.select(key, "start", "end", F.get(best, F.lit(0))["mark"].alias("mark"), F.transform(F.array_sort(F.transform("open", lambda x: F.struct(x["ordinal"].alias("o"), x["mark"].alias("mark")))), lambda x: x["mark"]).alias("marks"))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import redact_keys
+from inkspan.operators.ranking import with_position
 
 FEATURES = ("parse", "jd", "diagnose", "match", "advice", "interview", "other")
 SCENE_FEATURE = {"structure": "parse", "section": "parse", "jd_parse": "jd", "diagnose": "diagnose", "match": "match", "rewrite": "advice", "gap": "advice", "embed": "interview", "rerank": "interview"}
@@ -74,8 +75,8 @@ def grouped(calls: DataFrame) -> DataFrame:
     return user_calls(calls).groupBy(F.to_date("created_at").alias("day"), "scene", "ref_type", "ref_id").agg(*sums())
 
 
-def resum(base: DataFrame, *keys: str | Column) -> DataFrame:
-    return base.groupBy(*keys).agg(*[F.sum(c).cast("decimal(20,6)" if c == "cost" else "long").alias(c) for c in ("calls", "cached", "failed", "token_input", "token_output", "cost")])
+def resum(base: DataFrame, *keys: str | Column, more: tuple[Column, ...] = ()) -> DataFrame:
+    return base.groupBy(*keys).agg(*[F.sum(c).cast("decimal(20,6)" if c == "cost" else "long").alias(c) for c in ("calls", "cached", "failed", "token_input", "token_output", "cost")], *more)
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -101,8 +102,9 @@ def by_user(base: DataFrame, owners: DataFrame) -> DataFrame:
     """Per owner with last_used; calls without an owner in one null row. owners: ref_type, ref_id, user_id. rank puts
     the null row last and the others by falling cost."""
     joined = base.join(owners, ["ref_type", "ref_id"], "left")
-    got = resum(joined, "user_id").join(joined.groupBy("user_id").agg(F.max("day").alias("last_used")).withColumnRenamed("user_id", "u"), F.expr("user_id <=> u")).drop("u")
-    return got.withColumn("rank", F.row_number().over(Window.orderBy(F.col("user_id").isNull(), F.col("cost").desc(), "user_id")))
+    got = resum(joined, "user_id", more=(F.max("day").alias("last_used"),))
+    placed = with_position(got, F.col("user_id").isNull(), F.col("cost").desc(), F.col("user_id"), name="rank")
+    return placed.withColumn("rank", F.col("rank").cast("int"))
 
 
 def owners_of(*paths: DataFrame) -> DataFrame:

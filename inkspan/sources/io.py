@@ -1,4 +1,4 @@
-"""Sources and sinks: uploads, dictionaries, templates, parsed lines, replies; overwrite by key, upserts, DDL."""
+"""Sources and sinks: uploads, dictionaries, templates, parsed lines, replies; seed merges, DDL. Overwriting by key is in ``staged``."""
 
 from __future__ import annotations
 
@@ -39,24 +39,36 @@ def read_json_templates(spark: SparkSession, path: str, schema: StructType | str
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def replace_by_key(df: DataFrame, path: str, key: str) -> None:
-    """Delete-then-insert by key: only the partitions that ``df`` holds are overwritten."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
 def append_audit(df: DataFrame, path: str) -> None:
     df.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Stored rows with new ones put in by key; stored rows that are no longer listed are marked deleted."""
-    fresh = new.withColumn("is_deleted", F.lit(False))
-    gone = stored.join(new.select(key), key, "left_anti").withColumn("is_deleted", F.lit(True))
-    return fresh.select(*stored.columns).unionByName(gone.select(*stored.columns))
-
-
-def inserts(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    return new.join(stored.select(key), key, "left_anti")
+def merge_seed(stored: DataFrame, new: DataFrame, key: str, id_col: str = "id", scope: Column | None = None) -> DataFrame:
+    """Stored rows after a seed list is put in, with ``change``: updated, inserted, deleted or kept.
+
+    One full outer join by key tells the three cases apart: a listed row that is stored keeps its id and takes all other
+    columns of the list; one that is not stored gets the next free id, in order of key; a stored row that is no longer
+    listed is marked deleted, if it is in ``scope`` (default: all) and not deleted yet. Rows out of scope stay as they
+    are, also where their key is listed; so do rows with a null key. Keys in scope and in the list are unique. The columns of
+    ``stored`` are id_col, key, is_deleted and any that ``new`` has or not; what ``new`` lacks stays, null for inserted rows.
+    """
+    from inkspan.operators.ranking import with_position
+
+    columns = stored.columns
+    inside = (F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))) & F.col(f"`{key}`").isNotNull()
+    s = stored.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("s"), F.when(inside, F.col(f"`{key}`")).alias("_k"))
+    n = new.filter(F.col(f"`{key}`").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in new.columns]).alias("n"), F.col(f"`{key}`").alias("_n"))
+    d = s.join(n, F.col("_k") == F.col("_n"), "full_outer")
+    here, listed = F.col("s").isNotNull(), F.col("n").isNotNull()
+    gone = here & ~listed & F.col("_k").isNotNull()
+    change = F.when(here & listed, "updated").when(listed, "inserted").when(gone & ~F.coalesce("s.is_deleted", F.lit(False)), "deleted").otherwise("kept")
+    value = {c: F.when(listed, F.col(f"n.`{c}`")).otherwise(F.col(f"s.`{c}`")) if c in new.columns else F.col(f"s.`{c}`") for c in columns}
+    value[id_col] = F.col(f"s.`{id_col}`")
+    value["is_deleted"] = F.when(listed, False).when(gone, True).otherwise(F.col("s.is_deleted"))
+    d = d.select(*[value[c].alias(c) for c in columns], change.alias("change"))
+    free = (stored.agg(F.max(id_col)).first()[0] or 0) + 1
+    added = with_position(d.filter("change = 'inserted'"), key, name="_id", first=free).withColumn(id_col, F.col("_id").cast(stored.schema[id_col].dataType)).drop("_id")
+    return d.filter("change != 'inserted'").unionByName(added)
 
 
 def ddl(name: str, schema: StructType) -> str:
