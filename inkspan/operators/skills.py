@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -51,7 +50,6 @@ def lookup(names: DataFrame, dictionary: DataFrame, name: str = "name") -> DataF
 
 
 Entry = tuple[str, bool, int]  # word, exact, skill
-_RUN = re.compile("[A-Za-z0-9]+")
 ROWS, HITS = 200, 100_000  # texts scanned and mentions written at once
 
 
@@ -61,42 +59,54 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def _bordered(text: str) -> str:
-    """The text with U+0000 on both sides of every run of ASCII letters and digits, so that a spelling that begins or ends
-    with one cannot be found inside a longer run."""
-    return _RUN.sub("\0\\g<0>\0", text.replace("\0", " "))
+_APART = "\x01"  # stands between texts that are scanned together; no spelling holds it
+
+
+def _bordered(text: str) -> tuple[str, np.ndarray]:
+    """The text, lower-cased, with U+0000 on both sides of every run of ASCII letters and digits, so that a spelling that
+    begins or ends with one cannot be found inside a longer run; and for each place in it the characters of the text before it."""
+    codes = np.frombuffer(folded(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = ((codes >= 48) & (codes <= 57)) | ((codes >= 65) & (codes <= 90)) | ((codes >= 97) & (codes <= 122))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    made = np.insert(np.where(codes == 0, 32, codes).astype(np.uint32), edges, 0)
+    return made.tobytes().decode("utf-32-le", "surrogatepass"), np.concatenate([[0], np.cumsum(made != 0)])
 
 
 @lru_cache(maxsize=4)
-def _automata(entries: tuple[Entry, ...]):  # noqa: ANN202
-    """(exact, automaton, lengths and skills of its words), for the case-folded and for the exact spellings."""
+def _automaton(entries: tuple[Entry, ...]):  # noqa: ANN202
+    """The automaton over all spellings in lower case; per word its length and its owners: (exact word or "", skill)."""
     import ahocorasick
 
-    made = []
-    for exact in (False, True):
-        some = [(_bordered(word), skill) for word, e, skill in entries if e == exact and word]
-        a = ahocorasick.Automaton()
-        for k, (word, _) in enumerate(some):
-            a.add_word(word, k)
-        if some:
-            a.make_automaton()
-            made.append((exact, a, np.array([len(w) for w, _ in some]), np.array([skill for _, skill in some])))
-    return made
+    owners: dict[str, list[tuple[str, int]]] = {}
+    for word, exact, skill in entries:
+        if word and _APART not in word:
+            owners.setdefault(_bordered(word)[0], []).append((word if exact else "", skill))
+    automaton = ahocorasick.Automaton()
+    for k, word in enumerate(owners):
+        automaton.add_word(word, k)
+    if owners:
+        automaton.make_automaton()
+    # the owner of the case-folded spelling, -1 if there is none; words with exact owners are few
+    plain = np.array([next((s for w, s in o if not w), -1) for o in owners.values()], np.int64)
+    exact = {k: {w: s for w, s in o if w} for k, o in enumerate(owners.values()) if any(w for w, _ in o)}
+    return automaton, np.array([len(w) for w in owners], np.int64), plain, exact
 
 
 def hits(text: str, entries: tuple[Entry, ...]) -> np.ndarray:
     """Rows of start, end, skill, exact: every occurrence of every spelling."""
-    bordered = _bordered(text)
-    before = None
-    found = [np.zeros((0, 4), np.int64)]
-    for exact, automaton, sizes, skills in _automata(entries):
-        got = list(automaton.iter(bordered if exact else folded(bordered)))
-        if got:
-            if before is None:  # characters of the text before each place
-                codes = np.frombuffer(bordered.encode("utf-32-le", "surrogatepass"), np.uint32)
-                before = np.concatenate([[0], np.cumsum(codes != 0)])
-            last, k = np.array(got, np.int64).T
-            found.append(np.stack([before[last + 1 - sizes[k]], before[last + 1], skills[k], np.full(len(k), exact)], axis=1))
+    automaton, sizes, plain, exact = _automaton(entries)
+    bordered, before = _bordered(text)
+    got = list(automaton.iter(bordered)) if len(sizes) else []
+    if not got:
+        return np.zeros((0, 4), np.int64)
+    last, k = np.array(got, np.int64).T
+    start, end = before[last + 1 - sizes[k]], before[last + 1]
+    found = [np.stack([start, end, plain[k], np.zeros_like(k)], axis=1)[plain[k] >= 0]]
+    if exact:
+        at = np.flatnonzero(np.isin(k, np.fromiter(exact, np.int64)))
+        owned = [(s, e, exact[w].get(text[s:e], -1), 1) for s, e, w in zip(start[at].tolist(), end[at].tolist(), k[at].tolist(), strict=True)]
+        owned = np.array(owned, np.int64).reshape(-1, 4)
+        found.append(owned[owned[:, 2] >= 0])
     return np.concatenate(found)
 
 
@@ -123,15 +133,17 @@ def find(text: str, entries: tuple[Entry, ...]) -> list[tuple[int, int, int]]:
     return [(skill, s, e) for s, e, skill, _ in longest_first(hits(text, entries)).tolist()]
 
 
-def _batch(ids, texts: list[str | None], found: list[np.ndarray], whole: bool):  # noqa: ANN001, ANN202
-    import pyarrow as pa
-
-    rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    h = np.concatenate([*found, np.zeros((0, 4), np.int64)])
-    surface = [texts[i][s:e] for i, s, e in zip(rows.tolist(), h[:, 0].tolist(), h[:, 1].tolist(), strict=True)]
-    made = [ids.take(pa.array(rows)), pa.array(h[:, 2]), pa.array(surface, pa.string()), pa.array(h[:, 0].astype(np.int32)), pa.array(h[:, 1].astype(np.int32))]
-    names = ["id", "skill_id", "surface", "char_start", "char_end"]
-    return pa.RecordBatch.from_arrays(made if whole else [*made, pa.array(h[:, 3] == 1)], names if whole else [*names, "exact"])
+def _scanned(texts: list[str | None], entries: tuple[Entry, ...], whole: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(which text, surface, rows of hits with places in their own text) of many texts at once."""
+    texts = [(t or "").replace(_APART, " ") for t in texts]
+    together = _APART.join(texts)
+    h = hits(together, entries)
+    h = longest_first(h) if whole else h
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
+    row = np.searchsorted(starts, h[:, 0], "right") - 1
+    surface = [together[s:e] for s, e in zip(h[:, 0].tolist(), h[:, 1].tolist(), strict=True)]
+    h[:, :2] -= starts[row][:, None]
+    return row, surface, h
 
 
 def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_col: str = "full_text", spellings: int = SPELLINGS) -> DataFrame:
@@ -149,17 +161,15 @@ def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_
 
     def scan(entries: tuple[Entry, ...], whole: bool):  # noqa: ANN202
         def run(batches: Iterator) -> Iterator:
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    some = batch.slice(at, ROWS)
-                    texts, found, first, n = some.column(1).to_pylist(), [], 0, 0
-                    for i, text in enumerate(texts):
-                        h = hits(text or "", entries)
-                        found.append(longest_first(h) if whole else h)
-                        n += len(found[-1])
-                        if n >= HITS or i == len(texts) - 1:
-                            yield _batch(some.column(0).slice(first, len(found)), texts[first : i + 1], found, whole)
-                            found, first, n = [], i + 1, 0
+            import pyarrow as pa
+
+            for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+                row, surface, h = _scanned(batch.column(1).to_pylist(), entries, whole)
+                names = ["id", "skill_id", "surface", "char_start", "char_end", "exact"][: 5 if whole else 6]
+                for at in range(0, len(h), HITS):
+                    some = h[at : at + HITS]
+                    made = [batch.column(0).take(pa.array(row[at : at + HITS])), pa.array(some[:, 2]), pa.array(surface[at : at + HITS], pa.string()), pa.array(some[:, 0].astype(np.int32)), pa.array(some[:, 1].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(made if whole else [*made, pa.array(some[:, 3] == 1)], names)
 
         return run
 

@@ -66,7 +66,7 @@ def test_new_numbers_become_placeholders(spark):
 
 
 def test_heading_lookup(spark):
-    known = {"教育背景": "education", "二、工作经历": "work", "项目经历 Project Experience": "projects", "技能与证书": "skills", "竞赛经历": "awards", "个人概况": "basics", "Java 项目": None, "": None, "负责项目的整体设计": None, "过往": None}
+    known = {"教育背景": "education", "二、工作经历": "work", "项目经历 Project Experience": "projects", "技能与证书": "skills", "竞赛经历": "awards", "个人信息": "basics", "Java 项目": None, "": None, "负责项目的整体设计": None, "过往": None}
     d = spark.createDataFrame([(t,) for t in known], "title string")
     assert {r.title: r.section_type for r in sections.lookup(d).collect()} == known
     own = spark.createDataFrame([("过往", "work"), ("教育背景", "other")], "alias string, section_type string")
