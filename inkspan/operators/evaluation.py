@@ -52,6 +52,25 @@ def adjacent_pairs(truth: DataFrame, output: DataFrame, group: str = "layout") -
     return j.rollup(group).agg(F.count("*").alias("pairs"), F.avg(F.coalesce(F.col("next") == F.col("_next"), F.lit(False)).cast("int")).alias("accuracy"))
 
 
+def layout_figures(truth: DataFrame, output: DataFrame, types: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """Per layout and in all (layout null): pairs_ok, pairs, docs_ok, docs, missing, layout_ok, layout_scored.
+
+    A true pair of neighbouring lines is right if the output's next true line is the same; a document is, if all its pairs are.
+    truth: file, layout, position, line; output: file, position, line; types: file, layout_type (null: no output); ``expected``
+    says which type a layout must get, layouts that are not in it are not scored for it.
+    """
+    w = Window.partitionBy("file").orderBy("position")
+    t = truth.withColumn("next", F.lead("line").over(w))
+    o = output.join(truth.select("file", "line"), ["file", "line"], "left_semi").withColumn("_next", F.lead("line").over(w))
+    j = t.join(o.select("file", "line", "_next", F.lit(1).alias("_there")), ["file", "line"], "left")
+    right = (F.col("next").isNotNull() & F.coalesce(F.col("next") == F.col("_next"), F.lit(False))).cast("long")
+    per = j.groupBy("file", "layout").agg(F.sum(right).alias("ok"), (F.count("*") - 1).alias("pairs"), F.count_if(F.col("_there").isNull()).alias("missing"))
+    want = F.coalesce(*[F.when(F.col("layout") == k, F.lit(v)) for k, v in expected.items()], F.lit(None).cast("string"))
+    per = per.join(types.select("file", "layout_type"), "file", "left").withColumn("_want", want)
+    hit = F.coalesce(F.col("layout_type") == F.col("_want"), F.lit(False))
+    return per.rollup("layout").agg(F.sum("ok").alias("pairs_ok"), F.sum("pairs").alias("pairs"), F.count_if(F.col("ok") == F.col("pairs")).alias("docs_ok"), F.count("*").alias("docs"), F.sum("missing").alias("missing"), F.count_if(hit).alias("layout_ok"), F.count("_want").alias("layout_scored"))
+
+
 def load_figures(requests: DataFrame, by: str = "name") -> DataFrame:
     """Count, failures, rate per second, mean and percentiles of latency per request name."""
     p = lambda q: F.percentile("latency_ms", q)

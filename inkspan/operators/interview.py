@@ -99,6 +99,14 @@ def rejected_topics(topics: DataFrame, materials: DataFrame) -> DataFrame:
     return topics.join(materials.select("session_id", "source", F.col("code").alias("ref")), ["session_id", "source", "ref"], "left_anti")
 
 
+def topics_with_sources(topics: DataFrame, materials: DataFrame) -> DataFrame:
+    """Every topic with the text its reference leads to, compared in upper case without blanks; ``found`` is false and the
+    text null where the model made the reference up or gave it another source."""
+    m = materials.select("session_id", "source", F.col("code").alias("ref"), F.col("text").alias("material"))
+    d = topics.withColumn("ref", F.upper(F.trim("ref"))).join(m, ["session_id", "source", "ref"], "left")
+    return d.withColumn("found", F.col("material").isNotNull())
+
+
 def materials(requirements: DataFrame, entries: DataFrame, findings: DataFrame) -> DataFrame:
     """Coded sources per session: R requirements without education and soft ones, P experiences, F the first six located findings."""
     def coded(df: DataFrame, letter: str, source: str, text: str, *order: Column | str) -> DataFrame:

@@ -33,11 +33,10 @@ def match_skills(requirements: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def match_education(requirements: DataFrame, education: DataFrame) -> DataFrame:
     """Hit or miss by the highest degree against the lowest one the requirement names; undecided rows are left out."""
-    best = education.withColumn("_level", degree_level(F.col("degree"))).filter("_level > 0")
-    best = best.groupBy("report_id").agg(F.max_by(F.struct("_level", "char_start", "char_end"), F.struct("_level", -F.col("ordinal"))).alias("e"))
+    best = highest_degree(education).select("report_id", F.struct("level", "char_start", "char_end").alias("e"))
     r = requirements.filter("category = 'education'").withColumn("_need", required_degree(F.col("content"), F.col("quote"))).filter("_need > 0")
     got = r.join(best, "report_id")
-    return got.select("report_id", "requirement_id", F.when(F.col("e._level") >= F.col("_need"), "hit").otherwise("miss").alias("status"), F.lit("profile").alias("matched_by"), F.col("e.char_start").alias("char_start"), F.col("e.char_end").alias("char_end"))
+    return got.select("report_id", "requirement_id", F.when(F.col("e.level") >= F.col("_need"), "hit").otherwise("miss").alias("status"), F.lit("profile").alias("matched_by"), F.col("e.char_start").alias("char_start"), F.col("e.char_end").alias("char_end"))
 
 
 def experience_years(work: DataFrame, today: str, key: str = "report_id") -> DataFrame:
@@ -85,6 +84,57 @@ def recheck_listed_only(items: DataFrame, rule_items: DataFrame, entries: DataFr
     return d.withColumn("status", F.when(down, "partial").otherwise(F.col("status"))).drop("_listed", "_inside")
 
 
+MODES = ("dict_only", "llm_fulltext", "hybrid")
+
+
+def match_in_mode(requirements: DataFrame, mentions: DataFrame, education: DataFrame, work: DataFrame, answers: DataFrame, today: str, mode: str = "hybrid", entries: DataFrame | None = None) -> DataFrame:
+    """Items of all requirements in one of the MODES: report_id, requirement_id, status, matched_by, char_start, char_end.
+
+    dict_only: rules alone, what they leave open is a miss; llm_fulltext: the model alone; hybrid: rules where they are
+    certain (strict), else the model, whose hits on skills that are only listed are taken back to partial (``entries``:
+    spans of work and projects). answers: see :func:`apply_judgements`.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    key = ["report_id", "requirement_id"]
+    if mode == "llm_fulltext":
+        return apply_judgements(requirements, answers)
+    rules = match_by_rules(requirements, mentions, education, work, today, strict=mode == "hybrid")
+    pending = requirements.join(rules.select(*key), key, "left_anti")
+    if mode == "dict_only":
+        null = F.lit(None).cast("int")
+        return rules.unionByName(pending.select(*key, F.lit("miss").alias("status"), F.lit(None).cast("string").alias("matched_by"), null.alias("char_start"), null.alias("char_end")))
+    judged = apply_judgements(pending, answers)
+    if entries is not None:
+        judged = recheck_listed_only(judged, match_skills(requirements, mentions), entries)
+    return rules.unionByName(judged)
+
+
+def items_of(requirements: DataFrame, items: DataFrame) -> DataFrame:
+    """Every requirement with its item; without one it is a miss that nothing matched."""
+    key = ["report_id", "requirement_id"]
+    i = items.select(*key, "status", "matched_by", "char_start", "char_end")
+    return requirements.join(i, key, "left").withColumn("status", F.coalesce("status", F.lit("miss")))
+
+
+def apply_gate(diagnoses: DataFrame, scores: DataFrame, threshold: float = 60.0) -> DataFrame:
+    """Applications both of whose branches have ended: apply_id, diagnosis_status, overall_match, passed.
+
+    diagnoses: apply_id, status (done, partial or failed count as ended); scores: apply_id, overall (null: nothing was asked, so
+    not passed). An application with one branch alone is not there yet.
+    """
+    ended = diagnoses.filter(F.col("status").isin("done", "partial", "failed")).select("apply_id", F.col("status").alias("diagnosis_status"))
+    d = ended.join(scores.select("apply_id", "overall"), "apply_id")
+    return d.select("apply_id", "diagnosis_status", F.col("overall").alias("overall_match"), F.coalesce(F.col("overall") >= threshold, F.lit(False)).alias("passed"))
+
+
+def highest_degree(education: DataFrame) -> DataFrame:
+    """The entry with the highest degree of each report, the first of equal ones; entries that name none are left out."""
+    best = education.withColumn("level", degree_level(F.col("degree"))).filter("level > 0")
+    best = best.groupBy("report_id").agg(F.max_by(F.struct("level", "ordinal", "char_start", "char_end"), F.struct("level", -F.col("ordinal"))).alias("e"))
+    return best.select("report_id", "e.*")
+
+
 def score_matches(requirements: DataFrame, items: DataFrame) -> DataFrame:
     """Per report: overall score and one per category, 0..100, null where nothing is asked; requirements without item are misses."""
     d = requirements.select("report_id", "requirement_id", "category", "weight").join(items.select("report_id", "requirement_id", "status"), ["report_id", "requirement_id"], "left")

@@ -150,6 +150,18 @@ def score_findings(findings: DataFrame, units: DataFrame, mode: str = "hybrid")
     return d.withColumn("overall", round_exact(overall))
 
 
+def findings_in_mode(rule_findings: DataFrame, model_findings: DataFrame, key: str, mode: str = "hybrid") -> DataFrame:
+    """The findings a mode shows: rules alone, the model's verified ones alone, or both without those that a rule covers."""
+    from inkspan.operators.spans import drop_duplicates_of
+
+    if mode not in ACTIVE:
+        raise ValueError(f"mode must be one of {tuple(ACTIVE)}")
+    good = model_findings.filter("coalesce(verify_result, 'failed') != 'failed'")
+    if mode == "rule_only":
+        return rule_findings
+    return good if mode == "llm_only" else rule_findings.unionByName(drop_duplicates_of(good, rule_findings, key))
+
+
 def diagnosis_counters(findings: DataFrame, skipped: DataFrame) -> DataFrame:
     """Per diagnosis: first-round counts, hallucinations (first round failed), and done or partial. skipped: diagnosis_id, units_skipped."""
     first = F.col("attempt_no") == 1

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.operators.spans import section_at
@@ -16,13 +16,12 @@ SPELLINGS = 200_000  # of one automaton
 
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(id, canonical_name, category, aliases) of a CSV with pipe-separated aliases; ids follow the names' order in the file.
+    """(id, canonical_name, category, aliases) of a CSV with pipe-separated aliases; ids follow the order of files and lines."""
+    from inkspan.operators.ranking import with_position
 
-    The file is a dictionary of hundreds of rows, so numbering it in one window is fine.
-    """
-    raw = spark.read.option("header", True).csv(path).withColumn("_at", F.monotonically_increasing_id())
-    d = raw.withColumn("id", F.row_number().over(Window.orderBy("_at")).cast("long"))
-    aliases = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), "\\|"), F.trim), lambda a: (a != "") & (F.lower(a) != F.lower("canonical_name")))
+    raw = spark.read.option("header", True).csv(path).withColumn("_line", F.monotonically_increasing_id())
+    d = with_position(raw, "_line", name="id")
+    aliases = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), "\\|"), lambda a: F.trim(a)), lambda a: (a != "") & (F.lower(a) != F.lower("canonical_name")))
     return d.select("id", F.trim("canonical_name").alias("canonical_name"), "category", F.array_distinct(aliases).alias("aliases"))
 
 

@@ -133,14 +133,26 @@ def totals(base: DataFrame, day: str | None = None) -> DataFrame:
     return _filled(resum(base))
 
 
+def registered(users: DataFrame) -> DataFrame:
+    """Number of job seekers among the users, one row."""
+    return users.filter("role = 'seeker'").agg(F.count("*").alias("registered"))
+
+
+def side_by_side(*figures: DataFrame) -> DataFrame:
+    """One row of several one-row frames."""
+    out = figures[0]
+    for f in figures[1:]:
+        out = out.crossJoin(f)  # aggregates without keys: one row each
+    return out
+
+
 def usage_report(calls: DataFrame, users: DataFrame, start: str, end: str, day: str | None = None) -> DataFrame:
     """One row: sums of the window's user calls (of one day, if given), the window's cost, other calls, registered users."""
     window = in_days(calls, start, end)
     base = grouped(window)
     cost = base.agg(F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(20,6)").alias("window_cost"))
     other = other_calls(window).agg(F.count("*").alias("other_calls"), F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(20,6)").alias("other_cost"))
-    registered = users.filter("role = 'seeker'").agg(F.count("*").alias("registered"))
-    return totals(base, day).crossJoin(cost).crossJoin(other).crossJoin(registered)  # one row each
+    return side_by_side(totals(base, day), cost, other, registered(users))
 
 
 def activity(reports: DataFrame, resumes: DataFrame) -> DataFrame:
