@@ -77,6 +77,15 @@ def find_duplicates(uploads: DataFrame, resumes: DataFrame) -> DataFrame:
     return uploads.join(kept, ["user_id", "file_hash"], "left")
 
 
+def unused(owned: DataFrame, uses: DataFrame, key: str, used_key: str) -> DataFrame:
+    """Rows that nothing refers to; rows with a null key are never referred to."""
+    return owned.join(uses.select(F.col(used_key).alias("_used")), F.col(key) == F.col("_used"), "left_anti")
+
+
+def used(owned: DataFrame, uses: DataFrame, key: str, used_key: str) -> DataFrame:
+    return owned.join(uses.select(F.col(used_key).alias("_used")), F.col(key) == F.col("_used"), "left_semi")
+
+
 def passes_gate(overall: Column, threshold: float = GATE) -> Column:
     return F.coalesce(overall >= threshold, F.lit(False))
 

@@ -137,27 +137,41 @@ def str_work_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 DEGREE_TEXTS = ("本科及以上", "Master or PhD", "硕士研究生", "博士研究生", "大专", "none", "Bachelor", "本科或硕士")
-DEGREE_LEVELS = ("2", "4,3", "3", "4", "1", "", "2", "3,2")
+DEGREE_WORDS = ("本科", "MASTER", "研究生", "博士研究生", "大专", "none", "Bachelor", "硕士", "Ph.D", "学士", "专科")
 
 
-@query(f"SELECT s_suppkey, {_picked('s_suppkey', DEGREE_LEVELS)} AS levels FROM supplier")
+def _asks(a: str, b: str) -> Column:
+    """A part's name with two words of the list, one chosen by each key, and its type."""
+    word = lambda k: F.element_at(F.array(*[F.lit(w) for w in DEGREE_WORDS]), (F.col(k) % len(DEGREE_WORDS) + 1).cast("int"))
+    return F.concat_ws(" ", "p_name", word(a), F.lit("或"), word(b), F.col("p_type"))
+
+
+_ASKS = lambda a, b: f"p_name || ' ' || ({list(DEGREE_WORDS)!r})[CAST({a} % {len(DEGREE_WORDS)} + 1 AS INTEGER)] || ' 或 ' || ({list(DEGREE_WORDS)!r})[CAST({b} % {len(DEGREE_WORDS)} + 1 AS INTEGER)] || ' ' || p_type"
+_FOUND_LEVELS = lambda t: f"list_filter([CASE WHEN regexp_matches({t}, '博士|(?i:ph\\.?d)') THEN 4 END, CASE WHEN regexp_matches(replace({t}, '博士研究生', ''), '硕士|研究生|(?i:master)') THEN 3 END, CASE WHEN regexp_matches({t}, '本科|学士|(?i:bachelor)') THEN 2 END, CASE WHEN regexp_matches({t}, '大专|专科') THEN 1 END], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH t AS (SELECT p_partkey, {_ASKS('p_partkey', 'p_size')} AS said FROM part) SELECT p_partkey, said, array_to_string({_FOUND_LEVELS('said')}, ',') AS levels FROM t")
 def str_degree_levels(spark: SparkSession, d: str) -> DataFrame:
-    found = text.degree_levels(_pick(F.col("s_suppkey"), *DEGREE_TEXTS))
-    return table(spark, d, "supplier").select("s_suppkey", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("levels"))
+    said = _asks("p_partkey", "p_size")
+    levels = F.array_join(F.transform(text.degree_levels(said), lambda x: x.cast("string")), ",")
+    return table(spark, d, "part").select("p_partkey", said.alias("said"), levels.alias("levels"))
 
 
-@query(f"SELECT s_suppkey, CAST(coalesce(({['2', '3', '3', '4', '1', None, '2', '2']!r})[CAST(s_suppkey % 8 + 1 AS INTEGER)], CASE WHEN s_suppkey % 3 = 0 THEN '1' END, '0') AS INTEGER) AS level FROM supplier".replace("None", "NULL"))
+@query(f"WITH t AS (SELECT p_partkey, {_ASKS('p_partkey', 'p_partkey')} AS said, {_ASKS('p_size', 'p_partkey')} AS quoted FROM part) SELECT p_partkey, CAST(coalesce(list_min({_FOUND_LEVELS('said')}), list_min({_FOUND_LEVELS('quoted')}), 0) AS INTEGER) AS level FROM t")
 def agg_min_degree(spark: SparkSession, d: str) -> DataFrame:
-    quote = F.when(F.col("s_suppkey") % 3 == 0, "专科以上").otherwise("any")
-    return table(spark, d, "supplier").select("s_suppkey", text.required_degree(_pick(F.col("s_suppkey"), *DEGREE_TEXTS), quote).alias("level"))
+    return table(spark, d, "part").select("p_partkey", text.required_degree(_asks("p_partkey", "p_partkey"), _asks("p_size", "p_partkey")).alias("level"))
 
 
 YEAR_TEXTS = ("3 年以上经验", "3-5年", "2023 年毕业", "20年", "1 至 3 年", "no years", "15年")
 
 
-@query(f"SELECT s_suppkey, CAST(([3, 3, NULL, NULL, 1, NULL, 15])[CAST(s_suppkey % 7 + 1 AS INTEGER)] AS INTEGER) AS years FROM supplier")
+@query("""WITH t AS (SELECT p_partkey, p_name || ' ' || CASE p_partkey % 5 WHEN 0 THEN p_size || ' 年以上经验' WHEN 1 THEN p_size || '-' || (p_size + 2) || '年' WHEN 2 THEN '20' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '年毕业' WHEN 3 THEN p_size || ' years' ELSE p_size || ' 至 ' || (p_size + 9) || ' 年' END AS said FROM part),
+ n AS (SELECT *, TRY_CAST(regexp_extract(said, '(^|[^0-9])([0-9]{1,2})(\\s*[-至]\\s*[0-9]{1,2})?\\s*年', 2) AS INTEGER) AS y FROM t) SELECT p_partkey, said, CASE WHEN y BETWEEN 1 AND 15 THEN y END AS years FROM n""")
 def str_years_req(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select("s_suppkey", text.required_years(_pick(F.col("s_suppkey"), *YEAR_TEXTS), F.lit("")).alias("years"))
+    k, n = F.col("p_partkey") % 5, F.col("p_size")
+    form = F.when(k == 0, F.concat(n, F.lit(" 年以上经验"))).when(k == 1, F.concat(n, F.lit("-"), n + 2, F.lit("年"))).when(k == 2, F.concat(F.lit("20"), F.lpad(n.cast("string"), 2, "0"), F.lit("年毕业"))).when(k == 3, F.concat(n, F.lit(" years"))).otherwise(F.concat(n, F.lit(" 至 "), n + 9, F.lit(" 年")))
+    said = F.concat_ws(" ", "p_name", form)
+    return table(spark, d, "part").select("p_partkey", said.alias("said"), text.required_years(said, F.lit("")).alias("years"))
 
 
 @query("SELECT p_partkey, length(regexp_replace(replace(lower(p_name || ' ' || p_brand), lower(p_name), ''), '\\s+', '', 'g')) <= 6 AS plain FROM part")
@@ -186,13 +200,31 @@ def str_display_title(spark: SparkSession, d: str) -> DataFrame:
 # dates and numbers
 
 
-@query("""SELECT o_orderkey, a AS start_, CASE WHEN k = 0 THEN b WHEN k = 1 THEN NULL WHEN k = 2 THEN left(b, 4) END AS end_, k = 1 AS is_present, CAST(5 AS INTEGER) AS lo FROM (SELECT o_orderkey, o_orderkey % 4 AS k, CASE WHEN o_orderkey % 4 IN (2) THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m') END AS a, strftime(o_orderdate + INTERVAL 400 DAY, '%Y-%m') AS b FROM orders)""")
+_DATED = """said AS (SELECT *, o_orderdate + INTERVAL 400 DAY AS later, o_orderstatus || o_orderpriority || CASE WHEN o_custkey % 2 = 0 THEN ' joined in ' ELSE ' ' END AS head FROM orders),
+ form AS (SELECT *, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y.') || month(o_orderdate) || ' - ' || strftime(later, '%Y/%m') WHEN 1 THEN strftime(o_orderdate, '%Y年') || month(o_orderdate) || '月至今' WHEN 2 THEN strftime(o_orderdate, '%Y.%m') || '~' || year(later) WHEN 3 THEN strftime(o_orderdate, '%b %Y')
+  WHEN 4 THEN strftime(o_orderdate, '%b %Y') || ' to present' WHEN 5 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE year(o_orderdate) || ' 到 ' || year(later) END AS dates FROM said), dated AS (SELECT *, head || dates || ' ' || o_custkey || 'x' AS line FROM form)"""
+# months of a year and the year, read from the text: numbers after a year, or the name before it
+_MONTHED = """ys AS (SELECT *, regexp_extract_all(dates, '(19|20)[0-9]{2}') AS ys, regexp_extract_all(dates, '(?:19|20)[0-9]{2}[./年]([0-9]{1,2})', 1) AS ms, list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(regexp_extract(dates, '[A-Z][a-z]{2}'))) AS named, regexp_matches(dates, '至今|present') AS present FROM dated),
+ m AS (SELECT *, coalesce(lpad(ms[1], 2, '0'), lpad(CAST(named AS VARCHAR), 2, '0')) AS m1, lpad(ms[2], 2, '0') AS m2, len(ys) = 1 AND NOT present AND named IS NULL AND ms[1] IS NULL AS bare FROM ys)"""
+
+
+@query(f"""WITH {_DATED}, {_MONTHED} SELECT o_orderkey, CASE WHEN bare THEN NULL WHEN m1 IS NOT NULL AND (present OR len(ys) = 1 OR m2 IS NOT NULL) THEN ys[1] || '-' || m1 ELSE ys[1] END AS start_, CASE WHEN len(ys) < 2 THEN NULL WHEN m1 IS NOT NULL AND m2 IS NOT NULL THEN ys[2] || '-' || m2 ELSE ys[2] END AS end_,
+ CASE WHEN bare THEN NULL ELSE present END AS is_present, CASE WHEN bare THEN NULL ELSE CAST(strpos(line, dates) - 1 AS INTEGER) END AS lo, CASE WHEN bare THEN NULL ELSE CAST(strpos(line, dates) - 1 + length(dates) AS INTEGER) END AS hi FROM m""")
 def dt_find_range(spark: SparkSession, d: str) -> DataFrame:
-    a, b, k = F.col("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 400), F.col("o_orderkey") % 4
-    said = F.when(k == 0, F.concat(F.date_format(a, "yyyy.M"), F.lit(" - "), F.date_format(b, "yyyy/MM"))).when(k == 1, F.concat(F.date_format(a, "yyyy年M月"), F.lit("至今")))
-    said = said.when(k == 2, F.concat(F.date_format(a, "yyyy.MM"), F.lit("~"), F.date_format(b, "yyyy"))).otherwise(F.date_format(a, "MMM yyyy"))
-    r = dates.find_date_range(F.concat(F.lit("from "), said, F.lit(" at x")))
-    return table(spark, d, "orders").withColumn("r", r).select("o_orderkey", F.col("r.start").alias("start_"), F.col("r.end").alias("end_"), F.col("r.is_present").alias("is_present"), F.col("r.span_start").cast("int").alias("lo"))
+    """Seven ways to write dates, behind heads of many lengths."""
+    r = dates.find_date_range(_dated_line())
+    return table(spark, d, "orders").withColumn("r", r).select("o_orderkey", F.col("r.start").alias("start_"), F.col("r.end").alias("end_"), F.col("r.is_present").alias("is_present"), F.col("r.span_start").cast("int").alias("lo"), F.col("r.span_end").cast("int").alias("hi"))
+
+
+def _dated_form() -> Column:
+    a, b, k = F.col("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 400), F.col("o_orderkey") % 7
+    said = F.when(k == 0, F.concat(F.date_format(a, "yyyy.M"), F.lit(" - "), F.date_format(b, "yyyy/MM"))).when(k == 1, F.concat(F.date_format(a, "yyyy年M月"), F.lit("至今"))).when(k == 2, F.concat(F.date_format(a, "yyyy.MM"), F.lit("~"), F.date_format(b, "yyyy"))).when(k == 3, F.date_format(a, "MMM yyyy"))
+    return said.when(k == 4, F.concat(F.date_format(a, "MMM yyyy"), F.lit(" to present"))).when(k == 5, F.date_format(a, "yyyy")).otherwise(F.concat(F.date_format(a, "yyyy"), F.lit(" 到 "), F.date_format(b, "yyyy")))
+
+
+def _dated_line() -> Column:
+    head = F.concat("o_orderstatus", "o_orderpriority", F.when(F.col("o_custkey") % 2 == 0, " joined in ").otherwise(" "))
+    return F.concat(head, _dated_form(), F.lit(" "), "o_custkey", F.lit("x"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST((year(b) - year(o_orderdate)) * 12 + month(b) - month(o_orderdate) AS INTEGER) END AS months FROM (SELECT *, o_orderdate + INTERVAL (o_orderkey % 900) DAY AS b FROM orders)")
@@ -202,11 +234,11 @@ def dt_months_between(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", dates.months_between(F.date_format("o_orderdate", "yyyy-MM"), later).alias("months"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 AND length(o_orderstatus || ' x') * 2 <= 14")
+@query(f"WITH {_DATED}, l AS (SELECT o_orderkey, dates, dates || ' ' || o_orderpriority || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE ' ' || o_custkey || o_orderstatus END AS line FROM form) SELECT o_orderkey, line FROM l WHERE 2 * length(dates) >= length(line) AND NOT regexp_full_match(dates, '[0-9]{{4}}')")
 def dt_is_date_line(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey") % 3
-    line = F.when(k == 0, F.date_format("o_orderdate", "yyyy.MM")).when(k == 1, F.concat(F.date_format("o_orderdate", "yyyy.MM"), F.lit(" x"))).otherwise(F.concat(F.lit("a long line about what was done in "), F.date_format("o_orderdate", "yyyy.MM")))
-    return table(spark, d, "orders").filter(dates.is_date_line(line)).select("o_orderkey")
+    more = F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "o_custkey", "o_orderstatus"))
+    line = F.concat(_dated_form(), F.lit(" "), "o_orderpriority", more)
+    return table(spark, d, "orders").filter(dates.is_date_line(line)).select("o_orderkey", line.alias("line"))
 
 
 @query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - 29, '%Y-%m-%d') AS start FROM orders")
@@ -457,11 +489,12 @@ def iv_plan_verify(spark: SparkSession, d: str) -> DataFrame:
 # rules and evaluation
 
 
-@query("SELECT resume_id FROM (SELECT o_orderkey AS resume_id, o_orderkey % 4 AS a, o_orderkey % 3 AS b FROM orders) WHERE a = 0 OR b = 0")
+@query("""SELECT l_orderkey AS resume_id, 'ats' AS category, 'low' AS severity FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'R' AND l_quantity > 40) + count(*) FILTER (l_tax > 0.07) + count(*) FILTER (l_discount > 0.09 AND l_linestatus = 'F') > 0""")
 def rule_ATS_UNFRIENDLY(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
-    k = F.col("o_orderkey")
-    s = table(spark, d, "orders").select(k.alias("resume_id"), F.when(k % 4 == 0, F.lit(2)).alias("images"), (k % 3 == 0).cast("int").alias("textboxes"), F.lit(0).alias("drawings"))
-    return rules.ats_unfriendly(s).select("resume_id")
+    """A page's line items are its drawn objects: pictures, text boxes and drawings by their figures."""
+    drawn = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("resume_id"))
+    s = drawn.agg(F.nullif(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)), F.lit(0)).alias("images"), F.count_if(F.col("l_tax") > 0.07).alias("textboxes"), F.count_if((F.col("l_discount") > 0.09) & (F.col("l_linestatus") == "F")).alias("drawings"))
+    return rules.ats_unfriendly(s).select("resume_id", "category", "severity")
 
 
 @query("SELECT doc_id, line_no, skipped FROM (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n, CAST(greatest(count(*) OVER (PARTITION BY doc_id) - 3, 0) AS BIGINT) AS skipped FROM (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INTEGER) AS line_no FROM documents)) WHERE n <= 3")

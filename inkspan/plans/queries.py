@@ -202,10 +202,10 @@ def flt_in_list(spark: SparkSession, d: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey, "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 100000)")
 def join_semi_used(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    """Customers without a large urgent order."""
+    return listing.unused(table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_totalprice > 100000"), "c_custkey", "o_custkey").select("c_custkey")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")

@@ -6,6 +6,8 @@ sections, documents for résumés.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +39,24 @@ def arr_block_span(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).select(*KEY, F.coalesce(F.array_join(structure.block_span(ids, F.lit(3), F.lit(8)), ","), F.lit("none")).alias("ids"))
 
 
-DATE_LINES = ("no date here", "2021.03-2022.05 Team", "since 2020.9 - 至今", "2019-2021", "v1.2.3 release")
-DATE_FOUND = ("", "2021-03/2022-05/false", "2020-09//true", "2019/2021/false", "")
-
-
-@query(f"SELECT p_partkey, coalesce(nullif({_picked('p_partkey', DATE_FOUND)}, ''), nullif({_picked('p_size', DATE_FOUND)}, ''), '//false') AS dates FROM part")
+@query("""WITH t AS (SELECT c_custkey, year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderkey % 4 AS k, o_orderstatus, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey),
+ b AS (SELECT c_custkey, n, CASE WHEN k = 0 THEN 'order ' || o_orderstatus WHEN k = 1 THEN y || '.' || m || '-' || (y + 1) || '.' || m || ' Team ' || o_orderstatus WHEN k = 2 THEN 'since ' || y || '.' || m || ' - 至今' ELSE o_orderstatus || ' ' || y || '-' || (y + 2) END AS line FROM t WHERE n <= 3),
+ f AS (SELECT *, regexp_extract_all(line, '(19|20)[0-9]{2}') AS ys, regexp_extract_all(line, '(?:19|20)[0-9]{2}\\.([0-9]{1,2})', 1) AS ms FROM b WHERE regexp_matches(line, '(19|20)[0-9]{2}')),
+ g AS (SELECT c_custkey, min(n) AS n FROM f GROUP BY 1)
+ SELECT c.c_custkey, coalesce(ys[1] || coalesce('-' || lpad(ms[1], 2, '0'), '') || '/' || coalesce(ys[2] || coalesce('-' || lpad(ms[2], 2, '0'), ''), '') || '/' || CASE WHEN line LIKE '%至今%' THEN 'true' ELSE 'false' END, '//false') AS dates
+ FROM (SELECT DISTINCT c_custkey FROM b) c LEFT JOIN g USING (c_custkey) LEFT JOIN f ON f.c_custkey = g.c_custkey AND f.n = g.n""")
 def arr_dates_in_blocks(spark: SparkSession, d: str) -> DataFrame:
-    found = structure.first_dates(F.array(_pick(F.col("p_partkey"), *DATE_LINES), _pick(F.col("p_size"), *DATE_LINES)))
-    part = table(spark, d, "part").withColumn("f", found)
-    return part.select("p_partkey", F.concat_ws("/", F.coalesce("f.start", F.lit("")), F.coalesce("f.end", F.lit("")), _text("f.is_present")).alias("dates"))
+    """A customer's first three orders are the blocks of an entry."""
+    from pyspark.sql import Window
+
+    y, m, k, status = F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "M"), F.col("o_orderkey") % 4, F.col("o_orderstatus")
+    later = lambda n: (y.cast("int") + n).cast("string")
+    line = F.when(k == 0, F.concat(F.lit("order "), status)).when(k == 1, F.concat(y, F.lit("."), m, F.lit("-"), later(1), F.lit("."), m, F.lit(" Team "), status)).when(k == 2, F.concat(F.lit("since "), y, F.lit("."), m, F.lit(" - 至今"))).otherwise(F.concat(status, F.lit(" "), y, F.lit("-"), later(2)))
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    b = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), n.alias("n"), line.alias("line")).filter("n <= 3")
+    blocks = F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    got = b.groupBy("c_custkey").agg(blocks.alias("b")).select("c_custkey", structure.first_dates(F.col("b")).alias("f"))
+    return got.select("c_custkey", F.concat_ws("/", F.coalesce("f.start", F.lit("")), F.coalesce("f.end", F.lit("")), _text("f.is_present")).alias("dates"))
 
 
 @query(f"""WITH {OFFSETS}, m AS (SELECT doc_id, max(line_no) AS last FROM offs GROUP BY 1 HAVING max(line_no) >= 1), e AS (SELECT m.*, unnest([0, 1]) AS entry_no FROM m),
@@ -96,11 +107,12 @@ def diag_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 SAID = ("涨粉明显", "准确率变好", "性能提升", "负责开发", "销量增加 30%", "完成率高")
-WORDS = {k: upkeep.result_words(k) for k in ("cs", "ops", "finance", "general")}
+#: what of SAID states a result, by direction
+STATED = {"cs": "提升", "ops": "提升|涨粉|销量", "finance": "提升|准确率|完成率", "general": "提升|涨粉|销量|准确率|完成率"}
 
 
 @query(f"""WITH u AS (SELECT p_partkey, {_picked('p_partkey', SAID)} AS t, {_picked('p_size', ('cs', 'ops', 'finance', 'general', 'other'))} AS domain FROM part)
- SELECT p_partkey, domain FROM u WHERE regexp_matches(t, CASE domain {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in WORDS.items())} ELSE '{WORDS["cs"]}' END) AND NOT regexp_matches(t, '[0-9]')""")
+ SELECT p_partkey, domain FROM u WHERE regexp_matches(t, CASE domain {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STATED.items())} ELSE '{STATED["cs"]}' END) AND NOT regexp_matches(t, '[0-9]')""")
 def rule_registry(spark: SparkSession, d: str) -> DataFrame:
     others = frozenset(("STAR_INCOMPLETE", "WEAK_VERB", "LENGTH_ANOMALY"))
     t, domain = _pick(F.col("p_partkey"), *SAID), _pick(F.col("p_size"), "cs", "ops", "finance", "general", "other")
@@ -432,14 +444,26 @@ def iv_materials(spark: SparkSession, d: str) -> DataFrame:
     return interview.materials(asked, entries, found)
 
 
-@query("""WITH t AS (SELECT doc_id, text FROM documents WHERE length(text) >= 40)
- SELECT doc_id AS job_id, 1 AS requirement_id, 'c0' AS content, 0 AS char_start FROM t UNION ALL SELECT doc_id, 2, 'c3', 0 FROM t""")
+_JOB_ASKS = f"""d AS (SELECT doc_id, text, translate(text, chr(10) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ' abcdefghijklmnopqrstuvwxyz') AS t, length(text) AS n FROM documents WHERE length(text) >= 40),
+ a AS (SELECT doc_id, t, o, ['hard', 'plus', 'soft'][o % 3 + 1] AS req_type, CASE o WHEN 3 THEN 'q#9~' WHEN 4 THEN md5(CAST(doc_id AS VARCHAR)) ELSE substr(text, (doc_id * 7 + o * 13) % (n - 30) + 1, 30) END AS quote, CASE WHEN o IN (0, 5) THEN 'want ' || doc_id % 3 ELSE 'WANT ' || o % 2 END AS content, CASE WHEN o % 2 = 1 THEN ['the', 'de', 'und'][CAST(doc_id % 3 + 1 AS INTEGER)] END AS skill FROM d, range(0, 6) r(o)),
+ s AS (SELECT *, trim(translate(quote, chr(10) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ' abcdefghijklmnopqrstuvwxyz'), ' .' || chr(34) || chr(39)) AS q FROM a)"""
+
+
+@query(f"""WITH {_JOB_ASKS}, k AS (SELECT *, strpos(t, q) - 1 AS s FROM s WHERE length(q) >= 2 AND contains(t, q) AND (skill IS NULL OR contains(lower(t), skill))),
+ u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(content) ORDER BY o) AS again FROM k)
+ SELECT doc_id AS job_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS INTEGER) AS requirement_id, content, req_type, CASE req_type WHEN 'hard' THEN 1.0 WHEN 'plus' THEN 0.5 ELSE 0.3 END AS weight, CAST(s AS INTEGER) AS char_start FROM u WHERE again = 1""")
 def jd_verify(spark: SparkSession, d: str) -> DataFrame:
-    jobs = table(spark, d, "documents").filter("length(text) >= 40").select(F.col("doc_id").alias("job_id"), F.col("text").alias("raw_text"))
-    asks = [(0, "c0", None), (1, "c1", "no such skill"), (2, "C0", None), (3, "c3", None), (4, "c4", None)]
-    rows = F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(c).alias("content"), F.lit(s).cast("string").alias("skill"), F.lit(n == 4).alias("made_up")) for n, c, s in asks])
-    found = jobs.select("job_id", "raw_text", F.explode(rows).alias("a")).select("job_id", "a.ordinal", F.lit("hard").alias("req_type"), F.lit("skill").alias("category"), "a.content", "a.skill", F.when(F.col("a.made_up"), "q#9~").otherwise(F.substring("raw_text", 1, 30)).alias("quote"))
-    return matching.verify_requirements(found, jobs).select("job_id", "requirement_id", "content", "char_start")
+    """Six asks of each job text: quotes from places of their own, two made up; contents that differ in case; skills that may not occur."""
+    doc, n = F.col("doc_id"), F.length("text")
+    jobs = table(spark, d, "documents").filter(n >= 40).select(doc.alias("job_id"), F.col("text").alias("raw_text"))
+    o = F.col("ordinal")
+    pick = lambda at, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (at + 1).cast("int"))
+    key, size = F.col("job_id"), F.length("raw_text")
+    quote = F.when(o == 3, "q#9~").when(o == 4, F.md5(key.cast("string").cast("binary"))).otherwise(F.substr("raw_text", ((key * 7 + o * 13) % (size - 30) + 1).cast("int"), F.lit(30)))
+    content = F.when(o.isin(0, 5), F.concat(F.lit("want "), key % 3)).otherwise(F.concat(F.lit("WANT "), o % 2))
+    found = jobs.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    found = found.select("job_id", "ordinal", pick(o % 3, "hard", "plus", "soft").alias("req_type"), F.lit("skill").alias("category"), content.alias("content"), F.when(o % 2 == 1, pick(key % 3, "the", "de", "und")).alias("skill"), quote.alias("quote"))
+    return matching.verify_requirements(found, jobs).select("job_id", "requirement_id", "content", "req_type", "weight", "char_start")
 
 
 @query(f"SELECT {ITEM}, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_quantity AS INTEGER) END NULLS LAST, l_partkey, l_suppkey, l_linenumber) AS INTEGER) AS position FROM lineitem")
@@ -455,11 +479,21 @@ def dim_scores_nonnull(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).select(*KEY, F.array_join(shown, ",").alias("shown"))
 
 
-TITLES = ("工作经历", "教育背景", "专业技能", "no heading at all", "项目经历")
-TITLE_TYPES = ("work", "education", "skills", "none", "projects")
+TITLES = ("工作经历", "教育背景", "专业技能", "no heading at all", "项目经历", "Awards", "Work Experience", "Self-made", "自我评价", "Research")
+TITLE_TYPES = ("work", "education", "skills", None, "projects", "awards", "work", None, "summary", "projects")
 
 
-@query(f"SELECT p_partkey, {_picked('p_partkey', TITLE_TYPES)} AS section FROM part")
+@query(f"""WITH k(alias, kind) AS (VALUES {", ".join(f"('{re.sub('[^0-9a-z一-鿿]', '', t.lower())}', '{k}')" for t, k in zip(TITLES, TITLE_TYPES, strict=True) if k)}), w AS (SELECT p_partkey, {list(TITLES)!r} AS w, p_name, p_partkey % 6 AS form FROM part),
+ t AS (SELECT p_partkey, form, w[CAST(p_partkey % 10 + 1 AS INTEGER)] AS a, w[CAST(p_partkey // 10 % 10 + 1 AS INTEGER)] AS b, p_name FROM w),
+ s AS (SELECT *, CASE form WHEN 0 THEN a WHEN 1 THEN (p_partkey % 20 + 1) || '. ' || a WHEN 2 THEN '【' || upper(a) || '】' WHEN 3 THEN a || ' & ' || b WHEN 4 THEN a || ' ' || p_name ELSE p_name END AS title FROM t),
+ n AS (SELECT *, lower(regexp_replace(title, '^[0-9]{{1,2}}\\. ', '')) AS bare FROM s), p AS (SELECT *, list_transform(string_split(bare, ' & '), lambda x: regexp_replace(x, '[^0-9a-z一-鿿]', '', 'g')) AS parts, regexp_replace(bare, '[^0-9a-z一-鿿]', '', 'g') AS whole FROM n)
+ SELECT p_partkey, title, coalesce(k.kind, CASE WHEN y.alias IS NOT NULL THEN z.kind END, CASE WHEN len(parts) = 2 AND k1.kind IS NOT NULL AND k2.kind IS NOT NULL THEN k1.kind END, 'none') AS section FROM p LEFT JOIN k ON k.alias = whole LEFT JOIN k k1 ON k1.alias = parts[1] LEFT JOIN k k2 ON k2.alias = parts[2]
+  LEFT JOIN k z ON z.alias = regexp_replace(whole, '[^一-鿿]', '', 'g') LEFT JOIN k y ON y.alias = regexp_replace(whole, '[^a-z]', '', 'g') AND length(y.alias) + length(z.alias) = length(whole)""")
 def str_heading_lookup(spark: SparkSession, d: str) -> DataFrame:
-    got = sections.lookup(table(spark, d, "part").select("p_partkey", _pick(F.col("p_partkey"), *TITLES).alias("title")), "title")
-    return got.select("p_partkey", F.coalesce("section_type", F.lit("none")).alias("section"))
+    """Headings plain, numbered, framed, joined in pairs and followed by a part's name; names alone are none."""
+    key = F.col("p_partkey")
+    word = lambda at: F.element_at(F.array(*[F.lit(t) for t in TITLES]), (at % 10 + 1).cast("int"))
+    a, b, form = word(key), word(F.floor(key / 10)), key % 6
+    title = F.when(form == 0, a).when(form == 1, F.concat(key % 20 + 1, F.lit(". "), a)).when(form == 2, F.concat(F.lit("【"), F.upper(a), F.lit("】"))).when(form == 3, F.concat(a, F.lit(" & "), b)).when(form == 4, F.concat(a, F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    got = sections.lookup(table(spark, d, "part").select("p_partkey", title.alias("title")), "title")
+    return got.select("p_partkey", "title", F.coalesce("section_type", F.lit("none")).alias("section"))
