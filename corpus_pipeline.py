@@ -9,18 +9,41 @@ Every stage but the last returns the columns of ``documents``; all work on every
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm import language_id, minhash_dedup, packing, paragraph_dedup, pii
-from inkspan.llm.common import cut, marked, table
+from inkspan.llm import common, language_id, minhash_dedup, packing, paragraph_dedup, pii
+from inkspan.llm.common import cut, drop_cut, marked, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: a document goes if less than this share of its letters is in its language, or if it has no letter
 MIN_SHARE = 0.4
 
 
+_left: list[str] = []
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose own files live until a later stage no longer reads them: at its start, what earlier stages wrote on
+    the way and ``docs`` does not come from is deleted, so the disk holds what two neighbours need and not all five."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {x.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for x in docs.inputFiles()} if _left else set()
+        for path in [p for p in _left if p.split(":", 1)[-1].lstrip("/") not in read]:
+            common.remove_written(path)
+            _left.remove(path)
+        first = len(common._written)
+        out = f(spark, docs, sf_dir)
+        _left.extend(path for _, path in common._written[first:])
+        return out
+
+    return run_stage
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or without a main one, go; a null lang is filled with the prediction."""
     found = language_id.identify(docs, language_id.fit(docs), carry=("text", "lang", "source", "n_chars"))
@@ -29,6 +52,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut(found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS), "languages")
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays, once where its row is repeated; rows with
     a null id are in no group and stay."""
@@ -43,16 +67,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return d.filter("not marked").select(*COLUMNS).unionByName(seen.filter("n is null").select(*COLUMNS)).unionByName(again.select(*COLUMNS))
 
 
+@stage
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = paragraph_dedup.remove_repeats(docs, carry=("lang", "source"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pii.find_spans(docs, pii.fit(docs), mask=True, carry=("lang", "source"))
     return cut(out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS), "masked")
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
@@ -71,6 +98,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    for i, (name, apply) in enumerate(STAGES[:-1]):
+        before, docs = docs, cut(apply(spark, docs, sf_dir), name)
+        if i:
+            drop_cut(before)  # the successor is written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -61,6 +61,15 @@ def drop_cut(*frames: DataFrame) -> None:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/inkspan-" in path:
                 _remove(df.sparkSession, path)
+                # what is gone needs no clean-up at exit
+                _written[:] = [e for e in _written if e[1].split(":", 1)[-1].lstrip("/") != path.split(":", 1)[-1].lstrip("/")]
+
+
+def remove_written(path: str) -> None:
+    """Delete what :func:`cut` wrote to ``path``, if it is still known."""
+    for entry in [e for e in _written if e[1] == path]:
+        _remove(*entry)
+        _written.remove(entry)
 
 
 def settled(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
