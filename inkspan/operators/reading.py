@@ -1,0 +1,273 @@
+"""Reading order of one page's lines, in column expressions over the array of its lines.
+
+A page is one row; its regions are an array in reading order. One step replaces each open region by its parts: by a white
+band from top to bottom, by white rows, or by nothing more, when it is placed. DEPTH + 2 steps place every line. What is
+compared is the lines of one page, so all arrays are as long as a page has lines.
+
+A line is struct<y0, x0, n, x1, y1, chars, dated, text, font, bold>; arrays of lines are sorted, so by y0, then x0.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from inkspan.functions.text import BULLET, LABEL
+
+#: fixed values: white band in parts of the width, how clear it must be, least lines and characters of a side
+GAP_RATIO, UNCLEAR, CLEAR, SIDE_LINES, SIDE_SHARE = 0.03, 0.30, 0.80, 3, 0.12
+STEP, EDGE, DEPTH, Y_CUT, TABULAR, HEADING_EXTRA, HEADING_LONGEST, PARAGRAPH = 2.0, 1.0, 6, 1.5, 2.0, 1.0, 20, 0.7
+LINE = "struct<y0:double,x0:double,n:int,x1:double,y1:double,chars:int,dated:boolean,text:string,font:double,bold:boolean>"
+NODE = f"struct<lines:array<{LINE}>,col:int,depth:int,rows:boolean,placed:boolean,lo:double,hi:double,clear:double,cut:struct<size:int,lo:double,hi:double,clear:double>>"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _values(lines: Column, field: str) -> Column:
+    return F.transform(lines, lambda x: x[field])
+
+
+def _last(a: Column) -> Column:
+    return F.get(a, F.size(a) - 1)
+
+
+def _init(a: Column) -> Column:
+    """All but the last element."""
+    return F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+
+
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def best_band(lines: Column, width: Column) -> Column:
+    """The vertical white band that the fewest lines cross: struct(lo, hi, clear, crossing (their n)), or null.
+
+    Both sides need SIDE_LINES lines and SIDE_SHARE of the characters; of bands crossed alike, the one that parts the
+    characters most evenly, then the leftmost. lo and hi are the last edge on the left and the first one on the right.
+    """
+    w = F.lit(GAP_RATIO) * width
+    left, right = F.array_min(_values(lines, "x0")), F.array_max(_values(lines, "x1"))
+    total = F.greatest(F.aggregate(lines, F.lit(0), lambda a, x: a + x["chars"]), F.lit(1))
+
+    def counted(at: Column) -> Column:
+        zero = _struct(nl=F.lit(0), nr=F.lit(0), cl=F.lit(0), cr=F.lit(0))
+
+        def step(a: Column, x: Column) -> Column:
+            on_left, on_right = (x["x1"] <= at + EDGE).cast("int"), (x["x0"] >= at + w - EDGE).cast("int")
+            return _struct(nl=a["nl"] + on_left, nr=a["nr"] + on_right, cl=a["cl"] + on_left * x["chars"], cr=a["cr"] + on_right * x["chars"])
+
+        return F.aggregate(lines, zero, step)
+
+    def scored(at: Column) -> Column:
+        return once(counted(at), lambda c: _struct(crossed=F.size(lines) - c["nl"] - c["nr"], uneven=F.abs(c["cl"] / total - c["cr"] / total), at=at, ok=(c["nl"] >= SIDE_LINES) & (c["nr"] >= SIDE_LINES) & (F.least(c["cl"], c["cr"]) / total >= SIDE_SHARE)))
+
+    steps = F.greatest(F.ceil((right - w + 1e-9 - left) / STEP), F.lit(0)).cast("int")
+    places = F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>"))
+    tried = F.filter(F.transform(places, lambda k: scored(left + k * STEP)), lambda s: s["ok"])
+
+    def found(best: Column) -> Column:
+        on_left = F.filter(lines, lambda x: x["x1"] <= best["at"] + EDGE)
+        on_right = F.filter(lines, lambda x: x["x0"] >= best["at"] + w - EDGE)
+        crossing = F.filter(lines, lambda x: (x["x1"] > best["at"] + EDGE) & (x["x0"] < best["at"] + w - EDGE))
+        return _struct(lo=F.array_max(_values(on_left, "x1")), hi=F.array_min(_values(on_right, "x0")), clear=1 - best["crossed"] / F.size(lines), crossing=_values(crossing, "n"))
+
+    return F.when(F.size(lines) >= 2 * SIDE_LINES, once(F.array_min(tried), lambda b: F.when(b.isNotNull(), found(b))))
+
+
+def dates_aside(lines: Column, lo: Column, hi: Column) -> Column:
+    """Whether the side with fewer lines is a timeline's dates: half of its lines or more are mostly a date, and four in
+    five of these stand level with a line of the other side (middles within half of the lower line's height)."""
+    on_left, on_right = F.filter(lines, lambda x: x["x1"] <= lo + EDGE), F.filter(lines, lambda x: x["x0"] >= hi - EDGE)
+    sides = F.when(F.size(on_left) <= F.size(on_right), F.array(on_left, on_right)).otherwise(F.array(on_right, on_left))
+    middle, height = lambda x: (x["y0"] + x["y1"]) / 2, lambda x: x["y1"] - x["y0"]
+
+    def told(s: Column) -> Column:
+        dated = F.filter(s[0], lambda x: x["dated"])
+        level = F.filter(dated, lambda a: F.exists(s[1], lambda b: F.abs(middle(a) - middle(b)) <= F.least(height(a), height(b)) / 2))
+        return F.when((F.size(dated) == 0) | (F.size(dated) / F.size(s[0]) < 0.5), F.lit(False)).otherwise(F.size(level) / F.size(dated) >= 0.8)
+
+    return once(sides, told)
+
+
+def common_edge(lines: Column, hi: Column) -> Column:
+    """The left edge, to four points, that most lines of the right side have; the smallest of equal ones, null if there are none."""
+    edges = F.transform(F.filter(lines, lambda x: x["x0"] >= hi - EDGE), lambda x: F.bround(x["x0"] / 4) * 4)
+    return once(edges, lambda e: F.array_min(F.transform(F.array_distinct(e), lambda v: _struct(n=-F.size(F.filter(e, lambda y: y == v)), v=v)))["v"])
+
+
+def above_right(lines: Column, hi: Column, width: Column) -> Column:
+    """n of the lines above the first line of the right column's common edge: they stand over both columns."""
+    right = F.filter(lines, lambda x: x["x0"] >= hi - EDGE)
+    aligned = lambda edge: F.filter(right, lambda x: F.abs(x["x0"] - edge) <= 0.02 * width)
+    top = once(common_edge(lines, hi), lambda edge: F.array_min(_values(aligned(edge), "y0")))
+    over = once(top, lambda t: _values(F.filter(lines, lambda x: x["y1"] <= t), "n"))
+    return F.when(F.size(right) >= SIDE_LINES, F.coalesce(over, F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
+
+
+def rows_of(lines: Column) -> Column:
+    """array<array<line>>: a line joins the last row if it shares half of the lower height with the row's first line."""
+
+    def step(rows: Column, x: Column) -> Column:
+        first = F.get(_last(rows), F.lit(0))
+        shared = F.least(first["y1"], x["y1"]) - F.greatest(first["y0"], x["y0"])
+        joins = (F.size(rows) > 0) & (shared >= 0.5 * F.least(first["y1"] - first["y0"], x["y1"] - x["y0"]))
+        return F.when(joins, F.concat(_init(rows), F.array(F.concat(_last(rows), F.array(x))))).otherwise(F.concat(rows, F.array(F.array(x))))
+
+    return F.aggregate(lines, F.array().cast(f"array<array<{LINE}>>"), step)
+
+
+def y_segments(lines: Column) -> Column:
+    """array<array<line>>: parted where the white above a row is at least Y_CUT times the median line height."""
+    heights = F.array_sort(F.transform(lines, lambda x: x["y1"] - x["y0"]))
+    median = once(heights, lambda h: (F.get(h, F.floor((F.size(h) - 1) / 2).cast("int")) + F.get(h, F.floor(F.size(h) / 2).cast("int"))) / 2)
+
+    def cut(limit: Column) -> Column:
+        zero = F.struct(F.array().cast(f"array<array<{LINE}>>").alias("parts"), F.lit(None).cast("double").alias("bottom"))
+
+        def step(a: Column, row: Column) -> Column:
+            top, bottom = F.array_min(_values(row, "y0")), F.array_max(_values(row, "y1"))
+            opens = a["bottom"].isNull() | (top - a["bottom"] >= limit)
+            parts = a["parts"]
+            more = F.concat(_init(parts), F.array(F.concat(_last(parts), row)))
+            return _struct(parts=F.when(opens, F.concat(parts, F.array(row))).otherwise(more), bottom=F.greatest(a["bottom"], bottom))
+
+        return F.aggregate(rows_of(lines), zero, step, lambda a: a["parts"])
+
+    return once(median * Y_CUT, cut)
+
+
+def _node(lines: Column, col: Column, depth: Column, rows: bool = True, placed: bool = False, clear: Column | None = None, cut: Column | None = None) -> Column:
+    bounds = (F.array_min(_values(lines, "x0")), F.array_max(_values(lines, "x1"))) if placed else (F.lit(None), F.lit(None))
+    none = F.lit(None)
+    return F.struct(lines.alias("lines"), col.cast("int").alias("col"), depth.cast("int").alias("depth"), F.lit(rows).alias("rows"), F.lit(placed).alias("placed"), bounds[0].alias("lo"), bounds[1].alias("hi"), (none if clear is None else clear).alias("clear"), (none if cut is None else cut).alias("cut")).cast(NODE)
+
+
+def _opened(node: Column, width: Column) -> Column:
+    """The parts of an open region, in reading order; the first part of a cut carries it."""
+    lines, col, deeper = node["lines"], node["col"], node["depth"] + 1
+
+    def by_band(band: Column) -> Column:
+        span = F.array_union(band["crossing"], above_right(lines, band["hi"], width))
+
+        def split(over: Column) -> Column:
+            rest = F.filter(lines, lambda x: ~F.array_contains(over, x["n"]))
+            cut = F.struct(F.size(rest).alias("size"), band["lo"].alias("lo"), band["hi"].alias("hi"), band["clear"].alias("clear"))
+            sides = F.array(
+                _node(F.filter(lines, lambda x: x["x1"] <= band["lo"] + EDGE), F.coalesce(col, F.lit(0)), deeper),
+                _node(F.filter(lines, lambda x: x["x0"] >= band["hi"] - EDGE), F.coalesce(col, F.lit(1)), deeper),
+            )
+            zero = F.array().cast(f"array<struct<over:boolean,lines:array<{LINE}>>>")
+
+            def run(parts: Column, x: Column) -> Column:
+                inside = F.array_contains(over, x["n"])
+                same = F.coalesce(_last(parts)["over"] == inside, F.lit(False))
+                more = F.struct(inside.alias("over"), F.concat(_last(parts)["lines"], F.array(x)).alias("lines"))
+                return F.when(same, F.concat(_init(parts), F.array(more))).otherwise(F.concat(parts, F.array(F.struct(inside.alias("over"), F.array(x).alias("lines")))))
+
+            runs = F.transform(F.aggregate(lines, zero, run), lambda p: F.when(p["over"], _node(p["lines"], F.coalesce(col, F.lit(-1)), deeper, placed=True)).otherwise(_node(p["lines"], col, deeper)))
+            parts = F.filter(F.when(F.size(over) > 0, runs).otherwise(sides), lambda p: F.size(p["lines"]) > 0)
+            marked = F.transform(parts, lambda p, i: p.withField("cut", F.when(i == 0, cut)))
+            return F.when((band["clear"] >= CLEAR) & ~dates_aside(rest, band["lo"], band["hi"]), marked)
+
+        return once(span, split)
+
+    def decided(band: Column) -> Column:
+        vertical = F.when(band.isNotNull(), by_band(band))
+        parts = y_segments(lines)
+        across = F.when(node["rows"], once(parts, lambda p: F.when(F.size(p) > 1, F.transform(p, lambda s: _node(s, col, deeper, rows=False)))))
+        clear = F.coalesce(band["clear"], F.lit(0.0))
+        return F.coalesce(vertical, across, F.array(_node(lines, F.coalesce(col, F.lit(0)), deeper, placed=True, clear=clear)))
+
+    return once(F.when(node["depth"] < DEPTH, best_band(lines, width)), decided)
+
+
+def opened(nodes: Column, width: Column) -> Column:
+    """One step: every open region replaced by its parts. ``cut`` is set where this step cut a region by a band."""
+    none = F.lit(None).cast("struct<size:int,lo:double,hi:double,clear:double>")
+    return F.flatten(F.transform(nodes, lambda node: F.when(node["placed"], F.array(node.withField("cut", none))).otherwise(_opened(node, width))))
+
+
+def fresh_cuts(nodes: Column) -> Column:
+    return F.filter(F.transform(nodes, lambda n: n["cut"]), lambda c: c.isNotNull())
+
+
+def page_summary(nodes: Column, cuts: Column, width: Column) -> Column:
+    """struct(layout_type, confidence): double or sidebar where a band parts half of the lines or more, unknown where half of
+    the lines stand in regions that are neither clearly parted nor clearly whole, else single."""
+    n = F.aggregate(nodes, F.lit(0), lambda a, x: a + F.size(x["lines"]))
+    vague = F.aggregate(nodes, F.lit(0), lambda a, x: a + F.when((x["clear"] > UNCLEAR) & (x["clear"] < CLEAR), F.size(x["lines"])).otherwise(0))
+    sure = F.coalesce(F.array_max(F.transform(F.filter(nodes, lambda x: x["clear"] <= UNCLEAR), lambda x: x["clear"])), F.lit(0.0))
+    main = F.array_max(F.transform(cuts, lambda c, i: F.struct(c["size"].alias("size"), (-i).alias("i"), c["lo"].alias("lo"), c["hi"].alias("hi"))))
+    middle = (main["lo"] + main["hi"]) / 2 / width
+    parted = F.coalesce(main["size"] / n >= 0.5, F.lit(False))
+    kind = F.when(n == 0, "single").when(vague / n >= 0.5, "unknown").when(parted, F.when(middle.between(0.4, 0.6), "double").otherwise("sidebar")).otherwise("single")
+    clear = F.when(n == 0, 1.0).when(vague / n >= 0.5, 0.5).when(parted, F.array_min(F.transform(cuts, lambda c: c["clear"]))).otherwise(1 - sure)
+    return F.struct(kind.alias("layout_type"), F.bround(clear, 3).alias("confidence"))
+
+
+def whole(lines: Column) -> Column:
+    """A page as its one open region; none for a page without lines."""
+    return F.when(F.size(lines) > 0, F.array(_node(F.array_sort(lines), F.lit(None), F.lit(0)))).otherwise(F.array().cast(f"array<{NODE}>"))
+
+
+def body_font(lines: Column) -> Column:
+    """The font size of the middle character, 10.5 without any."""
+    sized = F.array_sort(F.transform(lines, lambda x: F.struct(x["font"].alias("font"), x["chars"].alias("chars"))))
+    total = F.aggregate(lines, F.lit(0), lambda a, x: a + x["chars"])
+    half = F.floor(total / 2)
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("font"))
+    pick = lambda a, x: _struct(n=a["n"] + x["chars"], font=F.coalesce(a["font"], F.when(a["n"] + x["chars"] > half, x["font"])))
+    return F.coalesce(F.aggregate(sized, zero, pick, lambda a: a["font"]), F.lit(10.5))
+
+
+def printed_line(row: Column) -> Column:
+    """A row's lines as one: text in order of x0, box, font of the longest, bold by majority of characters, tabular."""
+    across = F.transform(F.array_sort(F.transform(row, lambda x: F.struct(x["x0"].alias("x0"), x["n"].alias("n"), x.alias("line")))), lambda s: s["line"])
+
+    def told(r: Column) -> Column:
+        total = F.aggregate(r, F.lit(0), lambda a, x: a + x["chars"])
+        heavy = F.aggregate(r, F.lit(0), lambda a, x: a + F.when(x["bold"], x["chars"]).otherwise(0))
+        longest = F.array_max(F.transform(r, lambda x, i: F.struct(x["chars"].alias("c"), (-i).alias("i"), x["font"].alias("font"))))["font"]
+        apart = F.exists(F.transform(r, lambda x, i: F.coalesce(F.get(r, i + 1)["x0"] - x["x1"] > TABULAR * x["font"], F.lit(False))), lambda b: b)
+        edge = lambda f, field: f(_values(r, field))
+        return _struct(text=F.array_join(_values(r, "text"), " "), x0=edge(F.array_min, "x0"), y0=edge(F.array_min, "y0"), x1=edge(F.array_max, "x1"), y1=edge(F.array_max, "y1"), font=longest, bold=2 * heavy > total, tabular=apart)
+
+    return once(across, told)
+
+
+BLOCK = "struct<text:string,column_index:int,x0:double,y0:double,x1:double,y1:double,font_size:double,is_bold:boolean>"
+
+
+def merged_blocks(printed: Column, body: Column) -> Column:
+    """Printed lines (with col, lo and hi of their region) as blocks: wrapped lines of one paragraph are joined.
+
+    A line opens a block where region, font or weight change, at bullets, headings and tabular lines, after a line that
+    does not reach the region's right edge, below white space, and where label follows label.
+    """
+    last = "struct<lo:double,hi:double,col:int,font:double,bold:boolean,y1:double,done:boolean>"
+    zero = F.struct(F.array().cast(f"array<{BLOCK}>").alias("blocks"), F.lit(None).cast(last).alias("last"))
+    ascii_end = "[\\x00-\\x1f\\x21-\\x7f]$"
+
+    def step(a: Column, x: Column) -> Column:
+        b = a["last"]
+        heading = (x["font"] >= body + HEADING_EXTRA) | (x["bold"] & (F.length(x["text"]) <= HEADING_LONGEST))
+        full = x["x1"] >= x["hi"] - F.greatest(2.5 * x["font"], 0.08 * (x["hi"] - x["lo"]))
+        here = _last(a["blocks"])
+        changed = (b["lo"] != x["lo"]) | (b["hi"] != x["hi"]) | (b["col"] != x["col"]) | (b["font"] != x["font"]) | (b["bold"] != x["bold"])
+        below = x["y0"] - b["y1"] > PARAGRAPH * (x["y1"] - x["y0"])
+        labels = _last(a["blocks"])["text"].rlike("^(?:" + LABEL + ")") & x["text"].rlike("^(?:" + LABEL + ")")
+        opens = b.isNull() | changed | x["text"].rlike("^(?:" + BULLET + ")") | heading | x["tabular"] | b["done"] | below | F.coalesce(labels, F.lit(False))
+        new = F.struct(x["text"].alias("text"), x["col"].alias("column_index"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"), x["font"].alias("font_size"), x["bold"].alias("is_bold"))
+        glue = F.when(here["text"].rlike(ascii_end) & x["text"].rlike("^[\\x00-\\x7f]"), " ").otherwise("")
+        grown = F.struct(F.concat(here["text"], glue, x["text"]).alias("text"), here["column_index"].alias("column_index"), F.least(here["x0"], x["x0"]).alias("x0"), F.least(here["y0"], x["y0"]).alias("y0"), F.greatest(here["x1"], x["x1"]).alias("x1"), F.greatest(here["y1"], x["y1"]).alias("y1"), here["font_size"].alias("font_size"), here["is_bold"].alias("is_bold"))
+        blocks = F.when(opens, F.concat(a["blocks"], F.array(new))).otherwise(F.concat(_init(a["blocks"]), F.array(grown)))
+        state = F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), x["col"].alias("col"), x["font"].alias("font"), x["bold"].alias("bold"), x["y1"].alias("y1"), (heading | x["tabular"] | ~full).alias("done"))
+        return F.struct(blocks.alias("blocks"), state.alias("last"))
+
+    return F.aggregate(printed, zero, step, lambda a: a["blocks"])
