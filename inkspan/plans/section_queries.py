@@ -55,7 +55,7 @@ _BLOCKS = f"""{LINES}, t0 AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0
 def _built(heads: str) -> str:
     """Sections of the headings in ``heads``: each to the next one, what stands before the first, documents without any."""
     return f"""edge AS (SELECT doc_id, min(line_no) AS first, bool_or(section_type = 'education') AS edu FROM {heads} GROUP BY 1), last AS (SELECT doc_id, max(line_no) AS n FROM blocks GROUP BY 1),
- pre AS (SELECT b.doc_id, b.line_no, e.first, NOT e.edu AND b.text LIKE '%university%' AND b.text NOT LIKE '%@%' AS fits FROM blocks b JOIN edge e USING (doc_id) WHERE b.line_no < e.first),
+ pre AS (SELECT b.doc_id, b.line_no, e.first, NOT e.edu AND b.text LIKE '%university%' AND b.text NOT LIKE '%@%' AND NOT regexp_matches(b.text, '[0-9]{{11}}') AS fits FROM blocks b JOIN edge e USING (doc_id) WHERE b.line_no < e.first),
  cut AS (SELECT doc_id, first, coalesce(max(line_no) FILTER (NOT fits) + 1, 0) AS from_ FROM pre GROUP BY 1, 2),
  spans AS (SELECT doc_id, section_type AS type, title, line_no AS lo, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) - 1, n) AS hi, round(confidence, 2) AS confidence, matched_by FROM {heads} JOIN last USING (doc_id)
   UNION ALL SELECT doc_id, 'basics', '', 0, from_ - 1, 0.6, 'implicit' FROM cut WHERE from_ > 0 UNION ALL SELECT doc_id, 'education', '', from_, first - 1, 0.5, 'implicit' FROM cut WHERE from_ < first
