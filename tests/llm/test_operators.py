@@ -209,6 +209,25 @@ def test_op5_rules_and_aliases(spark):
     assert {r["page_id"]: r["verdict"] for r in more.collect()}[5] == "block"
 
 
+def test_op5_rules_as_the_contract_lists_them(spark):
+    """block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/; each alone and nested."""
+    rows = [
+        ("https://a.com/en/x", "com/en/", "block"),
+        ("https://example.com/en/6", "com/en/", "block"),
+        ("https://example.com/en/71", "example.com/en/7", "allow"),
+        ("https://a.net/de/1", "net/de/", "allow"),
+        ("https://www.example.net/de/9", "net/de/", "allow"),
+        ("https://www.example.net/de/80", "example.net/de/8", "block"),
+        ("https://a.org/es/1", "org/es/", "block"),
+    ]
+    pages = spark.createDataFrame([(i, r[0], None) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    # a page without a rule next to the allowed one stays allowed, next to the blocked one it does not
+    links = spark.createDataFrame([("https://f.info/1", "https://a.net/de/1"), ("https://f.info/2", "https://www.example.net/de/80")], "src string, dst string")
+    more = pages.unionByName(spark.createDataFrame([(8, "https://f.info/1", None), (9, "https://f.info/2", None)], pages.schema))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(more, redirects=links).collect()}
+    assert got == {i: r[1:] for i, r in enumerate(rows)} | {8: (None, "allow"), 9: (None, "block")}
+
+
 def test_op6_same_as_the_library(spark, sf, docs):
     import sentencepiece
 
