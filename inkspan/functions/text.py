@@ -99,10 +99,11 @@ def line_around(text: Column, start: Column, end: Column, limit: int = 80) -> Co
 
 def clause_around(text: Column, at: Column) -> Column:
     """(start, end) of the clause that holds offset ``at``: between , ; 。 and the like; leading spaces left out."""
-    head = F.substring(text, F.lit(1), at)
-    start = F.length(head) - F.length(F.regexp_extract(head, f"([^{CLAUSE_ENDS}]*)\\z", 1))
-    end = at + F.length(F.regexp_extract(F.substring(text, at + 1, F.length(text)), f"^([^{CLAUSE_ENDS}]*)", 1))
-    lead = F.length(F.regexp_extract(slice_of(text, start, end), "^( *)", 1))
+    # one mark for all ends, then plain searches: a pattern tied to the end of a long clause would start anew at each of its places
+    same = F.translate(text, CLAUSE_ENDS, "\n" * len(CLAUSE_ENDS))
+    start, end = line_start(same, at), line_end(same, at)
+    clause = slice_of(text, start, end)
+    lead = F.length(clause) - F.length(F.ltrim(clause))
     return F.struct((start + lead).alias("start"), end.alias("end"))
 
 

@@ -198,3 +198,15 @@ def test_ask_history_holds_whole_turns_of_the_topic(spark):
     found = {r["topic_idx"]: r["history"] for r in got.collect()}
     assert found[0] == f"面试官：first\n候选人：{long}\n面试官：{long}\n候选人：（没有回答）\n（评分员认为上一答的不足：too short）"
     assert found[1] == "面试官：other topic\n候选人：yes" and found[2] is None
+
+
+def test_clause_around_a_long_clause_costs_its_length(spark):
+    """A clause of 500,000 characters before the sought one: a pattern tried at each of its places takes minutes."""
+    import time
+
+    long = "ab " * 166_667
+    d = spark.createDataFrame([(long + ",  the clause; more", len(long) + 5), ("no end at all", 4), ("  a。 b", 4), ("a,b", 1), ("", 0)], "t string, at int")
+    began = time.monotonic()
+    got = [tuple(r["s"]) for r in d.select(text.clause_around(F.col("t"), F.col("at")).alias("s")).collect()]
+    assert got == [(len(long) + 3, len(long) + 13), (0, 13), (5, 6), (0, 1), (0, 0)]
+    assert time.monotonic() - began < 20
