@@ -3,7 +3,7 @@
 1. Equal word sequences share a 128-bit digest; one representative each goes on, so copies cost one row.
 2. Every document is paired with the first document of each of its buckets, one pair where they are the same.
 3. Buckets whose members still lie in different components are searched for every remaining pair of different
-   components, in blocks of bounded size; what does not belong to the bucket's main component is compared with all
+   components, in blocks of bounded size; what does not belong to the bucket's largest component is compared with all
    members, so a large group of near copies costs its size, not its square.
 4. Pairs are pruned after each batch of hashes by the posterior of their similarity; survivors are checked on the full
    shingle sets of their whole texts. A bitmap of fixed size keeps the texts of other documents out of that shuffle.
@@ -23,7 +23,7 @@ from inkspan.llm.common import cut, drop_cut, fields, marked, numbered, settled,
 from inkspan.llm.components import connected_components
 from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands
 
-BLOCK = 512
+BLOCK = 1024
 KEY = ("pos", "h", "i", "j")
 
 
@@ -43,7 +43,7 @@ def _prune_pairs(steps: list[tuple[int, int]]):  # noqa: ANN202
 
 
 def _search_blocks(steps: list[tuple[int, int]]):  # noqa: ANN202
-    """Rows sorted by block -> one row per block that has surviving pairs of a left row and a right row of another
+    """Rows sorted by block -> one row per block that has surviving pairs of a left row and a right row (one row may be both) of another
     component: the block's key and the pairs as two arrays."""
 
     def pairs(block: pa.Table) -> list[pa.RecordBatch]:
@@ -51,7 +51,7 @@ def _search_blocks(steps: list[tuple[int, int]]):  # noqa: ANN202
         vertex, comp = block["vertex"].to_numpy(), block["comp"].to_numpy()
         check, at = _matrix(block["sig"]), block["pos"][0].as_py()
         bands = np.array(block["bands"].to_pylist(), np.int64)[:, :at]
-        others = np.flatnonzero(~left)
+        others = np.flatnonzero(np.array(block["right"].to_pylist(), bool))
         out_a, out_b = [], []
         for i in np.flatnonzero(left):
             js = others[comp[others] != comp[i]]
@@ -193,10 +193,11 @@ def near_duplicates(
         return cut(_exact(left, texts, shingle, percent), "links")
 
     def mixed_buckets(groups: DataFrame) -> DataFrame:
-        """Members of the buckets that hold different components: pos, h, uid, comp, main (the component of the first), n."""
+        """Members of the buckets that hold different components: pos, h, uid, comp, main (the component of most of them), n of all, m outside of main."""
         placed = keys.join(groups.withColumnRenamed("id", "uid"), "uid", "left").select("pos", "h", "uid", F.coalesce("component", "uid").alias("comp"))
-        hub = F.min(F.struct("uid", "comp"))
-        mixed = placed.groupBy("pos", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub["comp"].alias("main"), F.count("*").alias("n"))
+        held = placed.groupBy("pos", "h", "comp").agg(F.count("*").alias("held"))
+        most = F.max(F.struct("held", "comp"))
+        mixed = held.groupBy("pos", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), most["comp"].alias("main"), F.sum("held").alias("n"), (F.sum("held") - F.max("held")).alias("m"))
         return cut(placed.join(mixed.filter("lo != hi").drop("lo", "hi"), ["pos", "h"]), "mixed")
 
     links = linked(keys.filter("uid != hub").select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
@@ -205,17 +206,25 @@ def near_duplicates(
     groups = cut(connected_components(links), "groups")
     rest = mixed_buckets(groups)
     drop_cut(keys)
-    aside = rest.groupBy("pos", "h").agg(F.count_if(F.col("comp") != F.col("main")).alias("m"))
     n_left, n_right = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK)
-    rest = rest.join(aside, ["pos", "h"]).select("pos", "h", "uid", "comp", (F.col("comp") != F.col("main")).alias("aside"), n_left.alias("nl"), n_right.alias("nr"))
+    rest = rest.select("pos", "h", "uid", "comp", (F.col("comp") != F.col("main")).alias("aside"), n_left.alias("nl"), n_right.alias("nr"))
     own = lambda n: F.pmod(F.xxhash64("uid"), n)
-    as_left = rest.filter("aside").select("pos", "h", "uid", "comp", F.lit(True).alias("left"), own(F.col("nl")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("j"))
-    as_right = rest.select("pos", "h", "uid", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("i"), own(F.col("nr")).alias("j"))
-    blocks = as_left.unionByName(as_right).join(reps.select("uid", "sig", "bands"), "uid").select("pos", "h", "i", "j", "left", F.col("uid").alias("vertex"), "comp", "sig", "bands")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    row, column = own(F.col("nl")), own(F.col("nr"))
+    # one row for each block that a member belongs to; what lies aside is in a row of blocks and in a column, and once where they cross
+    down = F.transform(upto(F.col("nl")), lambda i: place(i, column))
+    across = F.when(F.col("aside"), F.transform(upto(F.col("nr")), lambda j: place(row, j))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
+    dealt = rest.select("pos", "h", "uid", "comp", "aside", row.alias("row"), column.alias("column"), F.explode(F.array_union(down, across)).alias("at"))
+    left, right = F.col("aside") & (F.col("at.i") == F.col("row")), F.col("at.j") == F.col("column")
+    dealt = dealt.select("pos", "h", "at.i", "at.j", left.alias("left"), right.alias("right"), "uid", "comp")
+    blocks = dealt.join(reps.select("uid", "sig", "bands"), "uid").select("pos", "h", "i", "j", "left", "right", F.col("uid").alias("vertex"), "comp", "sig", "bands")
     blocks = blocks.repartition("pos", "h", "i", "j").sortWithinPartitions("pos", "h", "i", "j")
     more = cut(blocks.mapInArrow(tidy(_search_blocks(steps)), "pos int, h long, i long, j long, a array<long>, b array<long>"), "blocks")
-    inside = more.select(*KEY, F.explode(F.array_distinct(F.concat("a", "b"))).alias("uid")).join(copies.select("uid", F.col("rep").alias("vertex")), "uid")
-    theirs = inside.join(_texts_of(texts, inside.select("vertex").distinct()), "vertex")
+    inside = more.select(*KEY, F.explode(F.array_distinct(F.concat("a", "b"))).alias("uid"))
+    # each document's text is fetched once, however many blocks it stands in
+    named = cut(copies.join(inside.select("uid").distinct(), "uid").select("uid", F.col("rep").alias("vertex")), "inside")
+    theirs = inside.join(named.join(_texts_of(texts, named.select("vertex").distinct()), "vertex").drop("vertex"), "uid")
     none = F.lit(None)
     rows = more.select(*KEY, "a", "b", none.cast("long").alias("vertex"), none.cast("string").alias("text")).unionByName(
         theirs.select(*KEY, none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b"), F.col("uid").alias("vertex"), "text")

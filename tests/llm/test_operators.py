@@ -491,3 +491,18 @@ def test_op9_odd_letters_have_the_ids_of_the_tokenizer(spark):
     for kept in (4, 400_000):  # with room for four words, words are forgotten and encoded again
         got = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.tokenize_pieces(docs, words_kept=kept).collect()}
         assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts * 3)}
+
+
+def test_op4_a_member_on_both_sides_of_a_block_is_one_row():
+    """Three equal sketches, two of one component; a row may stand on the left and on the right, and meets no row of its component."""
+    import pyarrow as pa
+
+    from inkspan.llm import minhash_dedup, sketch
+
+    sig = np.arange(sketch.N_CHECK, dtype=np.uint16).tobytes()
+    rows = [(0, 7, 0, 0, left, right, v, comp, sig, [1, 2]) for v, comp, left, right in ((10, 10, True, True), (11, 11, False, True), (12, 11, False, True), (13, 13, True, False))]
+    names = ["pos", "h", "i", "j", "left", "right", "vertex", "comp", "sig", "bands"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    (out,) = minhash_dedup._search_blocks(sketch.least_matches(0.85, 1e-4))([batch])
+    pairs = sorted(zip(out.column("a")[0].as_py(), out.column("b")[0].as_py(), strict=True))
+    assert pairs == [(11, 10), (12, 10), (13, 10), (13, 11), (13, 12)]
