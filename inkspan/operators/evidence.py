@@ -30,29 +30,61 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def similar_part(quote: str, text: str) -> tuple[int, int, float] | None:
+def _edits(m: np.ndarray | int) -> np.ndarray:
+    """Deletions, and as many insertions, at most between two texts of m characters whose similarity is FUZZY_SCORE or more."""
+    return np.floor((1 - FUZZY_SCORE / 100) * m + 1e-9).astype(np.int64)
+
+
+def _windows(own: np.ndarray, told: np.ndarray, m: int, starts: np.ndarray) -> np.ndarray:
+    """Those starts whose windows hold enough of a quote's 3-grams (own) for FUZZY_SCORE: a deletion breaks three, an insertion two."""
+    least = m - GRAM + 1 - (2 * GRAM - 1) * int(_edits(m))
+    if least <= 0 or not len(starts):
+        return starts
+    width = m - GRAM + 1
+    run = np.concatenate([[0], np.cumsum(np.isin(told, own))])
+    starts = starts[run[starts + width] - run[starts] >= least]
+    if len(starts):
+        values, counts = np.unique(own, return_counts=True)
+        held = np.zeros(len(starts), np.int64)
+        for v, k in zip(values, counts, strict=True):  # a gram counts as often as the quote has it
+            at = np.flatnonzero(told == v)
+            held += np.minimum(np.searchsorted(at, starts + width) - np.searchsorted(at, starts), k)
+        starts = starts[held >= least]
+    return starts
+
+
+def similar_part(quote: str, text: str, starts: np.ndarray | None = None) -> tuple[int, int, float] | None:
     """The part of a text most like a quote: (start, end, similarity 0..100), the similarity being twice the common
     subsequence over both lengths. Windows of the quote's length are tried where letter counts allow a result of
-    FUZZY_SCORE, then clipped windows at both ends."""
+    FUZZY_SCORE, then clipped windows at both ends. ``starts``, sorted, names the only windows that can reach it, if known."""
     q, t = np.frombuffer(quote.encode("utf-32-le"), np.uint32), np.frombuffer(text.encode("utf-32-le"), np.uint32)
     m, n = len(q), len(t)
     if not m or m > n:
         return None
+    own, told = _grams(quote), _grams(text)
+    starts = _windows(own, told, m, np.arange(n - m + 1) if starts is None else starts)
     # an upper bound per window from the characters it shares with the quote
     shared = np.zeros(n - m + 1, np.int64)
     values, counts = np.unique(q, return_counts=True)
-    for v, k in zip(values, counts, strict=True):
+    for v, k in zip(values, counts, strict=True) if len(starts) else ():
         run = np.concatenate([[0], np.cumsum(t == v)])
         shared += np.minimum(run[m:] - run[: n - m + 1], k)
     best: tuple[int, int, float] | None = None
-    for s in np.argsort(-shared, kind="stable"):
+    for s in starts[np.argsort(-shared[starts], kind="stable")]:
         if shared[s] * 100 / m < max(FUZZY_SCORE, best[2] if best else 0):
             break
         score = 100.0 * _common(q, t[s : s + m]) / m
         if best is None or score > best[2] or (score == best[2] and s < best[0]):
             best = (int(s), int(s) + m, score)
-    for k in range(max(1, int(m * 0.8)), m):
-        for s, e in ((0, k), (n - k, n)):
+    # a clipped window of k characters that reaches FUZZY_SCORE holds 0.25 (m + k) - 2 of the quote's 3-grams or more
+    least = 0.45 * m - 2
+    head, tail = (np.isin(own, _grams(part)).sum() >= least for part in (text[:m], text[n - m :]))
+    # and no more in common with it than the whole m characters there have
+    most = {0: _common(q, t[:m]) if head else 0, 1: _common(q, t[n - m :]) if tail else 0}
+    for k in range(max(1, int(m * 0.8)), m) if head or tail else ():
+        for side, (s, e) in enumerate(((0, k), (n - k, n))):
+            if 200.0 * min(k, most[side]) / (m + k) < FUZZY_SCORE:
+                continue
             score = 200.0 * _common(q, t[s:e]) / (m + k)
             if best is None or score > best[2]:
                 best = (s, e, score)
@@ -96,7 +128,8 @@ def locate(quotes: DataFrame, quote: str = "quote", text: str = "text", hint_sta
     return done.unionByName(rest).drop("_needle", "_hay", "_lo", "_window")
 
 
-GRAM = 3
+#: characters of a gram; grams met at once
+GRAM, HITS = 3, 1_000_000
 
 
 class _Quotes:
@@ -121,10 +154,12 @@ class _Quotes:
         self.owner, self.place = table[:, 1], table[:, 2]
         self.first = np.append(first, len(table))
         sizes = np.array([len(q) for q in quotes], np.int64)
-        # a similarity of 0.9 over two lengths of at most m leaves at most 0.2 m insertions and deletions
-        self.edits = np.floor((1 - FUZZY_SCORE / 100) * 2 * sizes + 1e-9).astype(np.int64)
-        self.least = sizes - GRAM + 1 - GRAM * self.edits
-        self.long = sizes >= LEAST_FUZZY
+        # over two equal lengths m a similarity of 0.9 leaves 0.1 m deletions and as many insertions at most; a deletion breaks
+        # three of the quote's grams, an insertion two
+        self.edits = _edits(sizes)
+        self.least = sizes - GRAM + 1 - (2 * GRAM - 1) * self.edits
+        self.at_end = 0.45 * sizes - 2  # see similar_part
+        self.sizes, self.width = sizes, 2 * self.edits + 1
 
     def exact_places(self, text: str) -> dict[int, int]:
         """First place of each quote that stands in the text."""
@@ -135,24 +170,45 @@ class _Quotes:
                     found.setdefault(i, end + 1 - len(self.quotes[i]))
         return found
 
-    def candidates(self, text: str) -> list[int]:
-        """Quotes that may be similar to a part of the text; none is left out that is. An edit breaks at most three
-        3-grams, so enough of a similar quote's grams stand in the text, on diagonals that differ by its edits at most."""
+    def candidates(self, text: str) -> dict[int, np.ndarray]:
+        """Quotes that may be similar to a part of the text, with the starts of the windows that may be; none is left out that
+        is. Enough of a similar quote's 3-grams stand in the text, on diagonals that differ from the window's start by its edits
+        at most, hence in two neighbouring bands; for clipped windows, enough of them stand at that end of the text."""
         g = _grams(text)
         if not len(g) or not len(self.grams):
-            return []
+            return {}
         at = np.searchsorted(self.grams, g)
         hit = np.flatnonzero(self.grams[np.minimum(at, len(self.grams) - 1)] == g)
         lo, n = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        owner = self.owner[rows]
-        band = (np.repeat(hit, n) - self.place[rows]) // (2 * self.edits[owner] + 1)
-        key, counts = np.unique(np.stack([owner, band]), axis=1, return_counts=True)
-        beside = np.zeros_like(counts)
-        if len(counts) > 1:
-            joined = (key[0, 1:] == key[0, :-1]) & (key[1, 1:] == key[1, :-1] + 1)
-            beside[:-1] = np.where(joined, counts[1:], 0)
-        return np.unique(key[0, counts + beside >= self.least[key[0]]]).tolist()
+        ends = np.cumsum(n)
+        # a counter for each quote and band; the bands of negative diagonals come first, one behind the last stays empty
+        before = self.sizes // self.width + 1
+        cells = before + len(text) // self.width + 2
+        base = np.concatenate([[0], np.cumsum(cells)])
+        counts, a, ends_of_text = np.zeros(base[-1], np.int64), 0, ([], [])
+        while a < len(hit):
+            done = ends[a] - n[a]
+            b = max(a + 1, int(np.searchsorted(ends, done + HITS, side="right")))
+            rows = np.repeat(lo[a:b] - (ends[a:b] - n[a:b] - done), n[a:b]) + np.arange(ends[b - 1] - done)
+            owner = self.owner[rows]
+            place = np.repeat(hit[a:b], n[a:b])
+            counts += np.bincount(base[owner] + before[owner] + (place - self.place[rows]) // self.width[owner], minlength=len(counts))
+            ends_of_text[0].append(np.unique(rows[place < self.sizes[owner]]))
+            ends_of_text[1].append(np.unique(rows[place >= len(text) - self.sizes[owner]]))
+            a = b
+        owners = np.repeat(np.arange(len(self.quotes)), cells)
+        full = np.flatnonzero((counts > 0) & (counts + np.append(counts[1:], 0) >= self.least[owners]))
+        found: dict[int, list[np.ndarray]] = {}
+        for cell, k in zip(full.tolist(), owners[full].tolist(), strict=True):
+            # the window's lowest diagonal, its start less the edits, lies in this band or the one before
+            w, e = int(self.width[k]), int(self.edits[k])
+            first = (cell - int(base[k] + before[k]) - 1) * w + e
+            found.setdefault(k, []).append(np.arange(max(0, first), max(0, min(first + 2 * w, len(text) - len(self.quotes[k]) + 1))))
+        for some in ends_of_text:
+            met = np.bincount(self.owner[np.unique(np.concatenate(some))], minlength=len(self.quotes)) if some else np.zeros(len(self.quotes))
+            for k in np.flatnonzero((met > 0) & (met >= self.at_end)).tolist():
+                found.setdefault(k, [np.zeros(0, np.int64)])
+        return {k: np.unique(np.concatenate(x)) for k, x in found.items()}
 
 
 def _grams(text: str) -> np.ndarray:
@@ -191,8 +247,8 @@ def locate_in_corpus(
                 for i, t in enumerate(batch.column(1).to_pylist()):
                     places = index.exact_places(t) if t else {}
                     got = [(k, at, at + len(needles[k]), 1.0, "exact") for k, at in places.items()]
-                    for k in index.candidates(t) if t and similar else ():
-                        part = similar_part(needles[k], t) if k not in places else None
+                    for k, starts in index.candidates(t).items() if t and similar else ():
+                        part = similar_part(needles[k], t, starts) if k not in places else None
                         if part:
                             got.append((k, part[0], part[1], round(part[2] / 100, 3), "fuzzy"))
                     rows += [i] * len(got)

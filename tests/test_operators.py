@@ -210,3 +210,15 @@ def test_clause_around_a_long_clause_costs_its_length(spark):
     got = [tuple(r["s"]) for r in d.select(text.clause_around(F.col("t"), F.col("at")).alias("s")).collect()]
     assert got == [(len(long) + 3, len(long) + 13), (0, 13), (5, 6), (0, 1), (0, 0)]
     assert time.monotonic() - began < 20
+
+
+def test_candidates_name_the_windows_to_try():
+    """Each quote that may be similar comes with few starts, the right one among them; a quote of other words is none."""
+    quote = "".join(f"word{i * i} " for i in range(30)).strip()
+    edited = quote[:60] + "#" + quote[61:120] + "#" + quote[121:]
+    pool = evidence._Quotes((quote, "quite another sentence, of which nothing stands there"))
+    body = "".join(f"filler{i * 7} " for i in range(200))
+    got = pool.candidates(body + edited + " " + body)
+    assert list(got) == [0] and len(body) in got[0] and len(got[0]) < len(body) / 4
+    assert evidence.similar_part(quote, body + edited + " " + body, got[0]) == evidence.similar_part(quote, body + edited + " " + body) == (len(body), len(body) + len(quote), 100.0 * (len(quote) - 2) / len(quote))
+    assert 0 in pool.candidates(edited[12:] + " " + body)  # clipped at the text's begin
