@@ -23,7 +23,7 @@ from inkspan.llm.common import cut, drop_cut, fields, marked, numbered, settled,
 from inkspan.llm.components import connected_components
 from inkspan.llm.sketch import N_CHECK, SKETCH_SCHEMA, least_matches, shingle_set, sketcher, survivors, tune_bands
 
-BLOCK = 1024
+BLOCK = 512
 KEY = ("pos", "h", "i", "j")
 
 
