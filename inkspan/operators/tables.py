@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: fixed values: filled cells of a real table, longest label, tolerance at the table's left edge
@@ -58,31 +58,37 @@ def visual_rows(lines: Column) -> Column:
     return F.transform(rows, lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), across(r["items"]).alias("items")))
 
 
-def take_tables(lines: DataFrame, cells: DataFrame, size: float = 64.0) -> tuple[DataFrame, DataFrame]:
+def take_tables(lines: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines outside of tables, cells with their lines).
 
     A line whose middle lies in a table belongs to the cell it shares most area with (on ties the first by row and cell). A
     table with fewer than four filled cells, or less than half filled, is none, and its lines stay outside. lines: resume_id,
     page_no, line_no, box, text; cells: resume_id, page_no, table_no, row_no, cell_no, box and the table's box t_x0 .. t_y1.
     The tables of a page must not overlap.
+
+    One join by page, then aggregates and windows inside pages: lines and cells are shuffled once, and not at all where
+    they are partitioned by page already. A line meets the cells of its own page only.
     """
-    page = ["resume_id", "page_no"]
-    a = lines.select(*page, "line_no", *[F.col(c).cast("double").alias(f"a_{c}") for c in BOX])
-    b = cells.select(*page, "table_no", "row_no", "cell_no", *[F.col(c).cast("double").alias(f"b_{c}") for c in BOX], *[F.col(f"t_{c}") for c in BOX])
-    middle = lambda lo, hi: (F.col(f"a_{lo}") + F.col(f"a_{hi}")) / 2
-    inside = middle("x0", "x1").between(F.col("t_x0"), F.col("t_x1")) & middle("y0", "y1").between(F.col("t_y0"), F.col("t_y1"))
-    met = overlapping(a, b, page, size=size).filter(inside)
-    place = F.struct("table_no", "row_no", "cell_no")
-    best = met.groupBy(*page, "line_no").agg(F.max_by(place, F.struct("area", -F.col("table_no"), -F.col("row_no"), -F.col("cell_no"))).alias("c")).select(*page, "line_no", "c.*")
-    filled = best.groupBy(*page, "table_no").agg(F.count_distinct("row_no", "cell_no").alias("_filled"))
-    sizes = cells.groupBy(*page, "table_no").agg(F.count("*").alias("_all"))
-    real = filled.join(sizes, [*page, "table_no"]).filter(f"_filled >= {LEAST_FILLED} AND 2 * _filled >= _all").select(*page, "table_no")
-    taken = best.join(real, [*page, "table_no"])
-    outside = lines.join(taken.select(*page, "line_no"), [*page, "line_no"], "left_anti")
-    held = taken.join(lines.select(*page, "line_no", *BOX, "text"), [*page, "line_no"])
-    line = F.struct(*[F.col(c).cast("double").alias(c) for c in ("y0", "x0", "x1", "y1")], "text")
-    held = held.groupBy(*page, "table_no", "row_no", "cell_no").agg(F.collect_list(line).alias("lines"))
-    return outside, held.join(cells, [*page, "table_no", "row_no", "cell_no"])
+    page, place = ["resume_id", "page_no"], ["table_no", "row_no", "cell_no"]
+    a = lines.select(*page, "line_no", F.struct(*[F.col(f"`{c}`") for c in lines.columns]).alias("_line"))
+    b = cells.withColumn("_all", F.count("*").over(Window.partitionBy(*page, "table_no")))
+    b = b.select(*[F.col(c).alias(f"_{c}") for c in page], F.struct(*[F.col(f"`{c}`") for c in cells.columns]).alias("_cell"), "_all")
+    line, cell = ({c: F.col(f"{n}.{c}").cast("double") for c in BOX} for n in ("_line", "_cell"))
+    shared = lambda lo, hi: F.least(line[hi], cell[hi]) - F.greatest(line[lo], cell[lo])
+    whole = lambda box: (box["x1"] > box["x0"]) & (box["y1"] > box["y0"])
+    inside = lambda lo, hi: ((line[lo] + line[hi]) / 2).between(F.col(f"_cell.t_{lo}"), F.col(f"_cell.t_{hi}"))
+    w, h = shared("x0", "x1"), shared("y0", "y1")
+    same = (F.col("resume_id") == F.col("_resume_id")) & (F.col("page_no") == F.col("_page_no"))
+    met = a.join(b, same & whole(line) & whole(cell) & (w > 0) & (h > 0) & inside("x0", "x1") & inside("y0", "y1"), "left")
+    best = F.max_by(F.struct("_cell", "_all"), F.struct(w * h, *[-F.col(f"_cell.{c}") for c in place]))
+    d = met.groupBy(*page, "line_no", "_line").agg(best.alias("_c")).select(*page, "_line", "_c._cell", "_c._all", *[F.col(f"_c._cell.{c}").alias(c) for c in place])
+    table = Window.partitionBy(*page, "table_no")
+    d = d.withColumn("_nth", F.dense_rank().over(table.orderBy("row_no", "cell_no"))).withColumn("_filled", F.max("_nth").over(table))
+    real = F.col("table_no").isNotNull() & (F.col("_filled") >= LEAST_FILLED) & (2 * F.col("_filled") >= F.col("_all"))
+    outside = d.filter(~F.coalesce(real, F.lit(False))).select("_line.*")
+    item = F.struct(*[F.col(f"_line.{c}").cast("double").alias(c) for c in ("y0", "x0", "x1", "y1")], F.col("_line.text").alias("text"))
+    held = d.filter(real).groupBy(*page, *place).agg(F.collect_list(item).alias("lines"), F.first("_cell").alias("_cell"))
+    return outside, held.select(*page, *place, "lines", *[F.col(f"_cell.`{c}`").alias(c) for c in cells.columns if c not in (*page, *place)])
 
 
 def read_rows(cells: DataFrame) -> DataFrame:

@@ -51,15 +51,16 @@ def _page(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cells = cells.select(*page, F.lit(0).alias("table_no"), F.col("r").alias("row_no"), F.col("c").alias("cell_no"), pick(40, 130, 280).alias("x0"), top.alias("y0"), pick(130, 280, 400).alias("x1"), bottom.alias("y1"), *[v.alias(k) for k, v in frame.items()])
     two = F.col("l_partkey") % 5 == 0
     flag = F.when(F.col("l_quantity") > 25, F.concat(F.lit("Returned "), "l_returnflag")).otherwise(F.concat("l_returnflag", "l_linestatus"))
-    line = lambda k, text, x0, x1, y0, y1, there=F.lit(True): F.struct(F.lit(k).alias("k"), text.alias("text"), x0.alias("x0"), x1.alias("x1"), (top + y0).alias("y0"), (top + y1).alias("y1"), there.alias("there"))
-    lines = o.select(*page, "r", F.explode(F.array(
-        line(0, flag, number(42), 42.0 + 5 * F.length(flag), 4.0, 14.0, F.col("l_partkey") % 4 != 0),
-        line(1, F.date_format("l_shipdate", "yyyy-MM-dd"), number(132), F.when(F.col("l_suppkey") % 2 == 0, 300.0).otherwise(190.0), 4.0, 14.0),
-        line(2, F.concat(F.lit("part "), "l_partkey"), number(282), number(330), 1.0, 9.0),
-        line(3, F.concat(F.lit("of "), "l_suppkey"), F.when(two, 282.0).otherwise(335.0), F.when(two, 320.0).otherwise(390.0), F.when(two, 11.0).otherwise(1.0), F.when(two, 19.0).otherwise(9.0), F.col("l_partkey") % 7 != 0),
-    )).alias("l")).select("resume_id", "page_no", (F.col("r") * 10 + F.col("l.k")).alias("line_no"), "l.*").filter("there").drop("k", "there")
-    head = o.select(*page).distinct().select("*", F.lit(0).alias("line_no"), F.concat(F.lit("order "), "resume_id").alias("text"), number(40).alias("x0"), number(120).alias("x1"), number(20).alias("y0"), number(30).alias("y1"))
-    return lines.unionByName(head), cells
+    line = lambda no, text, x0, x1, y0, y1, there=F.lit(True): F.struct(no.alias("line_no"), text.alias("text"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), there.alias("there"))
+    of_row = lambda k, text, x0, x1, y0, y1, there=F.lit(True): line(F.col("r") * 10 + k, text, x0, x1, top + y0, top + y1, there)
+    lines = o.select(*page, F.explode(F.array(
+        of_row(0, flag, number(42), 42.0 + 5 * F.length(flag), 4.0, 14.0, F.col("l_partkey") % 4 != 0),
+        of_row(1, F.date_format("l_shipdate", "yyyy-MM-dd"), number(132), F.when(F.col("l_suppkey") % 2 == 0, 300.0).otherwise(190.0), 4.0, 14.0),
+        of_row(2, F.concat(F.lit("part "), "l_partkey"), number(282), number(330), 1.0, 9.0),
+        of_row(3, F.concat(F.lit("of "), "l_suppkey"), F.when(two, 282.0).otherwise(335.0), F.when(two, 320.0).otherwise(390.0), F.when(two, 11.0).otherwise(1.0), F.when(two, 19.0).otherwise(9.0), F.col("l_partkey") % 7 != 0),
+        line(F.lit(0), F.concat(F.lit("order "), "l_orderkey"), number(40), number(120), number(20), number(30), F.col("r") == 1),
+    )).alias("l")).select("resume_id", "page_no", "l.*").filter("there").drop("there")
+    return lines, cells
 
 
 @query(f"""WITH {_CELLS}, hit AS (SELECT l.l_orderkey, l.r AS lr, l.k, arg_max((c.r, c.c), (least(l.x1, c.x1) - greatest(l.x0, c.x0)) * (least(l.y1, c.y1) - greatest(l.y0, c.y0))) AS cell FROM lines l JOIN cells c ON c.l_orderkey = l.l_orderkey
