@@ -27,12 +27,16 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: str = "a"
     """Pairs of boxes of one key that share an area, with ``area``.
 
     An equi-join on key and grid square, so boxes are compared with their neighbours only and a key with many boxes (one huge
-    page) is dealt out by squares. A pair that meets in several squares counts in the one that holds the corner of its
+    page) is dealt out by squares: into as many partitions as the session shuffles to, however few bytes the boxes have, as the
+    work is in their pairs. A pair that meets in several squares counts in the one that holds the corner of its
     shared area. ``size`` (in the boxes' unit) should be about a box's longer side: smaller squares copy boxes, larger ones
     compare more pairs. Empty and null boxes meet nothing; right columns that are no keys must have names of their own.
     """
     whole = lambda n: (F.col(f"{n}_x1") > F.col(f"{n}_x0")) & (F.col(f"{n}_y1") > F.col(f"{n}_y0"))
-    pairs = _bins(left.filter(whole(a)), a, size).join(_bins(right.filter(whole(b)), b, size), [*keys, "_gx", "_gy"])
+    square = [*keys, "_gx", "_gy"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own is not coalesced
+    dealt = lambda df, n: _bins(df.filter(whole(n)), n, size).repartition(parts, *square)
+    pairs = dealt(left, a).join(dealt(right, b), square)
     corner = lambda c: F.floor(F.greatest(f"{a}_{c}", f"{b}_{c}") / size).cast("int")
     first = (F.col("_gx") == corner("x0")) & (F.col("_gy") == corner("y0"))
     return pairs.filter(first).withColumn("area", overlap_area(a, b)).filter("area > 0").drop("_gx", "_gy")
