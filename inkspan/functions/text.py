@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkspan.functions.binding import once
+
 # What the reference behaviour is defined by.
 BULLETS = "•·▪■◆●○◦*➢➤►▶✓☑\\-–—"
 BULLET = f"^(?:[{BULLETS}]|\\d{{1,2}}[.、)）]|[（(]\\d{{1,2}}[)）]|[①-⑩])\\s*"
@@ -167,9 +169,8 @@ def required_degree(content: Column, quote: Column) -> Column:
 
 
 def required_years(content: Column, quote: Column) -> Column:
-    n = F.regexp_extract(F.concat_ws(" ", content, quote), YEARS, 1)
-    n = F.when(n != "", n.cast("int"))
-    return F.when(n.between(1, MAX_YEARS), n)
+    found = F.regexp_extract(F.concat_ws(" ", content, quote), YEARS, 1)
+    return once(found, lambda t: once(F.when(t != "", t.cast("int")), lambda n: F.when(n.between(1, MAX_YEARS), n)))
 
 
 def is_plain_skill(content: Column, skill: Column) -> Column:

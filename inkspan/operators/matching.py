@@ -21,13 +21,16 @@ def status_value(status: Column) -> Column:
     return F.coalesce(*[F.when(status == k, F.lit(v)) for k, v in STATUS_VALUE.items()], F.lit(0.0))
 
 
+def _best_mentions(mentions: DataFrame) -> DataFrame:
+    used = F.col("section_type").isin("work", "projects")
+    best = F.max_by(F.struct("char_start", "char_end", used.alias("used")), F.struct(used, -F.col("char_start")))
+    return mentions.groupBy("report_id", "skill_id").agg(best.alias("m"))
+
+
 def match_skills(requirements: DataFrame, mentions: DataFrame) -> DataFrame:
     """Skill requirements with a known skill: hit if mentioned in work or projects, partial if elsewhere; the first such
     mention is the evidence. requirements and mentions share report_id."""
-    used = F.col("section_type").isin("work", "projects")
-    best = F.max_by(F.struct("char_start", "char_end", used.alias("used")), F.struct(used, -F.col("char_start")))
-    m = mentions.groupBy("report_id", "skill_id").agg(best.alias("m"))
-    got = requirements.filter("category = 'skill' AND skill_id IS NOT NULL").join(m, ["report_id", "skill_id"])
+    got = requirements.filter("category = 'skill' AND skill_id IS NOT NULL").join(_best_mentions(mentions), ["report_id", "skill_id"])
     return got.select("report_id", "requirement_id", F.when(F.col("m.used"), "hit").otherwise("partial").alias("status"), F.lit("dict").alias("matched_by"), F.col("m.char_start").alias("char_start"), F.col("m.char_end").alias("char_end"))
 
 
@@ -54,13 +57,39 @@ def match_years(requirements: DataFrame, years: DataFrame) -> DataFrame:
     return r.join(years, "report_id", "left").select("report_id", "requirement_id", status.alias("status"), F.lit("profile").alias("matched_by"), null.alias("char_start"), null.alias("char_end"))
 
 
+def ruled(requirements: DataFrame, mentions: DataFrame, education: DataFrame, work: DataFrame, today: str) -> DataFrame:
+    """Every requirement with what the rules say, null where they leave it open: report_id, requirement_id, category, plain,
+    status, matched_by, char_start, char_end.
+
+    One pass: what the texts ask for is read first, so that no text is shuffled; joins by report come before the one by skill.
+    """
+    asks = lambda kind, value: F.when(F.col("category") == kind, value)
+    r = requirements.select(
+        "report_id", "requirement_id", "category", asks("skill", F.col("skill_id")).alias("skill_id"),
+        asks("skill", is_plain_skill(F.col("content"), F.col("skill"))).alias("plain"),
+        asks("education", required_degree(F.col("content"), F.col("quote"))).alias("_degree"),
+        asks("experience", required_years(F.col("content"), F.col("quote"))).alias("_years"),
+    )
+    best = highest_degree(education).select("report_id", F.struct("level", "char_start", "char_end").alias("e"))
+    d = r.join(best, "report_id", "left").join(experience_years(work, today), "report_id", "left").join(_best_mentions(mentions), ["report_id", "skill_id"], "left")
+    skill, degree, have = F.col("m").isNotNull(), (F.col("_degree") > 0) & F.col("e").isNotNull(), F.coalesce("years", F.lit(0.0))
+    return d.select(
+        "report_id", "requirement_id", "category", "plain",
+        F.when(skill, F.when(F.col("m.used"), "hit").otherwise("partial"))
+        .when(degree, F.when(F.col("e.level") >= F.col("_degree"), "hit").otherwise("miss"))
+        .when(F.col("_years").isNotNull(), F.when(have >= F.col("_years"), "hit").when(have >= F.col("_years") / 2, "partial").otherwise("miss")).alias("status"),
+        F.when(skill, "dict").when(degree | F.col("_years").isNotNull(), "profile").alias("matched_by"),
+        *[F.when(skill, F.col(f"m.{c}")).when(degree, F.col(f"e.{c}")).alias(c) for c in ("char_start", "char_end")],
+    )
+
+
+#: what counts in strict mode: a skill result only if it is a hit on a plain skill requirement
+_STRICT = "status IS NOT NULL AND (category != 'skill' OR (status = 'hit' AND plain))"
+
+
 def match_by_rules(requirements: DataFrame, mentions: DataFrame, education: DataFrame, work: DataFrame, today: str, strict: bool = False) -> DataFrame:
     """All rule results; in strict mode a skill result counts only if it is a hit on a plain skill requirement."""
-    skills = match_skills(requirements, mentions)
-    if strict:
-        plain = requirements.filter(is_plain_skill(F.col("content"), F.col("skill"))).select("report_id", "requirement_id")
-        skills = skills.filter("status = 'hit'").join(plain, ["report_id", "requirement_id"], "left_semi")
-    return skills.unionByName(match_education(requirements, education)).unionByName(match_years(requirements, experience_years(work, today)))
+    return ruled(requirements, mentions, education, work, today).filter(_STRICT if strict else "status IS NOT NULL").drop("category", "plain")
 
 
 def apply_judgements(pending: DataFrame, answers: DataFrame) -> DataFrame:
@@ -87,6 +116,52 @@ def recheck_listed_only(items: DataFrame, rule_items: DataFrame, entries: DataFr
 MODES = ("dict_only", "llm_fulltext", "hybrid")
 
 
+def _answered(answers: DataFrame, entries: DataFrame | None) -> DataFrame:
+    """Answers that count, with ``_inside``: whether the evidence lies in one of the report's entries. An answer sees the entries
+    that begin before its end, and the furthest end of these decides, so a report costs a sort and not a product."""
+    found = F.col("char_start").isNotNull() & F.col("status").isin("hit", "partial")
+    a = answers.select("report_id", "requirement_id", *[F.when(found, F.col(c)).alias(n) for c, n in (("status", "_said"), ("char_start", "_start"), ("char_end", "_end"))])
+    if entries is None:
+        a = a.withColumn("_inside", F.lit(True))
+    else:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in a.schema.fields[1:]]
+        e = entries.filter("char_end IS NOT NULL").select("report_id", *none, F.col("char_start").alias("_at"), F.col("char_end").alias("_far"), F.lit(True).alias("_entry"))
+        both = a.withColumns({"_at": F.col("_end"), "_far": F.lit(None).cast(e.schema["_far"].dataType), "_entry": F.lit(False)}).unionByName(e.filter("_at IS NOT NULL"))
+        w = Window.partitionBy("report_id").orderBy("_at", "_entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        a = both.withColumn("_inside", F.coalesce(F.max("_far").over(w) > F.col("_start"), F.lit(False))).filter("NOT _entry").drop("_at", "_far", "_entry")
+    # what does not depend on the answers is given once where there are several
+    return a.withColumn("_n", F.row_number().over(Window.partitionBy("report_id", "requirement_id").orderBy("_start")))
+
+
+def match_in_modes(requirements: DataFrame, mentions: DataFrame, education: DataFrame, work: DataFrame, answers: DataFrame, today: str, modes: tuple[str, ...] = MODES, entries: DataFrame | None = None) -> DataFrame:
+    """:func:`match_in_mode` for several modes at once, with ``mode``: rules and answers meet each requirement once."""
+    if not set(modes) <= set(MODES):
+        raise ValueError(f"mode must be one of {MODES}")
+    key = ["report_id", "requirement_id"]
+    if set(modes) == {"llm_fulltext"}:
+        d = requirements.select(*key, *[F.lit(None).cast(t).alias(c) for c, t in (("category", "string"), ("plain", "boolean"), ("status", "string"), ("matched_by", "string"), ("char_start", "int"), ("char_end", "int"))])
+    else:
+        d = ruled(requirements, mentions, education, work, today)
+    if set(modes) == {"dict_only"}:
+        d = d.withColumns({"_said": F.lit(None).cast("string"), "_start": F.lit(None).cast("int"), "_end": F.lit(None).cast("int"), "_inside": F.lit(True), "_n": F.lit(1)})
+    else:
+        d = d.join(_answered(answers, entries), key, "left")
+    once = F.coalesce("_n", F.lit(1)) == 1
+    item = lambda mode, *v: F.struct(F.lit(mode).alias("mode"), *[x.alias(n) for x, n in zip(v, ("status", "matched_by", "char_start", "char_end"), strict=True)])
+    by_rule = [F.col(c) for c in ("status", "matched_by", "char_start", "char_end")]
+    listed = (F.col("category") == "skill") & (F.col("status") == "partial")
+    said = F.coalesce("_said", F.lit("miss"))
+    rechecked = F.when((said == "hit") & F.coalesce(listed, F.lit(False)) & ~F.col("_inside"), "partial").otherwise(said)
+    judged = lambda status: [status, F.lit("llm"), F.col("_start"), F.col("_end")]
+    certain = F.coalesce(F.expr(_STRICT), F.lit(False))
+    made = {
+        "dict_only": F.when(once, item("dict_only", F.coalesce("status", F.lit("miss")), *by_rule[1:])),
+        "llm_fulltext": item("llm_fulltext", *judged(said)),
+        "hybrid": F.when(~certain | once, item("hybrid", *[F.when(certain, r).otherwise(j) for r, j in zip(by_rule, judged(rechecked), strict=True)])),
+    }
+    return d.select(*key, F.explode(F.array(*[made[m] for m in modes])).alias("i")).filter("i IS NOT NULL").select("i.mode", *key, "i.status", "i.matched_by", "i.char_start", "i.char_end")
+
+
 def match_in_mode(requirements: DataFrame, mentions: DataFrame, education: DataFrame, work: DataFrame, answers: DataFrame, today: str, mode: str = "hybrid", entries: DataFrame | None = None) -> DataFrame:
     """Items of all requirements in one of the MODES: report_id, requirement_id, status, matched_by, char_start, char_end.
 
@@ -94,20 +169,7 @@ def match_in_mode(requirements: DataFrame, mentions: DataFrame, education: DataF
     certain (strict), else the model, whose hits on skills that are only listed are taken back to partial (``entries``:
     spans of work and projects). answers: see :func:`apply_judgements`.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
-    key = ["report_id", "requirement_id"]
-    if mode == "llm_fulltext":
-        return apply_judgements(requirements, answers)
-    rules = match_by_rules(requirements, mentions, education, work, today, strict=mode == "hybrid")
-    pending = requirements.join(rules.select(*key), key, "left_anti")
-    if mode == "dict_only":
-        null = F.lit(None).cast("int")
-        return rules.unionByName(pending.select(*key, F.lit("miss").alias("status"), F.lit(None).cast("string").alias("matched_by"), null.alias("char_start"), null.alias("char_end")))
-    judged = apply_judgements(pending, answers)
-    if entries is not None:
-        judged = recheck_listed_only(judged, match_skills(requirements, mentions), entries)
-    return rules.unionByName(judged)
+    return match_in_modes(requirements, mentions, education, work, answers, today, (mode,), entries).drop("mode")
 
 
 def items_of(requirements: DataFrame, items: DataFrame) -> DataFrame:

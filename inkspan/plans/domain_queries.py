@@ -70,12 +70,8 @@ def match_strict(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT 'hybrid', j.report_id, j.requirement_id, CASE WHEN strict IS NOT NULL THEN strict WHEN model = 'hit' AND category = 'skill' AND rule = 'partial' AND back.report_id IS NULL THEN 'partial' ELSE model END FROM j LEFT JOIN back USING (report_id, requirement_id)""")
 def match_modes(spark: SparkSession, d: str) -> DataFrame:
     i = requirement_inputs(spark, d)
-    out = None
-    for mode in matching.MODES:
-        got = matching.match_in_mode(i["requirements"], i["mentions"], i["education"], i["work"], i["answers"], "2024-01-01", mode, i["entries"])
-        got = got.select(F.lit(mode).alias("mode"), "report_id", "requirement_id", "status")
-        out = got if out is None else out.unionByName(got)
-    return out
+    got = matching.match_in_modes(i["requirements"], i["mentions"], i["education"], i["work"], i["answers"], "2024-01-01", entries=i["entries"])
+    return got.select("mode", "report_id", "requirement_id", "status")
 
 
 @query(f"WITH {_REQ} SELECT report_id, requirement_id, category, coalesce(rule, 'miss') AS status FROM ru")
