@@ -91,10 +91,17 @@ def _automaton(entries: tuple[Entry, ...]):  # noqa: ANN202
     return automaton, np.array([len(w) for w in owners], np.int64), plain, exact
 
 
+@lru_cache(maxsize=4)
+def _automata(dealt: tuple[tuple[Entry, ...], ...]) -> list:
+    return [_automaton.__wrapped__(entries) for entries in dealt]
+
+
 def hits(text: str, entries: tuple[Entry, ...]) -> np.ndarray:
     """Rows of start, end, skill, exact: every occurrence of every spelling."""
-    automaton, sizes, plain, exact = _automaton(entries)
-    bordered, before = _bordered(text)
+    return _met(text, *_bordered(text), *_automaton(entries))
+
+
+def _met(text: str, bordered: str, before: np.ndarray, automaton, sizes: np.ndarray, plain: np.ndarray, exact: dict) -> np.ndarray:  # noqa: ANN001
     got = list(automaton.iter(bordered)) if len(sizes) else []
     if not got:
         return np.zeros((0, 4), np.int64)
@@ -132,11 +139,12 @@ def find(text: str, entries: tuple[Entry, ...]) -> list[tuple[int, int, int]]:
     return [(skill, s, e) for s, e, skill, _ in longest_first(hits(text, entries)).tolist()]
 
 
-def _scanned(texts: list[str | None], entries: tuple[Entry, ...], whole: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
+def _scanned(texts: list[str | None], dealt: tuple[tuple[Entry, ...], ...], whole: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(which text, surface, rows of hits with places in their own text) of many texts at once."""
     texts = [(t or "").replace(_APART, " ") for t in texts]
     together = _APART.join(texts)
-    h = hits(together, entries)
+    ready = _bordered(together)  # once for all automata
+    h = np.concatenate([_met(together, *ready, *built) for built in _automata(dealt)])
     h = longest_first(h) if whole else h
     starts = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
     row = np.searchsorted(starts, h[:, 0], "right") - 1
@@ -145,12 +153,23 @@ def _scanned(texts: list[str | None], entries: tuple[Entry, ...], whole: bool) -
     return row, surface, h
 
 
-def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_col: str = "full_text", spellings: int = SPELLINGS) -> DataFrame:
+def _group(ids) -> np.ndarray:  # noqa: ANN001
+    """The number of each value's run in an Arrow array of sorted ids."""
+    import pyarrow.compute as pc
+
+    here, before = ids.slice(1), ids.slice(0, max(len(ids) - 1, 0))
+    changed = pc.not_equal(here, before).fill_null(False).to_numpy(zero_copy_only=False)
+    changed = changed | pc.xor(pc.is_valid(here), pc.is_valid(before)).to_numpy(zero_copy_only=False)  # nulls are one document
+    return np.concatenate([[0], np.cumsum(changed)])[: len(ids)]
+
+
+def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_col: str = "full_text", spellings: int = SPELLINGS, at_once: int = SPELLINGS) -> DataFrame:
     """(id, skill_id, surface, char_start, char_end) of every mention; ids must be unique. Null text has none.
 
     Texts stay where they are: an Aho-Corasick automaton over the spellings travels to them. At most ``spellings`` of
-    them, of at most that many times 64 characters, make one automaton; a larger dictionary is dealt into several, each
-    runs over the texts, and the hits of a document meet once more to decide which of them overlap.
+    them, of at most that many times 64 characters, make one automaton; a larger dictionary is dealt into several. Automata
+    of ``at_once`` spellings together run over a text in one pass, which decides there what overlaps; where more passes are
+    needed, the hits of a document meet once more for that.
     """
     w = words(dictionary)
     size = w.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("chars")).first()
@@ -158,12 +177,12 @@ def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {d.schema['id'].dataType.simpleString()}, skill_id long, surface string, char_start int, char_end int"
 
-    def scan(entries: tuple[Entry, ...], whole: bool):  # noqa: ANN202
+    def scan(dealt: tuple[tuple[Entry, ...], ...], whole: bool):  # noqa: ANN202
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-                row, surface, h = _scanned(batch.column(1).to_pylist(), entries, whole)
+                row, surface, h = _scanned(batch.column(1).to_pylist(), dealt, whole)
                 names = ["id", "skill_id", "surface", "char_start", "char_end", "exact"][: 5 if whole else 6]
                 for at in range(0, len(h), HITS):
                     some = h[at : at + HITS]
@@ -172,22 +191,39 @@ def tag(docs: DataFrame, dictionary: DataFrame, id_col: str = "resume_id", text_
 
         return run
 
-    def resolved(table):  # noqa: ANN001, ANN202
+    def resolved(batches: Iterator) -> Iterator:
+        """Hits sorted by document: many documents are decided at once, the last one when the next begins."""
         import pyarrow as pa
 
-        c = [table.column(n).to_numpy() for n in ("char_start", "char_end", "skill_id", "exact")]
-        surface = dict(zip(zip(c[0].tolist(), c[1].tolist(), strict=True), table.column("surface").to_pylist(), strict=True))
-        kept = longest_first(np.stack(c, axis=1).astype(np.int64))
-        spans = list(zip(kept[:, 0].tolist(), kept[:, 1].tolist(), strict=True))
-        ids = table.column("id").combine_chunks().take(pa.array(np.zeros(len(kept), np.int64)))
-        columns = [ids, pa.array(kept[:, 2]), pa.array([surface[x] for x in spans], pa.string()), pa.array(kept[:, 0].astype(np.int32)), pa.array(kept[:, 1].astype(np.int32))]
-        return pa.Table.from_arrays(columns, ["id", "skill_id", "surface", "char_start", "char_end"])
+        def kept(t):  # noqa: ANN001, ANN202
+            ids = t.column("id").combine_chunks()
+            c = [t.column(n).to_numpy().astype(np.int64) for n in ("char_start", "char_end", "skill_id", "exact")]
+            apart = _group(ids) * (1 << 32)  # documents stand behind each other
+            at = longest_first(np.stack([c[0] + apart, c[1] + apart, c[2], c[3], np.arange(len(apart))], axis=1))[:, 4]
+            return t.take(pa.array(at)).select(["id", "skill_id", "surface", "char_start", "char_end"]).combine_chunks().to_batches()
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = np.flatnonzero(np.diff(_group(batch.column(0))))
+            if len(last) or (held and held[-1].column(0)[-1] != batch.column(0)[0]):
+                cut = int(last[-1]) + 1 if len(last) else 0
+                yield from kept(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield from kept(pa.Table.from_batches(held))
 
     passes = []
-    for shard in range(shards):
-        rows = w.filter(F.pmod(F.xxhash64("word"), F.lit(shards)) == shard).orderBy("word", "exact").collect()
-        passes.append(d.mapInArrow(scan(tuple((r["word"], r["exact"], r["id"]) for r in rows), shards == 1), schema + ("" if shards == 1 else ", exact boolean")))
-    out = passes[0] if shards == 1 else reduce(DataFrame.unionByName, passes).groupBy("id").applyInArrow(resolved, schema)
+    dealt: list[list[Entry]] = [[] for _ in range(shards)]
+    for r in w.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards))).orderBy("word", "exact").toLocalIterator():
+        dealt[r["shard"]].append((r["word"], r["exact"], r["id"]))
+    each = max(1, at_once // spellings)  # automata of one pass
+    whole = shards <= each
+    for at in range(0, shards, each):
+        passes.append(d.mapInArrow(scan(tuple(tuple(some) for some in dealt[at : at + each]), whole), schema + ("" if whole else ", exact boolean")))
+    out = passes[0] if whole else reduce(DataFrame.unionByName, passes).repartition("id").sortWithinPartitions("id").mapInArrow(resolved, schema)
     return out.withColumnRenamed("id", id_col)
 
 
