@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from inkspan.functions.binding import once
 from inkspan.functions.text import normalize_for_match, strip_quotes
 
 LEAST_QUOTE, LEAST_FUZZY, FUZZY_SCORE = 2, 6, 90.0
@@ -128,6 +129,35 @@ def locate(quotes: DataFrame, quote: str = "quote", text: str = "text", hint_sta
     return done.unionByName(rest).drop("_needle", "_hay", "_lo", "_window")
 
 
+@F.pandas_udf(ArrayType(SPAN))
+def _fuzzy_each(quotes: pd.Series, text: pd.Series) -> pd.Series:
+    def one(q: str | None, t: str) -> dict | None:
+        found = similar_part(q, t) if q else None
+        return None if found is None else {"start": found[0], "end": found[1], "score": round(found[2] / 100, 3), "method": "fuzzy"}
+
+    return pd.Series([None if t is None else [one(q, t) for q in qs] for qs, t in zip(quotes, text, strict=True)], dtype=object)
+
+
+def locate_each(df: DataFrame, quotes: Column, text: str, name: str = "spans") -> DataFrame:
+    """Add an array of spans, one for each quote of an array, as :func:`locate` gives them without hints.
+
+    A text is normalised once for all its quotes, and goes to the Python function once, only where a quote is open that may
+    stand in it by similarity.
+    """
+    def place(hay: Column, needles: Column) -> Column:
+        exact = F.transform(needles, lambda n: F.when(F.length(n) >= LEAST_QUOTE, exact_span(n, hay, F.lit(0))))
+        size = F.length(hay)
+        unmet = F.transform(needles, lambda n: F.when(F.length(n).between(LEAST_FUZZY, size) & ~hay.contains(n), n))
+        return once(unmet, lambda u: F.struct(exact.alias("exact"), u.alias("open"), F.when(F.exists(u, lambda n: n.isNotNull()), hay).alias("hay")))
+
+    needles = F.transform(quotes, lambda q: normalize_for_match(strip_quotes(q)))
+    d = df.withColumn("_x", once(normalize_for_match(F.col(text)), lambda hay: once(needles, lambda n: place(hay, n))))
+    # called nondeterministic, so that no filter or generator above takes a copy of it
+    d = d.withColumn("_wide", _fuzzy_each.asNondeterministic()("_x.open", "_x.hay"))
+    both = F.when(F.col("_wide").isNull(), F.col("_x.exact")).otherwise(F.zip_with("_x.exact", "_wide", lambda a, b: F.coalesce(a, b)))
+    return d.withColumn(name, both).drop("_x", "_wide")
+
+
 #: characters of a gram; grams met at once
 GRAM, HITS = 3, 1_000_000
 

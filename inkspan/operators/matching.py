@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspan.functions.binding import once
 from inkspan.functions.dates import covered_months, month_number
 from inkspan.functions.numeric import round_exact
 from inkspan.functions.text import degree_level, is_plain_skill, required_degree, required_years
-from inkspan.operators.evidence import locate
+from inkspan.operators.evidence import locate_each
 from inkspan.operators.spans import overlaps
 
 STATUS_VALUE = {"hit": 1.0, "partial": 0.5, "miss": 0.0}
@@ -208,8 +209,12 @@ def score_matches(requirements: DataFrame, items: DataFrame) -> DataFrame:
 def verify_requirements(found: DataFrame, jobs: DataFrame) -> DataFrame:
     """Model requirements whose quote stands in the job text and whose skill occurs there; first of equal ones, weighted,
     numbered from 1, at most 25 per job. found: job_id, ordinal, req_type, category, content, skill, quote; jobs: job_id, raw_text."""
-    d = locate(found.join(jobs.select("job_id", "raw_text"), "job_id"), "quote", "raw_text").filter("span IS NOT NULL")
-    d = d.filter(F.col("skill").isNull() | F.lower("raw_text").contains(F.lower("skill")))
+    asks = found.groupBy("job_id").agg(F.collect_list(F.struct("ordinal", "req_type", "category", "content", "skill", "quote")).alias("_asks"))
+    # a job's text meets all its asks in one row
+    d = locate_each(asks.join(jobs.select("job_id", "raw_text"), "job_id"), F.transform("_asks", lambda a: a["quote"]), "raw_text", "_spans")
+    named = once(F.lower("raw_text"), lambda t: F.transform("_asks", lambda a: a["skill"].isNull() | t.contains(F.lower(a["skill"]))))
+    d = d.select("job_id", F.explode(F.arrays_zip("_asks", "_spans", named.alias("_named"))).alias("a")).filter("a._spans IS NOT NULL AND a._named")
+    d = d.select("job_id", "a._asks.*", F.col("a._spans").alias("span"))
     first = Window.partitionBy("job_id", F.lower("content")).orderBy("ordinal")
     d = d.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     d = d.withColumn("requirement_id", F.row_number().over(Window.partitionBy("job_id").orderBy("ordinal"))).filter(F.col("requirement_id") <= MAX_REQUIREMENTS)
