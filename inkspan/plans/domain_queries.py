@@ -268,13 +268,13 @@ def snk_diagnosis(spark: SparkSession, d: str) -> DataFrame:
     """All diagnoses are written with a score of 70, a quarter of them again with 50; what readers then see."""
     path = staged.new_place(spark, "diagnoses")
     f = _numbered(spark, d).select(F.col("l_orderkey").alias("diagnosis_id"), "r", F.when(F.col("l_returnflag") == "N", "rule").otherwise("llm").alias("source"), (2 - F.col("l_linenumber") % 2).alias("attempt_no"), F.when(F.col("l_linestatus") == "F", "failed").otherwise("exact").alias("verify_result"))
+    f = f.withColumn("shown", F.col("verify_result") != "failed")
     k = F.col("o_orderkey")
     cases = table(spark, d, "orders").select(k.alias("diagnosis_id"), F.col("o_custkey").alias("resume_id"), F.lit(6).alias("units_total"), F.greatest(k % 6 - 3, F.lit(0)).alias("units_skipped"), F.lit(70).alias("overall_score"))
     spent = calls(spark, d).filter("ref_type = 'resume'").withColumn("ref_type", F.lit("diagnosis"))
-    good, bad = f.filter("verify_result != 'failed'"), f.filter("verify_result = 'failed'")
-    io.write_diagnoses(good, bad, cases, spent, path)
+    io.write_diagnoses(f, None, cases, spent, path)
     again = "diagnosis_id % 4 = 0"
-    io.write_diagnoses(good.filter(again), bad.filter(again), cases.filter(again).withColumn("overall_score", F.lit(50)), spent, path)
+    io.write_diagnoses(f.filter(again), None, cases.filter(again).withColumn("overall_score", F.lit(50)), spent, path)
     shown = staged.read_current(spark, f"{path}/findings").filter("shown").groupBy("diagnosis_id").agg(F.count("*").alias("shown"))
     got = staged.read_current(spark, f"{path}/diagnoses").join(shown, "diagnosis_id", "left")
     return got.select("diagnosis_id", "rule_count", "llm_count", "hallucination_count", "status", "token_input", "overall_score", F.coalesce("shown", F.lit(0)).alias("shown"))

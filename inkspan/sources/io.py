@@ -71,24 +71,25 @@ def merge_seed(stored: DataFrame, new: DataFrame, key: str, id_col: str = "id",
     return d.filter("change != 'inserted'").unionByName(added)
 
 
-def write_diagnoses(findings: DataFrame, rejected: DataFrame, diagnoses: DataFrame, calls: DataFrame, path: str) -> None:
+def write_diagnoses(findings: DataFrame, rejected: DataFrame | None, diagnoses: DataFrame, calls: DataFrame, path: str) -> None:
     """Write back finished diagnoses: their findings (shown and rejected ones) and, with counters, tokens and status, the
     diagnoses themselves, each replacing what is stored for the same diagnosis.
 
-    findings and rejected: diagnosis_id, source, attempt_no, verify_result and more of the same columns; diagnoses:
-    diagnosis_id, resume_id, units_total, units_skipped, overall_score; calls: model calls. Findings are written before the diagnoses, which name
-    them; read both with ``staged.read_current`` from path/findings and path/diagnoses.
+    findings and rejected: diagnosis_id, source, attempt_no, verify_result and more of the same columns (or findings alone,
+    with a column ``shown``); diagnoses: diagnosis_id, resume_id, units_total, units_skipped, overall_score; calls: model
+    calls. Findings are written before the diagnoses, which name them, and counted as they were written; read both with
+    ``staged.read_current`` from path/findings and path/diagnoses.
     """
     from inkspan.operators import rules, upkeep
     from inkspan.sources import staged
 
-    both = findings.withColumn("shown", F.lit(True)).unionByName(rejected.withColumn("shown", F.lit(False)))
-    counted = rules.diagnosis_counters(both, diagnoses.select("diagnosis_id", "units_skipped"))
-    refs = diagnoses.select(F.lit("diagnosis").alias("ref_type"), F.col("diagnosis_id").alias("ref_id"))
-    tokens = upkeep.tokens_of(refs, calls).select(F.col("ref_id").alias("diagnosis_id"), F.col("token_input").cast("long").alias("token_input"), F.col("token_output").cast("long").alias("token_output"))
-    rows = diagnoses.join(counted.drop("units_skipped"), "diagnosis_id").join(tokens, "diagnosis_id")
-    staged.replace_by_key(both, f"{path}/findings", "diagnosis_id")
-    staged.replace_by_key(rows, f"{path}/diagnoses", "diagnosis_id")
+    spark = diagnoses.sparkSession
+    both = findings if rejected is None else findings.withColumn("shown", F.lit(True)).unionByName(rejected.withColumn("shown", F.lit(False)))
+    version = staged.replace_by_key(both, f"{path}/findings", "diagnosis_id", hot_keys=False)
+    counted = rules.diagnosis_counters(staged.read_written(spark, f"{path}/findings", version), diagnoses)
+    refs = counted.withColumns({"ref_type": F.lit("diagnosis"), "ref_id": F.col("diagnosis_id")})
+    rows = upkeep.tokens_of(refs, calls).drop("ref_type", "ref_id").withColumns({c: F.col(c).cast("long") for c in ("token_input", "token_output")})
+    staged.replace_by_key(rows, f"{path}/diagnoses", "diagnosis_id", hot_keys=False)
 
 
 def ddl(name: str, schema: StructType) -> str:

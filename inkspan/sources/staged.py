@@ -1,7 +1,8 @@
 """Tables that are replaced by key: hash buckets, written beside the old ones and switched over by one small file.
 
-``path/parts/<run>/bucket=<n>`` holds rows, ``path/versions/<version>.json`` says which run holds each bucket. A reader
-takes the newest version file and sees all of a write or nothing of it; a writer that dies leaves only unread parts.
+``path/parts/<run>/bucket=<n>`` holds the rows that came, ``path/parts/<run>/stayed/bucket=<n>`` those that were left, and
+``path/versions/<version>.json`` says which of these hold each bucket. A reader takes the newest version file and sees all of
+a write or nothing of it; a writer that dies leaves only unread parts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
@@ -85,12 +86,17 @@ def _commit(spark: SparkSession, path: str, version: int, state: dict) -> None:
         raise RuntimeError(f"version {version} of {path} was written by someone else")
 
 
-def _read(spark: SparkSession, path: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
+def _runs(state: dict) -> dict[str, list[str]]:
+    """The runs of each bucket; older tables name one run."""
+    return {b: [r] if isinstance(r, str) else r for b, r in state["runs"].items()}
+
+
+def _read(spark: SparkSession, path: str, state: dict, buckets: list[int] | None = None, run: str | None = None) -> DataFrame:
     from pyspark.sql.types import StructType
 
     schema = StructType.fromJson(state["schema"])
-    wanted = [(b, run) for b, run in state["runs"].items() if buckets is None or int(b) in buckets]
-    folders = [f"{path}/parts/{run}/bucket={b}" for b, run in wanted]
+    wanted = [(b, r) for b, runs in _runs(state).items() for r in runs if (buckets is None or int(b) in buckets) and run in (None, r)]
+    folders = [f"{path}/parts/{r}/bucket={b}" for b, r in wanted]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
@@ -102,41 +108,67 @@ def read_current(spark: SparkSession, path: str, version: int | None = None) ->
     return _read(spark, path, _state(spark, path, known[-1] if version is None else version))
 
 
-def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int:
+def read_written(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """The rows that came with a version, without those that stayed."""
+    state = _state(spark, path, version)
+    return _read(spark, path, state, run=state["run"])
+
+
+def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = BUCKETS, hot_keys: bool = True) -> int:
     """Delete-then-insert: all stored rows of the keys in ``df`` go, the rows of ``df`` come; gives the new version.
 
     Only buckets that hold one of the keys are written again, each by its own tasks, so the number of files is bounded by
     buckets and tasks and not by keys. ``buckets`` counts at the first write only. A key that leaves no rows behind
     is deleted by a row whose other columns are all null (``df`` otherwise holds none such). Null keys are one key.
+    ``df`` is computed and shuffled once; what it replaces is then found by the keys in the files it went to. A bucket's
+    rows are dealt to a few tasks, so that a hot key is not written by one; where every key has few rows, ``hot_keys=False``
+    leaves them together, and rows that come from a window or join by the key are not shuffled again.
     """
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
     spark = df.sparkSession
     known = versions(spark, path)
-    state = _state(spark, path, known[-1]) if known else {"buckets": buckets, "schema": json.loads(df.schema.json()), "runs": {}}
+    state = _state(spark, path, known[-1]) if known else {"buckets": buckets, "hash": "hash", "schema": json.loads(df.schema.json()), "runs": {}}
     columns = [f["name"] for f in state["schema"]["fields"]]
-    at = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(state["buckets"])).cast("int")
-    new = written(df.select(*[F.col(f"`{c}`") for c in columns]).withColumn("bucket", at), "incoming")
-    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most one row a bucket
-    old = _read(spark, path, state, touched).withColumn("bucket", at)
-    keys = new.select(F.col(f"`{key}`").alias("_key"), F.col("bucket").alias("_bucket")).distinct()
-    kept = old.join(keys, (F.col("bucket") == F.col("_bucket")) & F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left_anti")
+    # the hash that shuffles use too, so that a task of a shuffle by the key meets few buckets; older tables have the other one
+    at = F.pmod((F.hash if state.get("hash") == "hash" else F.xxhash64)(F.col(f"`{key}`")), F.lit(state["buckets"])).cast("int")
+
+    def put(rows: DataFrame, bucket: Column, run: str) -> set[int]:
+        """Rows as files of a run; gives the buckets that it has."""
+        rows = rows.select(*[F.col(f"`{c}`") for c in columns])
+        if hot_keys:
+            spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(4))
+            rows = rows.withColumns({"bucket": bucket, "_spread": spread}).repartition("bucket", "_spread").drop("_spread")
+        else:
+            rows = rows.repartition(F.col(f"`{key}`")).withColumn("bucket", bucket)
+        rows.write.partitionBy("bucket").parquet(f"{path}/parts/{run}")
+        fs, folder = _fs(spark, f"{path}/parts/{run}")
+        return {int(s.getPath().getName().removeprefix("bucket=")) for s in fs.listStatus(folder) if s.isDirectory()}
+
+    # rows that only delete go to folders below 0, which no reader takes
     rest = [F.col(f"`{c}`").isNotNull() for c in columns if c != key]
-    fresh = new.filter(reduce(or_, rest)) if rest else new
     run = uuid.uuid4().hex
-    # a bucket's rows are dealt to a few tasks, so that a hot key is not written by one
-    rows = kept.unionByName(fresh).withColumn("_spread", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(4)))
-    rows.repartition("bucket", "_spread").drop("_spread").write.partitionBy("bucket").parquet(f"{path}/parts/{run}")
-    fs, folder = _fs(spark, f"{path}/parts/{run}")
-    filled = {s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(folder) if s.isDirectory()}
-    runs = {b: r for b, r in state["runs"].items() if int(b) not in touched} | {b: run for b in filled}
+    filled = put(df, F.when(reduce(or_, rest), at).otherwise(-1 - at) if rest else at, run)
+    touched = sorted({b if b >= 0 else -1 - b for b in filled})
+    before = _runs(state)
+    runs = {b: r for b, r in before.items() if int(b) not in touched} | {str(b): [run] for b in filled if b >= 0}
+    if any(int(b) in touched for b in before):
+        held = StructType([StructType.fromJson(state["schema"])[key], StructField("bucket", IntegerType())])
+        keys = spark.read.schema(held).parquet(f"{path}/parts/{run}").select(F.col(f"`{key}`").alias("_key"))
+        old = _read(spark, path, state, touched)
+        if not keys.filter("_key IS NULL").isEmpty():
+            old = old.filter(F.col(f"`{key}`").isNotNull())
+        left = put(old.join(keys.distinct().hint("shuffle_hash"), F.col(f"`{key}`") == F.col("_key"), "left_anti"), at, f"{run}/stayed")
+        runs |= {str(b): [*runs.get(str(b), []), f"{run}/stayed"] for b in left}
     version = (known[-1] if known else 0) + 1
-    _commit(spark, path, version, {**state, "runs": runs})
+    _commit(spark, path, version, {**state, "runs": runs, "run": run})
     return version
 
 
 def clean_up(spark: SparkSession, path: str) -> int:
     """Delete versions but the newest one and the parts that it does not name; gives how many runs went."""
     known = versions(spark, path)
-    held = set(_state(spark, path, known[-1])["runs"].values()) if known else set()
+    held = {r.split("/")[0] for runs in _runs(_state(spark, path, known[-1])).values() for r in runs} if known else set()
     for v in known[:-1]:
         fs, target = _fs(spark, f"{path}/versions/{v:08d}.json")
         fs.delete(target, False)
