@@ -105,41 +105,45 @@ def segments_under_marks(blocks: DataFrame, marks: DataFrame, key: str, chunk: i
     by ordinal; null if none) and marks (all over it, by ordinal).
 
     A sweep over the sorted borders of each stretch of ``chunk`` characters, with the marks that are open; stretches of one
-    key are swept apart, so a key with many marks is split, and cuts that only a stretch's border made are closed again.
+    key are swept apart, so a key with many marks is split. A cut that only a stretch's border made begins no piece: a piece ends
+    where its block's next one begins, or with its block.
     blocks: key, char_start, char_end, not overlapping; marks: key, ordinal (unique in a key), mark_start, mark_end, priority, mark. An
     empty mark cuts, but covers nothing; marks outside of blocks and empty blocks leave nothing.
     """
     mark = F.struct("ordinal", "priority", "mark")
     none = F.lit(None).cast(marks.select(mark.alias("m")).schema["m"].dataType)
+    held = "struct<start:bigint,end:bigint>"
+    block = F.struct(F.col("char_start").cast("long").alias("start"), F.col("char_end").cast("long").alias("end"))
 
     def events(df: DataFrame, lo: str, hi: str, opens: int, value: Column, whole: Column) -> DataFrame:
         at = lambda c: F.floor(F.col(c) / chunk)
         d = df.withColumn("_c", F.explode(F.sequence(at(lo), F.greatest(at(hi), at(lo)))))
         start, end = F.greatest(F.col(lo), F.col("_c") * chunk), F.least(F.col(hi), (F.col("_c") + 1) * chunk)
         # what is empty here only cuts: kind 4
-        event = lambda pos, kind, real: F.struct(pos.cast("long").alias("at"), F.when(end > start, kind).otherwise(4).alias("kind"), real.alias("real"), whole.cast("long").alias("block"), value.alias("mark"))
+        event = lambda pos, kind, real: F.struct(pos.cast("long").alias("at"), F.when(end > start, kind).otherwise(4).alias("kind"), real.alias("real"), whole.cast(held).alias("block"), value.alias("mark"))
         return d.select(key, "_c", F.explode(F.array(event(start, opens, start == F.col(lo)), event(end, opens - 2, end == F.col(hi)))).alias("e"))
 
-    both = events(blocks.filter("char_end > char_start"), "char_start", "char_end", 2, none, F.col("char_start"))
+    both = events(blocks.filter("char_end > char_start"), "char_start", "char_end", 2, none, block)
     both = both.unionByName(events(marks, "mark_start", "mark_end", 3, mark, F.lit(None)))
     swept = both.groupBy(key, "_c").agg(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["at"] != b["at"], F.signum(a["at"] - b["at"]).cast("int")).otherwise(F.signum(a["kind"] - b["kind"]).cast("int"))).alias("_e"))
     m = marks.select(mark.alias("m")).schema["m"].dataType.simpleString()
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("real"), F.lit(None).cast("long").alias("block"), F.array().cast(f"array<{m}>").alias("open"), F.array().cast(f"array<struct<start:bigint,end:bigint,real:boolean,block:bigint,open:array<{m}>>>").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("real"), F.lit(None).cast(held).alias("block"), F.array().cast(f"array<{m}>").alias("open"), F.array().cast(f"array<struct<start:bigint,block:{held},open:array<{m}>>>").alias("out"))
 
     def step(s: Column, e: Column) -> Column:
         on = e["at"] > s["at"]
-        piece = F.struct(s["at"].alias("start"), e["at"].alias("end"), s["real"].alias("real"), s["block"].alias("block"), s["open"].alias("open"))
+        piece = F.struct(s["at"].alias("start"), s["block"].alias("block"), s["open"].alias("open"))
         return F.struct(
             e["at"].alias("at"),
             (e["real"] | (~on & s["real"])).alias("real"),
             F.when(e["kind"] == 2, e["block"]).when(e["kind"] == 0, F.lit(None)).otherwise(s["block"]).alias("block"),
             F.when(e["kind"] == 3, F.concat(s["open"], F.array(e["mark"]))).when(e["kind"] == 1, F.filter(s["open"], lambda x: x["ordinal"] != e["mark"]["ordinal"])).otherwise(s["open"]).alias("open"),
-            F.when(on & s["block"].isNotNull(), F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"),
+            F.when(on & s["real"] & s["block"].isNotNull(), F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"),
         )
 
     pieces = swept.select(key, F.explode(F.aggregate("_e", zero, step, lambda s: s["out"])).alias("p")).select(key, "p.*")
-    w = Window.partitionBy(key, "block").orderBy("start")
-    pieces = pieces.withColumn("_n", F.sum(F.col("real").cast("int")).over(w))
-    got = pieces.groupBy(key, "block", "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("open", "start").alias("open"))
+    # what is sorted by block holds the names of the marks and not the marks
     best = F.array_sort(F.transform("open", lambda x: F.struct((-x["priority"]).alias("p"), x["ordinal"].alias("o"), x["mark"].alias("mark"))))
-    return got.select(key, "start", "end", F.get(best, F.lit(0))["mark"].alias("mark"), F.transform(F.array_sort(F.transform("open", lambda x: F.struct(x["ordinal"].alias("o"), x["mark"].alias("mark")))), lambda x: x["mark"]).alias("marks"))
+    named = F.array_sort(F.transform("open", lambda x: F.struct(x["ordinal"].alias("o"), x["mark"].alias("mark"))))
+    got = pieces.select(key, "start", F.col("block.start").alias("_from"), F.col("block.end").alias("_to"), F.get(best, F.lit(0))["mark"].alias("mark"), F.transform(named, lambda x: x["mark"]).alias("marks"))
+    after = F.lead("start").over(Window.partitionBy(key, "_from").orderBy("start"))
+    return got.select(key, "start", F.coalesce(after, F.col("_to")).alias("end"), "mark", "marks")
