@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, lru_cache, reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -158,12 +159,136 @@ def locate_each(df: DataFrame, quotes: Column, text: str, name: str = "spans") -
     return d.withColumn(name, both).drop("_x", "_wide")
 
 
-#: characters of a gram; grams met at once
-GRAM, HITS = 3, 1_000_000
+#: characters of a gram; of those of a quote of LONG characters or more, whose grams say more
+GRAM, LONG_GRAM, LONG = 3, 4, 40
+#: starts of windows that are counted as one; starts of one region; characters of a piece, which are the bits of a word
+BLOCK, REGION, PIECE = 8, 512, 64
+#: quotes and their characters in one table of grams; characters of texts, and pieces, handled at once
+TABLE, TABLE_CHARS, CHARS, LANES = 256, 65_536, 32_768, 4_096
+
+
+class _Table:
+    """Some quotes of similar length: which of them hold a gram, and their pieces for bit-parallel search."""
+
+    def __init__(self, quotes: tuple[str, ...], members: list[int]) -> None:
+        self.members, some = members, [quotes[i] for i in members]
+        self.sizes = np.array([len(q) for q in some], np.int64)
+        g = self.gram = LONG_GRAM if self.sizes[0] >= LONG else GRAM
+        at = [_grams(q, g) for q in some]
+        self.grams, self.row = np.unique(np.concatenate(at), return_inverse=True)
+        self.col = np.repeat(np.arange(len(some)), [len(x) for x in at])
+        # over two equal lengths m a similarity of 0.9 leaves 0.1 m deletions and as many insertions at most; a deletion breaks
+        # g of the quote's grams, an insertion g - 1
+        self.least = self.sizes - g + 1 - (2 * g - 1) * _edits(self.sizes)
+        # a clipped window of k characters leaves 0.55 m - 0.45 k deletions and 0.55 k - 0.45 m insertions; k is 0.8 m or more
+        self.at_end = 1.8 * (0.55 - 0.1 * g) * self.sizes - g + 1 - 1e-6
+        # blocks that hold a window whose start is in the first of them
+        self.span = (self.sizes - g + BLOCK - 1) // BLOCK + 1
+        # both kinds leave 0.2 m edits at most, hence one of the quote's pieces its share of them at most
+        self.edits = np.floor(0.2 * self.sizes + 1e-6).astype(np.int64)
+        codes = [_codes(q) for q in some]
+        self.letters = np.unique(np.concatenate(codes))
+        self.pieces = -(-self.sizes // PIECE)
+        self.first = np.cumsum(self.pieces) - self.pieces
+        place, size, owner = [], [], []
+        for k, m in enumerate(self.sizes.tolist()):
+            cuts = [m * x // int(self.pieces[k]) for x in range(int(self.pieces[k]) + 1)]
+            place, size, owner = place + cuts[:-1], size + [y - x for x, y in zip(cuts, cuts[1:], strict=False)], owner + [k] * int(self.pieces[k])
+        self.place, self.size, self.owner = np.array(place), np.array(size), np.array(owner)
+        self.most = self.edits[self.owner] * self.size // self.sizes[self.owner]
+        self.letter = [np.searchsorted(self.letters, codes[k][o : o + n]) for o, n, k in zip(place, size, owner, strict=True)]
+
+    def regions(self, codes: np.ndarray, off: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(quote, text, first start, behind the last start, at an end of the text) where enough grams of a quote stand together.
+        Texts begin at ``off``, which are multiples of BLOCK."""
+        g, width = self.gram, len(self.members)
+        holds = np.zeros((len(self.grams) + 1, width), np.uint8)  # the last row is that of grams that no quote has
+        holds[self.row, self.col] = 1
+        h = _hashed(codes, g)
+        at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
+        ids = np.full(-(-len(codes) // BLOCK) * BLOCK, len(self.grams))
+        ids[: len(h)] = np.where(self.grams[at] == h, at, len(self.grams))
+        over = int(self.span.max())
+        found: list[tuple[np.ndarray, ...]] = []
+        for a in range(0, len(ids) // BLOCK, CHARS // BLOCK):
+            rows = holds[ids[a * BLOCK : a * BLOCK + CHARS + over * BLOCK]]
+            per = rows.reshape(-1, BLOCK, width).sum(1, dtype=np.uint8)
+            run = np.zeros((len(per) + 1, width), np.int32)
+            np.cumsum(per, 0, out=run[1:])
+            n = min(CHARS // BLOCK, len(per))
+            held = run[np.minimum(np.arange(n)[:, None] + self.span, len(per)), np.arange(width)] - run[:n]
+            k, b = np.nonzero((held >= self.least).T)
+            text = np.searchsorted(off, (a + b) * BLOCK, side="right") - 1
+            lo = (a + b) * BLOCK
+            hi = np.minimum(lo + BLOCK, off[text] + sizes[text] - self.sizes[k] + 1)
+            k, text, lo, hi = (x[hi > lo] for x in (k, text, lo, hi))
+            if len(k):  # neighbouring blocks are one region, of REGION starts at most
+                new = np.append(True, (np.diff(k) != 0) | (np.diff(text) != 0) | (np.diff(lo) != BLOCK))
+                nth = np.arange(len(k)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+                head = np.flatnonzero(new | (nth % (REGION // BLOCK) == 0))
+                found.append((k[head], text[head], lo[head], hi[np.append(head[1:], len(k)) - 1], np.zeros(len(head), bool)))
+            near = slice(max(0, int(np.searchsorted(off, a * BLOCK, side="right")) - 1), int(np.searchsorted(off, (a + n) * BLOCK + over * BLOCK)))
+            for tail in (False, True):  # clipped windows lie in the first and in the last m characters
+                s = off[near, None] + (sizes[near, None] - self.sizes) * tail
+                b = s // BLOCK - a
+                t, k = np.nonzero((sizes[near, None] >= self.sizes) & (b >= 0) & (b < n))
+                full = held[b[t, k], k] >= self.at_end[k]
+                t, k = t[full], k[full]
+                found.append((k, t + near.start, s[t, k], s[t, k] + 1, np.ones(len(k), bool)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def confirmed(self, codes: np.ndarray, off: np.ndarray, sizes: np.ndarray, k: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether one of the quote's pieces stands in a region with its share of edits or fewer, by Myers' bit vectors: a
+        word a piece, a step a character. A replaced letter counts once, so none is lost."""
+        masks = np.zeros((len(self.place), len(self.letters) + 1), np.uint64)  # the last letter is one that no quote has
+        bits = np.uint64(1) << np.arange(PIECE, dtype=np.uint64)
+        for p, letters in enumerate(self.letter):  # a piece ends in the highest bit; what no letter meets below it costs nothing
+            np.bitwise_or.at(masks[p], letters, bits[PIECE - len(letters) :])
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        letter = np.where(self.letters[at] == codes, at, len(self.letters))
+        flat, row = masks.ravel(), masks.shape[1]
+        region = np.repeat(np.arange(len(k)), self.pieces[k])
+        piece = np.arange(len(region)) - np.repeat(np.cumsum(self.pieces[k]) - self.pieces[k], self.pieces[k]) + np.repeat(self.first[k], self.pieces[k])
+        # the piece lies as far from the window's start as in the quote, but for the edits
+        drift = self.edits[k][region] + 1
+        begin = np.maximum(off[text][region], lo[region] + self.place[piece] - drift)
+        steps = np.minimum((off + sizes)[text][region], hi[region] + self.place[piece] + self.size[piece] + drift) - begin
+        hit = np.zeros(len(k), bool)
+        letter = np.append(letter, np.full(steps.max(initial=0), len(self.letters)))
+        one, last = np.uint64(1), np.uint64(PIECE - 1)
+        order = np.argsort(steps, kind="stable")
+        for some in (order[x : x + LANES] for x in range(0, len(order), LANES)):
+            base, pos = piece[some] * row, begin[some]
+            plus, minus = np.full(len(some), ~np.uint64(0)), np.zeros(len(some), np.uint64)
+            score = self.size[piece[some]].copy()
+            least = score.copy()
+            for _ in range(int(steps[some[-1]])):  # what is read behind a lane's end can only add a region
+                eq = flat.take(letter.take(pos) + base)
+                pos += 1
+                xh = eq & plus
+                xh += plus
+                xh ^= plus
+                xh |= eq
+                ph = xh | plus
+                np.invert(ph, out=ph)
+                ph |= minus
+                mh = plus & xh
+                score += (ph >> last).view(np.int64)
+                score -= (mh >> last).view(np.int64)
+                np.minimum(least, score, out=least)
+                ph <<= one
+                mh <<= one
+                eq |= minus
+                plus = eq | ph
+                np.invert(plus, out=plus)
+                plus |= mh
+                minus = ph & eq
+            hit[region[some[least <= self.most[piece[some]]]]] = True
+        return hit
 
 
 class _Quotes:
-    """Normalised quotes of one pass: an automaton for exact places, an index of their 3-grams for similar ones."""
+    """Normalised quotes of one pass: an automaton for exact places, tables of their grams and pieces for similar ones."""
 
     def __init__(self, quotes: tuple[str, ...]) -> None:
         import ahocorasick
@@ -178,18 +303,18 @@ class _Quotes:
             self.exact.add_word(q, owners)
         if same:
             self.exact.make_automaton()
-        at = [(g, i, k) for i, q in enumerate(quotes) if len(q) >= LEAST_FUZZY for k, g in enumerate(_grams(q).tolist())]
-        table = np.array(sorted(at), np.int64).reshape(-1, 3)
-        self.grams, first = np.unique(table[:, 0], return_index=True)
-        self.owner, self.place = table[:, 1], table[:, 2]
-        self.first = np.append(first, len(table))
-        sizes = np.array([len(q) for q in quotes], np.int64)
-        # over two equal lengths m a similarity of 0.9 leaves 0.1 m deletions and as many insertions at most; a deletion breaks
-        # three of the quote's grams, an insertion two
-        self.edits = _edits(sizes)
-        self.least = sizes - GRAM + 1 - (2 * GRAM - 1) * self.edits
-        self.at_end = 0.45 * sizes - 2  # see similar_part
-        self.sizes, self.width = sizes, 2 * self.edits + 1
+
+    @cached_property
+    def tables(self) -> list[_Table]:
+        found: list[list[int]] = []
+        chars = last = 0
+        for i in sorted((i for i, q in enumerate(self.quotes) if len(q) >= LEAST_FUZZY), key=lambda i: len(self.quotes[i])):
+            n = len(self.quotes[i])
+            if not found or len(found[-1]) == TABLE or chars + n > TABLE_CHARS or last < LONG <= n:
+                found, chars = [*found, []], 0
+            found[-1].append(i)
+            chars, last = chars + n, n
+        return [_Table(self.quotes, members) for members in found]
 
     def exact_places(self, text: str) -> dict[int, int]:
         """First place of each quote that stands in the text."""
@@ -201,50 +326,52 @@ class _Quotes:
         return found
 
     def candidates(self, text: str) -> dict[int, np.ndarray]:
-        """Quotes that may be similar to a part of the text, with the starts of the windows that may be; none is left out that
-        is. Enough of a similar quote's 3-grams stand in the text, on diagonals that differ from the window's start by its edits
-        at most, hence in two neighbouring bands; for clipped windows, enough of them stand at that end of the text."""
-        g = _grams(text)
-        if not len(g) or not len(self.grams):
-            return {}
-        at = np.searchsorted(self.grams, g)
-        hit = np.flatnonzero(self.grams[np.minimum(at, len(self.grams) - 1)] == g)
-        lo, n = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
-        ends = np.cumsum(n)
-        # a counter for each quote and band; the bands of negative diagonals come first, one behind the last stays empty
-        before = self.sizes // self.width + 1
-        cells = before + len(text) // self.width + 2
-        base = np.concatenate([[0], np.cumsum(cells)])
-        counts, a, ends_of_text = np.zeros(base[-1], np.int64), 0, ([], [])
-        while a < len(hit):
-            done = ends[a] - n[a]
-            b = max(a + 1, int(np.searchsorted(ends, done + HITS, side="right")))
-            rows = np.repeat(lo[a:b] - (ends[a:b] - n[a:b] - done), n[a:b]) + np.arange(ends[b - 1] - done)
-            owner = self.owner[rows]
-            place = np.repeat(hit[a:b], n[a:b])
-            counts += np.bincount(base[owner] + before[owner] + (place - self.place[rows]) // self.width[owner], minlength=len(counts))
-            ends_of_text[0].append(np.unique(rows[place < self.sizes[owner]]))
-            ends_of_text[1].append(np.unique(rows[place >= len(text) - self.sizes[owner]]))
-            a = b
-        owners = np.repeat(np.arange(len(self.quotes)), cells)
-        full = np.flatnonzero((counts > 0) & (counts + np.append(counts[1:], 0) >= self.least[owners]))
-        found: dict[int, list[np.ndarray]] = {}
-        for cell, k in zip(full.tolist(), owners[full].tolist(), strict=True):
-            # the window's lowest diagonal, its start less the edits, lies in this band or the one before
-            w, e = int(self.width[k]), int(self.edits[k])
-            first = (cell - int(base[k] + before[k]) - 1) * w + e
-            found.setdefault(k, []).append(np.arange(max(0, first), max(0, min(first + 2 * w, len(text) - len(self.quotes[k]) + 1))))
-        for some in ends_of_text:
-            met = np.bincount(self.owner[np.unique(np.concatenate(some))], minlength=len(self.quotes)) if some else np.zeros(len(self.quotes))
-            for k in np.flatnonzero((met > 0) & (met >= self.at_end)).tolist():
-                found.setdefault(k, [np.zeros(0, np.int64)])
-        return {k: np.unique(np.concatenate(x)) for k, x in found.items()}
-
-
-def _grams(text: str) -> np.ndarray:
-    """A number for every three characters in a row; different ones never share a number."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) >= GRAM else np.zeros(0, np.int64)
+        return self.candidates_of([text])[0]
+
+    def candidates_of(self, texts: list[str | None]) -> list[dict[int, np.ndarray]]:
+        """For each text the quotes that may be similar to a part of it, with the starts of the windows that may be; none is left
+        out that is. Enough of a similar quote's grams stand in a window, or in the clipped one at an end of the text, and one of
+        the quote's pieces stands there with few edits."""
+        parts = [_codes(t or "") for t in texts]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        whole = -(-sizes // BLOCK) * BLOCK
+        off = np.cumsum(whole) - whole
+        codes = np.zeros(int(whole.sum()), np.uint32)
+        for x, a in zip(parts, off.tolist(), strict=True):
+            codes[a : a + len(x)] = x
+        found: list[dict[int, list[np.ndarray]]] = [{} for _ in texts]
+        for table in self.tables if len(codes) else ():
+            *where, end = table.regions(codes, off, sizes)
+            good = np.flatnonzero(table.confirmed(codes, off, sizes, *where))
+            for k, t, lo, hi, clipped in zip(*(x[good].tolist() for x in where), end[good].tolist(), strict=True):
+                a = int(off[t])
+                found[t].setdefault(table.members[k], []).append(np.arange(0) if clipped else np.arange(lo - a, hi - a))
+        return [{k: np.unique(np.concatenate(x)) for k, x in some.items()} for some in found]
+
+
+@lru_cache(maxsize=1)
+def _quotes(quotes: tuple[str, ...]) -> _Quotes:
+    """Kept for the next task of a Python worker."""
+    return _Quotes(quotes)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _hashed(codes: np.ndarray, n: int) -> np.ndarray:
+    """A number for every n characters in a row; of three, different ones never share a number, of more they seldom do."""
+    c = codes.astype(np.int64)
+    if len(c) < n:
+        return np.zeros(0, np.int64)
+    g = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+    for k in range(GRAM, n):
+        g = g[: len(c) - k] * 0x5851F42D4C957F2D + c[k:]
+    return g
+
+
+def _grams(text: str, n: int = GRAM) -> np.ndarray:
+    return _hashed(_codes(text), n)
 
 
 def locate_in_corpus(
@@ -254,9 +381,9 @@ def locate_in_corpus(
     with ``similar``, else the part most like it (FUZZY_SCORE or more, quotes of LEAST_FUZZY characters or more).
 
     Texts are neither exploded nor shuffled: quotes of at most ``chars`` characters together travel to them, more quotes
-    in several passes. Exact places come from one automaton; similar ones from a count of shared 3-grams on neighbouring
-    diagonals, below which no similarity of FUZZY_SCORE is possible, and only what passes is aligned. Null quotes or texts,
-    and quotes under LEAST_QUOTE characters, are nowhere.
+    in several passes. Exact places come from one automaton; similar ones from a count of shared grams a window, below which no
+    similarity of FUZZY_SCORE is possible, then from a search for pieces with few edits, and only what passes is aligned. Null
+    quotes or texts, and quotes under LEAST_QUOTE characters, are nowhere.
     """
     q = quotes.select(F.col(quote_id).alias("_qid"), normalize_for_match(strip_quotes(F.col(quote))).alias("_q")).filter(F.length("_q") >= LEAST_QUOTE)
     d = docs.select(F.col(doc_id).alias("_did"), normalize_for_match(F.col(text)).alias("_t"))
@@ -271,13 +398,14 @@ def locate_in_corpus(
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            index = _Quotes(needles)
+            index = _quotes(needles)
             for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
                 rows, found = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
+                texts = batch.column(1).to_pylist()
+                for i, (t, near) in enumerate(zip(texts, index.candidates_of(texts) if similar else repeat({}), strict=False)):
                     places = index.exact_places(t) if t else {}
                     got = [(k, at, at + len(needles[k]), 1.0, "exact") for k, at in places.items()]
-                    for k, starts in index.candidates(t).items() if t and similar else ():
+                    for k, starts in near.items():
                         part = similar_part(needles[k], t, starts) if k not in places else None
                         if part:
                             got.append((k, part[0], part[1], round(part[2] / 100, 3), "fuzzy"))

@@ -106,4 +106,6 @@ def ev_locate_similar(spark: SparkSession, d: str) -> DataFrame:
     piece = lambda a, b: F.substr("text", a + 1, b - a)
     third = F.floor(n / 3).cast("int")
     items = table(spark, d, "benchmark").select("item_id", F.concat(piece(F.lit(0), third), F.lit(MARK), piece(third + 1, 2 * third), F.lit(MARK), piece(2 * third + 1, n)).alias("text"))
-    return evidence.locate_in_corpus(items, table(spark, d, "documents"), similar=True)
+    # the texts are dealt out, as a file may hold all of them in one piece, which is one task
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+    return evidence.locate_in_corpus(items, docs, similar=True)
